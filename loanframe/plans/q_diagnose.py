@@ -66,3 +66,298 @@ def t2_welch_pvalues(spark, sf_dir):
 def t3_rejection_counts(spark, sf_dir):
     tests = T.welch_t_tests(flagged_dedup(spark, sf_dir), T2_FEATURES, T2_FLAGS)
     return T.rejection_counts(tests)
+
+
+# ----------------------------------------------------------- duplicates D1-D4
+
+from loanframe.functions import columns as P  # noqa: E402
+from loanframe.operators import outliers as O  # noqa: E402
+from loanframe.operators import profile as D  # noqa: E402
+
+LOAN_COLUMNS = ["loan_id", "person_age", "person_income", "person_home_ownership",
+                "person_emp_length", "loan_intent", "loan_grade", "loan_amnt",
+                "loan_int_rate", "cb_person_default_on_file", "loan_status"]
+LOAN_TYPES = ["bigint", "bigint", "double", "string", "double", "string", "string", "double",
+              "double", "boolean", "boolean"]
+_ALL = ", ".join(LOAN_COLUMNS)
+
+
+@register("d1_flag_duplicates",
+          sql=L.with_loans(f"SELECT *, row_number() OVER (PARTITION BY {_ALL}) > 1 AS is_duplicate FROM loans"))
+def d1_flag_duplicates(spark, sf_dir):
+    return D.flag_duplicates(L.loans(spark, sf_dir))
+
+
+@register("d2_duplicate_rows",
+          sql=L.with_loans(f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {_ALL})"
+                           " AS rn FROM loans) WHERE rn > 1"))
+def d2_duplicate_rows(spark, sf_dir):
+    return D.duplicate_rows(L.loans(spark, sf_dir))
+
+
+@register("d3_dedupe", sql=L.with_loans("SELECT * FROM dedup"))
+def d3_dedupe(spark, sf_dir):
+    return D.drop_duplicates(L.loans(spark, sf_dir))
+
+
+@register("d4_shape",
+          sql=L.with_loans("SELECT (SELECT count(*) FROM loans) AS rows_before,"
+                           " (SELECT count(*) FROM dedup) AS rows_after,"
+                           f" CAST({len(LOAN_COLUMNS)} AS BIGINT) AS n_columns"))
+def d4_shape(spark, sf_dir):
+    return D.shape_before_after(L.loans(spark, sf_dir))
+
+
+# ------------------------------------------------------------ profile N1-N9
+
+def _profile_sql(src: str) -> str:
+    parts = [f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS \"column\", '{t}' AS dtype,"
+             f" count({c}) AS non_null, count(*) AS n_rows FROM {src}"
+             for i, (c, t) in enumerate(zip(LOAN_COLUMNS, LOAN_TYPES))]
+    return ", prof AS (" + " UNION ALL ".join(parts) + ")\n"
+
+
+@register("n1_info", sql=L.with_loans(_profile_sql("dedup")
+                                      + "SELECT position, \"column\", dtype, non_null FROM prof"))
+def n1_info(spark, sf_dir):
+    return D.column_profile(L.deduped(spark, sf_dir)).select("position", "column", "dtype", "non_null")
+
+
+@register("n2_null_counts", sql=L.with_loans(
+    _profile_sql("dedup") + "SELECT \"column\", n_rows - non_null AS null_count FROM prof"))
+def n2_null_counts(spark, sf_dir):
+    return D.column_profile(L.deduped(spark, sf_dir)).select("column", "null_count")
+
+
+@register("n3_null_share", sql=L.with_loans(
+    _profile_sql("dedup") + "SELECT \"column\", (n_rows - non_null) / n_rows AS null_share FROM prof"),
+    rounding={"null_share": 9})
+def n3_null_share(spark, sf_dir):
+    return D.column_profile(L.deduped(spark, sf_dir)).select("column", "null_share")
+
+
+_ALL_NULL = " AND ".join(f"{c} IS NULL" for c in LOAN_COLUMNS)
+_EMPTY_COLS = " + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in LOAN_COLUMNS)
+
+
+@register("n4_empty_rows", sql=L.with_loans(f"SELECT count_if({_ALL_NULL}) AS empty_rows FROM dedup"))
+def n4_empty_rows(spark, sf_dir):
+    return D.empty_counts(L.deduped(spark, sf_dir)).select("empty_rows")
+
+
+@register("n5_empty_columns",
+          sql=L.with_loans(f"SELECT CAST({_EMPTY_COLS} AS BIGINT) AS empty_columns FROM dedup"))
+def n5_empty_columns(spark, sf_dir):
+    return D.empty_counts(L.deduped(spark, sf_dir)).select("empty_columns")
+
+
+@register("n6_null_counts_wide", sql=L.with_loans(
+    "SELECT " + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in LOAN_COLUMNS) + " FROM dedup"))
+def n6_null_counts_wide(spark, sf_dir):
+    return D.null_counts_wide(L.deduped(spark, sf_dir))
+
+
+_FLAG_COLS = [c for c in LOAN_COLUMNS if c != "loan_id"]
+
+
+@register("n7_null_flags_long", sql=L.with_loans(" UNION ALL ".join(
+    f"SELECT loan_id, '{c}' AS variable, {c} IS NULL AS missing FROM dedup" for c in _FLAG_COLS)))
+def n7_null_flags_long(spark, sf_dir):
+    return D.null_flags_long(L.deduped(spark, sf_dir), _FLAG_COLS, key="loan_id")
+
+
+_PAT = ["person_emp_length", "loan_int_rate"]
+
+
+@register("n8_missing_patterns", sql=L.with_loans(
+    "SELECT " + ", ".join(f"CAST(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS INT) AS {c}" for c in _PAT)
+    + ", CAST(" + " + ".join(f"CAST({c} IS NULL AS INT)" for c in _PAT) + " AS INT) AS n_missing,"
+    " count(*) AS row_count FROM dedup GROUP BY ALL"))
+def n8_missing_patterns(spark, sf_dir):
+    return D.missing_patterns(L.deduped(spark, sf_dir), _PAT)
+
+
+@register("n9_value_counts", sql=L.with_loans(
+    "SELECT person_age, count(*) AS count FROM dedup WHERE person_age IS NOT NULL GROUP BY person_age"))
+def n9_value_counts(spark, sf_dir):
+    return D.value_counts(L.deduped(spark, sf_dir), "person_age")
+
+
+@register("c2_null_bars", sql=L.with_loans(
+    _profile_sql("dedup") + "SELECT \"column\", n_rows - non_null AS null_count FROM prof"))
+def c2_null_bars(spark, sf_dir):
+    return D.column_profile(L.deduped(spark, sf_dir)).select("column", "null_count")
+
+
+@register("c5_null_heatmap", sql=L.with_loans(
+    ", b AS (SELECT min(loan_id) AS lo, max(loan_id) AS hi FROM dedup),"
+    " g AS (SELECT CAST(floor(CAST(loan_id - lo AS DOUBLE) * 50.0 / CAST(hi - lo + 1 AS DOUBLE)) AS BIGINT)"
+    " AS block, * FROM dedup, b)\n"
+    + " UNION ALL ".join(f"SELECT block, '{c}' AS variable, count_if({c} IS NULL) / count(*) AS null_share"
+                         f" FROM g GROUP BY block" for c in _FLAG_COLS)),
+    rounding={"null_share": 9})
+def c5_null_heatmap(spark, sf_dir):
+    return D.null_heatmap(L.deduped(spark, sf_dir), "loan_id", _FLAG_COLS, 50)
+
+
+@register("c6_null_share_bars", sql=L.with_loans(" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {m} AS missing, count_if(({c} IS NULL) = {m}) AS count,"
+    f" count_if(({c} IS NULL) = {m}) / count(*) AS share FROM dedup"
+    for c in _FLAG_COLS for m in ("false", "true"))), rounding={"share": 9})
+def c6_null_share_bars(spark, sf_dir):
+    return D.null_share_bars(L.deduped(spark, sf_dir), _FLAG_COLS)
+
+
+# ------------------------------------------------------------ columns P1-P14
+
+@register("p1_select", sql=L.with_loans("SELECT loan_id, person_income, loan_status FROM dedup"))
+def p1_select(spark, sf_dir):
+    return P.select_columns(L.deduped(spark, sf_dir), ["loan_id", "person_income", "loan_status"])
+
+
+@register("p2_drop", sql=L.with_loans("SELECT * EXCLUDE (person_emp_length, loan_int_rate) FROM dedup"))
+def p2_drop(spark, sf_dir):
+    return P.drop_columns(L.deduped(spark, sf_dir), ["person_emp_length", "loan_int_rate"])
+
+
+@register("p3_numeric_columns", sql=L.with_loans(
+    "SELECT loan_id, person_age, person_income, person_emp_length, loan_amnt, loan_int_rate FROM dedup"))
+def p3_numeric_columns(spark, sf_dir):
+    d = L.deduped(spark, sf_dir)
+    return d.select("loan_id", *P.columns_of_kind(d, "numeric", exclude=["loan_id"]))
+
+
+@register("p4_null_flags", sql=L.with_loans(
+    "SELECT loan_id, person_emp_length IS NULL AS pel_missing, loan_int_rate IS NULL AS lir_missing FROM dedup"))
+def p4_null_flags(spark, sf_dir):
+    return P.null_flags(L.deduped(spark, sf_dir), ["person_emp_length", "loan_int_rate"],
+                        names={"person_emp_length": "pel_missing", "loan_int_rate": "lir_missing"}
+                        ).select("loan_id", "pel_missing", "lir_missing")
+
+
+@register("p5_casts", sql=L.with_loans(
+    "SELECT loan_id, CAST(person_emp_length IS NULL AS INT) AS pel_missing,"
+    " CAST(cb_person_default_on_file AS VARCHAR) AS cb_person_default_on_file FROM dedup"))
+def p5_casts(spark, sf_dir):
+    d = P.null_flags(L.deduped(spark, sf_dir), ["person_emp_length"], names={"person_emp_length": "pel_missing"})
+    return P.cast_columns(d, {"pel_missing": "int", "cb_person_default_on_file": "string"}).select(
+        "loan_id", "pel_missing", "cb_person_default_on_file")
+
+
+@register("p6_merge_levels", sql=L.with_loans(
+    "SELECT loan_id, CASE WHEN person_home_ownership = 'OTHER' THEN 'MORTGAGE' ELSE person_home_ownership END"
+    " AS person_home_ownership, CASE WHEN loan_grade = 'G' THEN 'F' ELSE loan_grade END AS loan_grade FROM dedup"))
+def p6_merge_levels(spark, sf_dir):
+    d = P.replace_levels(L.deduped(spark, sf_dir), "person_home_ownership", {"OTHER": "MORTGAGE"})
+    d = P.replace_levels(d, "loan_grade", {"G": "F"})
+    return d.select("loan_id", "person_home_ownership", "loan_grade")
+
+
+@register("p7_range_filter", sql=L.with_loans(
+    ", q AS (SELECT quantile_cont(person_income, 0.25) AS q1, quantile_cont(person_income, 0.75) AS q3 FROM train)"
+    " SELECT loan_id, person_income FROM train, q"
+    " WHERE person_income < q1 - (q3 - q1) * 1.5 OR person_income > q3 + (q3 - q1) * 1.5"))
+def p7_range_filter(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    lo, hi = O.iqr_fences(train, ["person_income"], method="exact")["person_income"]
+    return train.filter(P.outside("person_income", lo, hi)).select("loan_id", "person_income")
+
+
+@register("p8_concat", sql=L.with_loans(
+    "SELECT loan_id, person_home_ownership || '_' || loan_grade AS new FROM dedup"))
+def p8_concat(spark, sf_dir):
+    return L.deduped(spark, sf_dir).select(
+        "loan_id", P.concat_levels("person_home_ownership", "loan_grade").alias("new"))
+
+
+@register("p9_fill_none", sql=L.with_loans(
+    "SELECT loan_id, coalesce(CAST(loan_int_rate AS VARCHAR), 'NONE') AS loan_int_rate FROM dedup"))
+def p9_fill_none(spark, sf_dir):
+    return L.deduped(spark, sf_dir).select("loan_id", P.fill_text("loan_int_rate").alias("loan_int_rate"))
+
+
+@register("p10_log1p", sql=L.with_loans(
+    "SELECT loan_id, CASE WHEN person_income > -1 THEN ln(1 + person_income) END AS person_income,"
+    " CASE WHEN loan_amnt > -1 THEN ln(1 + loan_amnt) END AS loan_amnt FROM dedup"),
+    rounding={"person_income": 9, "loan_amnt": 9})
+def p10_log1p(spark, sf_dir):
+    return L.deduped(spark, sf_dir).select(
+        "loan_id", P.log1p("person_income").alias("person_income"), P.log1p("loan_amnt").alias("loan_amnt"))
+
+
+@register("p11_append_columns", sql=L.with_loans(
+    "SELECT *, person_emp_length IS NULL AS pel_missing, loan_int_rate IS NULL AS lir_missing FROM dedup"))
+def p11_append_columns(spark, sf_dir):
+    return L.with_flags(L.deduped(spark, sf_dir))
+
+
+@register("p12_head", sql=L.with_loans("SELECT * FROM dedup ORDER BY loan_id LIMIT 5"))
+def p12_head(spark, sf_dir):
+    return P.head(L.deduped(spark, sf_dir), 5, ["loan_id"])
+
+
+@register("p13_sort", sql=L.with_loans("SELECT loan_id, person_income FROM dedup"))
+def p13_sort(spark, sf_dir):
+    return L.deduped(spark, sf_dir).select("loan_id", "person_income").orderBy(
+        F.desc("person_income"), "loan_id")
+
+
+@register("p14_top_k", sql=L.with_loans(
+    "SELECT loan_id, loan_amnt FROM dedup ORDER BY loan_amnt DESC NULLS LAST, loan_id LIMIT 5"))
+def p14_top_k(spark, sf_dir):
+    return P.top_k(L.deduped(spark, sf_dir).select("loan_id", "loan_amnt"), "loan_amnt", 5, ["loan_id"])
+
+
+# ----------------------------------------------------------- outliers O1-O5
+
+def _quartile_sql(src: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {src}"
+        for c in cols)
+
+
+_Q_ROUND = {"q1": 6, "q3": 6, "iqr": 6, "lower": 6, "upper": 6}
+
+
+@register("o1_quartiles", sql=L.with_loans(f", qt AS ({_quartile_sql('train', L.NUMERIC)})"
+                                           " SELECT \"column\", q1, q3 FROM qt"),
+          rounding={"q1": 6, "q3": 6})
+def o1_quartiles(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return O.quartile_table(train, L.NUMERIC).select("column", "q1", "q3")
+
+
+@register("o2_iqr_fences", sql=L.with_loans(
+    f", qt AS ({_quartile_sql('train', L.NUMERIC)})"
+    " SELECT \"column\", q1, q3, q3 - q1 AS iqr, q1 - (q3 - q1) * 1.5 AS lower, q3 + (q3 - q1) * 1.5 AS upper"
+    " FROM qt"), rounding=_Q_ROUND)
+def o2_iqr_fences(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return O.quartile_table(train, L.NUMERIC)
+
+
+def _iqr_count_sql(src: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM {src}, (SELECT quantile_cont({c}, 0.25) AS q1,"
+        f" quantile_cont({c}, 0.75) AS q3 FROM {src}) q WHERE {c} < q1 - (q3 - q1) * 1.5"
+        f" OR {c} > q3 + (q3 - q1) * 1.5) AS outlier_count" for c in cols)
+
+
+@register("o3_iqr_counts", sql=L.with_loans(_iqr_count_sql("train", L.NUMERIC)))
+def o3_iqr_counts(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return O.iqr_outlier_counts(train, L.NUMERIC, method="exact")
+
+
+@register("o4_sorted_counts", sql=L.with_loans(_iqr_count_sql("train", L.NUMERIC)))
+def o4_sorted_counts(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return O.sorted_counts(O.iqr_outlier_counts(train, L.NUMERIC, method="exact"))
+
+
+@register("o5_zscore_counts", sql=L.with_loans(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM train, (SELECT avg({c}) AS m, stddev_pop({c}) AS s"
+    f" FROM train) z WHERE ({c} - m) / s > 3) AS outlier_count" for c in L.NUMERIC)))
+def o5_zscore_counts(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return O.zscore_outlier_counts(train, L.NUMERIC)
