@@ -196,31 +196,37 @@ class Assemble(StatelessTransformer):
 # ------------------------------------------------------------------ I3
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """Yeo-Johnson transform of a column for a fixed lambda."""
-    pos = x >= 0
-    if abs(lam) < 1e-12:
-        p = F.log1p(x)
+def yeo_johnson(x: Column, lam) -> Column:
+    """Yeo-Johnson transform; ``lam`` a number or a column."""
+    if isinstance(lam, (int, float)):
+        lam_c, is0, is2 = F.lit(float(lam)), abs(lam) < 1e-12, abs(lam - 2.0) < 1e-12
+        p = F.log1p(x) if is0 else (F.pow(x + 1.0, lam_c) - 1.0) / lam_c
+        n = -F.log1p(-x) if is2 else -(F.pow(F.lit(1.0) - x, F.lit(2.0) - lam_c) - 1.0) / (F.lit(2.0) - lam_c)
     else:
-        p = (F.pow(x + 1.0, F.lit(lam)) - 1.0) / F.lit(lam)
-    if abs(lam - 2.0) < 1e-12:
-        n = -F.log1p(-x)
-    else:
-        n = -(F.pow(F.lit(1.0) - x, F.lit(2.0 - lam)) - 1.0) / F.lit(2.0 - lam)
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(pos, p).otherwise(n)
+        lam_c = lam
+        p = F.when(F.abs(lam_c) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam_c) - 1.0) / lam_c)
+        n = F.when(F.abs(lam_c - 2.0) < 1e-12, -F.log1p(-x)).otherwise(
+            -(F.pow(F.lit(1.0) - x, F.lit(2.0) - lam_c) - 1.0) / (F.lit(2.0) - lam_c))
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x >= 0, p).otherwise(n)
+
 
+def yj_loglik_table(df: DataFrame, cols: list[str], grids: dict[str, list[float]]) -> DataFrame:
+    """Log-likelihood of every (column, candidate lambda) in one pass.
 
-def _best(row, i: int, lams: list[float]) -> float:
-    n, sl = row[f"_n{i}"], row[f"_l{i}"]
-    best, best_ll = None, -math.inf
-    for j, lam in enumerate(lams):
-        v = row[f"_v{i}_{j}"]
-        if v is None or not math.isfinite(v) or v <= 0:
-            continue
-        ll = -n / 2.0 * math.log(v) + (lam - 1.0) * sl
-        if ll > best_ll:
-            best, best_ll = lam, ll
-    return best if best is not None else 1.0
+    Each row is expanded to (column, lambda, x) triples by a generator and
+    grouped by (column, lambda): a fixed-size plan whatever the grid, map-side
+    partial aggregation, and a shuffle of p x steps rows.
+    """
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(lam)).alias("lam"),
+                               F.col(f"`{c}`").cast("double").alias("x"))
+                      for c in cols for lam in grids[c]])
+    t = df.select(F.inline(items)).filter(F.col("x").isNotNull())
+    g = t.groupBy("column", "lam").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("sl"),
+        F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"))
+    ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") > 0) & (F.col("v") < F.lit(float("inf")))
+    return g.withColumn("loglik", F.when(ok, -F.col("n") / 2.0 * F.log("v") + (F.col("lam") - 1.0) * F.col("sl")))
 
 
 class YeoJohnsonModel(FittedModel):
@@ -247,28 +253,18 @@ class YeoJohnson(FitEstimator):
         steps = int(opts.get("steps", 21))
         grids = {c: [float(v) for v in np.linspace(opts.get("lo", -5.0), opts.get("hi", 5.0), steps)]
                  for c in cols}
-        best: dict[str, float] = {}
+        best: dict[str, float] = {c: 1.0 for c in cols}
         for _ in range(1 + int(opts.get("refine", 3))):
-            row = df.agg(*self._aggs(cols, grids)).first()
-            for i, c in enumerate(cols):
+            rows = yj_loglik_table(df, cols, grids).collect()  # p x steps rows
+            for c in cols:
+                cand = [(r["loglik"], r["lam"]) for r in rows if r["column"] == c and r["loglik"] is not None]
                 lams = grids[c]
-                b = float(_best(row, i, lams))
-                best[c] = b
                 step = lams[1] - lams[0]
-                grids[c] = [float(v) for v in np.linspace(b - step, b + step, steps)]
+                if cand:
+                    best[c] = float(max(cand)[1])
+                grids[c] = [float(v) for v in np.linspace(best[c] - step, best[c] + step, steps)]
         return {"lambdas": best}
 
-    @staticmethod
-    def _aggs(cols, grids):
-        aggs = []
-        for i, c in enumerate(cols):
-            x = F.col(c).cast("double")
-            aggs.append(F.count(x).alias(f"_n{i}"))
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"_l{i}"))
-            for j, lam in enumerate(grids[c]):
-                aggs.append(F.var_pop(yeo_johnson(x, float(lam))).alias(f"_v{i}_{j}"))
-        return aggs
-
 
 # ------------------------------------------------------------------ I4
 
@@ -314,13 +310,20 @@ class QuantileTransformerModel(FittedModel):
                 lo_hit, hi_hit = x - BOUNDS < F.lit(q[0]), x + BOUNDS > F.lit(q[-1])
             else:
                 lo_hit, hi_hit = x == F.lit(q[0]), x == F.lit(q[-1])
-            u = F.when(hi_hit, 1.0).when(lo_hit, 0.0).otherwise(u)
-            if normal:
-                clip = float(norm_ppf(np.array([BOUNDS - np.spacing(1)]))[0])
-                z = F.when(u <= 0.0, F.lit(clip)).when(u >= 1.0, F.lit(-clip)).otherwise(norm_ppf_col(u))
-                u = F.least(F.greatest(z, F.lit(clip)), F.lit(-clip))
-            out[c] = F.when(x.isNull(), F.lit(None).cast("double")).otherwise(u)
-        return df.withColumns(out)
+            out[c] = F.when(x.isNull(), F.lit(None).cast("double")).otherwise(
+                F.when(hi_hit, 1.0).when(lo_hit, 0.0).otherwise(u))
+        d = df.withColumns(out)
+        if not normal:
+            return d
+        # the uniform value is its own projection: the inverse normal uses it
+        # many times, and must not copy the interpolation tree into each use
+        clip = float(norm_ppf(np.array([BOUNDS - np.spacing(1)]))[0])
+        fin = {}
+        for c in out:
+            u = F.col(c)
+            z = F.when(u <= 0.0, F.lit(clip)).when(u >= 1.0, F.lit(-clip)).otherwise(norm_ppf_col(u))
+            fin[c] = F.least(F.greatest(z, F.lit(clip)), F.lit(-clip))
+        return d.withColumns(fin)
 
 
 class QuantileTransformer(FitEstimator):

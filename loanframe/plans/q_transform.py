@@ -1 +1,405 @@
-"""Registered queries."""
+"""Registered queries: fitted transforms, encoders, pipelines, sources/sinks.
+
+Transforms are fitted on the train rows and applied to the test rows (the
+cited fit/transform split), so each oracle recomputes the train constants
+in SQL and applies them to ``test``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from loanframe.operators import encode as E
+from loanframe.operators import numeric as N
+from loanframe.operators.impute import IterativeImputer
+from loanframe.operators.outliers import Winsorizer
+from loanframe.plans import pipelines as PL
+from loanframe.plans.catalog import register
+from loanframe.sources import io
+from loanframe.sources import loans as L
+from loanframe.session import ensure_checkpoint_dir
+
+NUM = L.NUMERIC
+CAT = L.CATEGORICAL
+# The levels of the fixture's category columns (loan view definition).
+LEVELS = {
+    "person_home_ownership": ["MORTGAGE", "OTHER", "OWN", "RENT"],
+    "loan_intent": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "loan_grade": ["A", "B", "C", "D", "E", "F", "G"],
+    "cb_person_default_on_file": ["false", "true"],
+}
+
+
+def _split(spark, sf_dir):
+    return L.train_test(spark, sf_dir)
+
+
+def _r(cols, d=6):
+    return {c: d for c in cols}
+
+
+def _q(name: str) -> str:
+    return '"' + name + '"'
+
+
+# ------------------------------------------------------------------- O6
+
+@register("o6_winsorize", sql=L.with_loans(
+    ", f AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, 0.25) - (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) * 1.5 AS lo_{c},"
+        f" quantile_cont({c}, 0.75) + (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) * 1.5 AS hi_{c}"
+        for c in NUM) + " FROM train)\nSELECT loan_id, " + ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, lo_{c}), hi_{c}) END AS {c}" for c in NUM)
+    + " FROM test, f"), rounding=_r(NUM))
+def o6_winsorize(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = Winsorizer(NUM, method="exact").fit(train)
+    return m.transform(test).select("loan_id", *NUM)
+
+
+# ------------------------------------------------------------------- I1
+
+_CATS = CAT + ["cb_person_default_on_file"]
+
+
+@register("i1_most_frequent", sql=L.with_loans(
+    ", lv AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS level, count(*) AS count FROM train"
+        f" WHERE {c} IS NOT NULL GROUP BY {c}" for c in _CATS)
+    + ") SELECT \"column\", level AS mode, count FROM (SELECT *, row_number() OVER"
+      " (PARTITION BY \"column\" ORDER BY count DESC, level) AS r FROM lv) WHERE r = 1"))
+def i1_most_frequent(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    return E.most_frequent(train, _CATS)
+
+
+@register("i1_impute_apply", sql=L.with_loans(
+    "SELECT loan_id, " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _CATS) + " FROM test"))
+def i1_impute_apply(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = E.MostFrequentImputer(_CATS).fit(train)
+    return m.transform(test).select("loan_id", *[F.col(c).cast("string").alias(c) for c in _CATS])
+
+
+# ------------------------------------------------------------------- I2
+
+@register("i2_start_means", sql=L.with_loans(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CAST({c} AS DOUBLE)) AS mean FROM train" for c in NUM)),
+    rounding={"mean": 6})
+def i2_start_means(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    m = IterativeImputer(NUM, max_iter=0).fit(train)
+    means = m.fitted()["means"]
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(NUM, means)], "column string, mean double")
+
+
+@register("i2_iterative_impute")
+def i2_iterative_impute(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = IterativeImputer(NUM, max_iter=10).fit(train)
+    return m.transform(test).select("loan_id", *NUM)
+
+
+# ------------------------------------------------------------------- I3
+
+@register("i3_yeo_johnson_lambdas")
+def i3_yeo_johnson_lambdas(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    cols = ["person_age", "person_income", "loan_amnt"]
+    lam = N.YeoJohnson(cols).fit(train).fitted()["lambdas"]
+    return spark.createDataFrame([(c, float(lam[c])) for c in cols], "column string, lambda double")
+
+
+def _yj_sql(x: str, lam: float) -> str:
+    if lam == 0.0:
+        pos = f"ln(1 + {x})"
+    else:
+        pos = f"(power({x} + 1.0, {lam}) - 1.0) / {lam}"
+    if lam == 2.0:
+        neg = f"-ln(1 - {x})"
+    else:
+        neg = f"-(power(1.0 - {x}, {2.0 - lam}) - 1.0) / {2.0 - lam}"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+
+
+@register("i3_yeo_johnson_apply", sql=L.with_loans(
+    "SELECT loan_id, " + _yj_sql("person_income", 0.0) + " AS yj_income, "
+    + _yj_sql("loan_amnt", 0.5) + " AS yj_amount, "
+    + _yj_sql("(loan_int_rate - 12.0)", 2.0) + " AS yj_rate, "
+    + _yj_sql("(loan_int_rate - 12.0)", -0.7) + " AS yj_rate_neg FROM test"),
+    rounding={"yj_income": 9, "yj_amount": 6, "yj_rate": 9, "yj_rate_neg": 9})
+def i3_yeo_johnson_apply(spark, sf_dir):
+    """The transform for given lambdas, on all four branches (SQL* oracle)."""
+    _, test = _split(spark, sf_dir)
+    rate = F.col("loan_int_rate") - F.lit(12.0)
+    return test.select("loan_id",
+                       N.yeo_johnson(F.col("person_income"), 0.0).alias("yj_income"),
+                       N.yeo_johnson(F.col("loan_amnt"), 0.5).alias("yj_amount"),
+                       N.yeo_johnson(rate, 2.0).alias("yj_rate"),
+                       N.yeo_johnson(rate, -0.7).alias("yj_rate_neg"))
+
+
+@register("i3_yeo_johnson")
+def i3_yeo_johnson(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    cols = ["person_age", "person_income", "loan_amnt"]
+    return N.YeoJohnson(cols).fit(train).transform(test).select("loan_id", *cols)
+
+
+# ------------------------------------------------------------------- I4
+
+@register("i4_quantile_normal")
+def i4_quantile_normal(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = N.QuantileTransformer(NUM, n_quantiles=100, method="exact").fit(train)
+    return m.transform(test).select("loan_id", *NUM)
+
+
+# ------------------------------------------------------------------- I5-I8
+
+@register("i5_minmax", sql=L.with_loans(
+    ", s AS (SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM)
+    + " FROM train) SELECT loan_id, " + ", ".join(
+        f"({c} - lo_{c}) / CASE WHEN hi_{c} - lo_{c} = 0 THEN 1.0 ELSE hi_{c} - lo_{c} END AS {c}" for c in NUM)
+    + " FROM test, s"), rounding=_r(NUM, 9))
+def i5_minmax(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return N.MinMaxScaler(NUM).fit(train).transform(test).select("loan_id", *NUM)
+
+
+@register("i6_standard", sql=L.with_loans(
+    ", s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUM)
+    + " FROM train) SELECT loan_id, " + ", ".join(
+        f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END AS {c}" for c in NUM)
+    + " FROM test, s"), rounding=_r(NUM, 6))
+def i6_standard(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return N.StandardScaler(NUM).fit(train).transform(test).select("loan_id", *NUM)
+
+
+_THIRD, _TWO_THIRDS = repr(1 / 3), repr(2 / 3)
+
+
+def _kbins_sql(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST({c} >= e1_{c} AS DOUBLE)"
+            f" + CAST({c} >= e2_{c} AS DOUBLE) END")
+
+
+_EDGES_SQL = (", e AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, {_THIRD}) AS e1_{c}, quantile_cont({c}, {_TWO_THIRDS}) AS e2_{c}" for c in NUM)
+    + " FROM train)")
+
+
+@register("i7_kbins", sql=L.with_loans(
+    _EDGES_SQL + " SELECT loan_id, " + ", ".join(f"{_kbins_sql(c)} AS {c}" for c in NUM) + " FROM test, e"))
+def i7_kbins(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return N.KBinsDiscretizer(NUM, n_bins=3, method="exact").fit(train).transform(test).select("loan_id", *NUM)
+
+
+@register("i8_binarize", sql=L.with_loans(
+    "SELECT loan_id, " + ", ".join(f"CAST({c} > 1.1 AS DOUBLE) AS {c}" for c in NUM) + " FROM test"))
+def i8_binarize(spark, sf_dir):
+    _, test = _split(spark, sf_dir)
+    return N.Binarizer(NUM, threshold=1.1).transform(test).select("loan_id", *NUM)
+
+
+# ------------------------------------------------------------------- I9 / I10
+
+_POLY = ["person_age", "loan_amnt", "loan_int_rate"]
+
+
+def _poly_sql(interaction_only: bool) -> str:
+    terms = N.polynomial_terms(_POLY, interaction_only)
+    exprs = [" * ".join(f"CAST({_POLY[i]} AS DOUBLE)" for i in idx) + f" AS {_q(n)}" for n, idx in terms]
+    return L.with_loans("SELECT loan_id, " + ", ".join(exprs) + " FROM test")
+
+
+@register("i9_polynomial", sql=_poly_sql(False))
+def i9_polynomial(spark, sf_dir):
+    _, test = _split(spark, sf_dir)
+    return N.PolynomialFeatures(_POLY).transform(test.select("loan_id", *_POLY))
+
+
+@register("i10_interactions", sql=_poly_sql(True))
+def i10_interactions(spark, sf_dir):
+    _, test = _split(spark, sf_dir)
+    return N.PolynomialFeatures(_POLY, interaction_only=True).transform(test.select("loan_id", *_POLY))
+
+
+# ------------------------------------------------------------------- E1-E10
+
+def _rank_sql(c: str) -> str:
+    return (f"CAST((SELECT count(DISTINCT t.{c}) FROM train t WHERE t.{c} < x.{c}) AS DOUBLE)")
+
+
+@register("e1_label_encode", sql=L.with_loans(
+    f"SELECT loan_id, {_rank_sql('person_home_ownership')} AS person_home_ownership FROM test x"))
+def e1_label_encode(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = E.OrdinalEncoder(["person_home_ownership"]).fit(train)
+    return m.transform(test).select("loan_id", "person_home_ownership")
+
+
+def _dummies_sql(cols: list[str], drop: str | None, one: str, zero: str, src: str) -> str:
+    parts = []
+    for c in cols:
+        lv = LEVELS[c]
+        if drop == "first" or (drop == "if_binary" and len(lv) == 2):
+            lv = lv[1:]
+        for v in lv:
+            parts.append(f"CASE WHEN CAST({c} AS VARCHAR) = '{v}' THEN {one} ELSE {zero} END AS {_q(c + '_' + v)}")
+    return ", ".join(parts)
+
+
+@register("e2_get_dummies", sql=L.with_loans(
+    "SELECT * EXCLUDE (" + ", ".join(CAT) + "), " + _dummies_sql(CAT, "first", "1", "0", "dedup")
+    + " FROM dedup"))
+def e2_get_dummies(spark, sf_dir):
+    return E.get_dummies(L.deduped(spark, sf_dir), CAT, drop_first=True)
+
+
+@register("e3_onehot_if_binary", sql=L.with_loans(
+    "SELECT loan_id, " + _dummies_sql(_CATS, "if_binary", "1.0", "0.0", "test") + " FROM test"))
+def e3_onehot_if_binary(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = E.OneHotEncoder(_CATS, drop="if_binary").fit(PL.prepare(train))
+    return m.transform(PL.prepare(test).select("loan_id", *_CATS))
+
+
+@register("e4_onehot", sql=L.with_loans(
+    "SELECT loan_id, " + _dummies_sql(_CATS, None, "1.0", "0.0", "test") + " FROM test"))
+def e4_onehot(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    m = E.OneHotEncoder(_CATS).fit(PL.prepare(train))
+    return m.transform(PL.prepare(test).select("loan_id", *_CATS))
+
+
+_BIN_COLS = ["person_age", "loan_amnt"]
+
+
+@register("e5_onehot_bins", sql=L.with_loans(
+    _EDGES_SQL + ", b AS (SELECT loan_id, " + ", ".join(f"{_kbins_sql(c)} AS {c}" for c in _BIN_COLS)
+    + " FROM test, e) SELECT loan_id, " + ", ".join(
+        f"CASE WHEN {c} = {k}.0 THEN 1.0 ELSE 0.0 END AS {_q(f'{c}_{k}.0')}" for c in _BIN_COLS for k in (1, 2))
+    + " FROM b"))
+def e5_onehot_bins(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    kb = N.KBinsDiscretizer(_BIN_COLS, n_bins=3, method="exact").fit(train)
+    tr = kb.transform(train.select("loan_id", *_BIN_COLS))
+    oh = E.OneHotEncoder(_BIN_COLS, drop="first").fit(tr)
+    return oh.transform(kb.transform(test.select("loan_id", *_BIN_COLS)))
+
+
+@register("e6_ordinal", sql=L.with_loans(
+    f"SELECT loan_id, {_rank_sql('loan_intent')} AS loan_intent FROM test x"))
+def e6_ordinal(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    levels = E.sorted_levels(train, ["loan_intent"])
+    m = E.OrdinalEncoder(["loan_intent"], categories=levels).fit(train)
+    return m.transform(test).select("loan_id", "loan_intent")
+
+
+@register("e7_group_count", sql=L.with_loans(
+    "SELECT loan_id, person_home_ownership, CASE WHEN person_home_ownership IS NULL THEN NULL ELSE"
+    " count(loan_grade) OVER (PARTITION BY person_home_ownership) END AS loan_grade_count FROM train"))
+def e7_group_count(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    return E.group_count(train, "person_home_ownership", "loan_grade", "loan_grade_count").select(
+        "loan_id", "person_home_ownership", "loan_grade_count")
+
+
+@register("e8_frequency", sql=L.with_loans(
+    "SELECT loan_id, coalesce(CAST(loan_int_rate AS VARCHAR), 'NONE') AS level,"
+    " count(*) OVER (PARTITION BY coalesce(CAST(loan_int_rate AS VARCHAR), 'NONE')) AS frequency FROM train"))
+def e8_frequency(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    d = E.frequency_feature(train, "loan_int_rate", name="frequency")
+    return d.select("loan_id", F.col("_loan_int_rate_level").alias("level"), "frequency")
+
+
+@register("e9_levels", sql=L.with_loans(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS BIGINT) AS level_index,"
+    f" {c} AS level FROM (SELECT DISTINCT {c} FROM train WHERE {c} IS NOT NULL)" for c in CAT)))
+def e9_levels(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    return E.levels_table(train, CAT)
+
+
+@register("e10_feature_names")
+def e10_feature_names(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    m = E.OneHotEncoder(_CATS, drop="if_binary").fit(PL.prepare(train))
+    names = NUM + m.output_cols()
+    return E.feature_names_table(spark, names)
+
+
+# ------------------------------------------------------------------- L1-L9
+
+def _pipeline_query(name):
+    def run(spark, sf_dir):
+        train, test = _split(spark, sf_dir)
+        model = PL.fit_pipeline(name, train)
+        return PL.transform(model, test)
+    return run
+
+
+for _i, _name in enumerate(["linear", "tree", "distance", "probability", "neural"], start=1):
+    register(f"l{_i}_{_name}_pipeline")(_pipeline_query(_name))
+
+
+@register("l6_column_transformer")
+def l6_column_transformer(spark, sf_dir):
+    """Numeric and category branches glued in declared order (names + values)."""
+    train, test = _split(spark, sf_dir)
+    model = PL.fit_pipeline("tree", train)
+    return PL.expand(PL.transform(model, test), PL.feature_names(model))
+
+
+@register("l8_fit_transform_train")
+def l8_fit_transform_train(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    model = PL.fit_pipeline("distance", train)
+    return PL.transform(model, train)
+
+
+# ------------------------------------------------------------------- S1-S4
+
+@register("s1_read", sql="SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def s1_read(spark, sf_dir):
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string"
+    return io.read_table(spark, f"{sf_dir}/orders.parquet", schema=schema)
+
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/loanframe-io-{uuid.uuid4().hex}"
+
+
+@register("s2_write_csv_roundtrip")
+def s2_write_csv_roundtrip(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = PL.fit_pipeline("tree", train)
+    wide = PL.expand(PL.transform(model, test), PL.feature_names(model))
+    path = _scratch(spark)
+    io.write_table(wide, path, fmt="csv")
+    return io.read_table(spark, path, fmt="csv", schema=wide.schema)
+
+
+@register("s3_pipeline_roundtrip")
+def s3_pipeline_roundtrip(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = PL.fit_pipeline("tree", train)
+    path = _scratch(spark)
+    io.save_pipeline(model, path)
+    return PL.transform(io.load_pipeline(path), test)
+
+
+@register("s4_join_labels", sql=L.with_loans(
+    "SELECT loan_id, person_income, loan_amnt, loan_status FROM test"))
+def s4_join_labels(spark, sf_dir):
+    _, test = _split(spark, sf_dir)
+    feats = test.select("loan_id", "person_income", "loan_amnt")
+    labels = test.select("loan_id", "loan_status")
+    return io.join_labels(feats, labels, "loan_id")
