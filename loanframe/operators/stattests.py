@@ -76,6 +76,7 @@ def contingency_long(df: DataFrame, rows: list[str], cols: list[str]) -> DataFra
             F.struct(F.lit(r).alias("row_var"), F.col(r).cast("string").alias("row_level"),
                      F.lit(c).alias("col_var"), F.col(c).cast("string").alias("col_level"))
             for r in rows for c in cols])).alias("s")).select("s.*")
+    stacked = stacked.filter(F.col("row_level").isNotNull() & F.col("col_level").isNotNull())
     return stacked.groupBy("row_var", "col_var", "row_level", "col_level").agg(
         F.count(F.lit(1)).alias("observed"))
 
@@ -95,7 +96,7 @@ def chi2_independence(df: DataFrame, rows: list[str], cols: list[str],
     small long contingency table, partitioned by pair).  Yates' correction is
     applied when dof = 1.  NULL levels are left out.
     """
-    ct = contingency_long(df.na.drop(subset=list(set(rows + cols))), rows, cols)
+    ct = contingency_long(df, rows, cols)
     return chi2_from_counts(ct, correction)
 
 
@@ -116,3 +117,156 @@ def chi2_from_counts(ct: DataFrame, correction: bool = True) -> DataFrame:
     e = e.withColumn("term", diff * diff / F.col("expected"))
     stat = e.groupBy(*pair).agg(F.sum("term").alias("statistic"), F.first("dof").alias("dof"))
     return stat.withColumn("p_value", chi2_pvalue(F.col("statistic"), F.col("dof").cast("double")))
+
+
+# --------------------------------------------------------------------- T1
+
+def pattern_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per missing-value pattern (bitmask, bit i = column i is NULL): row
+    count and the mean of every column within the pattern."""
+    mask = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
+    return df.groupBy(mask.alias("pattern")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+
+
+def little_mcar(df: DataFrame, cols: list[str], max_columns: int = 30) -> dict:
+    """Little's chi-square test that data are missing completely at random.
+
+    Means and covariances are pairwise complete (NULLs skipped per pair);
+    one aggregate gives them, one grouped aggregate gives the pattern means;
+    the driver sums m_j (ybar_j - mu)' S_jj^-1 (ybar_j - mu) over patterns.
+    """
+    import numpy as np
+
+    from loanframe.functions.dist import chi2_sf
+    p = len(cols)
+    if p > max_columns:
+        raise ValueError(f"Little's test is limited to {max_columns} columns (got {p})")
+    x = [F.col(c).cast("double") for c in cols]
+    g = df.agg(*[F.avg(xi).alias(f"m{i}") for i, xi in enumerate(x)],
+               *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+    mu = np.array([g[f"m{i}"] for i in range(p)], dtype=float)
+    cov = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = g[f"c{i}_{j}"]
+    d2, pj = 0.0, 0
+    for r in pattern_stats(df, cols).collect():  # at most min(2^p, rows) patterns
+        obs = [i for i in range(p) if not (r["pattern"] >> i) & 1]
+        pj += len(obs)
+        if not obs:
+            continue
+        diff = np.array([r[cols[i]] for i in obs]) - mu[obs]
+        d2 += r["n"] * float(diff @ np.linalg.solve(cov[np.ix_(obs, obs)], diff))
+    dof = pj - p
+    return {"statistic": d2, "dof": dof, "p_value": chi2_sf(d2, dof) if dof > 0 else float("nan")}
+
+
+# --------------------------------------------------------------------- T4/T5
+
+def logit_summary(df: DataFrame, label: str, predictors: list[str], max_iter: int = 25) -> DataFrame:
+    """T4 / T5: logistic regression of a 0/1 flag with its summary table.
+
+    Spark's GLM (binomial, logit) by IRLS: each iteration one distributed
+    weighted Gram; rows with a NULL predictor are skipped.  Output: one row
+    per term (intercept last) with coefficient, standard error, z, p, plus
+    deviance, null deviance, AIC and McFadden's pseudo R-squared.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    va = VectorAssembler(inputCols=predictors, outputCol="_x", handleInvalid="skip")
+    data = va.transform(df.select(F.col(label).cast("double").alias("_y"),
+                                  *[F.col(c).cast("double").alias(c) for c in predictors]))
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
+                                      maxIter=max_iter, regParam=0.0)
+    m = glm.fit(data)
+    s = m.summary
+    terms = predictors + ["Intercept"]
+    coefs = list(m.coefficients) + [m.intercept]
+    se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
+    r2 = 1.0 - s.deviance / s.nullDeviance if s.nullDeviance else None
+    rows = [(label, t, float(c), float(a), float(b), float(d), float(s.deviance), float(s.nullDeviance),
+             float(s.aic), r2) for t, c, a, b, d in zip(terms, coefs, se, tv, pv)]
+    return df.sparkSession.createDataFrame(
+        rows, "flag string, term string, coef double, std_err double, z double, p_value double,"
+              " deviance double, null_deviance double, aic double, pseudo_r2 double")
+
+
+# --------------------------------------------------------------------- T8
+
+def _poly(c, x):
+    out = 0.0
+    for k, v in enumerate(c):
+        out += v * x ** k
+    return out
+
+
+# Royston (1995) polynomial coefficients of the Shapiro-Wilk
+# approximation (algorithm AS R94).
+SW_C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+SW_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+SW_C3 = [0.5440, -0.39978, 0.025054, -6.714e-4]
+SW_C4 = [1.3822, -0.77857, 0.062767, -0.0020322]
+SW_C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
+SW_C6 = [-0.4803, -0.082676, 0.0030302]
+SW_G = [-2.273, 0.459]
+
+
+def shapiro_wilk(df: DataFrame, col: str, p_limit: int = 5000) -> dict:
+    """Shapiro-Wilk W and p (Royston 1995) of one column, NULLs left out.
+
+    The order statistics come from the distributed rank (X1), the
+    coefficients a_i are an AS241 column expression of the rank, and W is
+    one aggregate: nothing is sorted in one task or collected.
+    """
+    import math
+
+    import numpy as np
+
+    from loanframe.functions.dist import norm_ppf, norm_ppf_col, norm_sf
+    from loanframe.functions.ordering import global_rank
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    ranked = global_rank(x, "x")
+    n = ranked.count()
+    if n < 3:
+        return {"column": col, "n": n, "W": None, "p_value": None, "p_valid": False}
+    mcol = norm_ppf_col((F.col("rank") - 0.375) / (n + 0.25))
+    ag = ranked.agg(F.sum(mcol * mcol).alias("m2"), F.avg("x").alias("mean")).first()
+    m2, mean = ag["m2"], ag["mean"]
+    mn = float(norm_ppf(np.array([(n - 0.375) / (n + 0.25)]))[0])
+    mn1 = float(norm_ppf(np.array([(n - 1 - 0.375) / (n + 0.25)]))[0])
+    u = 1.0 / math.sqrt(n)
+    an = _poly(SW_C1, u) + mn / math.sqrt(m2)
+    if n > 5:
+        an1 = _poly(SW_C2, u) + mn1 / math.sqrt(m2)
+        phi = (m2 - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)
+    else:
+        an1 = None
+        phi = (m2 - 2 * mn * mn) / (1 - 2 * an * an)
+    r = F.col("rank")
+    a = mcol / F.lit(math.sqrt(phi))
+    a = F.when(r == n, F.lit(an)).when(r == 1, F.lit(-an)).otherwise(a)
+    if an1 is not None:
+        a = F.when(r == n - 1, F.lit(an1)).when(r == 2, F.lit(-an1)).otherwise(a)
+    if n == 3:
+        a = F.when(r == 3, F.lit(math.sqrt(0.5))).when(r == 1, F.lit(-math.sqrt(0.5))).otherwise(F.lit(0.0))
+    w = ranked.agg(F.sum(a * F.col("x")).alias("num"),
+                   F.sum((F.col("x") - mean) * (F.col("x") - mean)).alias("ss")).first()
+    W = (w["num"] ** 2) / w["ss"] if w["ss"] else None
+    if W is None:
+        return {"column": col, "n": n, "W": None, "p_value": None, "p_valid": False}
+    W = min(W, 1.0)
+    if n == 3:
+        pw = max(0.0, 6 / math.pi * (math.asin(math.sqrt(W)) - math.asin(math.sqrt(0.75))))
+    elif n <= 11:
+        gamma = _poly(SW_G, n)
+        m = _poly(SW_C3, n)
+        s = math.exp(_poly(SW_C4, n))
+        y = -math.log(gamma - math.log1p(-W)) if gamma - math.log1p(-W) > 0 else float("inf")
+        pw = float(norm_sf(np.array([(y - m) / s]))[0])
+    else:
+        ln_n = math.log(n)
+        m = _poly(SW_C5, ln_n)
+        s = math.exp(_poly(SW_C6, ln_n))
+        pw = float(norm_sf(np.array([(math.log1p(-W) - m) / s]))[0]) if W < 1 else 1.0
+    return {"column": col, "n": n, "W": W, "p_value": pw, "p_valid": n <= p_limit}

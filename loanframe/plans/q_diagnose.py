@@ -361,3 +361,197 @@ def o4_sorted_counts(spark, sf_dir):
 def o5_zscore_counts(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
     return O.zscore_outlier_counts(train, L.NUMERIC)
+
+
+# ----------------------------------------------------------- tests T1, T4-T8
+
+from loanframe.functions.dist import norm_ppf  # noqa: E402
+from loanframe.operators import chartdata as C  # noqa: E402
+
+_CAT_TESTS = L.CATEGORICAL + ["cb_person_default_on_file"]
+
+
+def _flagged_sql(src="dedup"):
+    return f", flagged AS (SELECT *, {_flags_sql()} FROM {src})\n"
+
+
+def _contingency_sql(rows, cols):
+    return " UNION ALL ".join(
+        f"SELECT '{r}' AS row_var, '{c}' AS col_var, CAST({r} AS VARCHAR) AS row_level,"
+        f" CAST({c} AS VARCHAR) AS col_level, count(*) AS observed FROM flagged"
+        f" WHERE {r} IS NOT NULL AND {c} IS NOT NULL GROUP BY 3, 4" for r in rows for c in cols)
+
+
+@register("t6_contingency", sql=L.with_loans(_flagged_sql() + _contingency_sql(_CAT_TESTS, T2_FLAGS)))
+def t6_contingency(spark, sf_dir):
+    return T.contingency_long(flagged_dedup(spark, sf_dir), _CAT_TESTS, T2_FLAGS)
+
+
+@register("t6_crosstab", sql=L.with_loans(_flagged_sql() + (
+    "SELECT loan_grade, count_if(NOT pel_missing) AS \"false\", count_if(pel_missing) AS \"true\""
+    " FROM flagged GROUP BY loan_grade")))
+def t6_crosstab(spark, sf_dir):
+    return T.crosstab(flagged_dedup(spark, sf_dir), "loan_grade", "pel_missing", [False, True])
+
+
+_CHI2_SQL = L.with_loans(_flagged_sql() + ", ct AS (" + _contingency_sql(_CAT_TESTS, T2_FLAGS) + "),\n"
+    "nr AS (SELECT row_var, col_var, count(DISTINCT row_level) AS n_rows, count(DISTINCT col_level) AS n_cols"
+    " FROM ct GROUP BY 1, 2),\n"
+    "e AS (SELECT ct.*, CAST((n_rows - 1) * (n_cols - 1) AS BIGINT) AS dof,"
+    " CAST(sum(observed) OVER (PARTITION BY ct.row_var, ct.col_var, row_level) AS DOUBLE)"
+    " * sum(observed) OVER (PARTITION BY ct.row_var, ct.col_var, col_level)"
+    " / sum(observed) OVER (PARTITION BY ct.row_var, ct.col_var) AS expected FROM ct JOIN nr"
+    " ON ct.row_var = nr.row_var AND ct.col_var = nr.col_var)\n"
+    "SELECT row_var, col_var, sum(CASE WHEN dof = 1 THEN greatest(abs(observed - expected) - 0.5, 0.0)"
+    " ELSE abs(observed - expected) END ^ 2 / expected) AS statistic, max(dof) AS dof FROM e GROUP BY 1, 2")
+
+
+@register("t7_chi2", sql=_CHI2_SQL, rounding={"statistic": 9})
+def t7_chi2(spark, sf_dir):
+    return T.chi2_independence(flagged_dedup(spark, sf_dir), _CAT_TESTS, T2_FLAGS).select(
+        "row_var", "col_var", "statistic", "dof")
+
+
+@register("t7_chi2_pvalues")
+def t7_chi2_pvalues(spark, sf_dir):
+    t = T.chi2_independence(flagged_dedup(spark, sf_dir), _CAT_TESTS, T2_FLAGS)
+    return t.withColumn("reject_h0", F.col("p_value") < 0.05)
+
+
+_PATTERN_SQL = L.with_loans(
+    "SELECT " + " + ".join(f"CAST({c} IS NULL AS INT) * {1 << i}" for i, c in enumerate(L.NUMERIC))
+    + " AS pattern, count(*) AS n, " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}" for c in L.NUMERIC)
+    + " FROM dedup GROUP BY 1")
+
+
+@register("t1_pattern_stats", sql=_PATTERN_SQL, rounding={c: 6 for c in L.NUMERIC})
+def t1_pattern_stats(spark, sf_dir):
+    return T.pattern_stats(L.deduped(spark, sf_dir), L.NUMERIC)
+
+
+@register("t1_little_mcar")
+def t1_little_mcar(spark, sf_dir):
+    r = T.little_mcar(L.deduped(spark, sf_dir), L.NUMERIC)
+    return spark.createDataFrame([(float(r["statistic"]), int(r["dof"]), float(r["p_value"]),
+                                   bool(r["p_value"] <= 0.05))],
+                                 "statistic double, dof bigint, p_value double, reject_h0 boolean")
+
+
+@register("t4_logit_numeric")
+def t4_logit_numeric(spark, sf_dir):
+    d = flagged_dedup(spark, sf_dir)
+    out = None
+    for flag, src in L.FLAG_SOURCES.items():
+        preds = [c for c in L.NUMERIC if c != src]
+        t = T.logit_summary(d, flag, preds)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("t5_logit_category")
+def t5_logit_category(spark, sf_dir):
+    from loanframe.functions import columns as P2
+    from loanframe.operators.encode import get_dummies
+    d = flagged_dedup(spark, sf_dir)
+    d = P2.replace_levels(d, "person_home_ownership", {"OTHER": "MORTGAGE"})
+    d = P2.replace_levels(d, "loan_grade", {"G": "F"})
+    d = d.withColumn("cb_person_default_on_file", F.col("cb_person_default_on_file").cast("string"))
+    dummies = get_dummies(d.select(*T2_FLAGS, *_CAT_TESTS), _CAT_TESTS, drop_first=True)
+    preds = [c for c in dummies.columns if c not in T2_FLAGS]
+    out = None
+    for flag in T2_FLAGS:
+        t = T.logit_summary(dummies, flag, preds)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("t8_shapiro")
+def t8_shapiro(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    rows = [T.shapiro_wilk(train, c) for c in L.NUMERIC]
+    return spark.createDataFrame(
+        [(r["column"], int(r["n"]), r["W"], r["p_value"], bool(r["p_valid"]),
+          bool(r["p_value"] is not None and r["p_value"] < 0.05)) for r in rows],
+        "column string, n bigint, W double, p_value double, p_valid boolean, reject_normal boolean")
+
+
+# ----------------------------------------------------------- chart data C1, C3, C4
+
+_VIOLIN = [("person_income", "pel_missing"), ("loan_amnt", "pel_missing"),
+           ("person_income", "lir_missing"), ("loan_amnt", "lir_missing")]
+
+
+def _violin_sql():
+    parts = []
+    for v, g in _VIOLIN:
+        qs = ", ".join(f"quantile_cont({v}, {p}) AS q{int(round(p * 100)):02d}" for p in C.VIOLIN_PROBS)
+        parts.append(f"SELECT '{v}' AS variable, '{g}' AS by, {g} AS \"group\", count({v}) AS n,"
+                     f" min(CAST({v} AS DOUBLE)) AS min, max(CAST({v} AS DOUBLE)) AS max, {qs}"
+                     f" FROM flagged GROUP BY {g}")
+    return L.with_loans(_flagged_sql() + " UNION ALL ".join(parts))
+
+
+@register("c1_violin_summary", sql=_violin_sql(),
+          rounding={f"q{int(round(p * 100)):02d}": 6 for p in C.VIOLIN_PROBS})
+def c1_violin_summary(spark, sf_dir):
+    d = flagged_dedup(spark, sf_dir)
+    out = None
+    for v, g in _VIOLIN:
+        t = C.grouped_summary(d, v, g)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _hist_sql(cols, bins=30):
+    mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS a_{c}, max(CAST({c} AS DOUBLE)) AS b_{c}" for c in cols)
+    parts = []
+    for c in cols:
+        w = f"(CASE WHEN b_{c} > a_{c} THEN (b_{c} - a_{c}) / {bins} ELSE 1.0 END)"
+        b = f"CAST(least(floor((CAST({c} AS DOUBLE) - a_{c}) / {w}), {bins - 1}) AS BIGINT)"
+        parts.append(f"SELECT '{c}' AS variable, {b} AS bin, a_{c} + {b} * {w} AS bin_lo,"
+                     f" a_{c} + ({b} + 1) * {w} AS bin_hi FROM train, mm WHERE {c} IS NOT NULL")
+    return L.with_loans(f", mm AS (SELECT {mm} FROM train), h AS (" + " UNION ALL ".join(parts) + ")"
+                        " SELECT variable, bin, bin_lo, bin_hi, count(*) AS count, 'raw' AS stage FROM h"
+                        " GROUP BY ALL")
+
+
+@register("c3_histogram", sql=_hist_sql(L.NUMERIC), rounding={"bin_lo": 6, "bin_hi": 6})
+def c3_histogram(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return C.histogram(train, L.NUMERIC, 30, "raw")
+
+
+@register("c3_histogram_stages")
+def c3_histogram_stages(spark, sf_dir):
+    """Before / Yeo-Johnson / log1p / quantile histograms of the numerics."""
+    from loanframe.operators import numeric as N2
+    train, _ = L.train_test(spark, sf_dir)
+    cols = ["person_age", "person_income", "loan_amnt"]
+    yj = N2.YeoJohnson(cols).fit(train).transform(train)
+    lg = train.select(*[P.log1p(c).alias(c) for c in cols])
+    qt = N2.QuantileTransformer(cols, method="exact").fit(train).transform(train)
+    out = C.histogram(train, cols, 30, "raw")
+    for name, d in (("yeo_johnson", yj), ("log1p", lg), ("quantile", qt)):
+        out = out.unionByName(C.histogram(d, cols, 30, name))
+    return out
+
+
+_QQ_M = 50
+
+
+def _qq_sql(cols):
+    parts = []
+    probs = [(k - 0.5) / _QQ_M for k in range(1, _QQ_M + 1)]
+    theo = [float(v) for v in norm_ppf(probs)]
+    for c in cols:
+        for k, (p, t) in enumerate(zip(probs, theo)):
+            parts.append(f"SELECT '{c}' AS variable, CAST({k} AS BIGINT) AS k, {p!r} AS prob, {t!r} AS theoretical,"
+                         f" quantile_cont({c}, {p!r}) AS sample FROM train")
+    return L.with_loans(" UNION ALL ".join(parts))
+
+
+@register("c4_qq_points", sql=_qq_sql(["person_income", "loan_amnt"]),
+          rounding={"sample": 6, "prob": 12, "theoretical": 12})
+def c4_qq_points(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    return C.qq_points(train, ["person_income", "loan_amnt"], _QQ_M)
