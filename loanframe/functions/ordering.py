@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
+MAX_TOTAL_BUCKETS = 1024
 
 
 def _search(x: Column, bounds: list[float]) -> Column:
@@ -28,23 +29,35 @@ def _search(x: Column, bounds: list[float]) -> Column:
     return go(0, len(bounds))
 
 
-def bucket_expr(df: DataFrame, group: str | None, order: str,
-                n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Bucket id of each row: fixed boundaries per group from one aggregate."""
+def bucket_expr(df: DataFrame, order: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
+    """Bucket id of each row (ungrouped): fixed boundaries from one aggregate."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     x = F.col(order).cast("double")
     if n_buckets <= 1:
         return F.lit(0)
+    row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
+    bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
+    return _search(x, bounds)
+
+
+def with_buckets(df: DataFrame, group: str | None, order: str,
+                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Add ``_bucket``.  Grouped: each group's boundary array (one row per
+    group, at most MAX_TOTAL_BUCKETS values in all: broadcast) is joined on
+    and the bucket is the count of boundaries <= x, so the plan size does
+    not grow with the number of groups."""
     if group is None:
-        row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
-        bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
-        return _search(x, bounds)
-    rows = df.groupBy(group).agg(F.percentile_approx(x, probs, 10000).alias("b")).collect()
-    expr = F.lit(0)
-    for r in rows:
-        bounds = sorted(set(v for v in (r["b"] or []) if v is not None))
-        expr = F.when(F.col(group) == F.lit(r[group]), _search(x, bounds)).otherwise(expr)
-    return expr
+        return df.withColumn("_bucket", bucket_expr(df, order, n_buckets))
+    x = F.col(order).cast("double")
+    groups = df.select(group).distinct().count()
+    per = max(1, min(n_buckets, MAX_TOTAL_BUCKETS // max(groups, 1)))
+    if per <= 1:
+        return df.withColumn("_bucket", F.lit(0))
+    probs = [i / per for i in range(1, per)]
+    bounds = df.groupBy(group).agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(x, probs, 10000))).alias("_bounds"))
+    j = df.join(F.broadcast(bounds), group)
+    return j.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= x))).drop("_bounds")
 
 
 def running_sums(df: DataFrame, group: str | None, order: str, sums: list[str],
@@ -56,7 +69,7 @@ def running_sums(df: DataFrame, group: str | None, order: str, sums: list[str],
     key first, as the metrics do); ties would get an arbitrary order.
     """
     gcols = [group] if group else []
-    b = df.withColumn("_bucket", bucket_expr(df, group, order, n_buckets))
+    b = with_buckets(df, group, order, n_buckets)
     wl = W.partitionBy(*gcols, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = b.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in sums})
     local = local.withColumn("_loc_rank", F.count(F.lit(1)).over(wl))
