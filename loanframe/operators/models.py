@@ -170,7 +170,7 @@ def score_many(df: DataFrame, scorers: dict[str, "LinearScorer"], features: str
         for pdf in it:
             if pdf.empty:
                 continue
-            x = matrix(pdf, features) if len(items) and len(items[0][1]) else np.zeros((len(pdf), 0))
+            x = matrix(pdf, features) if any(len(it[1]) for it in items) else np.zeros((len(pdf), 0))
             y = pdf[label].to_numpy().astype(int)
             k = pdf[key].to_numpy()
             fo = pdf[fold].to_numpy() if fold else None

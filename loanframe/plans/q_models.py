@@ -1 +1,185 @@
-"""Registered queries."""
+"""Registered queries: models, selection, tuning, split and resampling."""
+
+from __future__ import annotations
+
+import threading
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loanframe.operators import models as M
+from loanframe.operators import tune as TU
+from loanframe.operators.online import fit_online
+from loanframe.operators.svm import fit_linear_svc
+from loanframe.plans import pipelines as PL
+from loanframe.plans.catalog import register
+from loanframe.sources import loans as L
+
+_MEMO: dict = {}
+_LOCK = threading.Lock()
+
+
+def model_data(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The linear pipeline's train and test features (X_*_linear + labels),
+    as (key, label, features).  The fitted pipeline (constants only) is
+    memoised per session and folder; the rows are never held."""
+    k = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if k not in _MEMO:
+            train, _ = L.train_test(spark, sf_dir)
+            _MEMO[k] = PL.fit_pipeline("linear", train)
+    pm = _MEMO[k]
+    train, test = L.train_test(spark, sf_dir)
+
+    def feats(d):
+        return PL.transform(pm, d).select(F.col(L.KEY).alias("key"),
+                                          F.col(L.LABEL).cast("int").alias("label"), "features")
+    return feats(train), feats(test), PL.feature_names(pm)
+
+
+def _scores(fit):
+    def run(spark, sf_dir):
+        tr, te, _ = model_data(spark, sf_dir)
+        tr = tr.persist()  # iterative fits: many passes over the same rows
+        try:
+            model = fit(tr)
+        finally:
+            tr.unpersist()
+        return model.score(te)
+    return run
+
+
+for _key, _fit in {
+    "m1_dummy": M.fit_dummy,
+    "m2_logreg_cv_l1": lambda d: M.fit_logistic_cv(d, "l1"),
+    "m3_logreg_cv_l2": lambda d: M.fit_logistic_cv(d, "l2"),
+    "m4_logreg_cv_elasticnet": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5),
+    "m5_logreg": M.fit_logistic,
+    "m6_ridge": M.fit_ridge,
+    "m7_ridge_cv": M.fit_ridge_cv,
+    "m8_sgd_log": lambda d: fit_online(d, "log"),
+    "m9_sgd_hinge": lambda d: fit_online(d, "hinge"),
+    "m10_perceptron": lambda d: fit_online(d, "perceptron"),
+    "m11_passive_aggressive": lambda d: fit_online(d, "pa"),
+    "m12_lda": M.fit_lda,
+    "m13_linear_svc": fit_linear_svc,
+    "m14_linear_svc_l1_balanced": lambda d: fit_linear_svc(d, C=1.0, penalty="l1",
+                                                           weights=M.class_weights(d), max_iter=50),
+}.items():
+    register(_key)(_scores(_fit))
+
+
+@register("m15_select_from_model")
+def m15_select_from_model(spark, sf_dir):
+    tr, _, names = model_data(spark, sf_dir)
+    keep, m = TU.select_from_l1(tr.persist())
+    tr.unpersist()
+    return spark.createDataFrame([(i, names[i], float(m.w[i])) for i in keep],
+                                 "position bigint, name string, coef double")
+
+
+@register("m16_select_then_classify")
+def m16_select_then_classify(spark, sf_dir):
+    tr, te, _ = model_data(spark, sf_dir)
+    m = TU.SelectThenClassify().fit(tr.persist())
+    tr.unpersist()
+    return m.score(te)
+
+
+@register("m17_grid_l2_pipeline")
+def m17_grid_l2_pipeline(spark, sf_dir):
+    tr, _, _ = model_data(spark, sf_dir)
+    return TU.grid_search(tr, TU.l2_pipeline_candidates())[0]
+
+
+@register("m18_grid_l1")
+def m18_grid_l1(spark, sf_dir):
+    tr, _, _ = model_data(spark, sf_dir)
+    return TU.grid_search(tr, TU.l1_candidates())[0]
+
+
+@register("m19_grid_svc_l1")
+def m19_grid_svc_l1(spark, sf_dir):
+    tr, _, _ = model_data(spark, sf_dir)
+    return TU.grid_search(tr, TU.svc_l1_candidates())[0]
+
+
+@register("m20_compare_models")
+def m20_compare_models(spark, sf_dir):
+    tr, te, _ = model_data(spark, sf_dir)
+    return TU.compare_models(tr, te)
+
+
+@register("m21_top_models")
+def m21_top_models(spark, sf_dir):
+    tr, te, _ = model_data(spark, sf_dir)
+    return TU.top_models(TU.compare_models(tr, te), 5)
+
+
+@register("m22_score")
+def m22_score(spark, sf_dir):
+    """Batch scoring job: features + fitted model -> class, score, probability."""
+    tr, te, _ = model_data(spark, sf_dir)
+    m = M.fit_logistic(tr.persist())
+    tr.unpersist()
+    return m.score(te).select("key", "prediction", "score", "prob")
+
+
+# ------------------------------------------------------------ R1, R3, R4
+
+@register("r1_split", sql=L.with_loans(f"SELECT loan_id, {L.is_test_sql()} AS is_test FROM dedup"))
+def r1_split(spark, sf_dir):
+    return L.deduped(spark, sf_dir).select("loan_id", L.is_test().alias("is_test"))
+
+
+@register("r3_class_weights", sql=L.with_loans(
+    "SELECT CAST(loan_status AS INT) AS label, count(*) AS count,"
+    " (SELECT count(*) FROM train) / (2.0 * count(*)) AS weight FROM train GROUP BY 1"),
+    rounding={"weight": 12})
+def r3_class_weights(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    d = train.select(F.col(L.LABEL).cast("int").alias("label"))
+    w = M.class_weights(d)
+    counts = d.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    return counts.withColumn("weight", F.when(F.col("label") == 1, F.lit(w.get(1))).otherwise(F.lit(w.get(0))))
+
+
+@register("r4_fold_sizes", sql=L.with_loans(
+    ", c AS (SELECT CAST(loan_status AS INT) AS label, count(*) AS n FROM train GROUP BY 1),"
+    " f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold)"
+    " SELECT label, CAST(fold AS INT) AS fold, CAST((n + 4 - fold) // 5 AS BIGINT) AS count FROM c, f"))
+def r4_fold_sizes(spark, sf_dir):
+    train, _ = L.train_test(spark, sf_dir)
+    d = train.select(F.col(L.KEY).alias("key"), F.col(L.LABEL).cast("int").alias("label"))
+    f = M.stratified_folds(d, 5)
+    return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ------------------------------------------------------------ R2, R5
+
+def _smote_input(spark, sf_dir):
+    """X_train with one-hot categories (no drop) and imputed numerics, as
+    the cited SMOTE cell builds it (flags dropped first)."""
+    from loanframe.operators.encode import OneHotEncoder
+    from loanframe.operators.impute import IterativeImputer
+    from loanframe.operators.numeric import Assemble
+    train, _ = L.train_test(spark, sf_dir)
+    d = PL.prepare(train).select(L.KEY, L.LABEL, *PL.NUMERIC, *PL.CATEGORY)
+    d = IterativeImputer(PL.NUMERIC).fit(d).transform(d)
+    oh = OneHotEncoder(PL.CATEGORY).fit(d)
+    d = oh.transform(d)
+    names = PL.NUMERIC + oh.output_cols()[len(oh.opts().get("passthrough", [])):]
+    return Assemble(names, keep=[L.KEY, L.LABEL]).transform(d).select(
+        F.col(L.KEY).alias("key"), F.col(L.LABEL).cast("int").alias("label"), "features")
+
+
+@register("r2_smote")
+def r2_smote(spark, sf_dir):
+    from loanframe.operators.sampling import smote
+    return smote(_smote_input(spark, sf_dir))
+
+
+@register("r5_class_balance_after_smote")
+def r5_class_balance_after_smote(spark, sf_dir):
+    from loanframe.operators.sampling import class_balance, smote
+    return class_balance(smote(_smote_input(spark, sf_dir)))
