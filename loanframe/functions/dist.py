@@ -70,10 +70,15 @@ def norm_ppf(p) -> np.ndarray:
     return out
 
 
+def _num(v: float) -> str:
+    # exponent form: a DOUBLE literal in both Spark SQL and DuckDB (not DECIMAL)
+    return f"{float(v):.17e}"
+
+
 def _horner_sql(coefs, x: str) -> str:
-    acc = repr(float(coefs[-1]))
+    acc = _num(coefs[-1])
     for c in reversed(coefs[:-1]):
-        acc = f"(({acc}) * {x} + {float(c)!r})"
+        acc = f"(({acc}) * {x} + {_num(c)})"
     return acc
 
 
@@ -83,13 +88,13 @@ def norm_ppf_sql(p: str) -> str:
     ``p`` must be a SQL expression in (0, 1).  The three branches are plain
     CASE arms, so the whole thing stays inside whole-stage codegen.
     """
-    q = f"(({p}) - 0.5)"
-    r = f"(0.180625 - {q} * {q})"
-    rt = f"sqrt(-ln(CASE WHEN {q} < 0 THEN ({p}) ELSE 1.0 - ({p}) END))"
-    near = f"({_horner_sql(_C, f'({rt} - 1.6)')} / {_horner_sql(_D, f'({rt} - 1.6)')})"
-    far = f"({_horner_sql(_E, f'({rt} - 5.0)')} / {_horner_sql(_F, f'({rt} - 5.0)')})"
-    tail = f"(CASE WHEN {rt} <= 5.0 THEN {near} ELSE {far} END)"
-    return (f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {_horner_sql(_A, r)} / {_horner_sql(_B, r)}"
+    q = f"(CAST({p} AS DOUBLE) - {_num(0.5)})"
+    r = f"({_num(0.180625)} - {q} * {q})"
+    rt = f"sqrt(-ln(CASE WHEN {q} < 0 THEN CAST({p} AS DOUBLE) ELSE {_num(1.0)} - CAST({p} AS DOUBLE) END))"
+    near = f"({_horner_sql(_C, f'({rt} - {_num(1.6)})')} / {_horner_sql(_D, f'({rt} - {_num(1.6)})')})"
+    far = f"({_horner_sql(_E, f'({rt} - {_num(5.0)})')} / {_horner_sql(_F, f'({rt} - {_num(5.0)})')})"
+    tail = f"(CASE WHEN {rt} <= {_num(5.0)} THEN {near} ELSE {far} END)"
+    return (f"(CASE WHEN abs({q}) <= {_num(0.425)} THEN {q} * {_horner_sql(_A, r)} / {_horner_sql(_B, r)}"
             f" WHEN {q} < 0 THEN -{tail} ELSE {tail} END)")
 
 
