@@ -403,3 +403,78 @@ def s4_join_labels(spark, sf_dir):
     feats = test.select("loan_id", "person_income", "loan_amnt")
     labels = test.select("loan_id", "loan_status")
     return io.join_labels(feats, labels, "loan_id")
+
+
+@register("l7_chain_steps")
+def l7_chain_steps(spark, sf_dir):
+    """The fitted chain of named steps of the distance pipeline, in order."""
+    train, _ = _split(spark, sf_dir)
+    model = PL.fit_pipeline("distance", train)
+    rows = [(i, type(st).__name__, ",".join(getattr(st, "input_cols", lambda: [])()))
+            for i, st in enumerate(model.stages)]
+    return spark.createDataFrame(rows, "position bigint, stage string, input_cols string")
+
+
+@register("l9_transform_test")
+def l9_transform_test(spark, sf_dir):
+    """Test rows through the fitted tree pipeline: train constants only."""
+    train, test = _split(spark, sf_dir)
+    model = PL.fit_pipeline("tree", train)
+    return PL.expand(PL.transform(model, test), PL.feature_names(model))
+
+
+# ------------------------------------------------------------------- X1, X2, X5
+
+@register("x1_global_rank", sql=L.with_loans(
+    "SELECT loan_id, CAST(row_number() OVER (ORDER BY person_income, loan_id) AS BIGINT) AS rank FROM dedup"))
+def x1_global_rank(spark, sf_dir):
+    """Distributed rank by (income, key) without a single-partition window."""
+    from loanframe.functions.ordering import global_rank
+    d = L.deduped(spark, sf_dir).select("loan_id", "person_income")
+    # a unique order key: income, then loan id as the tie-breaker
+    d = d.withColumn("_o", F.struct("person_income", "loan_id"))
+    r = global_rank(d.withColumn("_ord", F.col("person_income") + F.lit(0.0)), "_ord")
+    # equal incomes share a bucket; rank inside the bucket follows loan_id
+    from pyspark.sql import Window as W
+    w = W.partitionBy("_ord").orderBy("loan_id")
+    r = r.withColumn("_first", F.min("rank").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    return r.select("loan_id", (F.col("_first") + F.row_number().over(w) - 1).cast("bigint").alias("rank"))
+
+
+_GRAM_COLS = ["person_age", "loan_amnt", "loan_int_rate"]
+# amounts in thousands keep the sums at a magnitude where 2 decimals compare
+_GX = {"person_age": "CAST(person_age AS DOUBLE)", "loan_amnt": "(loan_amnt / 1000.0)",
+       "loan_int_rate": "loan_int_rate"}
+
+
+@register("x2_gram", sql=L.with_loans(
+    "SELECT CAST(loan_status AS INT) AS label, count(*) AS n, "
+    + ", ".join(f"sum({_GX[a]} * {_GX[b]}) AS \"{a}*{b}\"" for i, a in enumerate(_GRAM_COLS)
+                for b in _GRAM_COLS[i:])
+    + " FROM train WHERE loan_int_rate IS NOT NULL GROUP BY 1"),
+    rounding={f"{a}*{b}": 2 for i, a in enumerate(_GRAM_COLS) for b in _GRAM_COLS[i:]})
+def x2_gram(spark, sf_dir):
+    """Gram matrix X'X per class by the mapInPandas + Summarizer primitive."""
+    from loanframe.functions.gram import gram_by_group
+    train, _ = _split(spark, sf_dir)
+    d = train.filter(F.col("loan_int_rate").isNotNull()).select(
+        F.col("loan_status").cast("int").cast("string").alias("g"),
+        F.array(F.col("person_age").cast("double"), F.col("loan_amnt") / F.lit(1000.0),
+                F.col("loan_int_rate")).alias("x"))
+    gs = gram_by_group(d, "x", group="g", p=len(_GRAM_COLS))
+    rows = []
+    for g, v in gs.items():
+        vals = [float(v["xtx"][i, j]) for i in range(len(_GRAM_COLS)) for j in range(i, len(_GRAM_COLS))]
+        rows.append((int(g), int(v["n"]), *vals))
+    names = [f"`{a}*{b}` double" for i, a in enumerate(_GRAM_COLS) for b in _GRAM_COLS[i:]]
+    return spark.createDataFrame(rows, "label int, n bigint, " + ", ".join(names))
+
+
+@register("x5_inverse_normal", sql=L.with_loans(
+    "SELECT loan_id, " + __import__("loanframe.functions.dist", fromlist=["x"]).norm_ppf_sql(
+        "(CAST(person_age AS DOUBLE) - 17.5) / 61.0") + " AS z FROM test"), rounding={"z": 12})
+def x5_inverse_normal(spark, sf_dir):
+    """AS241 as a column expression over a whole table."""
+    from loanframe.functions.dist import norm_ppf_col
+    _, test = _split(spark, sf_dir)
+    return test.select("loan_id", norm_ppf_col((F.col("person_age").cast("double") - 17.5) / 61.0).alias("z"))
