@@ -39,12 +39,14 @@ def gram_by_group(df: DataFrame, features: str, label: str | None = None, weight
     cols = [features] + ([label] if label else []) + ([weight] if weight else []) + ([group] if group else [])
     src = df.select(*cols)
 
-    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(it):
+        import pyarrow as pa
         acc: dict = {}
-        for pdf in it:
+        for batch in it:
+            pdf = ArrowBatch(batch)
             if pdf.empty:
                 continue
-            x = np.vstack(pdf[features].to_numpy()).astype(float) if len(pdf) else np.zeros((0, p))
+            x = pdf.matrix(features)
             y = pdf[label].to_numpy(dtype=float) if label else np.zeros(len(pdf))
             w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(len(pdf))
             keys = pdf[group].to_numpy() if group else np.zeros(len(pdf), dtype=int)
@@ -57,9 +59,11 @@ def gram_by_group(df: DataFrame, features: str, label: str | None = None, weight
                 kk = k.item() if hasattr(k, "item") else k
                 acc[kk] = acc[kk] + v if kk in acc else v
         if acc:
-            yield pd.DataFrame({"g": [str(k) for k in acc], "v": [a.tolist() for a in acc.values()]})
+            yield pa.RecordBatch.from_pydict(
+                {"g": [str(k) for k in acc], "v": [a.tolist() for a in acc.values()]},
+                schema=pa.schema([("g", pa.string()), ("v", pa.list_(pa.float64()))]))
 
-    parts = src.mapInPandas(part, "g string, v array<double>")
+    parts = src.mapInArrow(part, "g string, v array<double>")
     rows = (parts.groupBy("g").agg(Summarizer.sum(array_to_vector(F.col("v"))).alias("s"))
             .collect())
     out = {}
@@ -84,28 +88,60 @@ def centered(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]
     return mx, cxx, cxy, cyy, my
 
 
+class ArrowBatch:
+    """A record batch seen as columns of numpy arrays; list columns become
+    2-D blocks without a per-row Python object (flatten + reshape)."""
+
+    def __init__(self, batch):
+        self.b = batch
+
+    def __len__(self) -> int:
+        return self.b.num_rows
+
+    @property
+    def empty(self) -> bool:
+        return self.b.num_rows == 0
+
+    def __getitem__(self, name: str) -> pd.Series:
+        return pd.Series(self.b.column(name).to_numpy(zero_copy_only=False))
+
+    def matrix(self, name: str) -> np.ndarray:
+        col = self.b.column(name)
+        n = len(col)
+        if n == 0:
+            return np.zeros((0, 0))
+        flat = col.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+        return flat.reshape(n, -1)
+
+
 def partition_sums(df: DataFrame, fn, size: int) -> np.ndarray:
-    """Sum of ``fn(pandas batch) -> vector[size]`` over all rows.
+    """Sum of ``fn(batch) -> vector[size]`` over all rows.
 
-    ``fn`` runs per Arrow batch inside ``mapInPandas``; each partition sends
+    ``fn`` runs per Arrow record batch inside ``mapInArrow`` (columns as
+    numpy, the feature list column as one 2-D block); each partition sends
     one vector, and a JVM ``Summarizer`` adds them up (no Python reduce on
     the driver, no per-row Python)."""
-    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+
+    def part(it):
         acc = None
-        for pdf in it:
-            if pdf.empty:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            v = fn(pdf)
+            v = fn(ArrowBatch(batch))
             acc = v if acc is None else acc + v
         if acc is not None:
-            yield pd.DataFrame({"v": [acc.tolist()]})
+            yield pa.RecordBatch.from_pydict({"v": [acc.tolist()]},
+                                             schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
-    parts = df.mapInPandas(part, "v array<double>")
+    parts = df.mapInArrow(part, "v array<double>")
     r = parts.agg(Summarizer.sum(array_to_vector(F.col("v"))).alias("s")).first()
     if r is None or r["s"] is None:
         return np.zeros(size)
     return r["s"].toArray()
 
 
-def matrix(pdf: pd.DataFrame, features: str) -> np.ndarray:
+def matrix(pdf, features: str) -> np.ndarray:
+    if isinstance(pdf, ArrowBatch):
+        return pdf.matrix(features)
     return np.vstack(pdf[features].to_numpy()).astype(float)
