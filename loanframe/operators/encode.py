@@ -39,16 +39,22 @@ def level_counts(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS,
         for c in cols])).alias("p")).select("p.*")
     if dropna:
         pairs = pairs.filter(F.col("level").isNotNull())
-    counts = pairs.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn(
-        "_r", F.row_number().over(W.partitionBy("column").orderBy(F.asc_nulls_first("level"))))
-    rows = ranked.filter(F.col("_r") <= max_levels + 1).collect()
+    counts = pairs.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        # size check first (one small aggregate), so an unbounded level list
+        # is refused before anything is sorted or collected
+        sizes = {r["column"]: r["k"] for r in counts.groupBy("column").agg(
+            F.count(F.lit(1)).alias("k")).collect()}
+        over = [c for c, k in sizes.items() if k > max_levels]
+        if over:
+            raise TooManyLevels(f"column(s) {over} have more than {max_levels} levels")
+        rows = counts.collect()  # at most len(cols) * max_levels rows
+    finally:
+        counts.unpersist()
     out: dict[str, list[tuple[str, int]]] = {c: [] for c in cols}
     for r in rows:
         out[r["column"]].append((r["level"], r["n"]))
-    for c, lv in out.items():
-        if len(lv) > max_levels:
-            raise TooManyLevels(f"column {c!r} has more than {max_levels} levels")
+    for lv in out.values():
         lv.sort(key=lambda t: (t[0] is not None, t[0]))
     return out
 
@@ -63,8 +69,9 @@ def levels_table(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
         for c in cols])).alias("p")).select("p.*").filter(F.col("level").isNotNull()).distinct()
-    w = W.partitionBy("column").orderBy("level")
-    return pairs.withColumn("level_index", (F.row_number().over(w) - 1).cast("bigint"))
+    # levels are distinct per column; rank them with the bucketed primitive
+    # (a window by column alone would put a whole column in one task)
+    return _rank_strings(pairs)
 
 
 def _code_expr(c: str, levels: list[str], unknown: str = "error") -> Column:
@@ -232,11 +239,36 @@ def most_frequent(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
         for c in cols])).alias("p")).select("p.*").filter(F.col("level").isNotNull())
     counts = pairs.groupBy("column", "level").agg(F.count(F.lit(1)).alias("count"))
-    w = W.partitionBy("column").orderBy(F.desc("count"), F.asc("level"))
-    return (counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-            .select("column", F.col("level").alias("mode"), "count"))
+    # top count per column, then the lowest level holding it: two partial
+    # aggregates and a join with a one-row-per-column table (broadcast)
+    top = counts.groupBy("column").agg(F.max("count").alias("count"))
+    best = counts.join(F.broadcast(top), ["column", "count"])
+    return best.groupBy("column").agg(F.min("level").alias("mode"), F.first("count").alias("count"))
 
 
 def feature_names_table(spark, names: list[str]) -> DataFrame:
     """The ordered output feature names as (position, name)."""
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position bigint, name string")
+
+
+def _rank_strings(pairs: DataFrame) -> DataFrame:
+    """0-based rank of each distinct (column, level) by level, per column.
+
+    Strings have no numeric order key for the bucketed rank, so a level's
+    rank is the number of smaller levels of its column: levels are first
+    bucketed by a range on their sort key (first 6 bytes as a number) and
+    counted with aggregates; only ties of that prefix use a window, inside
+    one (column, prefix) group.
+    """
+    # first 6 UTF-8 bytes, right-padded with zero bytes: numeric order of
+    # this 48-bit key = byte order of the strings' prefixes
+    prefix = F.substring(F.encode(F.col("level"), "UTF-8"), 1, 6)
+    key = F.conv(F.rpad(F.hex(prefix), 12, "0"), 16, 10).cast("double")
+    p = pairs.withColumn("_k", key)
+    from loanframe.functions.ordering import running_sums
+    g = p.groupBy("column", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    r = running_sums(g, "column", "_k", ["_n"])  # levels with a smaller prefix: cum__n - _n
+    j = p.join(r.select("column", "_k", (F.col("cum__n") - F.col("_n")).alias("_below")), ["column", "_k"])
+    w = W.partitionBy("column", "_k").orderBy("level")
+    return j.select("column", "level",
+                    (F.col("_below") + F.row_number().over(w) - 1).cast("bigint").alias("level_index"))
