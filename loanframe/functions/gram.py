@@ -119,9 +119,12 @@ def partition_sums(df: DataFrame, fn, size: int) -> np.ndarray:
 
     ``fn`` runs per Arrow record batch inside ``mapInArrow`` (columns as
     numpy, the feature list column as one 2-D block); each partition sends
-    one vector, and a JVM ``Summarizer`` adds them up (no Python reduce on
-    the driver, no per-row Python)."""
+    one vector.  With few partitions the vectors travel as raw float64 bytes
+    and are added on the driver (bounded: partitions x size doubles);
+    otherwise a JVM ``Summarizer`` aggregate adds them."""
     import pyarrow as pa
+    n_parts = df.rdd.getNumPartitions()
+    on_driver = n_parts * size <= DRIVER_SUM_LIMIT
 
     def part(it):
         acc = None
@@ -130,10 +133,20 @@ def partition_sums(df: DataFrame, fn, size: int) -> np.ndarray:
                 continue
             v = fn(ArrowBatch(batch))
             acc = v if acc is None else acc + v
-        if acc is not None:
+        if acc is None:
+            return
+        if on_driver:
+            yield pa.RecordBatch.from_pydict({"b": [np.asarray(acc, dtype="<f8").tobytes()]},
+                                             schema=pa.schema([("b", pa.binary())]))
+        else:
             yield pa.RecordBatch.from_pydict({"v": [acc.tolist()]},
                                              schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
+    if on_driver:
+        out = np.zeros(size)
+        for r in df.mapInArrow(part, "b binary").collect():
+            out += np.frombuffer(r["b"], dtype="<f8")
+        return out
     parts = df.mapInArrow(part, "v array<double>")
     r = parts.agg(Summarizer.sum(array_to_vector(F.col("v"))).alias("s")).first()
     if r is None or r["s"] is None:
@@ -141,6 +154,11 @@ def partition_sums(df: DataFrame, fn, size: int) -> np.ndarray:
     return r["s"].toArray()
 
 
+# partials summed on the driver only while partitions x vector size stays
+# under this many doubles (40 MB); above, a JVM aggregate adds them
+DRIVER_SUM_LIMIT = 5_000_000
+
+
 def matrix(pdf, features: str) -> np.ndarray:
     if isinstance(pdf, ArrowBatch):
         return pdf.matrix(features)

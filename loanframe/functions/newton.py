@@ -179,7 +179,7 @@ def _pass_folds(df: DataFrame, features: str, label: str, weight: str | None, fo
 def fit_path_cv(df: DataFrame, features: str, label: str, p: int, fold: str, k: int, Cs: list[float],
                 loss: str = "logistic", weight: str | None = None, l1_ratio: float = 0.0,
                 l1_scale: float = 1.0, l2_scale: float = 1.0, penalize_intercept: bool = False,
-                max_iter: int = 15, tol: float = 1e-5, reuse_hessian: bool = False) -> dict:
+                max_iter: int = 15, tol: float = 1e-4, reuse_hessian: bool = False) -> dict:
     """k-fold CV of a path of C values: the k fold models move in lockstep
     (one pass per Newton step serves all of them) and each C starts from
     the previous C's solution.  Returns per-C fold betas and accuracies."""
@@ -233,7 +233,7 @@ def fit_path_cv(df: DataFrame, features: str, label: str, p: int, fold: str, k:
                     if nhs is not None:
                         hs[m] = nhs[m]
                     step[m] = 1.0
-                    if change < tol or rel < 1e-8:
+                    if change < tol or rel < 1e-6:
                         done[m] = True
                 else:
                     step[m] *= 0.5
