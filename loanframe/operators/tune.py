@@ -10,6 +10,7 @@ from a small driver thread pool, as ``CrossValidator(parallelism=)`` does.
 
 from __future__ import annotations
 
+import threading
 import traceback
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -105,6 +106,12 @@ def slice_features(df: DataFrame, keep: list[int], features: str = M.FEATURES) -
                          else F.array().cast("array<double>"))
 
 
+# selection results shared by candidates fitted on the same frame object
+# (grid search keeps one frame per outer fold alive while it runs)
+_SELECT_CACHE: dict = {}
+_SELECT_LOCK = threading.Lock()
+
+
 @dataclass
 class SelectThenClassify:
     """SelectFromModel(L1 LRCV, balanced) -> L2 LRCV (balanced)."""
@@ -112,9 +119,30 @@ class SelectThenClassify:
     final_cv: int = 5
     Cs: tuple = (0.01, 0.1, 1.0, 10.0)
     scoring: str = "roc_auc"
+    share: bool = False  # share the selection step (only inside grid_search)
 
     def fit(self, train: DataFrame) -> M.LinearScorer:
-        keep, _ = select_from_l1(train, self.Cs, self.select_cv, self.scoring)
+        if not self.share:
+            return self._fit(train, select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0])
+        key = (id(train), self.select_cv, tuple(self.Cs), self.scoring)
+        with _SELECT_LOCK:
+            ev = _SELECT_CACHE.get(key)
+            if ev is None:
+                ev = _SELECT_CACHE[key] = {"event": threading.Event()}
+                owner = True
+            else:
+                owner = False
+        if owner:
+            try:
+                ev["keep"] = select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0]
+            finally:
+                ev["event"].set()
+        ev["event"].wait()
+        if "keep" not in ev:
+            raise RuntimeError("feature selection failed")
+        return self._fit(train, ev["keep"])
+
+    def _fit(self, train: DataFrame, keep: list[int]) -> M.LinearScorer:
         sliced = slice_features(train, keep)
         m = M.fit_logistic_cv(sliced, "l2", Cs=list(self.Cs), cv=self.final_cv,
                               weights=M.class_weights(sliced), scoring=self.scoring)
@@ -138,12 +166,16 @@ def grid_search(train: DataFrame, candidates: dict[str, Callable[[DataFrame], M.
     candidates go through one AUC job; the best candidate (mean AUC) is
     refitted on all rows.  Returns (cv table, best model)."""
     d = M.stratified_folds(train, cv, out="outer_fold").persist()
+    fold_train: dict = {}
     try:
         tasks = [(c, k) for c in candidates for k in range(cv)]
+        # one frame object per outer fold, so candidates can share work
+        # done on the same training rows (e.g. a common selection step)
+        fold_train = {k: d.filter(F.col("outer_fold") != k).drop("outer_fold") for k in range(cv)}
 
         def run(t):
             c, k = t
-            return t, candidates[c](d.filter(F.col("outer_fold") != k).drop("outer_fold"))
+            return t, candidates[c](fold_train[k])
 
         with ThreadPoolExecutor(max_workers=parallelism) as ex:
             fitted = dict(ex.map(run, tasks))
@@ -162,6 +194,9 @@ def grid_search(train: DataFrame, candidates: dict[str, Callable[[DataFrame], M.
         ranked = table.withColumn("best", F.col("candidate") == F.lit(best))
         return ranked, final
     finally:
+        with _SELECT_LOCK:
+            for k in [k for k in _SELECT_CACHE if k[0] in {id(f) for f in fold_train.values()}]:
+                del _SELECT_CACHE[k]
         d.unpersist()
 
 
@@ -170,7 +205,7 @@ def l2_pipeline_candidates() -> dict:
     out = {}
     for a in (3, 5):
         for b in (3, 5):
-            out[f"select_cv={a},final_cv={b}"] = SelectThenClassify(a, b).fit
+            out[f"select_cv={a},final_cv={b}"] = SelectThenClassify(a, b, share=True).fit
     return out
 
 
