@@ -86,8 +86,8 @@ def m16_select_then_classify(spark, sf_dir):
     return m.score(te)
 
 
-@register("m17_grid_l2_pipeline")
-def m17_grid_l2_pipeline(spark, sf_dir):
+@register("m17_grid_select_l2")
+def m17_grid_select_l2(spark, sf_dir):
     tr, _, _ = model_data(spark, sf_dir)
     return TU.grid_search(tr, TU.l2_pipeline_candidates())[0]
 

@@ -338,7 +338,7 @@ def e10_feature_names(spark, sf_dir):
 
 # ------------------------------------------------------------------- L1-L9
 
-def _pipeline_query(name):
+def _feature_query(name):
     def run(spark, sf_dir):
         train, test = _split(spark, sf_dir)
         model = PL.fit_pipeline(name, train)
@@ -347,7 +347,7 @@ def _pipeline_query(name):
 
 
 for _i, _name in enumerate(["linear", "tree", "distance", "probability", "neural"], start=1):
-    register(f"l{_i}_{_name}_pipeline")(_pipeline_query(_name))
+    register(f"l{_i}_{_name}_features")(_feature_query(_name))
 
 
 @register("l6_column_transformer")
@@ -387,8 +387,8 @@ def s2_write_csv_roundtrip(spark, sf_dir):
     return io.read_table(spark, path, fmt="csv", schema=wide.schema)
 
 
-@register("s3_pipeline_roundtrip")
-def s3_pipeline_roundtrip(spark, sf_dir):
+@register("s3_model_save_load")
+def s3_model_save_load(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     model = PL.fit_pipeline("tree", train)
     path = _scratch(spark)
