@@ -8,8 +8,10 @@ session has none.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +33,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -39,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is set (local tests) a fresh folder under /tmp
-    is taken.
+    as is.  Only a local master may do without: a fresh folder under /tmp is
+    taken.  On any other master a missing folder is an error, as executors
+    would write to disks that others can't read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="loanframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Send the package to the executors once a session, as Python workers import it.
+
+    A few hundred KB of source from this folder; needed wherever the library
+    isn't installed on the workers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_loanframe_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, root))
+    target = os.path.join(tempfile.mkdtemp(prefix="loanframe-src-"), "loanframe_src.zip")
+    with open(target, "wb") as f:
+        f.write(buffer.getvalue())
+    sc.addPyFile(target)
+    sc._loanframe_shipped = True
