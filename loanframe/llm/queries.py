@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm import chat, decontam, neardup, sharding
+from loanframe.llm import chat, decontam, merkle, neardup, quality, sharding, toxicity
 from loanframe.llm.common import table
 
 #: A conversation whose texts hold the template's own control strings.
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,10 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits_report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
@@ -57,6 +65,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(events)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -73,9 +85,12 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality": op2_quality,
     "op5_decontamination": op5_decontamination,
+    "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
