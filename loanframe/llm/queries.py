@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm import chat, decontam, merkle, neardup, quality, sharding, toxicity
+from loanframe.llm import chat, decontam, licenses, merkle, neardup, pieces, quality, sharding, toxicity
 from loanframe.llm.common import table
 
 #: A conversation whose texts hold the template's own control strings.
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,10 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edits_report(table(spark, sf_dir, "documents"))
 
@@ -86,7 +94,9 @@ FROM e GROUP BY conv_id
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
