@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm import chat, decontam, licenses, merkle, neardup, pieces, quality, sharding, toxicity
+from loanframe.llm import chat, decontam, html, licenses, merkle, neardup, pieces, quality, sharding, toxicity
 from loanframe.llm.common import table
 
 #: A conversation whose texts hold the template's own control strings.
@@ -24,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
