@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanframe.session import ensure_checkpoint_dir
 
@@ -34,7 +35,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
+                schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -43,6 +45,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def passing(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None, added: list[tuple[str, str]]):
+    """For an operator that adds columns: its input, its output schema, and how it builds an output batch.
+
+    The input has id and text first, the output id, the added columns and
+    ``keep`` (which may name the text).
+    """
+    keep = keep or []
+    src = docs.select(id_col, text_col, *(c for c in keep if c != text_col))
+    at = [src.columns.index(c) for c in keep]
+    new = T.DataType.fromDDL(", ".join(f"{n} {t}" for n, t in added)).fields
+    out = T.StructType([src.schema[0], *new, *(src.schema[i] for i in at)])
+    names = out.names
+
+    def back(batch: pa.RecordBatch, columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(i) for i in at)], names=names)
+
+    return src, out, back
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL becomes the empty text."""
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanframe.llm.common import passing
+
 MARK = "▁"
 #: Parts remembered by a worker (about 300 bytes each); the memory starts anew when full.
 REMEMBERED = 200_000
@@ -199,16 +201,16 @@ CHANGE = "array<struct<first:int,count:int,ids:array<int>>>"
 
 def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
            keep: list[str] | None = None) -> DataFrame:
-    """(id, ids, n_pieces, score, alternatives) of every row; other columns where named in ``keep``.
+    """(id, ids, n_pieces, score, alternatives) of every row; the text and other columns where named in ``keep``.
 
     ``alternatives``: the second to ``n``-th best segmentation as score and
     changes to the best one's ids.  NULL and empty texts have no ids and score
     0; repeated rows are encoded alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
-    src = docs.select(id_col, text_col, *(keep or []))
-    extra = src.schema.fields[2:]
-    names = [id_col, "ids", "n_pieces", "score", "alternatives", *(f.name for f in extra)]
+    src, out, back = passing(docs, id_col, text_col, keep, [
+        ("ids", "array<int>"), ("n_pieces", "long"), ("score", "double"),
+        ("alternatives", f"array<struct<score:double,changes:{CHANGE}>>")])
     change = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))]))
     alt = pa.list_(pa.struct([("score", pa.float64()), ("changes", change)]))
 
@@ -223,14 +225,10 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
                 alts = [[{"score": s, "changes": [{"first": f, "count": c, "ids": list(x)} for f, c, x in ch]}
                          for s, ch in g[2]] for g in got]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), ids, pa.array(sizes, pa.int64()), pa.array([g[1] for g in got], pa.float64()),
-                     pa.array(alts, alt), *b.columns[2:]], names=names)
-
-    fields = ", ".join([f"`{id_col}` {src.schema[0].dataType.simpleString()}", "ids array<int>", "n_pieces long",
-                        "score double", f"alternatives array<struct<score:double,changes:{CHANGE}>>",
-                        *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
-    return src.mapInArrow(run, fields)
+                yield back(b, [ids, pa.array(sizes, pa.int64()), pa.array([g[1] for g in got], pa.float64()),
+                               pa.array(alts, alt)])
+
+    return src.mapInArrow(run, out)
 
 
 def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import _BYTE, _POWER, GOLD, SPACE, map_batches, mix64, texts_of
+from loanframe.llm.common import _BYTE, _POWER, GOLD, SPACE, map_batches, mix64, passing, texts_of
 from loanframe.llm.labels import remainder, sample
 
 WORDS, SHAPES, DIM, ONES = 8192, 4096, 32, 4
@@ -246,25 +246,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text",
           keep: list[str] | None = None) -> DataFrame:
-    """(id, score) of every row; other columns only where named in ``keep``.
+    """(id, score) of every row; the text and other columns only where named in ``keep``.
 
     NULL and empty texts get the score of the zero vector; repeated rows score
     alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    src = docs.select(id_col, text_col, *(keep or []))
-    extra = src.schema.fields[2:]
+    src, out, back = passing(docs, id_col, text_col, keep, [("score", "double")])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         vec, net = sent.value
-        p = net.probabilities(np.stack([pool(t, vec) for t in texts_of(b.column(1))]))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), *b.columns[2:]],
-                                          names=[id_col, "score", *(f.name for f in extra)])
+        # one text at a time: the sums of a batch would depend on its other texts in the last digit
+        p = np.array([net.probabilities(pool(t, vec)[None])[0] for t in texts_of(b.column(1))])
+        return back(b, [pa.array(p, pa.float64())])
 
-    fields = ", ".join([f"`{id_col}` {src.schema[0].dataType.simpleString()}", "score double",
-                        *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
-
-    return map_batches(src, run, fields)
+    return map_batches(src, run, out)
 
 
 MOD, HELD_OUT, THRESHOLD = 3, 1, 0.5

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import _BYTE, _POWER, GOLD, mix64, texts_of
+from loanframe.llm.common import _BYTE, _POWER, GOLD, mix64, passing, texts_of
 from loanframe.llm.labels import remainder, sample
 
 BITS = 18
@@ -255,7 +255,7 @@ PASSAGE = "array<struct<first:long,last:long,score:double,expected:double>>"
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
           keep: list[str] | None = None, significance: float = 0.01) -> DataFrame:
-    """(id, score, passages) of every row; other columns only where named in ``keep``.
+    """(id, score, passages) of every row; the text and other columns only where named in ``keep``.
 
     ``passages``: word positions, score and chance expectation of every
     maximal segment expected less than ``significance`` times by chance.  NULL
@@ -263,28 +263,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     toxic text; repeated rows score alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(id_col, text_col, *(keep or []))
-    extra = src.schema.fields[2:]
-    fields = ", ".join([f"`{id_col}` {src.schema[0].dataType.simpleString()}", "score double", f"passages {PASSAGE}",
-                        *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    src, out, back = passing(docs, id_col, text_col, keep, [("score", "double"), ("passages", PASSAGE)])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()),
                                ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            out, found = [], []
+            p, found = [], []
             for text in texts_of(b.column(1)):
                 s = word_scores(text, m.scores)
                 segs = segments(s)
-                out.append(m.probability(max((x[2] for x in segs), default=0.0), len(s)))
+                p.append(m.probability(max((x[2] for x in segs), default=0.0), len(s)))
                 rare = [(x, float(np.exp(-m.extreme(x[2], len(s))))) for x in segs]
                 found.append([{"first": x[0], "last": x[1], "score": x[2], "expected": e} for x, e in rare if e < significance])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out, pa.float64()), pa.array(found, kind), *b.columns[2:]],
-                names=[id_col, "score", "passages", *(f.name for f in extra)])
+            yield back(b, [pa.array(p, pa.float64()), pa.array(found, kind)])
 
-    return src.mapInArrow(run, fields)
+    return src.mapInArrow(run, out)
 
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.3
