@@ -1,105 +1,77 @@
-"""Distributed rank and running sums.
-
-A window with no ``partitionBy`` (or partitioned only by a model name) puts
-every row of the group into one task.  Here the order key is cut into
-buckets at *fixed* boundaries (one ``percentile_approx`` aggregate, a few
-values per group reach the driver), each bucket gets its own window, and
-bucket totals (a table of at most groups x buckets rows: a proven bound, so
-it is broadcast) give each bucket its offset.  Boundaries are literals, so
-the bucketing is the same in every action and after a lost executor.
+"""Distributed rank, running sums and neighbours.
+
+A window over a whole group puts the group into one task.  Here rows are
+dealt to ranges of (group, order) by ``repartitionByRange``, so every
+partition has about the same number of rows whatever the groups' sizes, and
+the ranges are fixed by writing them to the shared folder with their number.
+Sums run inside a partition; what a group has in earlier partitions is one
+row a partition (the group that its first rows belong to), so the driver
+holds two rows a partition and never a row of data.  NULL groups and NULL
+order keys are values like others (NULL sorts first).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-MAX_TOTAL_BUCKETS = 1024
-
-
-def _search(x: Column, bounds: list[float]) -> Column:
-    """Number of boundaries <= x, as a binary search of nested CASEs."""
-    def go(lo: int, hi: int) -> Column:  # answer in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2  # test bounds[mid]
-        return F.when(x < F.lit(float(bounds[mid])), go(lo, mid)).otherwise(go(mid + 1, hi))
-    return go(0, len(bounds))
-
-
-def bucket_expr(df: DataFrame, order: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Bucket id of each row (ungrouped): fixed boundaries from one aggregate."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    x = F.col(order).cast("double")
-    if n_buckets <= 1:
-        return F.lit(0)
-    row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
-    bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
-    return _search(x, bounds)
-
-
-def with_buckets(df: DataFrame, group: str | None, order: str,
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``_bucket``.  Grouped: each group's boundary array (one row per
-    group, at most MAX_TOTAL_BUCKETS values in all: broadcast) is joined on
-    and the bucket is the count of boundaries <= x, so the plan size does
-    not grow with the number of groups."""
-    if group is None:
-        return df.withColumn("_bucket", bucket_expr(df, order, n_buckets))
-    x = F.col(order).cast("double")
-    groups = df.select(group).distinct().count()
-    per = max(1, min(n_buckets, MAX_TOTAL_BUCKETS // max(groups, 1)))
-    if per <= 1:
-        return df.withColumn("_bucket", F.lit(0))
-    probs = [i / per for i in range(1, per)]
-    bounds = df.groupBy(group).agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(x, probs, 10000))).alias("_bounds"))
-    j = df.join(F.broadcast(bounds), group)
-    return j.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= x))).drop("_bounds")
+from loanframe.session import shared_table
 
 
 def running_sums(df: DataFrame, group: str | None, order: str, sums: list[str],
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 lag: list[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum of c by ``order`` ascending,
-    within ``group``) and ``rank`` (1-based position) to every row.
+    within ``group``), ``rank`` (1-based position) and, for the columns in
+    ``lag``, ``pv_<c>`` (c in the row before it in the group, NULL in its first).
 
     ``order`` values should be distinct within a group (group by the order
-    key first, as the metrics do); ties would get an arbitrary order.
+    key first, as the metrics do).  Ties are put in the order of a hash of
+    the row, so that equal keys need not share a partition.
     """
-    gcols = [group] if group else []
-    b = with_buckets(df, group, order, n_buckets)
-    wl = W.partitionBy(*gcols, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = b.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in sums})
-    local = local.withColumn("_loc_rank", F.count(F.lit(1)).over(wl))
-    tot = b.groupBy(*gcols, "_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sums],
-                                           F.count(F.lit(1)).alias("_tot_n"))
-    # at most groups x n_buckets rows: small by construction
-    wo = W.partitionBy(*gcols).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    off = tot.select(*gcols, "_bucket",
-                     *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sums],
-                     F.coalesce(F.sum("_tot_n").over(wo), F.lit(0)).alias("_off_n"))
-    j = local.join(F.broadcast(off), on=[*gcols, "_bucket"], how="inner")
-    out = j.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sums})
-    out = out.withColumn("rank", (F.col("_loc_rank") + F.col("_off_n")).cast("bigint"))
-    return out.drop("_bucket", *[f"_loc_{c}" for c in sums], "_loc_rank",
-                    *[f"_off_{c}" for c in sums], "_off_n")
-
-
-def global_rank(df: DataFrame, order: str, group: str | None = None,
-                n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """1-based rank of each row by ``order`` (ties broken arbitrarily but
-    consistently), without a single-partition window."""
-    return running_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"], n_buckets).drop(
-        "_one", "cum__one")
-
-
-def with_neighbour(df: DataFrame, group: str | None, rank: str, cols: list[str],
-                   offset: int, prefix: str) -> DataFrame:
-    """lag / lead by rank through an equi-join on (group, rank + offset):
-    a hash-partitioned join instead of a window over the whole group."""
-    gcols = [group] if group else []
-    other = df.select(*gcols, (F.col(rank) - F.lit(offset)).alias(rank),
-                      *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return df.join(other, on=[*gcols, rank], how="left")
+    lag = lag or []
+    keys = [*([group] if group else []), order]
+    d = df.withColumn("_tie", F.xxhash64(*df.columns))
+    d = shared_table(d.repartitionByRange(*keys, "_tie").withColumn("_part", F.spark_partition_id()), "ordered")
+    g = F.struct(F.col(group)) if group else F.struct(F.lit(0).alias("all"))
+    d = d.withColumn("_group", g)
+    at = F.struct(*keys, "_tie")
+    # two rows a partition: totals of its first and last group, and its last row
+    ends = d.groupBy("_part").agg(F.min("_group").alias("g0"), F.max("_group").alias("g1"),
+                                  F.max_by(F.struct("_group", *lag), at).alias("end"))
+    totals = d.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(sums)])
+    edge = (totals.join(ends, "_part").where((F.col("_group") == F.col("g0")) | (F.col("_group") == F.col("g1")))
+            .orderBy("_part", "_group").collect())
+    carry, offsets, before, part = {}, [], None, None
+    for r in edge:
+        old = carry.get("sums") if carry.get("group") == r["_group"] else [0] * (len(sums) + 1)
+        if r["_part"] != part:
+            offsets.append((r["_part"], r["_group"], before["_group"] if before else None, *old,
+                            *[before[c] if before else None for c in lag]))
+            part, before = r["_part"], r["end"]
+        new = [r["n"], *[r[f"s{i}"] for i in range(len(sums))]]
+        carry = {"group": r["_group"], "sums": [a + (b or 0) for a, b in zip(old, new)]}
+    types = dict(d.dtypes)
+    summed = dict(totals.dtypes)
+    spec = ", ".join(["_part int", f"_og {types['_group']}", f"_bg {types['_group']}", "_on bigint",
+                      *[f"_o{i} {summed[f's{i}']}" for i in range(len(sums))], *[f"_p{i} {types[c]}" for i, c in enumerate(lag)]])
+    small = df.sparkSession.createDataFrame(offsets, spec)          # one row a partition
+    inside = W.partitionBy("_part", "_group").orderBy(order, "_tie")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = d.withColumn("rank", F.count(F.lit(1)).over(upto)).withColumns({f"cum_{c}": F.sum(c).over(upto) for c in sums})
+    out = out.withColumns({f"pv_{c}": F.lag(c).over(inside) for c in lag})
+    out = out.withColumn("_first", F.col("rank") == 1)
+    out = out.join(F.broadcast(small), "_part")
+    mine = F.col("_group") == F.col("_og")
+    out = out.withColumn("rank", (F.col("rank") + F.when(mine, F.col("_on")).otherwise(0)).cast("bigint"))
+    out = out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.when(mine, F.col(f"_o{i}")).otherwise(0)
+                           for i, c in enumerate(sums)})
+    out = out.withColumns({f"pv_{c}": F.when(F.col("_first"), F.when(F.col("_group") == F.col("_bg"), F.col(f"_p{i}")))
+                           .otherwise(F.col(f"pv_{c}")) for i, c in enumerate(lag)})
+    return out.select(*df.columns, *[f"cum_{c}" for c in sums], "rank", *[f"pv_{c}" for c in lag])
+
+
+def global_rank(df: DataFrame, order: str, group: str | None = None) -> DataFrame:
+    """1-based rank of each row by ``order`` (ties in the order of a hash of
+    the row), without a single-partition window."""
+    return running_sums(df, group, order, [])

@@ -9,21 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.dist import norm_ppf
-from loanframe.operators.outliers import quantile_aggs
+from loanframe.functions.dist import norm_ppf_col
+from loanframe.functions.ordering import running_sums
+from loanframe.functions.quantile import quantiles
 
 VIOLIN_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
-def grouped_summary(df: DataFrame, value: str, group: str, probs: list[float] = VIOLIN_PROBS,
-                    method: str = "exact") -> DataFrame:
-    """Per group count, min, max and quantiles of a numeric column."""
-    g = df.groupBy(F.col(group).alias("group")).agg(
-        F.count(F.col(value)).alias("n"), F.min(F.col(value).cast("double")).alias("min"),
-        F.max(F.col(value).cast("double")).alias("max"),
-        *[a for a in quantile_aggs([value], probs, {value: method})])
-    return g.select(F.lit(value).alias("variable"), F.lit(group).alias("by"), "group", "n", "min", "max",
-                    *[F.col("_q0")[i].alias(f"q{int(round(p * 100)):02d}") for i, p in enumerate(probs)])
+def grouped_summary(df: DataFrame, value: str, group: str, probs: list[float] = VIOLIN_PROBS) -> DataFrame:
+    """Per group count, min, max and exact quantiles of a numeric column."""
+    d = df.select(F.col(group).alias("group"), F.col(value).cast("double").alias("x"))
+    g = d.groupBy("group").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"))
+    levels = [r["group"] for r in g.select("group").collect()]      # the violins of one plot
+    wide = d.select(*[F.when(F.col("group").eqNullSafe(F.lit(v)), F.col("x")).alias(f"g{i}") for i, v in enumerate(levels)])
+    q = quantiles(wide, wide.columns, probs)
+    names = [f"q{int(round(p * 100)):02d}" for p in probs]
+    kind = dict(g.dtypes)["group"]
+    t = df.sparkSession.createDataFrame([(v, *q[f"g{i}"]) for i, v in enumerate(levels)],
+                                        ", ".join([f"`_level` {kind}", *[f"{n} double" for n in names]]))
+    return g.join(t, F.col("group").eqNullSafe(F.col("_level"))).select(
+        F.lit(value).alias("variable"), F.lit(group).alias("by"), "group", "n", "min", "max", *names)
+
+
+def grouped_histogram(df: DataFrame, value: str, group: str, bins: int = 30) -> DataFrame:
+    """Counts of a numeric column in equal bins of its whole range, per group (the outline of each violin)."""
+    d = df.select(F.col(group).alias("group"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    r = d.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    lo = r["a"] if r["a"] is not None else 0.0
+    width = ((r["b"] - r["a"]) / bins if r["a"] is not None else 0.0) or 1.0
+    b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
+    return d.groupBy("group", b.alias("bin")).agg(F.count("*").alias("count")).select(
+        F.lit(value).alias("variable"), F.lit(group).alias("by"), "group", "bin", "count")
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 30, stage: str = "raw") -> DataFrame:
@@ -49,14 +65,14 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, stage: str = "raw"
         "stage", F.lit(stage))
 
 
-def qq_points(df: DataFrame, cols: list[str], m: int = 100, method: str = "exact") -> DataFrame:
-    """C4: normal Q-Q points thinned to ``m`` plotting positions
-    (k - 0.5) / m: sample quantile against the AS241 normal quantile."""
-    probs = [(k - 0.5) / m for k in range(1, m + 1)]
-    theo = [float(v) for v in norm_ppf(probs)]
-    row = df.agg(*quantile_aggs(cols, probs, {c: method for c in cols}))
-    items = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(k).cast("bigint").alias("k"),
-                               F.lit(probs[k]).alias("prob"), F.lit(theo[k]).alias("theoretical"),
-                               F.col(f"_q{i}")[k].alias("sample"))
-                      for i, c in enumerate(cols) for k in range(m)])
-    return row.select(F.inline(items))
+def qq_points(df: DataFrame, cols: list[str]) -> DataFrame:
+    """C4: normal Q-Q points of every value: its plotting position
+    (rank - 0.5) / n and the AS241 normal quantile there.  Equal values are
+    one point, at the middle of their ranks, with their count."""
+    x = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("sample")) for c in cols]))
+    t = df.select(x.alias("s")).select("s.*").where("sample IS NOT NULL").groupBy("variable", "sample").agg(
+        F.count("*").alias("n"))
+    total = t.groupBy("variable").agg(F.sum("n").alias("_all"))
+    r = running_sums(t, "variable", "sample", ["n"]).join(F.broadcast(total), "variable")    # one row a column
+    r = r.withColumn("prob", (F.col("cum_n") - F.col("n") / 2.0) / F.col("_all"))
+    return r.select("variable", "sample", "n", "prob", norm_ppf_col(F.col("prob")).alias("theoretical"))

@@ -10,9 +10,9 @@ Transforms are column expressions over the fitted level lists.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loanframe.functions.ordering import global_rank
 from loanframe.operators.base import FitEstimator, FittedModel
 
 MAX_LEVELS = 10_000
@@ -252,23 +252,6 @@ def feature_names_table(spark, names: list[str]) -> DataFrame:
 
 
 def _rank_strings(pairs: DataFrame) -> DataFrame:
-    """0-based rank of each distinct (column, level) by level, per column.
-
-    Strings have no numeric order key for the bucketed rank, so a level's
-    rank is the number of smaller levels of its column: levels are first
-    bucketed by a range on their sort key (first 6 bytes as a number) and
-    counted with aggregates; only ties of that prefix use a window, inside
-    one (column, prefix) group.
-    """
-    # first 6 UTF-8 bytes, right-padded with zero bytes: numeric order of
-    # this 48-bit key = byte order of the strings' prefixes
-    prefix = F.substring(F.encode(F.col("level"), "UTF-8"), 1, 6)
-    key = F.conv(F.rpad(F.hex(prefix), 12, "0"), 16, 10).cast("double")
-    p = pairs.withColumn("_k", key)
-    from loanframe.functions.ordering import running_sums
-    g = p.groupBy("column", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    r = running_sums(g, "column", "_k", ["_n"])  # levels with a smaller prefix: cum__n - _n
-    j = p.join(r.select("column", "_k", (F.col("cum__n") - F.col("_n")).alias("_below")), ["column", "_k"])
-    w = W.partitionBy("column", "_k").orderBy("level")
-    return j.select("column", "level",
-                    (F.col("_below") + F.row_number().over(w) - 1).cast("bigint").alias("level_index"))
+    """0-based rank of each distinct (column, level) by level, per column."""
+    return global_rank(pairs, "level", group="column").select(
+        "column", "level", (F.col("rank") - 1).alias("level_index"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.ordering import running_sums, with_neighbour
+from loanframe.functions.ordering import running_sums
 
 EPS = 2.220446049250313e-16
 
@@ -32,9 +32,9 @@ def score_groups(scores: DataFrame) -> DataFrame:
     g = scores.groupBy("model", "score").agg(
         F.sum(F.col("label").cast("long")).alias("pos"),
         F.sum((1 - F.col("label")).cast("long")).alias("neg"))
-    r = running_sums(g, "model", "score", ["pos", "neg"])
-    tot = g.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = r.join(F.broadcast(tot), "model")  # one row per model
+    r = running_sums(g, "model", "score", ["pos", "neg"], lag=["pos", "neg"])
+    tot = r.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    r = r.join(tot, "model")
     return r.withColumns({"tps": F.col("P") - F.col("cum_pos") + F.col("pos"),
                           "fps": F.col("N") - F.col("cum_neg") + F.col("neg")})
 
@@ -42,9 +42,9 @@ def score_groups(scores: DataFrame) -> DataFrame:
 def roc_auc(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """K1: exact ROC AUC per model, ties counted half."""
     b = base if base is not None else score_groups(scores)
-    term = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)
+    term = F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)
     return b.groupBy("model").agg(
-        _div(F.sum(term), F.first("P") * F.first("N"), None).alias("roc_auc"))
+        _div(F.sum(term), F.first("P").cast("double") * F.first("N"), None).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -56,15 +56,13 @@ def average_precision(scores: DataFrame, base: DataFrame | None = None) -> DataF
 
 def roc_curve(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """K2: (model, fpr, tpr, threshold), with the (0, 0, +inf) start point.
-    Collinear points are dropped (neighbour by rank join, not a window)."""
+    Collinear points are dropped."""
     b = score_groups(scores)
     if drop_intermediate:
-        n = with_neighbour(b, "model", "rank", ["pos", "neg"], -1, "nx_")
-        top = b.groupBy("model").agg(F.max("rank").alias("_top"))
-        n = n.join(F.broadcast(top), "model")
-        keep = ((F.col("rank") == 1) | (F.col("rank") == F.col("_top"))
-                | (F.col("nx_pos") != F.col("pos")) | (F.col("nx_neg") != F.col("neg")))
-        b = n.filter(keep)
+        top = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
+        keep = (F.col("pv_pos").isNull() | top
+                | (F.col("pv_pos") != F.col("pos")) | (F.col("pv_neg") != F.col("neg")))
+        b = b.filter(keep)
     pts = b.select("model", _div(F.col("fps"), F.col("N"), None).alias("fpr"),
                    _div(F.col("tps"), F.col("P"), None).alias("tpr"),
                    F.col("score").alias("threshold"))
@@ -91,12 +89,10 @@ def det_curve(scores: DataFrame) -> DataFrame:
     """K5: (model, fpr, fnr, threshold) from the last point with the top
     false-positive count to the first point with full recall."""
     b = score_groups(scores)
-    n = with_neighbour(b, "model", "rank", ["fps"], -1, "nx_")
-    first = b.groupBy("model").agg(F.max_by("fps", "rank").alias("_fps0"))
-    n = n.join(F.broadcast(first), "model")
-    keep = ((F.col("nx_fps").isNull() | (F.col("nx_fps") != F.col("_fps0")))
-            & (F.col("tps") - F.col("pos") < F.col("P")))
-    return n.filter(keep).select(
+    nx_fps = F.col("fps") + F.col("pv_neg")             # at the next lower threshold
+    top = b.groupBy("model").agg(F.max_by("neg", "rank").alias("_fps0"))
+    keep = (nx_fps.isNull() | (nx_fps != F.col("_fps0"))) & (F.col("tps") - F.col("pos") < F.col("P"))
+    return b.join(top, "model").filter(keep).select(
         "model", _div(F.col("fps"), F.col("N"), None).alias("fpr"),
         _div(F.col("P") - F.col("tps"), F.col("P"), None).alias("fnr"),
         F.col("score").alias("threshold"))
@@ -190,7 +186,7 @@ def model_panel_metrics(scores: DataFrame) -> DataFrame:
     probability models; Matthews correlation from predictions."""
     has_prob = scores.groupBy("model").agg(
         (F.count_if(F.col("prob").isNotNull()) == F.count(F.lit(1))).alias("_hp"))
-    s = scores.join(F.broadcast(has_prob), "model").withColumn(
+    s = scores.join(has_prob, "model").withColumn(
         "score", F.when(F.col("_hp"), F.col("prob")).otherwise(F.col("score"))).drop("_hp")
     base = score_groups(s)
     return (roc_auc(s, base).join(average_precision(s, base).withColumnRenamed("average_precision", "pr_auc"),

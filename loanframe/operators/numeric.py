@@ -113,13 +113,13 @@ class KBinsDiscretizer(FitEstimator):
     interpolated percentiles; equal edges merge."""
     model_class = KBinsDiscretizerModel
 
-    def __init__(self, inputCols=None, n_bins: int = 3, method: str = "auto"):
-        super().__init__(inputCols, n_bins=n_bins, method=method)
+    def __init__(self, inputCols=None, n_bins: int = 3):
+        super().__init__(inputCols, n_bins=n_bins)
 
     def fit_state(self, df, cols, opts):
         k = int(opts.get("n_bins", 3))
         probs = [i / k for i in range(k + 1)]
-        q = quantiles(df, cols, probs, opts.get("method", "auto"))
+        q = quantiles(df, cols, probs)
         return {"edges": {c: (merge_edges(v) if v[0] is not None else []) for c, v in q.items()}}
 
 
@@ -331,24 +331,14 @@ class QuantileTransformer(FitEstimator):
     interpolated percentiles), then to the normal law with AS241."""
     model_class = QuantileTransformerModel
 
-    def __init__(self, inputCols=None, n_quantiles: int = 100, output_distribution: str = "normal",
-                 method: str = "auto"):
-        super().__init__(inputCols, n_quantiles=n_quantiles,
-                         output_distribution=output_distribution, method=method)
+    def __init__(self, inputCols=None, n_quantiles: int = 100, output_distribution: str = "normal"):
+        super().__init__(inputCols, n_quantiles=n_quantiles, output_distribution=output_distribution)
 
     def fit_state(self, df, cols, opts):
         k = int(opts.get("n_quantiles", 100))
         refs = [float(v) for v in np.linspace(0.0, 1.0, k)]
-        q = quantiles(df, cols, refs, opts.get("method", "auto"))
+        q = quantiles(df, cols, refs)
         out = {}
         for c, v in q.items():
             out[c] = None if v[0] is None else [float(a) for a in np.maximum.accumulate(v)]
         return {"references": refs, "quantiles": out}
-
-
-def to_vector(df: DataFrame, arr: str, out: str = "vec") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.col(arr)))
-
-
-def from_vector(df: DataFrame, vec: str, out: str) -> DataFrame:
-    return df.withColumn(out, vector_to_array(F.col(vec)))

@@ -1,11 +1,8 @@
 """Quantiles and outliers.
 
-Quantiles of all columns come from one aggregate.  ``method="exact"`` uses
-Spark's exact ``percentile`` (linear interpolation, the same numbers as
-DuckDB ``quantile_cont``); it keeps a value->count map per column, so
-``method="auto"`` first checks the distinct count (HyperLogLog, one cheap
-pass with partial aggregation) and uses ``percentile_approx`` for columns
-past ``max_exact_distinct``.
+Quantiles are exact at any size (``functions/quantile.py``, linear
+interpolation, the same numbers as DuckDB ``quantile_cont``): one method for
+the operators, the fitted stages and the registered queries.
 """
 
 from __future__ import annotations
@@ -13,59 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.quantile import quantiles
 from loanframe.operators.base import FitEstimator, FittedModel
 
-MAX_EXACT_DISTINCT = 5_000_000
-APPROX_ACCURACY = 100_000
 
-
-def _pick_methods(df: DataFrame, cols: list[str], method: str,
-                  max_exact_distinct: int) -> dict[str, str]:
-    if method in ("exact", "approx"):
-        return {c: method for c in cols}
-    row = df.agg(*[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
-    return {c: ("exact" if row[f"_d{i}"] <= max_exact_distinct else "approx")
-            for i, c in enumerate(cols)}
-
-
-def quantile_aggs(cols: list[str], probs: list[float], methods: dict[str, str]):
-    out = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        if methods.get(c, "exact") == "exact":
-            out.append(F.percentile(x, [float(p) for p in probs]).alias(f"_q{i}"))
-        else:
-            out.append(F.percentile_approx(x, [float(p) for p in probs],
-                                           APPROX_ACCURACY).alias(f"_q{i}"))
-    return out
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto",
-              max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict[str, list[float | None]]:
-    """O1: quantiles of many columns in one aggregate; small result to the driver."""
-    if not cols:
-        return {}
-    methods = _pick_methods(df, cols, method, max_exact_distinct)
-    row = df.agg(*quantile_aggs(cols, probs, methods)).first()
-    return {c: (list(row[f"_q{i}"]) if row[f"_q{i}"] is not None else [None] * len(probs))
-            for i, c in enumerate(cols)}
-
-
-def quartile_table(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def quartile_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """O1 + O2 as a DataFrame: column, q1, q3, iqr, lower, upper (fold 1.5)."""
-    methods = {c: method for c in cols}
-    row = df.agg(*quantile_aggs(cols, [0.25, 0.75], methods))
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}")[0].alias("q1"),
-                               F.col(f"_q{i}")[1].alias("q3")) for i, c in enumerate(cols)])
-    t = row.select(F.inline(items)).withColumn("iqr", F.col("q3") - F.col("q1"))
+    rows = [(c, *q) for c, q in quantiles(df, cols, [0.25, 0.75]).items()]
+    t = df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double")
+    t = t.withColumn("iqr", F.col("q3") - F.col("q1"))
     return (t.withColumn("lower", F.col("q1") - F.col("iqr") * 1.5)
             .withColumn("upper", F.col("q3") + F.col("iqr") * 1.5))
 
 
-def iqr_fences(df: DataFrame, cols: list[str], fold: float = 1.5,
-               method: str = "auto") -> dict[str, tuple[float | None, float | None]]:
+def iqr_fences(df: DataFrame, cols: list[str], fold: float = 1.5) -> dict[str, tuple[float | None, float | None]]:
     """O2 as driver constants."""
-    q = quantiles(df, cols, [0.25, 0.75], method)
+    q = quantiles(df, cols, [0.25, 0.75])
     out = {}
     for c, (q1, q3) in q.items():
         if q1 is None:
@@ -82,11 +42,10 @@ def _counts_long(df: DataFrame, conds: dict) -> DataFrame:
     return row.select(F.inline(items))
 
 
-def iqr_outlier_counts(df: DataFrame, cols: list[str], fold: float = 1.5,
-                       method: str = "auto") -> DataFrame:
-    """O3: rows outside the IQR fences, per column: one quantile aggregate,
-    then one counting aggregate with the fences as literals."""
-    fences = iqr_fences(df, cols, fold, method)
+def iqr_outlier_counts(df: DataFrame, cols: list[str], fold: float = 1.5) -> DataFrame:
+    """O3: rows outside the IQR fences, per column: the quantiles, then one
+    counting aggregate with the fences as literals."""
+    fences = iqr_fences(df, cols, fold)
     conds = {}
     for c in cols:
         lo, hi = fences[c]
@@ -136,9 +95,9 @@ class Winsorizer(FitEstimator):
     """Fit IQR fences on train, clip both tails of any frame."""
     model_class = WinsorizerModel
 
-    def __init__(self, inputCols=None, fold: float = 1.5, method: str = "auto"):
-        super().__init__(inputCols, fold=fold, method=method)
+    def __init__(self, inputCols=None, fold: float = 1.5):
+        super().__init__(inputCols, fold=fold)
 
     def fit_state(self, df, cols, opts):
-        f = iqr_fences(df, cols, opts.get("fold", 1.5), opts.get("method", "auto"))
+        f = iqr_fences(df, cols, opts.get("fold", 1.5))
         return {"fences": {c: list(v) for c, v in f.items()}}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanframe.functions.dist import chi2_pvalue, t_pvalue
+from loanframe.session import shared_table
 
 
 def _safe_div(num: Column, den: Column) -> Column:
@@ -109,7 +110,7 @@ def chi2_from_counts(ct: DataFrame, correction: bool = True) -> DataFrame:
          .withColumn("total", F.sum("observed").over(wp))
          .withColumn("n_rows", F.size(F.collect_set("row_level").over(wp)))
          .withColumn("n_cols", F.size(F.collect_set("col_level").over(wp))))
-    e = e.withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("total"))
+    e = e.withColumn("expected", F.col("row_total").cast("double") * F.col("col_total") / F.col("total"))
     e = e.withColumn("dof", ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("bigint"))
     diff = F.abs(F.col("observed") - F.col("expected"))
     if correction:
@@ -212,6 +213,10 @@ SW_C6 = [-0.4803, -0.082676, 0.0030302]
 SW_G = [-2.273, 0.459]
 
 
+#: Ranks of one value that one row stands for before they are written out.
+RUN = 4096
+
+
 def shapiro_wilk(df: DataFrame, col: str, p_limit: int = 5000) -> dict:
     """Shapiro-Wilk W and p (Royston 1995) of one column, NULLs left out.
 
@@ -224,10 +229,17 @@ def shapiro_wilk(df: DataFrame, col: str, p_limit: int = 5000) -> dict:
     import numpy as np
 
     from loanframe.functions.dist import norm_ppf, norm_ppf_col, norm_sf
-    from loanframe.functions.ordering import global_rank
+    from loanframe.functions.ordering import running_sums
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    ranked = global_rank(x, "x")
-    n = ranked.count()
+    # distinct values are ranked; a value's ranks are then dealt out in runs,
+    # so a value that a third of the rows have is no task's burden
+    values = running_sums(x.groupBy("x").agg(F.count("*").alias("n")), None, "x", ["n"])
+    runs = values.select("x", (F.col("cum_n") - F.col("n")).alias("_at"), "cum_n", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))).alias("_run"))
+    runs = runs.select("x", (F.col("_at") + F.col("_run") * RUN + 1).alias("_lo"), F.least(
+        F.col("cum_n"), F.col("_at") + (F.col("_run") + 1) * RUN).alias("_hi"))
+    ranked = shared_table(runs, "ranks").repartition("_lo").select("x", F.explode(F.sequence("_lo", "_hi")).alias("rank"))
+    n = x.count()
     if n < 3:
         return {"column": col, "n": n, "W": None, "p_value": None, "p_valid": False}
     mcol = norm_ppf_col((F.col("rank") - 0.375) / (n + 0.25))

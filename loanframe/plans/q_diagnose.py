@@ -259,7 +259,7 @@ def p6_merge_levels(spark, sf_dir):
     " WHERE person_income < q1 - (q3 - q1) * 1.5 OR person_income > q3 + (q3 - q1) * 1.5"))
 def p7_range_filter(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
-    lo, hi = O.iqr_fences(train, ["person_income"], method="exact")["person_income"]
+    lo, hi = O.iqr_fences(train, ["person_income"])["person_income"]
     return train.filter(P.outside("person_income", lo, hi)).select("loan_id", "person_income")
 
 
@@ -346,13 +346,13 @@ def _iqr_count_sql(src: str, cols: list[str]) -> str:
 @register("o3_iqr_counts", sql=L.with_loans(_iqr_count_sql("train", L.NUMERIC)))
 def o3_iqr_counts(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
-    return O.iqr_outlier_counts(train, L.NUMERIC, method="exact")
+    return O.iqr_outlier_counts(train, L.NUMERIC)
 
 
 @register("o4_sorted_counts", sql=L.with_loans(_iqr_count_sql("train", L.NUMERIC)))
 def o4_sorted_counts(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
-    return O.sorted_counts(O.iqr_outlier_counts(train, L.NUMERIC, method="exact"))
+    return O.sorted_counts(O.iqr_outlier_counts(train, L.NUMERIC))
 
 
 @register("o5_zscore_counts", sql=L.with_loans(" UNION ALL ".join(
@@ -365,7 +365,7 @@ def o5_zscore_counts(spark, sf_dir):
 
 # ----------------------------------------------------------- tests T1, T4-T8
 
-from loanframe.functions.dist import norm_ppf  # noqa: E402
+from loanframe.functions.dist import norm_ppf_sql  # noqa: E402
 from loanframe.operators import chartdata as C  # noqa: E402
 
 _CAT_TESTS = L.CATEGORICAL + ["cb_person_default_on_file"]
@@ -502,6 +502,27 @@ def c1_violin_summary(spark, sf_dir):
     return out
 
 
+def _violin_hist_sql(bins=30):
+    parts = []
+    for v, g in _VIOLIN:
+        x = f"CAST({v} AS DOUBLE)"
+        mm = f"(SELECT min({x}) AS a, (max({x}) - min({x})) / {bins} AS w FROM flagged) AS mm"
+        parts.append(f"SELECT '{v}' AS variable, '{g}' AS by, {g} AS \"group\","
+                     f" CAST(least(floor(({x} - a) / CASE WHEN w = 0 THEN 1.0 ELSE w END), {bins - 1}) AS BIGINT) AS bin,"
+                     f" count(*) AS count FROM flagged, {mm} WHERE {v} IS NOT NULL GROUP BY ALL")
+    return L.with_loans(_flagged_sql() + " UNION ALL ".join(parts))
+
+
+@register("c1_violin_histogram", sql=_violin_hist_sql())
+def c1_violin_histogram(spark, sf_dir):
+    d = flagged_dedup(spark, sf_dir)
+    out = None
+    for v, g in _VIOLIN:
+        t = C.grouped_histogram(d, v, g)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def _hist_sql(cols, bins=30):
     mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS a_{c}, max(CAST({c} AS DOUBLE)) AS b_{c}" for c in cols)
     parts = []
@@ -526,32 +547,26 @@ def c3_histogram_stages(spark, sf_dir):
     """Before / Yeo-Johnson / log1p / quantile histograms of the numerics."""
     from loanframe.operators import numeric as N2
     train, _ = L.train_test(spark, sf_dir)
-    cols = ["person_age", "person_income", "loan_amnt"]
+    cols = L.NUMERIC
     yj = N2.YeoJohnson(cols).fit(train).transform(train)
     lg = train.select(*[P.log1p(c).alias(c) for c in cols])
-    qt = N2.QuantileTransformer(cols, method="exact").fit(train).transform(train)
+    qt = N2.QuantileTransformer(cols).fit(train).transform(train)
     out = C.histogram(train, cols, 30, "raw")
     for name, d in (("yeo_johnson", yj), ("log1p", lg), ("quantile", qt)):
         out = out.unionByName(C.histogram(d, cols, 30, name))
     return out
 
 
-_QQ_M = 50
-
-
 def _qq_sql(cols):
-    parts = []
-    probs = [(k - 0.5) / _QQ_M for k in range(1, _QQ_M + 1)]
-    theo = [float(v) for v in norm_ppf(probs)]
-    for c in cols:
-        for k, (p, t) in enumerate(zip(probs, theo)):
-            parts.append(f"SELECT '{c}' AS variable, CAST({k} AS BIGINT) AS k, {p!r} AS prob, {t!r} AS theoretical,"
-                         f" quantile_cont({c}, {p!r}) AS sample FROM train")
-    return L.with_loans(" UNION ALL ".join(parts))
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS sample, count(*) AS n FROM train"
+             f" WHERE {c} IS NOT NULL GROUP BY ALL" for c in cols]
+    return L.with_loans(
+        ", v AS (" + " UNION ALL ".join(parts) + "), p AS (SELECT variable, sample, n,"
+        " (sum(n) OVER (PARTITION BY variable ORDER BY sample) - n / 2.0) / sum(n) OVER (PARTITION BY variable) AS prob"
+        f" FROM v) SELECT variable, sample, n, prob, {norm_ppf_sql('prob')} AS theoretical FROM p")
 
 
-@register("c4_qq_points", sql=_qq_sql(["person_income", "loan_amnt"]),
-          rounding={"sample": 6, "prob": 12, "theoretical": 12})
+@register("c4_qq_points", sql=_qq_sql(L.NUMERIC), rounding={"sample": 6, "prob": 12, "theoretical": 9})
 def c4_qq_points(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
-    return C.qq_points(train, ["person_income", "loan_amnt"], _QQ_M)
+    return C.qq_points(train, L.NUMERIC)

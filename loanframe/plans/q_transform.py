@@ -55,7 +55,7 @@ def _q(name: str) -> str:
     + " FROM test, f"), rounding=_r(NUM))
 def o6_winsorize(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    m = Winsorizer(NUM, method="exact").fit(train)
+    m = Winsorizer(NUM).fit(train)
     return m.transform(test).select("loan_id", *NUM)
 
 
@@ -153,7 +153,7 @@ def i3_yeo_johnson(spark, sf_dir):
 @register("i4_quantile_normal")
 def i4_quantile_normal(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    m = N.QuantileTransformer(NUM, n_quantiles=100, method="exact").fit(train)
+    m = N.QuantileTransformer(NUM, n_quantiles=100).fit(train)
     return m.transform(test).select("loan_id", *NUM)
 
 
@@ -196,7 +196,7 @@ _EDGES_SQL = (", e AS (SELECT " + ", ".join(
     _EDGES_SQL + " SELECT loan_id, " + ", ".join(f"{_kbins_sql(c)} AS {c}" for c in NUM) + " FROM test, e"))
 def i7_kbins(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return N.KBinsDiscretizer(NUM, n_bins=3, method="exact").fit(train).transform(test).select("loan_id", *NUM)
+    return N.KBinsDiscretizer(NUM, n_bins=3).fit(train).transform(test).select("loan_id", *NUM)
 
 
 @register("i8_binarize", sql=L.with_loans(
@@ -287,7 +287,7 @@ _BIN_COLS = ["person_age", "loan_amnt"]
     + " FROM b"))
 def e5_onehot_bins(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    kb = N.KBinsDiscretizer(_BIN_COLS, n_bins=3, method="exact").fit(train)
+    kb = N.KBinsDiscretizer(_BIN_COLS, n_bins=3).fit(train)
     tr = kb.transform(train.select("loan_id", *_BIN_COLS))
     oh = E.OneHotEncoder(_BIN_COLS, drop="first").fit(tr)
     return oh.transform(kb.transform(test.select("loan_id", *_BIN_COLS)))

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanframe.functions.ordering import global_rank
+from loanframe.functions.ordering import global_rank, running_sums
 from loanframe.operators import metrics as K
 
 
@@ -38,17 +38,50 @@ def test_roc_curve_ends(spark):
 def test_global_rank_matches_row_number_without_single_partition(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(v),) for v in rng.permutation(3000)], "x double").repartition(7)
-    r = global_rank(df, "x", n_buckets=16)
+    r = global_rank(df, "x")
     exp = df.withColumn("rn", F.row_number().over(W.orderBy("x")))
     bad = r.join(exp, "x").filter(F.col("rank") != F.col("rn")).count()
     assert bad == 0
-    # the only single-partition exchange allowed is the bucket-totals table
-    # (at most n_buckets rows); the row-level window is partitioned by bucket
-    lines = r._jdf.queryExecution().executedPlan().toString().splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            assert "HashAggregate(keys=[_bucket" in lines[i + 1]
-    assert any("Window" in ln and "_bucket" in ln for ln in lines)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "_part" in plan
+
+
+def test_running_sums_over_groups_ties_and_nulls(spark):
+    """600 groups, one with a third of the rows, NULL groups and NULL order keys: as one window a group would do."""
+    rows = [(g if g < 600 else None, k * 7 % 13 if k else None, k) for g in range(601) for k in range(5)]
+    rows += [(5, 100 + k, k) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g long, o long, v long").groupBy("g", "o").agg(F.sum("v").alias("v"))
+    w = W.partitionBy("g").orderBy("o")
+    want = df.select("g", "o", "v", F.sum("v").over(w).alias("cum_v"), F.row_number().over(w).cast("long").alias("rank"),
+                     F.lag("v").over(w).alias("pv_v"))
+    for n in (1, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got = running_sums(df, "g", "o", ["v"], lag=["v"])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_quantiles_are_exact_at_any_size(spark, monkeypatch):
+    from loanframe.functions import quantile as Q
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=20_000), rng.choice([1.0, 2.0, 5.5], size=20_000, p=[0.4, 0.35, 0.25])
+    df = spark.createDataFrame([(float(x), float(y) if i % 7 else None, None) for i, (x, y) in enumerate(zip(a, b))],
+                               "a double, b double, c double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    keep = np.array([i % 7 > 0 for i in range(20_000)])
+    want = {"a": np.quantile(a, probs), "b": np.quantile(b[keep], probs)}
+    for limit, parts in ((10**6, 1), (300, 1), (300, 13)):
+        monkeypatch.setattr(Q, "COLLECT_ROWS", limit)
+        got = Q.quantiles(df.repartition(parts), ["a", "b", "c"], probs)
+        assert np.allclose(got["a"], want["a"], rtol=0, atol=1e-12) and np.allclose(got["b"], want["b"], rtol=0, atol=1e-12)
+        assert got["c"] == [None] * len(probs)
+
+
+def test_roc_auc_of_huge_counts(spark):
+    """Counts near 4e9 positives and negatives don't overflow."""
+    base = spark.createDataFrame([("m", 0.2, 10, 4 * 10**9), ("m", 0.7, 4 * 10**9, 20)], "model string, score double, pos long, neg long")
+    b = running_sums(base, "model", "score", ["pos", "neg"]).withColumns({"P": F.lit(4 * 10**9 + 10), "N": F.lit(4 * 10**9 + 20)})
+    assert abs(K.roc_auc(None, b).first()["roc_auc"] - 1) < 1e-6
 
 
 def test_confusion_and_counts(spark):
