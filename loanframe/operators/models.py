@@ -5,14 +5,12 @@ array, with an optional logistic link for probabilities.  Scoring is one
 projection (an explicit sum over the array elements, inside codegen).
 Fitting uses Spark ML's logistic regression (distributed L-BFGS / OWL-QN)
 or sufficient statistics from the Gram primitive X2 with a p x p solve on
-the driver.  Cross-validation runs fits of different folds and candidates
-concurrently from a small driver thread pool.
+the driver.  Cross-validation moves the models of all folds in lockstep.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -306,7 +304,7 @@ def fit_lda(train: DataFrame, features: str = FEATURES, label: str = LABEL) -> L
     n0, n1 = g0["sw"], g1["sw"]
     m0, m1 = g0["sx"] / n0, g1["sx"] / n1
     s = (g0["xtx"] - n0 * np.outer(m0, m0)) + (g1["xtx"] - n1 * np.outer(m1, m1))
-    cov = s / (n0 + n1)
+    cov = s / max(n0 + n1 - 2, 1)                        # the pooled estimate
     inv = np.linalg.pinv(cov, rcond=1e-10, hermitian=True)
     w = inv @ (m1 - m0)
     b = -0.5 * (m1 + m0) @ w + math.log(n1 / n0)

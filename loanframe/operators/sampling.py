@@ -25,7 +25,7 @@ from loanframe.functions.gram import matrix
 
 def _knn_pairs(minority: DataFrame, features: str, key: str, k: int, n_blocks: int) -> DataFrame:
     """(key, nbr, dist) for the k nearest other minority rows of each row."""
-    blocked = minority.select(key, features, (F.abs(F.xxhash64(F.col(key))) % n_blocks).alias("_b"))
+    blocked = minority.select(key, features, F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).alias("_b"))
     left = blocked.select(F.col("_b").alias("_lb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
                           .alias("_rb"), key, features).withColumn("_side", F.lit(0))
     right = blocked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_lb"),
@@ -59,18 +59,19 @@ def smote(df: DataFrame, features: str = "features", label: str = "label", key:
           k: int = 5, minority: int | None = None, seed: int = 42, n_blocks: int | None = None) -> DataFrame:
     """R2: oversample the minority class to the majority size.
 
-    Returns the input rows plus synthetic rows (``synthetic`` = true, new
-    negative keys).  Features are an array<double> (booleans already 0/1).
+    Returns the input rows (``copy`` 0) plus synthetic rows (``synthetic`` =
+    true, the key of the row they start from and a ``copy`` from 1: key and
+    copy tell rows apart).  Features are an array<double> (booleans already 0/1).
     """
     counts = {int(r[label]): r["count"] for r in df.groupBy(label).count().collect()}
     if len(counts) < 2:
-        return df.withColumn("synthetic", F.lit(False))
+        return df.select(key, F.lit(0).alias("copy"), label, features, F.lit(False).alias("synthetic"))
     mino = minority if minority is not None else min(counts, key=lambda c: (counts[c], c))
     majo = max(counts, key=lambda c: (counts[c], -c))
     n_min, need = counts[mino], counts[majo] - counts[mino]
     base = df.withColumn("synthetic", F.lit(False))
     if need <= 0 or n_min < 2:
-        return base
+        return base.select(key, F.lit(0).alias("copy"), label, features, "synthetic")
     mdf = df.filter(F.col(label) == mino).select(key, features)
     # blocks of ~5,000 rows: a block pair is a 5,000 x 5,000 distance tile
     nb = n_blocks or max(1, int(np.ceil(n_min / 5000)))
@@ -85,17 +86,17 @@ def smote(df: DataFrame, features: str = "features", label: str = "label", key:
     reps = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     nbr_lists = nn.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("_nbrs"))
     reps = reps.join(nbr_lists.withColumnRenamed("key", key), key)  # at most k neighbours per row
-    pick = (F.abs(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_copy"))) % F.size("_nbrs")).cast("int")
+    pick = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_copy")), F.size("_nbrs")).cast("int")
     reps = reps.withColumn("_nbr", F.element_at("_nbrs", pick + 1)["nbr"])
-    u = (F.abs(F.xxhash64(F.lit(seed + 2), F.col(key), F.col("_copy"))) % 1_000_000_007) / 1_000_000_007.0
+    u = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(key), F.col("_copy")), F.lit(1_000_000_007)) / 1_000_000_007.0
     reps = reps.withColumn("_u", u)
     other = mdf.select(F.col(key).alias("_nbr"), F.col(features).alias("_nf"))
     syn = reps.join(other, "_nbr").select(
-        (-(F.col(key) * 1000 + F.col("_copy"))).alias(key),
+        F.col(key), F.col("_copy").cast("int").alias("copy"),
         F.lit(mino).cast(df.schema[label].dataType).alias(label),
         F.zip_with(features, "_nf", lambda a, b: a + F.col("_u") * (b - a)).alias(features),
         F.lit(True).alias("synthetic"))
-    return base.select(key, label, features, "synthetic").unionByName(syn)
+    return base.select(key, F.lit(0).alias("copy"), label, features, "synthetic").unionByName(syn)
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:

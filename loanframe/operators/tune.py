@@ -3,14 +3,13 @@
 The panel fits every estimator (failures become a row with NULL metrics and
 the error text), scores all fitted models on the test rows in ONE pass
 (``score_many``) and computes every metric for every model in one grouped
-job.  Grid search scores each (candidate, outer fold) on its held-out rows
-with the exact AUC (K1), all in one job; independent fits run concurrently
-from a small driver thread pool, as ``CrossValidator(parallelism=)`` does.
+job.  Grid search fixes outer and inner folds once, as columns, and fits the
+models of all candidates and folds together (``functions/lockstep.py``); one
+exact AUC job (K1) judges them all.
 """
 
 from __future__ import annotations
 
-import threading
 import traceback
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.lockstep import Fit, fit_together, held_out_scores
 from loanframe.operators import metrics as K
 from loanframe.operators import models as M
 from loanframe.operators.online import fit_online
 from loanframe.operators.svm import fit_linear_svc
+from loanframe.session import shared_table
 
 PANEL_SCHEMA = ("model string, roc_auc double, pr_auc double, log_loss double, brier_score double,"
                 " matthews_corrcoef double, error string")
@@ -106,12 +107,6 @@ def slice_features(df: DataFrame, keep: list[int], features: str = M.FEATURES) -
                          else F.array().cast("array<double>"))
 
 
-# selection results shared by candidates fitted on the same frame object
-# (grid search keeps one frame per outer fold alive while it runs)
-_SELECT_CACHE: dict = {}
-_SELECT_LOCK = threading.Lock()
-
-
 @dataclass
 class SelectThenClassify:
     """SelectFromModel(L1 LRCV, balanced) -> L2 LRCV (balanced)."""
@@ -119,106 +114,116 @@ class SelectThenClassify:
     final_cv: int = 5
     Cs: tuple = (0.01, 0.1, 1.0, 10.0)
     scoring: str = "roc_auc"
-    share: bool = False  # share the selection step (only inside grid_search)
 
     def fit(self, train: DataFrame) -> M.LinearScorer:
-        if not self.share:
-            return self._fit(train, select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0])
-        key = (id(train), self.select_cv, tuple(self.Cs), self.scoring)
-        with _SELECT_LOCK:
-            ev = _SELECT_CACHE.get(key)
-            if ev is None:
-                ev = _SELECT_CACHE[key] = {"event": threading.Event()}
-                owner = True
-            else:
-                owner = False
-        if owner:
-            try:
-                ev["keep"] = select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0]
-            finally:
-                ev["event"].set()
-        ev["event"].wait()
-        if "keep" not in ev:
-            raise RuntimeError("feature selection failed")
-        return self._fit(train, ev["keep"])
-
-    def _fit(self, train: DataFrame, keep: list[int]) -> M.LinearScorer:
+        keep = select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0]
         sliced = slice_features(train, keep)
         m = M.fit_logistic_cv(sliced, "l2", Cs=list(self.Cs), cv=self.final_cv,
                               weights=M.class_weights(sliced), scoring=self.scoring)
-        full = np.zeros(_width_of(train))
+        full = np.zeros(M._width(train))
         for j, i in enumerate(keep):
             full[i] = m.w[j]
         return M.LinearScorer("SelectFromModel+LogisticRegressionCV", full, m.b, link="logit",
                               info={"selected": keep, "best_C": m.info.get("best_C")})
 
 
-def _width_of(df: DataFrame) -> int:
-    return M._width(df)
-
-
 # ------------------------------------------------------------ M17-M19
 
-def grid_search(train: DataFrame, candidates: dict[str, Callable[[DataFrame], M.LinearScorer]],
-                cv: int = 5, parallelism: int = 4) -> tuple[DataFrame, M.LinearScorer]:
-    """Exact-AUC grid search: every candidate is fitted on k-1 stratified
-    folds and scored on the held-out fold; all held-out scores of all
-    candidates go through one AUC job; the best candidate (mean AUC) is
-    refitted on all rows.  Returns (cv table, best model)."""
-    d = M.stratified_folds(train, cv, out="outer_fold").persist()
-    fold_train: dict = {}
-    try:
-        tasks = [(c, k) for c in candidates for k in range(cv)]
-        # one frame object per outer fold, so candidates can share work
-        # done on the same training rows (e.g. a common selection step)
-        fold_train = {k: d.filter(F.col("outer_fold") != k).drop("outer_fold") for k in range(cv)}
-
-        def run(t):
-            c, k = t
-            return t, candidates[c](fold_train[k])
-
-        with ThreadPoolExecutor(max_workers=parallelism) as ex:
-            fitted = dict(ex.map(run, tasks))
-        names = {f"{c}@{k}": m for (c, k), m in fitted.items()}
-        scores = M.score_many(d, names, fold="outer_fold")
-        auc = K.roc_auc(scores)
-        table = (auc.withColumn("candidate", F.split("model", "@")[0])
-                 .withColumn("fold", F.split("model", "@")[1].cast("int"))
-                 .groupBy("candidate").agg(F.avg("roc_auc").alias("mean_roc_auc"),
-                                           F.stddev_pop("roc_auc").alias("std_roc_auc"),
-                                           F.count(F.lit(1)).alias("folds")))
-        rows = table.collect()
-        best = max(rows, key=lambda r: (r["mean_roc_auc"], r["candidate"]))["candidate"]
-        final = candidates[best](d.drop("outer_fold"))
-        final.info["best_candidate"] = best
-        ranked = table.withColumn("best", F.col("candidate") == F.lit(best))
-        return ranked, final
-    finally:
-        with _SELECT_LOCK:
-            for k in [k for k in _SELECT_CACHE if k[0] in {id(f) for f in fold_train.values()}]:
-                del _SELECT_CACHE[k]
-        d.unpersist()
-
-
-def l2_pipeline_candidates() -> dict:
-    """Select cv x final cv in {3, 5} x {3, 5}, Cs 0.01..10, roc_auc."""
-    out = {}
-    for a in (3, 5):
-        for b in (3, 5):
-            out[f"select_cv={a},final_cv={b}"] = SelectThenClassify(a, b, share=True).fit
-    return out
-
-
-def l1_candidates() -> dict:
-    """L1 LRCV (balanced), Cs 0.01..10, inner cv in {3, 5, 10}, roc_auc."""
-    def make(cv):
-        return lambda d: M.fit_logistic_cv(d, "l1", Cs=[0.01, 0.1, 1.0, 10.0], cv=cv,
-                                           weights=M.class_weights(d), scoring="roc_auc")
-    return {f"cv={cv}": make(cv) for cv in (3, 5, 10)}
-
-
-def svc_l1_candidates() -> dict:
+CS = (0.01, 0.1, 1.0, 10.0)
+
+
+def _prepared(train: DataFrame, cv: int, inner: list[int], seed: int = 42) -> tuple[DataFrame, dict, int]:
+    """Rows with their outer and inner folds, fixed in a table and read by every pass; class weights of every
+    outer training part (None: all rows); number of features."""
+    d = M.stratified_folds(train, cv, seed=seed, out="outer")
+    for k in inner:
+        d = M.stratified_folds(d, k, seed=seed + k, out=f"f{k}")
+    d = shared_table(d.where(F.col(M.LABEL).isNotNull()), "grid")
+    counts = {(r["outer"], r[M.LABEL]): r["count"] for r in d.groupBy("outer", M.LABEL).count().collect()}
+    weights = {}
+    for o in [*range(cv), None]:
+        n = [sum(v for (fold, y), v in counts.items() if fold != o and int(y) == c) for c in (0, 1)]
+        weights[o] = tuple(sum(n) / (2.0 * x) if x else 0.0 for x in n)
+    return d, weights, M._width(d)
+
+
+def _aucs(d: DataFrame, fits: list[Fit]) -> list[float]:
+    """Exact AUC (K1) of every model on the rows that judge it, in one job."""
+    got = {int(r["model"]): r["roc_auc"] for r in K.roc_auc(held_out_scores(d, fits)).collect()}
+    return [got[m] if got.get(m) is not None else float("nan") for m in range(len(fits))]
+
+
+def _cross_validated(d: DataFrame, p: int, weights: dict, jobs: list[tuple], l1: float, l2: float,
+                     keeps: dict | None = None) -> dict[tuple, Fit]:
+    """Logistic regression with C by inner cross-validation for every job (outer, inner cv, ...): all inner
+    models of all jobs in lockstep along the path of C, then all refits in lockstep."""
+    inner = [(job, k) for job in jobs for k in range(job[1])]
+    keep = {job: keeps[job] if keeps else None for job in jobs}
+    paths: dict[float, list[Fit]] = {}
+    last: list = [None] * len(inner)
+    for c in CS:
+        paths[c] = fit_together(d, [Fit(job[0], f"f{job[1]}", k, c, l1, l2, weights[job[0]], keep=keep[job], beta=last[i])
+                                    for i, (job, k) in enumerate(inner)], p)
+        last = [f.beta for f in paths[c]]
+    flat = [f for c in CS for f in paths[c]]
+    auc = np.array(_aucs(d, flat)).reshape(len(CS), len(inner))
+    best, start = {}, {}
+    for job in jobs:
+        at = [i for i, (j, _) in enumerate(inner) if j == job]
+        means = auc[:, at].mean(axis=1)
+        n = int(np.nanargmax(means)) if not np.isnan(means).all() else 0
+        best[job], start[job] = CS[n], paths[CS[n]][at[0]].beta
+    final = fit_together(d, [Fit(job[0], None, None, best[job], l1, l2, weights[job[0]], keep=keep[job], beta=start[job])
+                             for job in jobs], p)
+    return dict(zip(jobs, final, strict=True))
+
+
+def _judged(d: DataFrame, candidates: dict[str, dict], cv: int, link: str) -> tuple[DataFrame, M.LinearScorer]:
+    """Mean and spread of the held-out AUC of ``{candidate: {outer fold or None: model}}``; the best one, fitted on all rows."""
+    names = [(c, o) for c in candidates for o in range(cv)]
+    auc = dict(zip(names, _aucs(d, [candidates[c][o] for c, o in names]), strict=True))
+    rows = []
+    for c, models in candidates.items():
+        v = np.array([auc[c, o] for o in range(cv)])
+        rows.append((c, float(v.mean()), float(v.std()), cv, all(f.converged for f in models.values())))
+    best = max(rows, key=lambda r: (-np.inf if np.isnan(r[1]) else r[1], r[0]))[0]
+    f = candidates[best][None]
+    scorer = M.LinearScorer(best, f.beta[:-1], float(f.beta[-1]), link=link,
+                            info={"best_candidate": best, "C": f.C, "converged": f.converged})
+    table = d.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], (
+        "candidate string, mean_roc_auc double, std_roc_auc double, folds bigint, converged boolean, best boolean"))
+    return table, scorer
+
+
+def grid_l2(train: DataFrame, cv: int = 5, selects=(3, 5), finals=(3, 5), threshold: float = 1e-5):
+    """Select cv x final cv, C 0.01..10, roc_auc.  The selection depends on the select cv alone, so it is
+    done once for both final cvs; every step moves all candidates and outer folds together."""
+    d, weights, p = _prepared(train, cv, sorted({*selects, *finals}))
+    outers = [*range(cv), None]
+    chosen = _cross_validated(d, p, weights, [(o, a) for o in outers for a in selects], 1.0, 0.0)
+    keeps = {(o, b, a): np.abs(chosen[o, a].beta[:-1]) > threshold for o in outers for a in selects for b in finals}
+    fitted = _cross_validated(d, p, weights, list(keeps), 0.0, 1.0, keeps)
+    return _judged(d, {f"select_cv={a},final_cv={b}": {o: fitted[o, b, a] for o in outers}
+                       for a in selects for b in finals}, cv, "logit")
+
+
+def grid_l1(train: DataFrame, cv: int = 5, inner=(3, 5, 10)):
+    """L1 logistic regression with balanced classes, C 0.01..10 by inner cv of 3, 5 or 10, roc_auc."""
+    d, weights, p = _prepared(train, cv, list(inner))
+    outers = [*range(cv), None]
+    fitted = _cross_validated(d, p, weights, [(o, k) for o in outers for k in inner], 1.0, 0.0)
+    return _judged(d, {f"cv={k}": {o: fitted[o, k] for o in outers} for k in inner}, cv, "logit")
+
+
+def grid_svc(train: DataFrame, cv: int = 5, Cs=CS):
     """L1 linear SVM (squared hinge, balanced), C in 0.01, 0.1, 1, 10."""
-    def make(c):
-        return lambda d: fit_linear_svc(d, C=c, penalty="l1", weights=M.class_weights(d))
-    return {f"C={c}": make(c) for c in (0.01, 0.1, 1.0, 10.0)}
+    d, weights, p = _prepared(train, cv, [])
+    outers = [*range(cv), None]
+    last = {o: None for o in outers}
+    out: dict[str, dict] = {}
+    for c in sorted(Cs):
+        fits = fit_together(d, [Fit(o, None, None, c, 1.0, 0.0, weights[o], "squared_hinge", True, beta=last[o])
+                                for o in outers], p)
+        out[f"C={c}"] = dict(zip(outers, fits, strict=True))
+        last = {o: f.beta for o, f in out[f"C={c}"].items()}
+    return _judged(d, out, cv, "none")

@@ -89,19 +89,19 @@ def m16_select_then_classify(spark, sf_dir):
 @register("m17_grid_select_l2")
 def m17_grid_select_l2(spark, sf_dir):
     tr, _, _ = model_data(spark, sf_dir)
-    return TU.grid_search(tr, TU.l2_pipeline_candidates())[0]
+    return TU.grid_l2(tr)[0]
 
 
 @register("m18_grid_l1")
 def m18_grid_l1(spark, sf_dir):
     tr, _, _ = model_data(spark, sf_dir)
-    return TU.grid_search(tr, TU.l1_candidates())[0]
+    return TU.grid_l1(tr)[0]
 
 
 @register("m19_grid_svc_l1")
 def m19_grid_svc_l1(spark, sf_dir):
     tr, _, _ = model_data(spark, sf_dir)
-    return TU.grid_search(tr, TU.svc_l1_candidates())[0]
+    return TU.grid_svc(tr)[0]
 
 
 @register("m20_compare_models")

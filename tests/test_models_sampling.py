@@ -56,3 +56,61 @@ def test_split_disjoint_and_complete(spark):
     tr, te = L.train_test(spark, SF_SMALL)
     n, a, b = d.count(), tr.count(), te.count()
     assert a + b == n and tr.join(te, "loan_id").count() == 0
+
+
+def _log_loss_grad(x, y, w, b, wt):
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    return x.T @ (wt * (p - y)), np.sum(wt * (p - y))
+
+
+def test_lockstep_models_reach_their_optimum(spark):
+    """Every model of a lockstep fit satisfies the optimality conditions of its own training rows, L1 and L2."""
+    from loanframe.functions.lockstep import Fit, fit_together
+    df, x, y = _toy(spark, 400)
+    outer = np.arange(400) % 3
+    d = df.withColumn("outer", (F.col("key") % 3).cast("int")).withColumn("f2", (F.col("key") % 2).cast("int"))
+    fits = fit_together(d, [Fit(1, None, None, 1.0), Fit(None, "f2", 0, 10.0, 1.0, 0.0, (1.0, 2.0)),
+                            Fit(0, None, None, 10_000.0, 1.0, 0.0), Fit(2, None, None, 1.0, keep=np.array([True, False, True]))],
+                        3, tol=1e-12)
+    assert all(f.converged for f in fits)
+    rows = [outer != 1, np.arange(400) % 2 != 0, outer != 0, outer != 2]
+    for f, r in zip(fits, rows):
+        w, b = f.beta[:3], f.beta[3]
+        g, gb = _log_loss_grad(x[r], y[r], w, b, np.where(y[r] == 1, f.weights[1], f.weights[0]))
+        g = f.C * g + f.l2 * w
+        use = np.ones(3, bool) if f.keep is None else f.keep
+        bad = np.where(w != 0, np.abs(g + f.l1 * np.sign(w)), np.maximum(np.abs(g) - f.l1, 0))
+        assert bad[use].max() < 1e-2 and f.C * abs(gb) < 1e-2, (bad, gb)
+        assert (w[~use] == 0).all()
+
+
+def test_grid_search_twice_on_different_data(spark):
+    """The second search never sees the first one's folds or selection."""
+    from loanframe.operators import tune as TU
+    a, _, _ = _toy(spark, 240, 1)
+    b, _, _ = _toy(spark, 240, 2)
+    t1, best = TU.grid_l2(a, cv=3, selects=(2,), finals=(2, 3))
+    TU.grid_l2(b, cv=3, selects=(2,), finals=(2, 3))
+    t3, _ = TU.grid_l2(a, cv=3, selects=(2,), finals=(2, 3))
+    assert sorted(map(tuple, t1.collect())) == sorted(map(tuple, t3.collect()))
+    assert t1.where("best").count() == 1 and best.info["converged"] and t1.agg(F.min("mean_roc_auc")).first()[0] > 0.9
+
+
+def test_smote_keys_of_many_copies(spark):
+    rows = [(i, 1, [float(i), 0.0]) for i in range(3)] + [(2**62 + i, 0, [0.0, float(i)]) for i in range(4600)]
+    out = smote(spark.createDataFrame(rows, "key bigint, label int, features array<double>"), k=2)
+    assert out.where("synthetic").count() == 4597
+    assert out.select("key", "copy").distinct().count() == out.count() == 9200
+
+
+def test_lda_uses_the_pooled_covariance(spark):
+    df, x, y = _toy(spark)
+    m = M.fit_lda(df)
+    s = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)) / (len(y) - 2)
+    assert np.allclose(m.w, np.linalg.solve(s, x[y == 1].mean(0) - x[y == 0].mean(0)), atol=1e-8)
+
+
+def test_folds_keep_rows_without_label(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "key bigint, label int")
+    f = M.stratified_folds(df, 5)
+    assert f.count() == 100 and f.where("label IS NULL").count() == 10
