@@ -4,29 +4,19 @@ Chained equations with a Bayesian ridge per column (round-robin, columns
 with fewer NULLs first, at most ``max_iter`` rounds, early stop when the
 largest row change is below ``tol`` times the largest observed value).
 
-Spark plan:
-
-* pass 1: means (start values), NULL counts and largest |x|, one aggregate;
-* pass 2: Gram matrix of the complete rows, once (they never change);
-* the incomplete rows (under 10 % in the cited data) are persisted; each
-  step is one aggregate over them: the Gram of the current imputed state
-  where the target is observed.  Every fitted step is a *linear column
-  expression*, so the imputed state is a chain of projections, not a Python
-  replay: it stays in whole-stage codegen and needs no materialisation.
-* the small p x p ridge problem is solved on the driver from the Gram
-  (evidence updates of MacKay 1992, as in Bayesian ridge regression).
-
-``transform`` replays the fitted steps as the same projections over any
-frame (rows without NULLs pass through unchanged): no aggregate, no shuffle.
+Within one pattern of missing columns every imputed value is a linear map of
+the row's observed values, and stays one after every step.  So one pass gives
+the Gram matrix of each pattern, and all steps of all rounds follow from
+those on the driver: the imputed rows' Gram is T G T'.  A second pass gives
+the largest row change of every round, which tells where to stop.  A fit is
+three aggregates whatever the number of rounds; ``transform`` is one
+projection, a CASE over the patterns.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loanframe.operators.base import FitEstimator, FittedModel
@@ -74,54 +64,81 @@ def bayesian_ridge_from_gram(n: float, sx: np.ndarray, sy: float, xtx: np.ndarra
     return w, float(ym - xm @ w)
 
 
-def _gram_aggs(z: list[Column], where: Column | None, tag: str) -> list[Column]:
-    """Sums of 1, z_i and z_i z_j (i <= j) over rows where ``where`` holds."""
-    def m(e):
-        return e if where is None else F.when(where, e)
-    aggs = [F.count(m(F.lit(1))).alias(f"{tag}_n")]
-    aggs += [F.sum(m(zi)).alias(f"{tag}_s{i}") for i, zi in enumerate(z)]
-    aggs += [F.sum(m(z[i] * z[j])).alias(f"{tag}_g{i}_{j}")
-             for i in range(len(z)) for j in range(i, len(z))]
-    return aggs
-
-
-def _gram_from_row(row, tag: str, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    n = float(row[f"{tag}_n"] or 0)
-    s = np.array([row[f"{tag}_s{i}"] or 0.0 for i in range(p)], dtype=float)
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"{tag}_g{i}_{j}"] or 0.0
-    return n, s, g
-
-
-def _apply_steps(df: DataFrame, cols: list[str], means: list[float], steps: list[dict],
-                 names: list[str]) -> DataFrame:
-    """Start values then the fitted steps, as projections.  ``names`` are
-    the working column names (state), masks are ``__m{i}``."""
-    p = len(cols)
-    d = df.withColumns({f"__m{i}": F.col(f"`{c}`").isNull() for i, c in enumerate(cols)})
-    d = d.withColumns({names[i]: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[i]))
-                       for i, c in enumerate(cols) if means[i] is not None})
-    for st in steps:
-        j = st["j"]
-        pred = F.lit(st["intercept"])
-        for k in range(p):
-            if k != j and st["coef"][k] != 0.0:
-                pred = pred + F.col(names[k]) * F.lit(st["coef"][k])
-        d = d.withColumn(names[j], F.when(F.col(f"__m{j}"), pred).otherwise(F.col(names[j])))
-    return d
+#: Up to so many patterns a transform is one CASE; beyond, the same steps one after another.
+CASES = 256
+
+
+def _mask(cols: list[str]) -> Column:
+    """Pattern of a row: the i-th character is 1 where column i is NULL."""
+    return F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in cols])
+
+
+def _start(pattern: str) -> np.ndarray:
+    """Map of a pattern before any step: rows are columns, the first column is the constant; NULLs start at 0."""
+    t = np.zeros((len(pattern), len(pattern) + 1))
+    for i, m in enumerate(pattern):
+        t[i, i + 1] = m == "0"
+    return t
+
+
+def _step(t: np.ndarray, pattern: str, j: int, w: np.ndarray, b: float) -> None:
+    """Apply a fitted step: where j is NULL it becomes w . z + b."""
+    if pattern[j] == "1":
+        new = w @ t
+        new[0] += b
+        t[j] = new
+
+
+def _linear(row: np.ndarray, x: list[Column]) -> Column:
+    out = F.lit(float(row[0]))
+    for k, v in enumerate(row[1:]):
+        if v != 0.0:
+            out = out + x[k] * F.lit(float(v))
+    return out
 
 
 class IterativeImputerModel(FittedModel):
     def apply(self, df, state):
-        cols = [c for c in self.input_cols() if state["means"][self.input_cols().index(c)] is not None]
-        allc = self.input_cols()
-        names = [f"__x{i}" for i in range(len(allc))]
-        d = _apply_steps(df, allc, state["means"], state["steps"], names)
-        out = {c: F.col(names[i]) for i, c in enumerate(allc) if c in cols}
-        d = d.withColumns(out)
-        return d.drop(*[f"__m{i}" for i in range(len(allc))], *names)
+        cols, means = self.input_cols(), state["means"]
+        live = [i for i, m in enumerate(means) if m is not None]
+        p = len(cols)
+        shift = [m if m is not None else 0.0 for m in means]
+        z = [F.col(f"`{c}`").cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)]
+        steps = [(st["j"], np.array(st["coef"]),
+                  st["intercept"] - shift[st["j"]] + float(np.dot(st["coef"], shift))) for st in state["steps"]]
+        if 2 ** len(live) > CASES:
+            return self._chain(df, cols, live, shift, steps)
+        out = {}
+        maps = {}
+        for bits in range(2 ** len(live)):
+            pattern = "".join("1" if i in live and bits >> live.index(i) & 1 else "0" for i in range(p))
+            maps[pattern] = _start(pattern)
+            for j, w, b in steps:
+                _step(maps[pattern], pattern, j, w, b)
+        dead = [i for i in range(p) if i not in live]
+        mask = F.concat(*[F.lit("0") if i in dead else F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0")
+                          for i, c in enumerate(cols)])
+        d = df.withColumn("__pattern", mask)
+        for i in live:
+            value = None
+            for pattern, t in maps.items():
+                if pattern[i] == "1":
+                    e = _linear(t[i], z) + F.lit(shift[i])
+                    value = F.when(F.col("__pattern") == pattern, e) if value is None else value.when(
+                        F.col("__pattern") == pattern, e)
+            out[cols[i]] = F.when(F.col(f"`{cols[i]}`").isNull(), value).otherwise(F.col(f"`{cols[i]}`").cast("double"))
+        return d.withColumns(out).drop("__pattern")
+
+    @staticmethod
+    def _chain(df, cols, live, shift, steps):
+        d = df.withColumns({f"__m{i}": F.col(f"`{cols[i]}`").isNull() for i in live})
+        d = d.withColumns({f"__z{i}": F.coalesce(F.col(f"`{cols[i]}`").cast("double") - F.lit(shift[i]), F.lit(0.0)) for i in live})
+        zs = {i: F.col(f"__z{i}") for i in live}
+        for j, w, b in steps:
+            row = np.concatenate([[b], [w[i] for i in live]])
+            d = d.withColumn(f"__z{j}", F.when(F.col(f"__m{j}"), _linear(row, list(zs.values()))).otherwise(zs[j]))
+        d = d.withColumns({cols[i]: zs[i] + F.lit(shift[i]) for i in live})
+        return d.drop(*[f"__{k}{i}" for i in live for k in "mz"])
 
 
 class IterativeImputer(FitEstimator):
@@ -143,65 +160,63 @@ class IterativeImputer(FitEstimator):
         max_abs = max([r1[f"_a{i}"] or 0.0 for i in range(p)] + [0.0])
         live = [i for i in range(p) if means[i] is not None]  # all-NULL columns are left out
         state = {"means": means, "steps": [], "rounds": 0}
-        if not live or opts.get("max_iter", 10) == 0:
+        rounds = int(opts.get("max_iter", 10))
+        if not live or rounds == 0:
             return state
-        shift = [means[i] if means[i] is not None else 0.0 for i in range(p)]
-        any_null = F.lit(False)
-        for i in live:
-            any_null = any_null | x[i].isNull()
-        # pass 2: Gram of complete rows (shifted by the means, for precision)
-        zc = [x[i] - F.lit(shift[i]) for i in live]
-        rc = df.filter(~any_null).agg(*_gram_aggs(zc, None, "c")).first()
-        nc, sc, gc = _gram_from_row(rc, "c", len(live))
-
-        inc = df.filter(any_null).select(*[F.col(f"`{cols[i]}`") for i in range(p)])
-        inc = inc.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            order = sorted(live, key=lambda i: (nulls[i], live.index(i)))
-            names = [f"__x{i}" for i in range(p)]
-            steps: list[dict] = []
-            tol = float(opts.get("tol", 1e-3)) * max_abs
-            for rnd in range(int(opts.get("max_iter", 10))):
-                prev_steps = list(steps)
-                for j in order:
-                    cur = _apply_steps(inc, cols, means, steps, names)
-                    z = [F.col(names[i]) - F.lit(shift[i]) for i in live]
-                    ri = cur.agg(*_gram_aggs(z, ~F.col(f"__m{j}"), "i")).first()
-                    ni, si, gi = _gram_from_row(ri, "i", len(live))
-                    n, s, g = nc + ni, sc + si, gc + gi
-                    jj = live.index(j)
-                    others = [k for k in range(len(live)) if k != jj]
-                    w, b = bayesian_ridge_from_gram(
-                        n, s[others], s[jj], g[np.ix_(others, others)], g[others, jj], g[jj, jj])
-                    coef = [0.0] * p
-                    intercept = shift[j] + b
-                    for pos, k in enumerate(others):
-                        coef[live[k]] = float(w[pos])
-                        intercept -= float(w[pos]) * shift[live[k]]
-                    steps.append({"j": j, "coef": coef, "intercept": float(intercept)})
-                state["rounds"] = rnd + 1
-                # early stop: largest row sum of |change| over this round
-                a = _apply_steps(inc, cols, means, prev_steps, names)
-                a = a.withColumns({f"__p{i}": F.col(names[i]) for i in live})
-                a = _apply_steps(a.drop(*names, *[f"__m{i}" for i in range(p)]), cols, means, steps, names)
-                change = sum((F.abs(F.col(names[i]) - F.col(f"__p{i}")) for i in live), F.lit(0.0))
-                inf_norm = a.agg(F.max(change).alias("d")).first()["d"] or 0.0
-                if inf_norm < tol:
-                    break
-            state["steps"] = steps
-        finally:
-            inc.unpersist()
+        shift = np.array([means[i] for i in live])
+        names = [cols[i] for i in live]
+        q = len(live)
+        # Gram of (1, z) for every pattern, z shifted by the means (for precision) and 0 where NULL
+        z = [F.lit(1.0), *[F.coalesce(x[i] - F.lit(float(means[i])), F.lit(0.0)) for i in live]]
+        rows = df.groupBy(_mask(names).alias("pattern")).agg(
+            *[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(q + 1) for j in range(i, q + 1)]).collect()
+        grams = {}
+        for r in rows:
+            g = np.zeros((q + 1, q + 1))
+            for i in range(q + 1):
+                for j in range(i, q + 1):
+                    g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+            grams[r["pattern"]] = g
+        maps = {pattern: _start(pattern) for pattern in grams}
+        order = sorted(range(q), key=lambda i: (nulls[live[i]], i))
+        steps: list[tuple[int, np.ndarray, float]] = []
+        after = [{k: t.copy() for k, t in maps.items()}]
+        one = np.eye(1, q + 1)
+        for _ in range(rounds):
+            for j in order:
+                full = np.zeros((q + 1, q + 1))              # Gram of (1, imputed z) where j is observed
+                for pattern, g in grams.items():
+                    if pattern[j] == "0":
+                        t = np.vstack([one, maps[pattern]])
+                        full += t @ g @ t.T
+                others = [k for k in range(q) if k != j]
+                at = np.array(others, dtype=int) + 1
+                w, b = bayesian_ridge_from_gram(full[0, 0], full[0, at], full[0, j + 1], full[np.ix_(at, at)],
+                                                full[at, j + 1], full[j + 1, j + 1])
+                coef = np.zeros(q)
+                coef[others] = w
+                steps.append((j, coef, b))
+                for pattern in maps:
+                    _step(maps[pattern], pattern, j, coef, b)
+            after.append({k: t.copy() for k, t in maps.items()})
+        # largest row sum of |change| in every round, all rounds in one pass
+        tol = float(opts.get("tol", 1e-3)) * max_abs
+        worst = []
+        for k in range(1, rounds + 1):
+            value = None
+            for pattern in grams:
+                delta = after[k][pattern] - after[k - 1][pattern]
+                if np.any(delta):
+                    change = sum((F.abs(_linear(delta[i], z[1:])) for i in range(q) if np.any(delta[i])), F.lit(0.0))
+                    value = (F.when(F.col("__pattern") == pattern, change) if value is None
+                             else value.when(F.col("__pattern") == pattern, change))
+            worst.append(F.max(value if value is not None else F.lit(0.0)).alias(f"r{k}"))
+        top = df.withColumn("__pattern", _mask(names)).agg(*worst).first()
+        done = next((k for k in range(1, rounds + 1) if (top[f"r{k}"] or 0.0) < tol), rounds)
+        state["rounds"] = done
+        for j, coef, b in steps[:done * q]:
+            full = [0.0] * p
+            for k in range(q):
+                full[live[k]] = float(coef[k])
+            state["steps"].append({"j": live[j], "coef": full, "intercept": float(shift[j] + b - coef @ shift)})
         return state
-
-
-def impute_table(model: IterativeImputerModel, df: DataFrame, key: str) -> DataFrame:
-    """The imputed values of the rows that had NULLs (for inspection)."""
-    cols = model.input_cols()
-    any_null = F.lit(False)
-    for c in cols:
-        any_null = any_null | F.col(c).isNull()
-    return model.transform(df.filter(any_null)).select(key, *cols)
-
-
-def _isfinite(v) -> bool:
-    return v is not None and math.isfinite(v)

@@ -70,7 +70,9 @@ def test_round_trip(spark):
     assert back[None]["decoded"] == "" and back[None]["ids"] == [] and back[0]["n_pieces"] == 0
     assert P.encode(df.limit(0), v).count() == 0
     assert [r["ids"] for r in P.encode(df.where("doc_id = 3"), v).collect()] == [back[3]["ids"]] * 2
-    assert P.decode_ids([-1, 10**6, v.ids[" a"]], v.raw) == "a"
+    import pyarrow as pa
+    raw = pa.array([*v.raw, b""], pa.large_binary())
+    assert P.decode_ids(np.array([-1, 10**6, v.ids[" a"], 3 + 0xFF]), np.array([0, 3, 3, 4]), raw) == ["a", "", "\ufffd"]
 
 
 def test_query_round_trips_documents(spark):
