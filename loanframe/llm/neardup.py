@@ -10,11 +10,13 @@
    probability 1e-8, one of 0.8 with 2e-6.
 3. Every member of a bucket is verified against the bucket's smallest member
    on the full shingle sets, and linked members are grouped by union-find.
-4. Buckets whose members are still in different groups are searched for the
-   remaining links: members of different groups are compared by signature in
-   blocks, and pairs that may be similar are verified on full sets.  Pairs
-   within a group need no look, so a bucket with thousands of copies costs
-   as many comparisons as it has members.
+4. Buckets whose members are still in different groups may hold more links.
+   Members of different groups whose signatures agree well enough form crowds
+   (union-find again, inside blocks of a bucket and then over all), and each
+   crowd is searched on full sets, in block pairs.  Both steps hand on only
+   links that join trees, so no group's pairs are ever written out, and pairs within a
+   group need no look: a bucket with thousands of copies costs as many
+   comparisons as it has members.
 
 No bucket is capped; nothing but counts reaches the driver.
 """
@@ -22,9 +24,10 @@ No bucket is capped; nothing but counts reaches the driver.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,8 @@ from loanframe.llm.common import GOLD, components, map_batches, mix64, shingle_s
 POSITIONS, BANDS, ROWS = 100, 25, 4
 #: Signature agreement below which a pair can't be similar: six standard deviations below the threshold.
 MARGIN = 6.0
-BLOCK = 1024
+#: Texts and bytes in a block of a bucket or crowd.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
 def superminhash(elements: np.ndarray, m: int = POSITIONS) -> np.ndarray:
@@ -107,51 +111,153 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return map_batches(both, run, f"u {kinds['u']}, v {kinds['v']}")
 
 
-def _band_rows(classes: DataFrame) -> DataFrame:
-    """Every class once for each band, with the key of its bucket there."""
-    rows = classes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
-    return rows.withColumn("key", F.xxhash64("band", F.substring(
-        F.col("sig"), F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS)))).drop("band")
-
-
-def _cross_pairs(classes: DataFrame, leaders: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket, in different groups, whose signatures agree in at least ``least`` of the positions."""
-    placed = classes.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
-        "root", F.coalesce("root", "rep"))
-    rows = _band_rows(placed)
-    own = groups.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    lead = leaders.join(own, "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader"))
-    strays = (rows.select("rep", "root", "key").join(lead, "key").where("root <> leader_root")
-              .groupBy("key", "leader_root").agg(F.count("*").alias("n_stray"), F.first("n").alias("n")))
-    m = rows.join(strays, "key")
-    # the leader's group fills blocks 0..na-1, the others na..na+ns-1; two blocks of the leader's group never meet
-    stray = F.col("root") != F.col("leader_root")
-    na, ns = F.ceil((F.col("n") - F.col("n_stray")) / BLOCK).cast("int"), F.ceil(F.col("n_stray") / BLOCK).cast("int")
-    spread = F.xxhash64("rep")
-    m = m.withColumns({"na": na, "ns": ns, "blk": F.when(stray, na + F.pmod(spread, ns)).otherwise(
-        F.pmod(spread, na)).cast("int")})
-    partners = F.when(stray, F.sequence(F.lit(0), F.col("na") + F.col("ns") - 1)).otherwise(
-        F.sequence(F.col("na"), F.col("na") + F.col("ns") - 1))
-    m = m.withColumn("other", F.explode(partners)).select(
-        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "root", "sig")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), POSITIONS)
-        root, rep, blk = pdf["root"].to_numpy(), pdf["rep"].to_numpy(), pdf["blk"].to_numpy()
-        left = np.flatnonzero(blk == pdf["i"].iloc[0])
-        right = np.flatnonzero(blk == pdf["j"].iloc[0])
-        us, vs = [], []
-        for at in left:
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, rep, leader, n): members of every bucket of at least two classes, its smallest member and its size."""
+    rows = classes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select("rep", F.xxhash64(
+        "band", F.substring(F.col("sig"), F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key"))
+    leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(leaders, "key").select("key", "rep", "leader", "n")
+
+
+class _Forest:
+    """Union-find inside one task; ``join`` says whether two trees were joined."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _by_block_pair(rows: DataFrame, group: str, work: Callable[[pa.Table], list[tuple[int, int]]], kind: str) -> DataFrame:
+    """``work`` on every (group, i, j) of ``rows(group, i, j, ...)``, streamed from sorted partitions: pairs (u, v)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            if b is None:
+                t, last = rest, True
+            else:
+                t, last = pa.Table.from_batches([b]), False
+                t = t if rest is None else pa.concat_tables([rest, t])
+            if t is None or not t.num_rows:
+                continue
+            place = np.stack([t[c].to_numpy() for c in (group, "i", "j")])
+            ends = (np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist()
+            cuts = [0, *ends, *([t.num_rows] if last else [])]
+            found = [p for x, y in zip(cuts, cuts[1:]) for p in work(t.slice(x, y - x))]
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()),
+                                              pa.array([min(p) for p in found], pa.int64())], names=["u", "v"])
+            rest = t.slice(cuts[-1])
+
+    n = [group, "i", "j"]
+    out = rows.repartition(*n).sortWithinPartitions(*n).mapInArrow(run, "u long, v long")
+    return out.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v")).distinct()
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of block i and of block j (the same rows where i = j)."""
+    blk = t["blk"].to_numpy()
+    return np.flatnonzero(blk == t["i"][0].as_py()), np.flatnonzero(blk == t["j"][0].as_py())
+
+
+def _paired(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """Deal the rows of each group to ``blocks`` hashed blocks and send each to every pair of its block."""
+    m = rows.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return m.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other")
+
+
+def _alike(members: DataFrame, classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between members of one bucket, in different groups, whose signatures agree in at least
+    ``least`` of the positions; only as many as connect them.
+
+    Pairs with the bucket's leader have been verified and are left out, and so
+    are buckets of two and members of the leader's group among themselves.
+    """
+    roots = groups.select(F.col("node").alias("rep"), "root")
+    m = members.where("n > 2").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    own = roots.select(F.col("rep").alias("leader"), F.col("root").alias("home"))
+    m = m.join(own, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
+    m = stored(m.where("rep <> leader").select("key", "rep", "root", "home"), "neardup-member")
+    counts = (m.groupBy("key").agg(F.count_if(F.col("root") != F.col("home")).alias("strays"), F.count("*").alias("n"))
+              .where("strays > 0 AND n > 1"))
+    m = _paired(m.join(counts, "key"), "key", F.ceil(F.col("n") / BLOCK)).drop("home", "strays", "n")
+    m = m.join(classes.select("rep", "sig"), "rep").select("key", "i", "j", "blk", "rep", "root", "sig")
+
+    def work(t: pa.Table) -> list[tuple[int, int]]:
+        left, right = _sides(t)
+        rep, root = t["rep"].to_numpy(), t["root"].to_numpy()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(len(rep), POSITIONS)
+        forest, out = _Forest(), []
+        for at in left.tolist():
             to = right[root[right] != root[at]]
-            hit = to[(sig[to] == sig[at]).sum(axis=1) >= least * POSITIONS]
-            us.append(np.full(len(hit), rep[at]))
-            vs.append(rep[hit])
-        u = np.concatenate(us) if us else np.empty(0, rep.dtype)
-        v = np.concatenate(vs) if vs else np.empty(0, rep.dtype)
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            for other in to[(sig[to] == sig[at]).sum(axis=1) >= least * POSITIONS].tolist():
+                if forest.join(at, other):
+                    out.append((int(rep[at]), int(rep[other])))
+        return out
+
+    return _by_block_pair(m, "key", work, dict(classes.dtypes)["rep"])
+
+
+def _links_inside(crowds: DataFrame, texts: DataFrame, groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """True links inside crowds (node, root) between different groups, on full sets; only as many as connect them.
+
+    Every member's text goes to its crowd's block pairs; there shingles are
+    numbered and intersections counted by matrix products.  Blocks have at most
+    about ``BLOCK`` texts and ``BLOCK_BYTES``.
+    """
+    known = groups.select(F.col("node").alias("rep"), F.col("root").alias("home"))
+    m = crowds.select(F.col("node").alias("rep"), F.col("root").alias("crowd")).join(known, "rep", "left")
+    m = m.withColumn("home", F.coalesce("home", "rep")).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    m = stored(m, "neardup-crowd")
+    size = m.groupBy("crowd").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"),
+                                  F.countDistinct("home").alias("homes")).where("homes > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("b") / BLOCK_BYTES), F.lit(1))
+    m = _paired(m.join(size, "crowd"), "crowd", blocks).select("crowd", "i", "j", "blk", "rep", "home", "text")
+
+    def work(t: pa.Table) -> list[tuple[int, int]]:
+        left, right = _sides(t)
+        rep, home = t["rep"].to_pylist(), t["home"].to_pylist()
+        sets = [text_set(x, width) for x in texts_of(t["text"].combine_chunks())]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        common = _intersections([sets[k] for k in left], [sets[k] for k in right])
+        near = den * common >= num * (size[left][:, None] + size[right][None, :] - common)
+        forest, out = _Forest(), []
+        for a, b in np.argwhere(near).tolist():
+            x, y = left[a], right[b]
+            if x != y and forest.join(home[x], home[y]):
+                out.append((rep[x], rep[y]))
+        return out
+
+    return _by_block_pair(m, "crowd", work, dict(crowds.dtypes)["root"])
+
 
-    kind = dict(classes.dtypes)["rep"]
-    return m.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    if not a or not b:
+        return out
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    places = [[np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)]) for s in side] for side in (a, b)]
+    for lo in range(0, len(shared), columns):
+        dense = []
+        for side in places:
+            m = np.zeros((len(side), min(columns, len(shared) - lo)), dtype=np.float32)
+            for r, p in enumerate(side):
+                m[r, p[np.searchsorted(p, lo):np.searchsorted(p, lo + columns)] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -172,12 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = feats.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
                      "neardup-class")
-    rows = _band_rows(classes)
-    leaders = stored(rows.select("rep", "key").groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"),
-                     "neardup-lead")
-    star = (rows.select("rep", "key").join(leaders, "key").where("rep <> leader")
-            .select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct())
-    star = stored(star, "neardup-star")
+    members = stored(_buckets(classes), "neardup-bucket")
+    star = stored(members.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(),
+                  "neardup-star")
     near = star.select("u").union(star.select("v")).distinct()
     texts = stored(src.join(near.select(F.col("u").alias("doc_id")), "doc_id")
                    .dropDuplicates(["doc_id", "text"]), "neardup-text")
@@ -185,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links)
     share = num / den
     least = share - MARGIN * (share * (1 - share) / POSITIONS) ** 0.5
-    more = stored(_verify(_cross_pairs(classes, leaders, groups, least), texts, width, num, den), "neardup-more")
+    crowds = components(_alike(members, classes, groups, least))
+    more = stored(_links_inside(crowds, texts, groups, width, num, den), "neardup-more")
     if more.take(1):
         groups = components(links.union(more))
     ids = usable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
