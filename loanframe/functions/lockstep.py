@@ -62,75 +62,90 @@ def _arrays(batch: pa.RecordBatch, fold_cols: list[str]):
             {c: b[c].to_numpy() for c in fold_cols})
 
 
-def _pass(d: DataFrame, fits: list[Fit], betas: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Loss, gradient and Hessian (unpenalised, times 1) of every model at its beta."""
+def _pass(d: DataFrame, fits: list[Fit], betas: list[np.ndarray], uses: list[np.ndarray]
+          ) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Loss and gradient (unpenalised, times 1) of every model at its beta, and the Hessian over the coordinates it uses."""
     q = len(betas[0])
-    iu = np.triu_indices(q)
     cols = sorted({f.folds for f in fits if f.folds})
-    jobs = [(Fit(f.outer, f.folds, f.fold, weights=f.weights, loss=f.loss), b) for f, b in zip(fits, betas, strict=True)]
+    jobs = [(Fit(f.outer, f.folds, f.fold, weights=f.weights, loss=f.loss), b, u)
+            for f, b, u in zip(fits, betas, uses, strict=True)]
 
     def part(batches):
-        acc = np.zeros((len(jobs), 1 + q + len(iu[0])))
+        acc = [np.zeros(1 + q + len(u) * (len(u) + 1) // 2) for _, _, u in jobs]
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y, outer, folds = _arrays(batch, cols)
-            for m, (f, beta) in enumerate(jobs):
+            for m, (f, beta, use) in enumerate(jobs):
                 rows = f.trains(outer, folds)
                 xt, yt = x[rows], y[rows]
+                iu = np.triu_indices(len(use))
                 w = np.where(yt > 0.5, f.weights[1], f.weights[0])
                 s = xt @ beta
                 if f.loss == "logistic":
                     p = 1.0 / (1.0 + np.exp(-np.clip(s, -700, 700)))
-                    acc[m, 0] += np.sum(w * (np.logaddexp(0.0, s) - yt * s))
-                    acc[m, 1:1 + q] += xt.T @ (w * (p - yt))
-                    acc[m, 1 + q:] += ((xt * (w * p * (1 - p))[:, None]).T @ xt)[iu]
+                    acc[m][0] += np.sum(w * (np.logaddexp(0.0, s) - yt * s))
+                    acc[m][1:1 + q] += xt.T @ (w * (p - yt))
+                    xu = xt[:, use]
+                    acc[m][1 + q:] += ((xu * (w * p * (1 - p))[:, None]).T @ xu)[iu]
                 else:
                     sign = 2.0 * yt - 1.0
                     gap = 1.0 - sign * s
                     act = gap > 0
                     xa, wa = xt[act], w[act]
-                    acc[m, 0] += np.sum(wa * gap[act] ** 2)
-                    acc[m, 1:1 + q] += xa.T @ (-2.0 * wa * sign[act] * gap[act])
-                    acc[m, 1 + q:] += (2.0 * (xa * wa[:, None]).T @ xa)[iu]
-        offsets = pa.array(np.arange(len(jobs) + 1) * acc.shape[1], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(jobs)), pa.int32()),
-                                          pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))], names=["m", "v"])
+                    acc[m][0] += np.sum(wa * gap[act] ** 2)
+                    acc[m][1:1 + q] += xa.T @ (-2.0 * wa * sign[act] * gap[act])
+                    xu = xa[:, use]
+                    acc[m][1 + q:] += (2.0 * (xu * wa[:, None]).T @ xu)[iu]
+        for m, v in enumerate(acc):
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.ListArray.from_arrays(
+                pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["m", "v"])
 
     rows = (d.select("features", "label", "outer", *cols).mapInArrow(part, "m int, v array<double>")
             .groupBy("m").agg(Summarizer.sum(array_to_vector(F.col("v"))).alias("s")).collect())
     out: list = [None] * len(fits)
     for r in rows:
-        v = r["s"].toArray()
-        h = np.zeros((q, q))
-        h[iu] = v[1 + q:]
+        v, k = r["s"].toArray(), len(uses[r["m"]])
+        h = np.zeros((k, k))
+        h[np.triu_indices(k)] = v[1 + q:]
         out[r["m"]] = (float(v[0]), v[1:1 + q], h + np.triu(h, 1).T)
-    return [o if o is not None else (0.0, np.zeros(q), np.zeros((q, q))) for o in out]
+    return [o if o is not None else (0.0, np.zeros(q), np.zeros((len(u), len(u)))) for o, u in zip(out, uses, strict=True)]
+
 
+def _l1_step(h: np.ndarray, g: np.ndarray, beta: np.ndarray, l1: np.ndarray, l2: np.ndarray,
+             rounds: int = 10, sweeps: int = 10, tol: float = 1e-6) -> np.ndarray:
+    """Step towards the minimum of the quadratic model plus penalties, by coordinate descent: rounds over all
+    coordinates, between them sweeps over those that aren't zero.  It needn't be exact: the next step starts from a
+    new quadratic model."""
+    z, hz = beta.copy(), h @ beta
+    base, diag = g - hz, np.diag(h).tolist()
+    low, pen = (np.diag(h) + l2).tolist(), l1.tolist()
 
-def _l1_steps(h: np.ndarray, g: np.ndarray, beta: np.ndarray, l1: np.ndarray, l2: np.ndarray, free: np.ndarray,
-              sweeps: int = 1000, tol: float = 1e-7) -> np.ndarray:
-    """Minimisers of all models' quadratic models plus penalties, by coordinate descent on all models at once."""
-    z, hz = beta.copy(), np.einsum("mij,mj->mi", h, beta)
-    base = g - hz
-    diag = np.einsum("mii->mi", h)
-    denominator = np.where(free & (diag + l2 > 1e-12), diag + l2, np.inf)
-    for _ in range(sweeps):
+    def sweep(coordinates) -> float:
         big = 0.0
-        for j in range(z.shape[1]):
-            u = -(base[:, j] + hz[:, j] - diag[:, j] * z[:, j])
-            new = np.sign(u) * np.maximum(np.abs(u) - l1[:, j], 0.0) / denominator[:, j]
-            dz = new - z[:, j]
-            if dz.any():
-                hz += h[:, :, j] * dz[:, None]
-                z[:, j] = new
-                big = max(big, float(np.abs(dz).max()))
-        if big < tol:
+        for j in coordinates:
+            if low[j] <= 1e-12:
+                continue
+            old = float(z[j])
+            u = diag[j] * old - float(base[j]) - float(hz[j])
+            new = (u - pen[j] if u > pen[j] else u + pen[j] if u < -pen[j] else 0.0) / low[j]
+            if new != old:
+                np.add(hz, h[j] * (new - old), out=hz)
+                z[j] = new
+                big = max(big, abs(new - old))
+        return big
+
+    for _ in range(rounds):
+        if sweep(range(len(z))) < tol * max(1.0, float(np.abs(z).max())):
             break
+        active = np.flatnonzero(z).tolist()
+        for _ in range(sweeps):
+            if sweep(active) < tol * max(1.0, float(np.abs(z).max())):
+                break
     return z - beta
 
 
-def fit_together(d: DataFrame, fits: list[Fit], p: int, max_iter: int = 200, tol: float = 1e-6) -> list[Fit]:
+def fit_together(d: DataFrame, fits: list[Fit], p: int, max_iter: int = 100, tol: float = 1e-5) -> list[Fit]:
     """Fit all models of ``fits`` from their ``beta`` (zeros where None), until each has converged.
 
     A model stops when a step lowers its objective by less than ``tol`` of it,
@@ -153,39 +168,51 @@ def fit_together(d: DataFrame, fits: list[Fit], p: int, max_iter: int = 200, tol
     def objective(m, val, b):
         return fits[m].C * val + 0.5 * float(np.sum(l2[m] * b * b)) + float(np.sum(l1[m] * np.abs(b)))
 
+    def used(m, g):
+        """Coordinates that a step may move: all free ones, or with L1 those that aren't zero or that pull nearly as hard as the penalty."""
+        if fits[m].l1 == 0:
+            return np.flatnonzero(free[m])
+        pull = np.abs(fits[m].C * g + l2[m] * fits[m].beta) >= 0.8 * l1[m]
+        return np.flatnonzero(free[m] & (pull | (fits[m].beta != 0)))
+
     live = list(range(len(fits)))
-    at = dict(enumerate(_pass(d, fits, [f.beta for f in fits])))
+    none = [np.empty(0, dtype=int)] * len(fits)
+    first = _pass(d, fits, [f.beta for f in fits], none)
+    uses = {m: used(m, first[m][1]) for m in live}
+    at = dict(enumerate(_pass(d, fits, [f.beta for f in fits], [uses[m] for m in live])))
     obj = {m: objective(m, at[m][0], fits[m].beta) for m in live}
     step = {m: 1.0 for m in live}
     way: dict[int, np.ndarray] = {}
     for _ in range(max_iter):
-        fresh = [m for m in live if step[m] == 1.0]
-        lasso = [m for m in fresh if fits[m].l1 > 0]
-        if lasso:
-            c = np.array([fits[m].C for m in lasso])
-            steps = _l1_steps(np.stack([at[m][2] for m in lasso]) * c[:, None, None], np.stack([at[m][1] for m in lasso]) * c[:, None],
-                              np.stack([fits[m].beta for m in lasso]), l1[lasso], l2[lasso], free[lasso])
-            way.update(dict(zip(lasso, steps, strict=True)))
-        for m in fresh:
-            if fits[m].l1 == 0:
-                use = np.flatnonzero(free[m])
-                h = fits[m].C * at[m][2][np.ix_(use, use)] + np.diag(l2[m][use]) + 1e-12 * np.eye(len(use))
+        nxt = {}
+        for m in live:
+            f, use = fits[m], uses[m]
+            if step[m] == 1.0:
+                h, g = f.C * at[m][2], f.C * at[m][1][use]
                 way[m] = np.zeros(q)
-                way[m][use] = -np.linalg.solve(h, (fits[m].C * at[m][1] + l2[m] * fits[m].beta)[use])
+                if f.l1 > 0:
+                    way[m][use] = _l1_step(h, g, f.beta[use], l1[m][use], l2[m][use])
+                else:
+                    way[m][use] = -np.linalg.solve(h + np.diag(l2[m][use]) + 1e-12 * np.eye(len(use)), g + l2[m][use] * f.beta[use])
+            # what the next step may move is guessed from the gradient here; what is missed comes a step later
+            nxt[m] = np.union1d(use[(f.beta + way[m])[use] != 0] if f.l1 > 0 else use, used(m, at[m][1])).astype(int)
         tried = {m: fits[m].beta + step[m] * way[m] for m in live}
-        got = _pass(d, [fits[m] for m in live], [tried[m] for m in live])
+        got = _pass(d, [fits[m] for m in live], [tried[m] for m in live], [nxt[m] for m in live])
         for m, new in zip(list(live), got, strict=True):
+            f = fits[m]
             value = objective(m, new[0], tried[m])
             if value <= obj[m] + 1e-12 * max(1.0, abs(obj[m])):
                 gain = (obj[m] - value) / max(1.0, abs(obj[m]))
-                fits[m].beta, at[m], obj[m] = tried[m], new, value
-                fits[m].steps += 1
+                f.beta, at[m], obj[m], uses[m] = tried[m], new, value, nxt[m]
+                f.steps += 1
                 step[m] = 1.0
-                fits[m].converged = gain < tol
+                missed = np.setdiff1d(used(m, new[1]), uses[m])
+                missed = missed[np.abs(f.C * new[1][missed]) > l1[m][missed] * (1 + 1e-3)] if f.l1 > 0 else missed
+                f.converged = gain < tol and not len(missed)
             else:
                 step[m] *= 0.5
-                fits[m].converged = step[m] < 1e-6
-            if fits[m].converged:
+                f.converged = step[m] < 1e-6
+            if f.converged:
                 live.remove(m)
         if not live:
             break

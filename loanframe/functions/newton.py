@@ -120,128 +120,3 @@ def fit(df: DataFrame, features: str, label: str, p: int, loss: str = "logistic"
         if change < tol or rel < 1e-10:
             break
     return beta[:p], float(beta[p]), {"iterations": it, "passes": passes, "objective": obj}
-
-
-def _pass_folds(df: DataFrame, features: str, label: str, weight: str | None, fold: str,
-                betas: np.ndarray, loss: str, with_h: bool = True
-                ) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
-    """One pass for k fold models at once: model m is trained on rows with
-    fold != m and validated on rows with fold == m (accuracy counts)."""
-    k, q = betas.shape
-    iu = np.triu_indices(q)
-    nh = len(iu[0]) if with_h else 0
-    bs = betas.copy()
-
-    def fn(pdf):
-        x = matrix(pdf, features)
-        x = np.hstack([x, np.ones((len(x), 1))])
-        y = pdf[label].to_numpy(dtype=float)
-        w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(len(x))
-        fo = pdf[fold].to_numpy()
-        out = np.zeros(k * (3 + q + nh))
-        for m in range(k):
-            f = x @ bs[m]
-            tr, va = fo != m, fo == m
-            o = m * (3 + q + nh)
-            if loss == "logistic":
-                p = 1.0 / (1.0 + np.exp(-f[tr]))
-                out[o] = np.sum(w[tr] * (np.logaddexp(0.0, f[tr]) - y[tr] * f[tr]))
-                out[o + 3:o + 3 + q] = x[tr].T @ (w[tr] * (p - y[tr]))
-                h = (x[tr] * (w[tr] * p * (1 - p))[:, None]).T @ x[tr] if with_h else None
-                yv = y[va]
-                hit = (f[va] > 0) == (yv > 0.5)
-            else:
-                mm = 1.0 - y[tr] * f[tr]
-                act = mm > 0
-                xt, wt, yt = x[tr][act], w[tr][act], y[tr][act]
-                out[o] = np.sum(wt * mm[act] ** 2)
-                out[o + 3:o + 3 + q] = xt.T @ (-2.0 * wt * yt * mm[act])
-                h = 2.0 * (xt * wt[:, None]).T @ xt if with_h else None
-                hit = (f[va] > 0) == (y[va] > 0)
-            out[o + 1] = np.sum(hit)
-            out[o + 2] = np.sum(va)
-            if with_h:
-                out[o + 3 + q:o + 3 + q + nh] = h[iu]
-        return out
-
-    v = partition_sums(df, fn, k * (3 + q + nh)).reshape(k, 3 + q + nh)
-    vals, hits, g = v[:, 0], v[:, 1] / np.maximum(v[:, 2], 1.0), v[:, 3:3 + q]
-    if not with_h:
-        return vals, g, None, hits
-    hs = np.zeros((k, q, q))
-    for m in range(k):
-        hm = np.zeros((q, q))
-        hm[iu] = v[m, 3 + q:]
-        hs[m] = hm + np.triu(hm, 1).T
-    return vals, g, hs, hits
-
-
-def fit_path_cv(df: DataFrame, features: str, label: str, p: int, fold: str, k: int, Cs: list[float],
-                loss: str = "logistic", weight: str | None = None, l1_ratio: float = 0.0,
-                l1_scale: float = 1.0, l2_scale: float = 1.0, penalize_intercept: bool = False,
-                max_iter: int = 15, tol: float = 1e-4, reuse_hessian: bool = False) -> dict:
-    """k-fold CV of a path of C values: the k fold models move in lockstep
-    (one pass per Newton step serves all of them) and each C starts from
-    the previous C's solution.  Returns per-C fold betas and accuracies."""
-    q = p + 1
-    pen = np.ones(q)
-    if not penalize_intercept:
-        pen[-1] = 0.0
-    l1v, l2v = l1_ratio * l1_scale * pen, (1.0 - l1_ratio) * l2_scale * pen
-    betas = np.zeros((k, q))
-    out = {"betas": [], "accuracy": [], "passes": 0}
-
-    def objective(vals, bs, C):
-        return C * vals + 0.5 * np.sum(l2v * bs * bs, axis=1) + np.sum(l1v * np.abs(bs), axis=1)
-
-    hs = None
-    for C in sorted(Cs):
-        # measured: a gradient-only pass saves ~40 % of a pass but the
-        # modified Newton needs more passes, so the Hessian is refreshed on
-        # every pass unless ``reuse_hessian``
-        vals, g, hs_new, acc = _pass_folds(df, features, label, weight, fold, betas, loss, True)
-        hs = hs_new
-        out["passes"] += 1
-        obj = objective(vals, betas, C)
-        step = np.ones(k)
-        done = np.zeros(k, dtype=bool)
-        refresh = False
-        for _ in range(max_iter):
-            cand = betas.copy()
-            d_all = np.zeros((k, q))
-            for m in range(k):
-                if done[m]:
-                    continue
-                if l1_ratio == 0.0:
-                    d = -np.linalg.solve(C * hs[m] + np.diag(l2v) + 1e-12 * np.eye(q), C * g[m] + l2v * betas[m])
-                else:
-                    d = _cd_quadratic(C * hs[m], C * g[m], betas[m], l1v, l2v)
-                d_all[m] = d
-                cand[m] = betas[m] + step[m] * d
-            nvals, ng, nhs, nacc = _pass_folds(df, features, label, weight, fold, cand, loss,
-                                               refresh or not reuse_hessian)
-            out["passes"] += 1
-            nobj = objective(nvals, cand, C)
-            refresh = False
-            for m in range(k):
-                if done[m]:
-                    continue
-                if nobj[m] <= obj[m] + 1e-12 * max(1.0, abs(obj[m])):
-                    change = float(np.max(np.abs(cand[m] - betas[m])))
-                    rel = abs(obj[m] - nobj[m]) / max(1.0, abs(obj[m]))
-                    betas[m], g[m], obj[m], acc[m] = cand[m], ng[m], nobj[m], nacc[m]
-                    if nhs is not None:
-                        hs[m] = nhs[m]
-                    step[m] = 1.0
-                    if change < tol or rel < 1e-6:
-                        done[m] = True
-                else:
-                    step[m] *= 0.5
-                    refresh = True
-                    if step[m] < 1e-6:
-                        done[m] = True
-            if done.all():
-                break
-        out["betas"].append((C, betas.copy()))
-        out["accuracy"].append((C, acc.copy()))
-    return out

@@ -196,52 +196,47 @@ def score_many(df: DataFrame, scorers: dict[str, "LinearScorer"], features: str
     return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
 
 
-def fold_scores_auc(d: DataFrame, path: dict, fold: str = "fold", features: str = FEATURES,
-                    label: str = LABEL) -> dict[float, float]:
-    """Mean held-out ROC AUC of every C of a CV path, in one distributed job:
-    each row is scored by its own fold's model for every C (one numpy pass),
-    and K1 runs grouped by (C, fold)."""
-    from loanframe.operators.metrics import roc_auc
-    scorers = {}
-    for ci, (C, betas) in enumerate(path["betas"]):
-        for m, beta in enumerate(betas):
-            scorers[f"{ci}@{m}"] = LinearScorer("cv", beta[:-1], float(beta[-1]))
-    res = {r["model"]: r["roc_auc"] for r in roc_auc(score_many(d, scorers, fold=fold)).collect()}
-    out = {}
-    for ci, (C, betas) in enumerate(path["betas"]):
-        out[C] = float(np.mean([res.get(f"{ci}@{m}", float("nan")) for m in range(len(betas))]))
-    return out
-
-
 def fit_logistic_cv(train: DataFrame, penalty: str = "l2", Cs: list[float] | int = 10, cv: int = 5,
                     l1_ratio: float = 0.5, weights: dict[int, float] | None = None,
                     scoring: str = "accuracy", max_iter: int = 100,
                     name: str = "LogisticRegressionCV", folds_col: str | None = None) -> LinearScorer:
     """M2-M4: logistic regression with C chosen by stratified k-fold CV
     (mean held-out score: accuracy by default, or roc_auc), then refit on
-    all train rows with the best C.  All folds of all Cs cost one pass per
-    Newton step (lockstep folds, warm-started C path)."""
-    from loanframe.functions import newton
+    all train rows with the best C.  The models of all folds move in lockstep
+    along the path of C, each from its last solution, until they have converged
+    (``info["converged"]`` says whether all did within ``max_iter`` steps)."""
+    from loanframe.functions.lockstep import Fit, fit_together, held_out_scores
+    from loanframe.operators.metrics import roc_auc
     if isinstance(Cs, int):
         Cs = [float(v) for v in np.logspace(-4, 4, Cs)]
     ratio = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio}[penalty]
-    d = with_weights(train, weights)
-    d = d if folds_col else stratified_folds(d, cv)
+    w = (weights or {}).get(0, 1.0), (weights or {}).get(1, 1.0)
     fold = folds_col or "fold"
-    d = d.persist()
+    d = train if folds_col else stratified_folds(train, cv)
+    d = d.where(F.col(LABEL).isNotNull()).withColumn("outer", F.lit(0)).persist()
     try:
         p = _width(d)
-        path = newton.fit_path_cv(d, FEATURES, LABEL, p, fold, cv, Cs, "logistic", "weight",
-                                  l1_ratio=ratio)
+        fits: dict[float, list[Fit]] = {}
+        last = [None] * cv
+        for c in sorted(Cs):
+            fits[c] = fit_together(d, [Fit(None, fold, m, c, ratio, 1.0 - ratio, w, beta=last[m]) for m in range(cv)],
+                                   p, max_iter=max_iter)
+            last = [f.beta for f in fits[c]]
+        flat = [f for c in Cs for f in fits[c]]
+        scores = held_out_scores(d, flat)
         if scoring == "roc_auc":
-            means = fold_scores_auc(d, path, fold)
+            got = {r["model"]: r["roc_auc"] for r in roc_auc(scores).collect()}
         else:
-            means = {C: float(np.mean(acc)) for C, acc in path["accuracy"]}
-        best_c = max(Cs, key=lambda c: (means[c], -Cs.index(c)))
-        final = fit_logistic(d, best_c, ratio, "weight", max_iter, name=name)
-        final.info.update({"Cs": Cs, "cv_scores": [means[c] for c in Cs], "best_C": best_c,
-                           "penalty": penalty, "cv_passes": path["passes"]})
-        return final
+            hit = ((F.col("score") > 0).cast("int") == F.col("label")).cast("double")
+            got = {r["model"]: r["v"] for r in scores.groupBy("model").agg(F.avg(hit).alias("v")).collect()}
+        values = np.array([got.get(str(i)) if got.get(str(i)) is not None else np.nan for i in range(len(flat))])
+        means = dict(zip(Cs, values.reshape(len(Cs), cv).mean(axis=1).tolist(), strict=True))
+        best_c = max(Cs, key=lambda c: (means[c] if means[c] == means[c] else -np.inf, -Cs.index(c)))
+        best = fit_together(d, [Fit(None, None, None, best_c, ratio, 1.0 - ratio, w, beta=fits[best_c][0].beta)], p,
+                            max_iter=max_iter, tol=1e-7)[0]
+        return LinearScorer(name, best.beta[:-1], float(best.beta[-1]), link="logit", info={
+            "Cs": Cs, "cv_scores": [means[c] for c in Cs], "best_C": best_c, "penalty": penalty,
+            "converged": bool(best.converged and all(f.converged for f in flat))})
     finally:
         d.unpersist()
 
