@@ -47,11 +47,6 @@ def columns_of_kind(df: DataFrame, kind: str, exclude: Iterable[str] = ()) -> li
     return out
 
 
-def select_kind(df: DataFrame, kind: str, exclude: Iterable[str] = ()) -> DataFrame:
-    """P3 as a projection."""
-    return df.select(*columns_of_kind(df, kind, exclude))
-
-
 def null_flags(df: DataFrame, cols: Iterable[str], suffix: str = "_missing",
                names: Mapping[str, str] | None = None) -> DataFrame:
     """One boolean null indicator per column, all in one projection."""

@@ -216,19 +216,9 @@ class MostFrequentImputer(FitEstimator):
     Category columns come out as strings."""
     model_class = MostFrequentImputerModel
 
-    def __init__(self, inputCols=None, max_levels: int = MAX_LEVELS):
-        super().__init__(inputCols, max_levels=max_levels)
-
     def fit_state(self, df, cols, opts):
-        counts = level_counts(df, cols, opts.get("max_levels", MAX_LEVELS))
-        fill = {}
-        for c, lv in counts.items():
-            best = None
-            for level, n in lv:  # sorted by level: first max wins the tie
-                if best is None or n > best[1]:
-                    best = (level, n)
-            fill[c] = best[0] if best else None
-        return {"fill": fill}
+        found = {r["column"]: r["mode"] for r in most_frequent(df, cols).collect()}      # one row a column
+        return {"fill": {c: found.get(c) for c in cols}}
 
 
 def most_frequent(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -239,9 +239,10 @@ class YeoJohnson(FitEstimator):
     """Yeo-Johnson power transform, lambda by maximum likelihood.
 
     Log-likelihood -n/2 ln var(psi) + (lambda-1) sum sign(x) log1p|x| for
-    21 candidate lambdas of all columns in one aggregate, then ``refine``
-    more passes of 21 candidates in the bracket around the best.  No
-    standardising.  A candidate whose variance overflows loses.
+    21 candidate lambdas of all columns in one aggregate.  The bracket moves on
+    while the best is at its edge, and is then cut to its best twentieth
+    ``refine`` times; the parabola through the last three points gives the
+    maximum.  No standardising.  A candidate whose variance overflows loses.
     """
     model_class = YeoJohnsonModel
 
@@ -254,15 +255,32 @@ class YeoJohnson(FitEstimator):
         grids = {c: [float(v) for v in np.linspace(opts.get("lo", -5.0), opts.get("hi", 5.0), steps)]
                  for c in cols}
         best: dict[str, float] = {c: 1.0 for c in cols}
-        for _ in range(1 + int(opts.get("refine", 3))):
-            rows = yj_loglik_table(df, cols, grids).collect()  # p x steps rows
-            for c in cols:
-                cand = [(r["loglik"], r["lam"]) for r in rows if r["column"] == c and r["loglik"] is not None]
+        left = {c: 1 + int(opts.get("refine", 3)) for c in cols}
+        while any(left.values()):
+            open_ = [c for c in cols if left[c]]
+            rows = yj_loglik_table(df, open_, grids).collect()  # at most p x steps rows
+            for c in open_:
+                cand = sorted((r["lam"], r["loglik"]) for r in rows if r["column"] == c and r["loglik"] is not None)
                 lams = grids[c]
                 step = lams[1] - lams[0]
-                if cand:
-                    best[c] = float(max(cand)[1])
-                grids[c] = [float(v) for v in np.linspace(best[c] - step, best[c] + step, steps)]
+                if not cand:
+                    left[c] = 0
+                    continue
+                k = max(range(len(cand)), key=lambda i: cand[i][1])
+                best[c] = float(cand[k][0])
+                if 0 < k < len(cand) - 1:
+                    left[c] -= 1
+                    if not left[c]:
+                        lo, mid, hi = (cand[i][1] for i in (k - 1, k, k + 1))
+                        if lo + hi < 2 * mid:
+                            best[c] += 0.5 * step * (lo - hi) / (lo - 2 * mid + hi)
+                    half = step
+                elif len(cand) < len(lams) or abs(best[c]) > 1e6:
+                    left[c] -= 1                            # beyond lies overflow
+                    half = step
+                else:
+                    half = (lams[-1] - lams[0]) / 2
+                grids[c] = [float(v) for v in np.linspace(best[c] - half, best[c] + half, steps)]
         return {"lambdas": best}
 
 

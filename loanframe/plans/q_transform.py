@@ -107,9 +107,8 @@ def i2_iterative_impute(spark, sf_dir):
 @register("i3_yeo_johnson_lambdas")
 def i3_yeo_johnson_lambdas(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    cols = ["person_age", "person_income", "loan_amnt"]
-    lam = N.YeoJohnson(cols).fit(train).fitted()["lambdas"]
-    return spark.createDataFrame([(c, float(lam[c])) for c in cols], "column string, lambda double")
+    lam = N.YeoJohnson(NUM).fit(train).fitted()["lambdas"]
+    return spark.createDataFrame([(c, float(lam[c])) for c in NUM], "column string, lambda double")
 
 
 def _yj_sql(x: str, lam: float) -> str:
@@ -144,8 +143,7 @@ def i3_yeo_johnson_apply(spark, sf_dir):
 @register("i3_yeo_johnson")
 def i3_yeo_johnson(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    cols = ["person_age", "person_income", "loan_amnt"]
-    return N.YeoJohnson(cols).fit(train).transform(test).select("loan_id", *cols)
+    return N.YeoJohnson(NUM).fit(train).transform(test).select("loan_id", *NUM)
 
 
 # ------------------------------------------------------------------- I4

@@ -29,7 +29,7 @@ def test_imputer_fills_and_keeps_observed(spark):
 
 def test_winsorizer_within_fences_and_idempotent(spark):
     tr = _train(spark)
-    m = Winsorizer(["person_income", "loan_amnt"], method="exact").fit(tr)
+    m = Winsorizer(["person_income", "loan_amnt"]).fit(tr)
     once = m.transform(tr)
     f = m.fitted()["fences"]
     for c in ("person_income", "loan_amnt"):
@@ -61,10 +61,34 @@ def test_ordinal_and_mode(spark):
 
 def test_kbins_and_quantile_and_yeo_johnson(spark):
     tr = _train(spark)
-    kb = KBinsDiscretizer(["person_age"], n_bins=3, method="exact").fit(tr).transform(tr)
+    kb = KBinsDiscretizer(["person_age"], n_bins=3).fit(tr).transform(tr)
     assert {r[0] for r in kb.select("person_age").distinct().collect()} <= {0.0, 1.0, 2.0}
-    qt = QuantileTransformer(["loan_amnt"], method="exact").fit(tr).transform(tr)
+    qt = QuantileTransformer(["loan_amnt"]).fit(tr).transform(tr)
     r = qt.agg(F.avg("loan_amnt"), F.stddev("loan_amnt")).first()
     assert abs(r[0]) < 0.1 and 0.8 < r[1] < 1.25
     yj = YeoJohnson(["loan_amnt"]).fit(tr)
     assert -5 <= yj.fitted()["lambdas"]["loan_amnt"] <= 5
+
+
+def test_yeo_johnson_follows_its_maximum_beyond_the_first_bracket(spark):
+    from loanframe.operators import numeric as N
+    rng = np.random.default_rng(4)
+    a, b = np.exp(rng.normal(size=2000)), 3.0 + 0.8 * rng.normal(size=2000)
+    b = (1 + 9.0 * np.abs(b)) ** (1 / 9.0) - 1                     # its best lambda lies above 5
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    lam = N.YeoJohnson(["a", "b"]).fit(df).fitted()["lambdas"]
+
+    def loglik(x, v):
+        t = ((x + 1) ** v - 1) / v
+        return -len(x) / 2 * np.log(t.var()) + (v - 1) * np.log1p(x).sum()
+    for name, x in (("a", a), ("b", b)):
+        here = loglik(x, lam[name])
+        assert here >= max(loglik(x, lam[name] + d) for d in (-1e-3, 1e-3, -0.5, 0.5)) - 1e-9
+    assert lam["b"] > 5.5
+
+
+def test_most_frequent_of_many_levels_and_nulls(spark):
+    rows = [(f"level{i}", None if i % 2 else "x") for i in range(20_000)] + [("level7", "y"), (None, "y")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = MostFrequentImputer(["a", "b"]).fit(df).transform(df)
+    assert out.where("a = 'level7'").count() == 3 and out.where("b = 'x'").count() == 20_000
