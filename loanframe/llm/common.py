@@ -1,11 +1,10 @@
 """Helpers shared by the text operators: tables, shared storage, word hashing, components."""
 
-from __future__ import annotations
-
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +63,34 @@ def passing(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None,
     return src, out, back
 
 
+#: Bits of a membership filter (8 MB, whatever the number of keys).
+FILTER_BITS = 1 << 26
+
+
+def maybe_among(df: DataFrame, col: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be among ``keys`` (one column): a bitmap of hashed keys is broadcast and
+    looked up, so most other rows needn't be shuffled to the join that decides.  No row with a key is lost;
+    with very many keys the bitmap fills and all rows pass."""
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    k = keys.select(place(F.col(keys.columns[0])).alias("h"))
+    rows = k.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["m"], dtype=np.uint8)
+        at = (r["b"] - 1) * len(part)
+        whole[at:at + len(part)] = part[:len(whole) - at]
+    sent = df.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() - 1
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return df.where(among(place(F.col(col))))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL becomes the empty text."""
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loanframe.llm.common import GOLD, components, map_batches, mix64, shingle_set, stored, texts_of, word_hashes
+from loanframe.llm.common import GOLD, components, map_batches, maybe_among, mix64, shingle_set, stored, texts_of, word_hashes
 
 POSITIONS, BANDS, ROWS = 100, 25, 4
 #: Signature agreement below which a pair can't be similar: six standard deviations below the threshold.
@@ -281,8 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(_buckets(classes), "neardup-bucket")
     star = stored(members.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(),
                   "neardup-star")
-    near = star.select("u").union(star.select("v")).distinct()
-    texts = stored(src.join(near.select(F.col("u").alias("doc_id")), "doc_id")
+    near = star.select(F.col("u").alias("doc_id")).union(star.select("v")).distinct()
+    texts = stored(maybe_among(src, "doc_id", near).join(near, "doc_id")
                    .dropDuplicates(["doc_id", "text"]), "neardup-text")
     links = stored(_verify(star, texts, width, num, den), "neardup-link")
     groups = components(links)

@@ -6,7 +6,7 @@ import pytest
 
 from loanframe.llm import neardup as N
 from loanframe.llm import queries as Q
-from loanframe.llm.common import components, word_hashes
+from loanframe.llm.common import components, maybe_among, word_hashes
 from tests.conftest import SF_SMALL
 
 
@@ -116,3 +116,11 @@ def test_components_of_paths_and_stars(spark):
     df = spark.createDataFrame(path + star + [(7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_filter_loses_no_key_and_stops_most_others(spark):
+    keys = spark.range(0, 5000, 7).toDF("k")
+    df = spark.range(100_000).toDF("doc_id")
+    got = {r["doc_id"] for r in maybe_among(df, "doc_id", keys, bits=1 << 16).collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 3500
+    assert len({r["doc_id"] for r in maybe_among(df.limit(50), "doc_id", keys.limit(0)).collect()}) == 0
