@@ -53,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with the text they decode to."""
     vocab = pieces.vocabulary()
-    out = pieces.decode(pieces.encode(docs, vocab, n=1), vocab, text_col="text")
+    out = pieces.encode(docs, vocab, n=1, decoded="text")
     return out.select("doc_id", "text", "ids", "n_pieces", "score")
 
 

@@ -18,7 +18,15 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Rows of text in one Arrow batch: a worker holds a few MB of texts, not 10,000 whole documents.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; lowers the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
+        spark.conf.set(conf, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

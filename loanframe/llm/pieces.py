@@ -5,10 +5,12 @@ position the best score of reaching it; backward A-star search uses these as
 its exact heuristic, so complete segmentations leave the queue best first and
 the N best need no more work than N paths and their neighbours.
 
-Between two characters that no piece has side by side the lattice falls
-apart, so the N best of a text follow from those of its parts: the best of
-each part, and the smallest losses of changing parts.  Parts are words in the
-main and are kept in a bounded memory of the worker.
+No piece goes on behind a space or across a line end, so the lattice falls
+apart into words, and the N best of a text follow from those of its words.
+With exact heuristics the least loss of changing a word can be read off the
+edges beside its best path; only the N - 1 words of a text with the least
+losses are searched.  Best paths of words are kept in a bounded memory of the
+worker.
 
 Scores are those of the model file; a character without a piece is written as
 byte pieces, each scored below every piece.  Decoding gives every text back
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +34,10 @@ from pyspark.sql import types as T
 from loanframe.llm.common import passing
 
 MARK = "▁"
-#: Parts remembered by a worker (about 300 bytes each); the memory starts anew when full.
-REMEMBERED = 200_000
+#: Words remembered by a worker (about 250 bytes each); the memory starts anew when full.
+REMEMBERED = 250_000
+#: Signs that stand behind words.
+SIGNS = ".,;:!?*$#%&|)]}\"'"
 #: Words with the spaces before them, line ends, spaces at a line's end.
 WORD = re.compile(r" *[^ \n]+|\n| +")
 
@@ -52,8 +57,17 @@ class Vocabulary:
     bytes_first: int
     byte_score: float
     raw: list[bytes]
-    longest: int = 1
+    #: Tree of the pieces' characters; under "" a node has (score, id) where it is a piece.
+    trie: dict = field(default_factory=dict)
+    #: Characters that some piece has side by side.
     pairs: set[str] = field(default_factory=set)
+    encoders: dict[int, "Encoder"] = field(default_factory=dict)
+
+    def encoder(self, n: int) -> "Encoder":
+        """The encoder of this worker, which outlives a task with the words it remembers."""
+        if n not in self.encoders:
+            self.encoders[n] = Encoder(self, n)
+        return self.encoders[n]
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -78,31 +92,83 @@ class Vocabulary:
 
     @classmethod
     def build(cls, ids, scores, first, raw) -> "Vocabulary":
-        pairs = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
-        return cls(ids, scores, first, min(scores.values(), default=0.0) - 10.0, raw, max(map(len, ids), default=1), pairs)
-
-    def lattice(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        trie: dict = {}
+        for p, i in ids.items():
+            node = trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (scores[p], i)
+        return cls(ids, scores, first, min(scores.values(), default=0.0) - 10.0, raw, trie,
+                   {p[i:i + 2] for p in ids for i in range(len(p) - 1)})
+
+    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every end position the edges (start, score, ids) that reach it."""
-        n, ids, scores = len(part), self.ids, self.scores
+        n = len(word)
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = part[i:j]
-                if piece in ids:
-                    into[j].append((i, scores[piece], (ids[piece],)))
-            if part[i] not in ids:
-                raw = part[i].encode("utf-8", "surrogatepass")
+            node, j = self.trie, i
+            while j < n and (node := node.get(word[j])) is not None:
+                j += 1
+                if "" in node:
+                    into[j].append((i, node[""][0], (node[""][1],)))
+            if "" not in self.trie.get(word[i], ()):
+                raw = word[i].encode("utf-8", "surrogatepass")
                 into[i + 1].append((i, self.byte_score * len(raw), tuple(self.bytes_first + b for b in raw)))
         return into
 
-    def nbest(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations (score, ids) of a part, best first."""
-        into = self.lattice(part)
-        end = len(part)
-        best = [0.0] + [float("-inf")] * end
-        for j in range(1, end + 1):
-            best[j] = max(best[i] + s for i, s, _ in into[j])
-        queue = [(-best[end], 0, end, 0.0, None)]
+    @staticmethod
+    def forward(into: list) -> list[float]:
+        """Viterbi: the best score of reaching every position."""
+        best = [0.0]
+        for edges in into[1:]:
+            best.append(max([best[i] + s for i, s, _ in edges], default=float("-inf")))
+        return best
+
+    def best(self, word: str) -> tuple[float, list[int], float]:
+        """Best segmentation of a word (score, ids) and the loss of its second best.
+
+        The forward pass with the two best scores of every position; the edge
+        beside the best path that loses least is where the second best leaves it.
+        """
+        n, root, low = len(word), self.trie, float("-inf")
+        top, second, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            here, node, j = top[i], root, i
+            for c in word[i:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                if "" in node:
+                    gain, piece = node[""]
+                    score = here + gain
+                    if score > top[j]:
+                        second[j], top[j], back[j] = top[j], score, (i, piece)
+                    elif score > second[j]:
+                        second[j] = score
+            if "" not in root.get(word[i], ()):
+                raw = word[i].encode("utf-8", "surrogatepass")
+                score = here + self.byte_score * len(raw)
+                if score > top[i + 1]:
+                    second[i + 1], top[i + 1], back[i + 1] = top[i + 1], score, (i, raw)
+                elif score > second[i + 1]:
+                    second[i + 1] = score
+        at, ids, gap = n, [], float("inf")
+        while at:
+            gap = min(gap, top[at] - second[at])
+            at, piece = back[at]
+            if isinstance(piece, int):
+                ids.append(piece)
+            else:
+                ids.extend(self.bytes_first + x for x in reversed(piece))
+        ids.reverse()
+        return top[n], ids, gap
+
+    def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best segmentations (score, ids) of a word, best first (A-star from its end)."""
+        into = self.edges(word)
+        best = self.forward(into)
+        queue = [(-best[-1], 0, len(word), 0.0, None)]
         out, ticket = [], 0
         while queue and len(out) < n:
             _, _, at, done, path = heapq.heappop(queue)
@@ -130,45 +196,35 @@ def _combine(parts: list[tuple[int, list[tuple[float, tuple[int, ...]]]]], n: in
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; remembers parts it has seen."""
+    """Encodes texts with a vocabulary; remembers words it has seen."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
-        self.parts: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
-        self.words: dict[str, tuple[bytes, float, float, int, list]] = {}
-
-    def _part(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.v.nbest(part, self.n)
-            if len(part) <= 64:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = got
-        return got
-
-    def _word(self, word: str) -> tuple[bytes, float, float, int, list]:
-        """(ids as bytes, score, loss of the second best, number of ids, segmentations) of a word."""
-        pairs, cuts = self.v.pairs, [0]
-        cuts += [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
-        options = [self._part(word[a:b]) for a, b in zip(cuts, cuts[1:] + [len(word)])]
-        if len(options) == 1:
-            full = options[0]
+        self.words: dict[str, tuple[bytes, float, float, int]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, float, float, int]:
+        """(ids as bytes, score, loss of the second best, number of ids) of a word."""
+        core = len(word.rstrip(SIGNS))
+        if 0 < core < len(word) and word[core - 1:core + 1] not in self.v.pairs:
+            # no piece goes on from the word to the signs behind it: each has its own best
+            a, b = (self.words.get(x) or self._word(x) for x in (word[:core], word[core:]))
+            got = (a[0] + b[0], a[1] + b[1], min(a[2], b[2]), a[3] + b[3])
         else:
-            score = sum(o[0][0] for o in options)
-            few = heapq.nsmallest(self.n - 1, ((o[0][0] - o[1][0], k) for k, o in enumerate(options) if len(o) > 1))
-            full = []
-            for loss, change in _combine([(k, options[k]) for _, k in sorted(few, key=lambda x: x[1])], self.n):
-                pick = dict(change)
-                full.append((score - loss, tuple(i for k, o in enumerate(options) for i in o[pick.get(k, 0)][1])))
-        gap = full[0][0] - full[1][0] if len(full) > 1 else float("inf")
-        got = (np.array(full[0][1], dtype=np.int32).tobytes(), full[0][0], gap, len(full[0][1]), full)
+            score, ids, gap = self.v.best(word)
+            got = (array("i", ids).tobytes(), score, gap, len(ids))
         if len(word) <= 64:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             self.words[word] = got
         return got
 
+    def _options(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best of a word, the one that ``_word`` chose first."""
+        ids, score, _, _ = self.words.get(word) or self._word(word)
+        first = tuple(np.frombuffer(ids, dtype=np.int32).tolist())
+        rest = [(s, x) for s, x in self.v.nbest(word, self.n + 1) if x != first]
+        return [(score, first), *rest[:self.n - 1]]
+
     def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """(ids as int32 bytes, score, alternatives) of a text.
 
@@ -178,17 +234,19 @@ class Encoder:
         if not text:
             return b"", 0.0, []
         get, make = self.words.get, self._word
-        words = [get(w) or make(w) for w in WORD.findall(" " + text)]
-        score = sum([w[1] for w in words])
-        ids = b"".join([w[0] for w in words])
+        words = WORD.findall(" " + text)
+        found = [get(w) or make(w) for w in words]
+        score = sum([w[1] for w in found])
+        ids = b"".join([w[0] for w in found])
         if self.n < 2:
             return ids, score, []
-        gaps = [w[2] for w in words]
-        few = sorted(k for gap, k in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)))) if gap != float("inf"))
+        few = heapq.nsmallest(self.n - 1, zip([w[2] for w in found], range(len(found))))
+        places = sorted(k for gap, k in few if gap != float("inf"))
+        options = {k: self._options(words[k]) for k in places}
+        before = {k: sum([w[3] for w in found[:k]]) for k in places}
         alternatives = []
-        for loss, change in _combine([(k, words[k][4]) for k in few], self.n)[1:]:
-            alternatives.append((score - loss, [
-                (sum(w[3] for w in words[:k]), words[k][3], words[k][4][c][1]) for k, c in change]))
+        for loss, change in _combine(list(options.items()), self.n)[1:]:
+            alternatives.append((score - loss, [(before[k], found[k][3], options[k][c][1]) for k, c in change]))
         return ids, score, alternatives
 
 
@@ -200,9 +258,12 @@ CHANGE = "array<struct<first:int,count:int,ids:array<int>>>"
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """(id, ids, n_pieces, score, alternatives) of every row; the text and other columns where named in ``keep``.
 
+    With ``decoded``, a column of this name has the text that the ids decode
+    to, from the same pass (one Python worker a task instead of two).
+
     ``alternatives``: the second to ``n``-th best segmentation as score and
     changes to the best one's ids.  NULL and empty texts have no ids and score
     0; repeated rows are encoded alike; an empty table gives an empty result.
@@ -210,12 +271,13 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
     src, out, back = passing(docs, id_col, text_col, keep, [
         ("ids", "array<int>"), ("n_pieces", "long"), ("score", "double"),
-        ("alternatives", f"array<struct<score:double,changes:{CHANGE}>>")])
+        ("alternatives", f"array<struct<score:double,changes:{CHANGE}>>"), *([(decoded, "string")] if decoded else [])])
     change = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))]))
     alt = pa.list_(pa.struct([("score", pa.float64()), ("changes", change)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(sent.value, n)
+        enc = sent.value.encoder(n)
+        raw = pa.array([*sent.value.raw, b""], pa.large_binary())
         for whole in batches:
             for i in range(0, whole.num_rows, 500):            # a few MB of ids at a time
                 b = whole.slice(i, 500)
@@ -225,17 +287,29 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
                 alts = [[{"score": s, "changes": [{"first": f, "count": c, "ids": list(x)} for f, c, x in ch]}
                          for s, ch in g[2]] for g in got]
-                yield back(b, [ids, pa.array(sizes, pa.int64()), pa.array([g[1] for g in got], pa.float64()),
-                               pa.array(alts, alt)])
+                new = [ids, pa.array(sizes, pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array(alts, alt)]
+                if decoded:
+                    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                    new.append(pa.array(decode_ids(values, starts, raw), pa.string()))
+                yield back(b, new)
 
     return src.mapInArrow(run, out)
 
 
-def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
-    """Text of a sequence of ids, without the space put before it; unknown ids are empty, broken UTF-8 is replaced."""
-    n = len(raw)
-    text = b"".join([raw[i] if 0 <= i < n else b"" for i in ids])
-    return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+def decode_ids(ids: np.ndarray, starts: np.ndarray, raw: pa.LargeBinaryArray) -> list[str]:
+    """Texts of ids laid end to end, text k from ``starts[k]`` to ``starts[k + 1]``, without the space put before each.
+
+    ``raw``: the bytes of every piece and, last, of no piece.  Unknown ids are
+    empty, broken UTF-8 is replaced.
+    """
+    unknown = len(raw) - 1
+    got = raw.take(pa.array(np.where((ids >= 0) & (ids < unknown), ids, unknown).astype(np.int64)))
+    _, offsets, data = got.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[got.offset:got.offset + len(ids) + 1]
+    data = data.to_pybytes() if data is not None else b""
+    at = ends[starts].tolist()
+    texts = [data[a:b] for a, b in zip(at, at[1:])]
+    return [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -246,9 +320,10 @@ def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col
     at = rest.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = sent.value
+        raw = pa.array([*sent.value, b""], pa.large_binary())
         for b in batches:
-            texts = [decode_ids(x or [], raw) for x in b.column(at).to_pylist()]
+            ids = b.column(at).fill_null([])
+            texts = decode_ids(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]), raw)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*rest, text_col])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text_col, T.StringType())]))
@@ -257,6 +332,6 @@ def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col
 def report(spark: SparkSession, docs: DataFrame, path: str | None = None, n: int = 3) -> DataFrame:
     """Ids, score and alternatives of every document, and the digest of what its ids decode to."""
     vocab = vocabulary(path)
-    out = decode(encode(docs, vocab, n=n), vocab)
+    out = encode(docs, vocab, n=n, decoded="decoded")
     return out.select("doc_id", "ids", "n_pieces", "score", "alternatives",
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

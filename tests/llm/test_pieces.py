@@ -68,6 +68,8 @@ def test_round_trip(spark):
     back = {r["doc_id"]: r for r in out}
     assert len(out) == len(NASTY) + 2 and all(back[i]["decoded"] == t for i, t in enumerate(NASTY))
     assert back[None]["decoded"] == "" and back[None]["ids"] == [] and back[0]["n_pieces"] == 0
+    same = P.encode(df.drop("ids"), v, decoded="decoded").collect()
+    assert sorted(map(str, same)) == sorted(map(str, out))
     assert P.encode(df.limit(0), v).count() == 0
     assert [r["ids"] for r in P.encode(df.where("doc_id = 3"), v).collect()] == [back[3]["ids"]] * 2
     import pyarrow as pa
