@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loanframe.llm.common import GOLD, components, map_batches, maybe_among, mix64, shingle_set, stored, texts_of, word_hashes
 
@@ -306,10 +305,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
              num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest id.
 
-    Of rows that repeat this id, one of the smallest text stays; rows without an id all stay.
+    Rows are compared by their texts alone: rows that repeat an id are different
+    documents unless their texts are alike.  Of a group's rows that repeat its
+    smallest id one stays, by a hash of its text.  Rows without an id or without
+    words all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, width, num, den)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    nth = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
-    return left.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(id_col).isNull()).drop("_nth")
+    made = docs.withColumns({"_near_row": F.monotonically_increasing_id(), "_near_hash": F.xxhash64(text_col)})
+    rows = stored(made, "neardup-row")                       # fixes the row numbers
+    known = rows.where(F.col(id_col).isNotNull())
+    found = near_duplicates(known, "_near_row", text_col, width, num, den)
+    found = stored(found.select(F.col("doc_id").alias("_near_row"), "component_id", "kept"), "neardup-found")
+    several = found.where("NOT kept").select("component_id").distinct()
+    order = F.struct(F.col(id_col).alias("id"), F.col("_near_hash").alias("hash"), F.col("_near_row").alias("row"))
+    members = (found.select("_near_row", "component_id").join(several, "component_id", "left_semi")
+               .join(known.select("_near_row", order.alias("order")), "_near_row"))
+    best = members.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = members.join(best.select("component_id", F.col("first.row").alias("stays")), "component_id").where(
+        "_near_row <> stays").select("_near_row")
+    return rows.join(gone, "_near_row", "left_anti").drop("_near_row", "_near_hash")

@@ -124,3 +124,13 @@ def test_filter_loses_no_key_and_stops_most_others(spark):
     got = {r["doc_id"] for r in maybe_among(df, "doc_id", keys, bits=1 << 16).collect()}
     assert set(range(0, 5000, 7)) <= got and len(got) < 3500
     assert len({r["doc_id"] for r in maybe_among(df.limit(50), "doc_id", keys.limit(0)).collect()}) == 0
+
+
+def test_repeated_ids_are_different_documents(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(3, None), (3, a), (3, b), (3, b), (3, b + " c"), (2, a), (None, a), (None, a), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in N.keep_one(df).collect())))
+    left = [(3, None), (2, a), (None, a), (None, a), (None, None)]
+    assert [x for x in got if "b1 " not in x] == sorted(map(str, left))
+    assert sum("b1 " in x for x in got) == 1 and len(got) == len(left) + 1
