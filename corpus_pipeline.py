@@ -50,11 +50,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the text they decode to and the second and third best segmentation."""
+    out = pieces.encode(docs, pieces.vocabulary(), n=3, decoded="text")
+    return out.select("doc_id", "text", "ids", "n_pieces", "score", "alternatives")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the text they decode to."""
-    vocab = pieces.vocabulary()
-    out = pieces.encode(docs, vocab, n=1, decoded="text")
-    return out.select("doc_id", "text", "ids", "n_pieces", "score")
+    """``segment`` without its alternatives, which ``run`` returns too."""
+    return segment(spark, docs, sf_dir).drop("alternatives")
 
 
 STAGES = [
@@ -70,8 +74,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; one row per kept document."""
+    """All stages over ``documents``; one row per kept document, with the alternatives of its segmentation."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored((segment if stage is encode else stage)(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

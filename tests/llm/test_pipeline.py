@@ -1,6 +1,6 @@
 import corpus_pipeline as C
 from loanframe.llm import decontam as D
-from loanframe.llm import quality, toxicity
+from loanframe.llm import pieces, quality, toxicity
 from loanframe.llm.common import stored, table
 from tests.conftest import SF_SMALL
 from tests.llm.test_decontam import _brute as hits
@@ -59,3 +59,14 @@ def test_empty_tables_nulls_and_clashing_columns(spark):
         out = docs.collect()
         assert docs.columns == ["doc_id", "text", "ids", "n_pieces", "score"]
         assert not rows and not out or {r["doc_id"] for r in out} <= {1, 2, 3, None}
+
+
+def test_pipeline_returns_the_alternatives(spark, monkeypatch):
+    monkeypatch.setattr(C, "STAGES", C.STAGES[-1:])
+    got = {r["doc_id"]: r for r in C.run(spark, SF_SMALL).collect()}
+    enc = pieces.vocabulary().encoder(3)
+    for r in table(spark, SF_SMALL, "documents").collect():
+        _, score, others = enc.encode(r["text"] or "")
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-6
+        assert [a["score"] for a in got[r["doc_id"]]["alternatives"]] == [s for s, _ in others]
+    assert sum(len(r["alternatives"]) == 2 for r in got.values()) > 50
