@@ -8,9 +8,9 @@ whose digest has three zero bits, so an insertion moves no later section.
 Equal roots mean equal texts; where roots differ, only branches with
 different digests need a look (``locate_edits``).
 
-The fingerprint string is the root and the 128 smallest leaf digests, so its
-size is bounded for texts of any length, and the likeness of two texts can be
-told from their fingerprints alone (exactly, up to 128 different leaves).
+The fingerprint string is the root and every distinct leaf digest, so the
+likeness of two texts is exact and can be told from their fingerprints alone.
+It grows with the text: 16 hex digits for about 40 bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import hashlib
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -34,7 +33,6 @@ from loanframe.llm.common import map_batches, texts_of
 #: Up to 40 bytes without a clause's end, the rest of the last word, then ends and white space.
 LEAF = re.compile(rb"[^\n.!?]{1,40}[^\s.!?]*[.!?\s]*|[.!?\s]+")
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
-SKETCH = 128
 
 
 @dataclass(frozen=True)
@@ -71,14 +69,21 @@ def tree(text: bytes) -> Node:
 
 def locate_edits(old: bytes, new: bytes) -> list[tuple[int, int]]:
     """Byte ranges of ``new`` that aren't in ``old``, found by descending branches of unknown digest."""
-    known = set()
+    return differing(branches(tree(old)), tree(new))
 
-    def collect(node):
+
+def branches(root: Node) -> set[bytes]:
+    """Digests of all nodes of a tree."""
+    known, left = set(), [root]
+    while left:
+        node = left.pop()
         known.add(node.digest)
-        for c in node.children:
-            collect(c)
+        left.extend(node.children)
+    return known
+
 
-    collect(tree(old))
+def differing(known: set[bytes], root: Node) -> list[tuple[int, int]]:
+    """Byte ranges of a tree's leaves under no branch of a digest in ``known``."""
     out: list[tuple[int, int]] = []
 
     def descend(node):
@@ -92,66 +97,77 @@ def locate_edits(old: bytes, new: bytes) -> list[tuple[int, int]]:
         elif node.last > node.first:
             out.append((node.first, node.last))
 
-    descend(tree(new))
+    descend(root)
     return out
 
 
-@lru_cache(maxsize=16)
-def fingerprint(text: bytes) -> str:
-    """Root (32 hex digits), a colon, and the smallest distinct leaf digests (8 hex digits each, ascending).
+def _print(root: Node) -> str:
+    leaves = {leaf.digest for s in root.children for p in s.children for leaf in p.children}
+    return root.digest.hex() + ":" + b"".join(sorted(leaves)).hex()
 
-    The root is that of ``tree``, without building its nodes.
-    """
-    sections, paragraphs, leaves = [], [], set()
-    for line in LINE.findall(text):
-        digests = [xxhash.xxh3_64_digest(p) for p in LEAF.findall(line)]
-        leaves.update(digests)
-        paragraphs.append(hashlib.blake2b(b"".join(digests), digest_size=16).digest())
-        if paragraphs[-1][0] & 7 == 0:
-            sections.append(hashlib.blake2b(b"".join(paragraphs), digest_size=16).digest())
-            paragraphs = []
-    if paragraphs:
-        sections.append(hashlib.blake2b(b"".join(paragraphs), digest_size=16).digest())
-    root = hashlib.blake2b(b"".join(sections), digest_size=16).hexdigest()
-    low = sorted({d[:4] for d in leaves})[:SKETCH]
-    return root + ":" + b"".join(low).hex()
+
+def fingerprint(text: bytes) -> str:
+    """Root (32 hex digits), a colon, and all distinct leaf digests (16 hex digits each, ascending)."""
+    return _print(tree(text))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share (0 to 1) of leaves that two fingerprints have in common (Dice).
+    """Share (0 to 1) of distinct leaves that two fingerprints have in common (Dice).
 
-    From the smallest leaves of the union: of those, which are in both.  Equal
-    roots are 1; the empty text is like nothing else.
+    Equal roots are 1; the empty text is like nothing else.
     """
     if a[:32] == b[:32]:
         return 1.0
-    x = {a[i:i + 8] for i in range(33, len(a), 8)}
-    y = {b[i:i + 8] for i in range(33, len(b), 8)}
-    low = sorted(x | y)[:SKETCH]
-    if not low:
-        return 0.0
-    j = sum(d in x and d in y for d in low) / len(low)
-    return 2 * j / (1 + j)
+    x = {a[i:i + 16] for i in range(33, len(a), 16)}
+    y = {b[i:i + 16] for i in range(33, len(b), 16)}
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
 
 
 def fingerprints(df: DataFrame, texts: dict[str, str], likes: dict[str, tuple[str, str]] | None = None,
-                 keep: Iterable[str] = ()) -> DataFrame:
+                 keep: Iterable[str] = (), sections: dict[str, str] | None = None,
+                 edits: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Columns ``keep``, a fingerprint for every ``{new name: text column}`` and a likeness for every pair of those.
 
+    ``sections`` ({new name: fingerprint}) adds the digests of a text's sections
+    in order, ``edits`` ({new name: (old, new) fingerprint}) the byte ranges of
+    the new text that aren't in the old one.
+
     NULL texts are empty; an empty table gives an empty result.
     """
-    likes, keep = likes or {}, list(keep)
+    likes, keep, sections, edits = likes or {}, list(keep), sections or {}, edits or {}
+    spans = "array<struct<first:bigint,last:bigint>>"
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.StringType()) for n in texts]
-                          + [T.StructField(n, T.DoubleType()) for n in likes])
+                          + [T.StructField(n, T.DoubleType()) for n in likes]
+                          + [T.StructField(n, T.ArrayType(T.StringType())) for n in sections]
+                          + [T.StructField(n, T.DataType.fromDDL(spans)) for n in edits])
     names = list(texts)
+    at = {n: i for i, n in enumerate(names)}
+    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [[fingerprint(t) for t in row]
-                for row in zip(*(texts_of(b.column(len(keep) + i)) for i in range(len(names))), strict=True)]
-        cols = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))]
-        near = [pa.array([likeness(r[names.index(p)], r[names.index(q)]) for r in rows], pa.float64())
-                for p, q in likes.values()]
-        return pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *cols, *near], names=schema.names)
+        cols = [[] for _ in schema.names[len(keep):]]
+        last: tuple[bytes, Node, str] | None = None
+        for row in zip(*(texts_of(b.column(len(keep) + i)) for i in range(len(names))), strict=True):
+            made = {}
+            for t in row:
+                if t not in made:
+                    if last and last[0] == t:                # the next text of the row before
+                        made[t] = last[1:]
+                    else:
+                        root = tree(t)
+                        made[t] = root, _print(root)
+            last = (row[-1], *made[row[-1]])
+            got = [made[t] for t in row]
+            values = [g[1] for g in got]
+            values += [likeness(got[at[p]][1], got[at[q]][1]) for p, q in likes.values()]
+            values += [[s.digest.hex() for s in got[at[n]][0].children] for n in sections.values()]
+            values += [[{"first": x, "last": y} for x, y in differing(branches(got[at[p]][0]), got[at[q]][0])]
+                       for p, q in edits.values()]
+            for col, v in zip(cols, values, strict=True):
+                col.append(v)
+        kinds = [pa.string()] * len(names) + [pa.float64()] * len(likes) + [pa.list_(pa.string())] * len(sections) + [span] * len(edits)
+        return pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                                          names=schema.names)
 
     return map_batches(df.select(*keep, *texts.values()), run, schema)
 
@@ -200,5 +216,6 @@ def edits_report(docs: DataFrame) -> DataFrame:
     out = fingerprints(
         d, {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"},
         {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")},
-        keep=["doc_id", "n_chars", "edited_sha256"])
+        keep=["doc_id", "n_chars", "edited_sha256"], sections={"sections": "fingerprint", "edited_sections": "edited_fingerprint"},
+        edits={"edits": ("fingerprint", "edited_fingerprint")})
     return out.drop("next_fingerprint")

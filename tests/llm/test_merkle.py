@@ -68,3 +68,18 @@ def test_edges(spark):
     assert _got(M.edits_report(df)) == _expect(rows)
     assert _got(M.edits_report(df.where("doc_id = -3"))) == _expect([(-3, "x")])
     assert M.edits_report(df.limit(0)).count() == 0
+
+
+def test_likeness_and_edits_come_from_whole_trees(spark):
+    a = "".join(f"Clause number {i} of one text. " for i in range(4000))
+    b = "".join(f"Sentence {i} of another one! " for i in range(4000)) + a[:310]
+    got = {r["doc_id"]: r for r in M.edits_report(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
+    for text, other, r in ((a, b, got[1]), (b, a, got[2])):
+        k = len(text) // 4
+        edited = (text[:len(text) - k] + other[:k]).encode()
+        leaves = [{x for line in M.LINE.findall(t) for x in M.LEAF.findall(line)} for t in (text.encode(), edited, other.encode())]
+        for name, n in (("near_edited", 1), ("near_next", 2)):
+            dice = 2 * len(leaves[0] & leaves[n]) / (len(leaves[0]) + len(leaves[n]))
+            assert dice > 0 and abs(r[name] - dice) < 1e-12
+        assert [tuple(e) for e in r["edits"]] == M.locate_edits(text.encode(), edited) != []
+        assert r["sections"] == [s.digest.hex() for s in M.tree(text.encode()).children]
