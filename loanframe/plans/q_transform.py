@@ -340,7 +340,8 @@ def _feature_query(name):
     def run(spark, sf_dir):
         train, test = _split(spark, sf_dir)
         model = PL.fit_pipeline(name, train)
-        return PL.transform(model, test)
+        halves = [PL.transform(model, d).withColumn("split", F.lit(n)) for n, d in (("train", train), ("test", test))]
+        return halves[0].unionByName(halves[1])
     return run
 
 
