@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm import chat, decontam, html, licenses, merkle, neardup, pieces, quality, sharding, toxicity
+from loanframe.llm import (
+    chat, decontam, html, licenses, merkle, neardup, pieces, quality, sharding, spelling, toxicity,
+)
 from loanframe.llm.common import table
 
 #: A conversation whose texts hold the template's own control strings.
@@ -95,6 +97,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE crc_step(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM crc_step WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+        FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+      ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)),
+    lambda acc, b: xor(acc >> 8, tab[(xor(acc, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                  ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(generate_series(1, length(word))) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form,
+         CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk(word, here) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON walk.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.here AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms e ON e.word = walk.here AND e.form IS NULL
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -106,9 +154,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES = {
     "op5_decontamination": OP5_SQL,
     "op9_chat": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
