@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanframe.llm import (
-    chat, decontam, html, licenses, merkle, neardup, pieces, quality, sharding, spelling, toxicity,
+    chat, decontam, html, lexical, licenses, merkle, neardup, pieces, quality, sharding, simhash, spelling,
+    toxicity,
 )
 from loanframe.llm.common import table
 
@@ -143,6 +144,38 @@ SELECT f.word, f.form, walk.here AS root, f.n, f.n_near, f.form_n
 FROM forms f JOIN walk ON walk.word = f.word JOIN forms e ON e.word = walk.here AND e.form IS NULL
 """
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+sizes AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d),
+i AS (
+  SELECT q, item_id, term, count(*) AS k
+  FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (
+  SELECT r, doc_id, m, term, count(*) AS tf
+  FROM (SELECT r, doc_id, 25 + (75 * len(ws) * n) // l AS m, unnest(ws) AS term FROM d, sizes)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sizes),
+scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -155,10 +188,13 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 ORACLES = {
     "op5_decontamination": OP5_SQL,
     "op9_chat": OP9_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }

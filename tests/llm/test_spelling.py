@@ -60,7 +60,6 @@ def _got(df):
 
 
 def test_dense_words_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(S, "SCAN", 50)                         # groups over many batches
     monkeypatch.setattr(S, "GATHER", 20)
     rnd = random.Random(3)
     words = ["".join(rnd.choice("aaaaÿ÷") for _ in range(rnd.randint(6, 9))) for _ in range(60)]
@@ -73,6 +72,15 @@ def test_dense_words_match_brute_force(spark, monkeypatch):
     assert any(v[3] > 3 for v in want.values())
 
 
+def test_scan_of_groups_over_batches(spark, monkeypatch):
+    words = spark.createDataFrame([(a + b + "xxxxx", 3) for a in "abcé" for b in "abdé"], "word string, n long")
+    rows = S.rotations(words).orderBy("key").toArrow()
+    whole = [r for b in S._scan(iter(rows.to_batches())) for r in b.to_pylist()]
+    monkeypatch.setattr(S, "SCAN", 7)
+    parts = [r for b in S._scan(iter(rows.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    assert parts == whole and len(whole) > 30
+
+
 def test_edges(spark):
     word = "Ünmöglich"                                         # Ü stays, only A-Z are lowered
     rows = [(1, None, "x", 1), (2, "", "x", 1), (None, f"{word} {word}", "y", 2), (3, "short words Only", "z", 3),
