@@ -130,23 +130,28 @@ def word_scores(text: bytes, scores: np.ndarray) -> np.ndarray:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last word, score) in linear time, in order of place.
 
-    Candidates are kept with the running sums before and after them.  A new
+    Candidates are kept with the running sums before and after them, and with the place
+    of the nearest one that began lower.  A new
     positive run joins the nearest candidate that began lower, unless nothing
     between has been higher than the new run's end; joining may repeat.
+    Candidates that a search passes over stand before its link and are never
+    looked at again, so all searches together are linear.
     """
     cum = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     out: list[tuple[int, int, float, float]] = []
+    lower: list[int] = []
     for i in np.flatnonzero(scores > 0).tolist():
         cand = (i, i, float(cum[i]), float(cum[i + 1]))
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= cand[2]:
-                j -= 1
+                j = lower[j]
             if j < 0 or out[j][3] >= cand[3]:
                 out.append(cand)
+                lower.append(j)
                 break
             cand = (out[j][0], cand[1], out[j][2], cand[3])
-            del out[j:]
+            del out[j:], lower[j:]
     return [(a, b, r - lo) for a, b, lo, r in out]
 
 

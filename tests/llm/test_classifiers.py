@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -66,8 +67,36 @@ def _check(df, column, mod, rem, least):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == rem) for r in rows)
 
 
-def test_toxicity_held_out(spark):
-    _check(Q.op10_toxicity(spark, SF).cache(), "toxic", 4, 2, 0.85)
+def _auc(score, label):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1.0
+    for v in np.unique(score):                                  # ties share their mean rank
+        order[score == v] = order[score == v].mean()
+    pos = label == 1
+    return (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+@pytest.mark.parametrize("sf, auc, recall, precision", [("sf0.01", 0.8, 0.6, 0.6), ("sf0.1", 0.96, 0.85, 0.85)])
+def test_toxicity_held_out(spark, sf, auc, recall, precision):
+    """Held-out rows by ranking and by the toxic rows found: a model that never says toxic has recall 0."""
+    folder = f"/root/testdata/{sf}"
+    df = Q.op10_toxicity(spark, folder).cache()
+    if sf == "sf0.01":
+        _check(df, "toxic", 4, 2, 0.85)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
+    rows = df.where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    hit = ((rows.predicted == 1) & (rows.toxic == 1)).sum()
+    assert _auc(rows.score.to_numpy(), rows.toxic.to_numpy()) >= auc
+    assert hit / (rows.toxic == 1).sum() >= recall and hit / (rows.predicted == 1).sum() >= precision
+
+
+def test_segments_are_linear():
+    """A million words of scattered hits, of drifts up and down and of nested runs."""
+    n = 1_000_000
+    for scores in (np.tile([1.0, -2.0], n // 2), np.tile([2.0, -1.0], n // 2), np.tile([1.0, -1.0], n // 2),
+                   np.concatenate([np.tile([3.0, -1.0], n // 4), np.tile([1.0, -3.0], n // 4)])):
+        began = time.time()
+        found = T.segments(scores.astype(np.float32))
+        assert found and time.time() - began < 6
 
 
 def test_quality_held_out(spark):
