@@ -3,8 +3,8 @@
 All models of a search (outer folds x inner folds x candidates) take their
 proximal Newton steps in lockstep: one pass over the rows gives every model
 that hasn't converged its loss, gradient and Hessian over its own training
-rows.  A pass emits one row a model and partition, and Spark sums them by model, so the
-result that reaches the driver is one small vector per model.
+rows.  A pass returns a vector a model and partition, added in two steps
+(``gram.tree_sums``).
 
 A model trains on the rows with ``outer`` not its ``outer`` (None: all rows)
 and, in an inner cross-validation, with ``folds`` not its ``fold``.
@@ -16,12 +16,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loanframe.functions.gram import ArrowBatch
+from loanframe.functions.gram import ArrowBatch, tree_sums
 
 
 @dataclass
@@ -97,18 +94,16 @@ def _pass(d: DataFrame, fits: list[Fit], betas: list[np.ndarray], uses: list[np.
                     acc[m][1:1 + q] += xa.T @ (-2.0 * wa * sign[act] * gap[act])
                     xu = xa[:, use]
                     acc[m][1 + q:] += (2.0 * (xu * wa[:, None]).T @ xu)[iu]
-        for m, v in enumerate(acc):
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.ListArray.from_arrays(
-                pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["m", "v"])
+        return {str(m): v for m, v in enumerate(acc)}
 
-    rows = (d.select("features", "label", "outer", *cols).mapInArrow(part, "m int, v array<double>")
-            .groupBy("m").agg(Summarizer.sum(array_to_vector(F.col("v"))).alias("s")).collect())
+    sums = tree_sums(d.select("features", "label", "outer", *cols), part)
     out: list = [None] * len(fits)
-    for r in rows:
-        v, k = r["s"].toArray(), len(uses[r["m"]])
+    for name, v in sums.items():
+        m = int(name)
+        k = len(uses[m])
         h = np.zeros((k, k))
         h[np.triu_indices(k)] = v[1 + q:]
-        out[r["m"]] = (float(v[0]), v[1:1 + q], h + np.triu(h, 1).T)
+        out[m] = (float(v[0]), v[1:1 + q], h + np.triu(h, 1).T)
     return [o if o is not None else (0.0, np.zeros(q), np.zeros((len(u), len(u)))) for o, u in zip(out, uses, strict=True)]
 
 

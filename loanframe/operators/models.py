@@ -2,10 +2,10 @@
 
 Every fitted model here is linear: ``score = w . x + b`` over the feature
 array, with an optional logistic link for probabilities.  Scoring is one
-projection (an explicit sum over the array elements, inside codegen).
-Fitting uses Spark ML's logistic regression (distributed L-BFGS / OWL-QN)
-or sufficient statistics from the Gram primitive X2 with a p x p solve on
-the driver.  Cross-validation moves the models of all folds in lockstep.
+projection over the array, of any width.
+Fitting uses proximal Newton steps or sufficient statistics from the Gram
+primitive X2 with a p x p solve on the driver.  Cross-validation moves the
+models of all folds in lockstep.
 """
 
 from __future__ import annotations
@@ -14,12 +14,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.gram import centered, gram_by_group
+from loanframe.functions.gram import Expand, Interactions, centered, dot, gram_by_group, partition_sums, quadratic
 from loanframe.functions.ordering import global_rank
 
 FEATURES, LABEL, KEY = "features", "label", "key"
@@ -35,17 +33,17 @@ class LinearScorer:
     const_prob: float | None = None
     info: dict = field(default_factory=dict)
 
-    def score_expr(self, features: str = FEATURES) -> Column:
-        s = F.lit(float(self.b))
-        for i, wi in enumerate(self.w):
-            if wi != 0.0:
-                s = s + F.col(features)[i] * F.lit(float(wi))
-        return s
+    def score_expr(self, features: str = FEATURES, expand: Interactions | None = None) -> Column:
+        """The score of an array of features or, with ``expand``, of the columns these are made of: scaling and
+        products are folded into the weights, and a row is read as it is stored."""
+        if expand is None or not len(self.w):
+            return dot(F.col(features), self.w, self.b)
+        return quadratic(F.col(features), *expand.form(self.w, self.b))
 
     def score(self, df: DataFrame, model: str | None = None, features: str = FEATURES,
-              label: str = LABEL, key: str = KEY) -> DataFrame:
+              label: str = LABEL, key: str = KEY, expand: Interactions | None = None) -> DataFrame:
         """Score table: (model, key, label, score, prob, prediction)."""
-        s = self.score_expr(features)
+        s = self.score_expr(features, expand)
         d = df.select(F.lit(model or self.name).alias("model"), F.col(key).alias("key"),
                       F.col(label).cast("int").alias("label"), s.alias("score"))
         if self.link == "logit":
@@ -88,16 +86,6 @@ def stratified_folds(df: DataFrame, k: int, label: str = LABEL, key: str = KEY,
     return r.withColumn(out, ((F.col("rank") - 1) % k).cast("int")).drop("_h", "rank")
 
 
-def _vec(df: DataFrame, features: str = FEATURES) -> DataFrame:
-    return df.withColumn("_vec", array_to_vector(F.col(features)))
-
-
-def _sum_weight(df: DataFrame, weight: str | None) -> float:
-    if weight is None:
-        return float(df.count())
-    return float(df.agg(F.sum(weight)).first()[0])
-
-
 # ----------------------------------------------------------------- M1
 
 def fit_dummy(train: DataFrame, label: str = LABEL) -> LinearScorer:
@@ -112,35 +100,14 @@ def fit_dummy(train: DataFrame, label: str = LABEL) -> LinearScorer:
 
 def fit_logistic(train: DataFrame, C: float = 1.0, l1_ratio: float = 0.0, weight: str | None = None,
                  max_iter: int = 100, tol: float = 1e-6, features: str = FEATURES, label: str = LABEL,
-                 sum_w: float | None = None, name: str = "LogisticRegression",
-                 beta0: np.ndarray | None = None) -> LinearScorer:
+                 name: str = "LogisticRegression", beta0: np.ndarray | None = None) -> LinearScorer:
     """Penalised logistic regression, objective
-    C * sum_i w_i loss_i + (1 - r) / 2 |beta|^2 + r |beta|_1 (intercept free).
-
-    Up to ``NEWTON_MAX_P`` features: proximal Newton, one pass per step.
-    Above: Spark ML's distributed L-BFGS / OWL-QN with the same objective
-    scaled by 1 / (C * sum w), i.e. regParam = 1 / (C * sum w).
-    """
-    p = _width(train, features)
-    if p <= NEWTON_MAX_P:
-        from loanframe.functions import newton
-        w, b, info = newton.fit(train, features, label, p, "logistic", weight, C=C,
-                                l1=float(l1_ratio), l2=1.0 - float(l1_ratio), max_iter=max_iter,
-                                tol=tol, beta0=beta0)
-        return LinearScorer(name, w, b, link="logit", info={"C": C, "l1_ratio": l1_ratio, **info})
-    sw = sum_w if sum_w is not None else _sum_weight(train, weight)
-    lr = LogisticRegression(featuresCol="_vec", labelCol="_y", regParam=1.0 / (C * sw),
-                            elasticNetParam=float(l1_ratio), standardization=False, maxIter=max_iter,
-                            tol=tol, fitIntercept=True, family="binomial")
-    if weight:
-        lr.setWeightCol(weight)
-    d = _vec(train, features).withColumn("_y", F.col(label).cast("double"))
-    m = lr.fit(d)
-    return LinearScorer(name, m.coefficients.toArray(), float(m.intercept), link="logit",
-                        info={"C": C, "l1_ratio": l1_ratio})
-
-
-NEWTON_MAX_P = 2000
+    C * sum_i w_i loss_i + (1 - r) / 2 |beta|^2 + r |beta|_1 (intercept free), by proximal Newton, one pass per
+    step, at any number of features p (a pass adds vectors of p^2 / 2 numbers)."""
+    from loanframe.functions import newton
+    w, b, info = newton.fit(train, features, label, _width(train, features), "logistic", weight, C=C,
+                            l1=float(l1_ratio), l2=1.0 - float(l1_ratio), max_iter=max_iter, tol=tol, beta0=beta0)
+    return LinearScorer(name, w, b, link="logit", info={"C": C, "l1_ratio": l1_ratio, **info})
 
 
 def _width(df: DataFrame, features: str = FEATURES) -> int:
@@ -148,12 +115,6 @@ def _width(df: DataFrame, features: str = FEATURES) -> int:
     return int(r["p"]) if r is not None else 0
 
 
-def accuracy(model: LinearScorer, df: DataFrame, label: str = LABEL) -> float:
-    s = model.score(df, label=label)
-    r = s.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    return float(r) if r is not None else float("nan")
-
-
 def score_many(df: DataFrame, scorers: dict[str, "LinearScorer"], features: str = FEATURES,
                label: str = LABEL, key: str = KEY, fold: str | None = None) -> DataFrame:
     """Score table of many linear models in ONE pass (numpy dot products on
@@ -250,51 +211,62 @@ def _ridge_solve(g: dict, alpha: float) -> tuple[np.ndarray, float]:
     return w, float(my - mx @ w)
 
 
-def fit_ridge(train: DataFrame, alpha: float = 1.0, features: str = FEATURES,
-              label: str = LABEL) -> LinearScorer:
+def _pm(train: DataFrame, label: str) -> DataFrame:
+    return train.withColumn("_pm", F.col(label).cast("double") * 2.0 - 1.0)
+
+
+def fit_ridge(train: DataFrame, alpha: float = 1.0, features: str = FEATURES, label: str = LABEL,
+              expand: Interactions | None = None) -> LinearScorer:
     """M6: ridge regression of the +-1 label; sign is the class, the
     distance is the decision score.  One Gram pass, p x p solve."""
-    d = train.withColumn("_pm", F.col(label).cast("double") * 2.0 - 1.0)
-    g = gram_by_group(d, features, "_pm")[None]
+    g = gram_by_group(_pm(train, label), features, "_pm", expand=expand, p=expand.width() if expand else None)[None]
     w, b = _ridge_solve(g, alpha)
     return LinearScorer("RidgeClassifier", w, b, info={"alpha": alpha})
 
 
-def fit_ridge_cv(train: DataFrame, alphas: list[float] | None = None, cv: int = 5,
-                 features: str = FEATURES, label: str = LABEL) -> LinearScorer:
-    """M7: ridge classifier with alpha from 13 log-spaced values, chosen by
-    k-fold squared error on the +-1 label.  One pass gives the Gram of every
-    fold; train Gram = total - fold; the held-out error of every alpha is a
-    quadratic form of the fold's Gram: no pass per alpha or per fold."""
+def fit_ridge_cv(train: DataFrame, alphas: list[float] | None = None, features: str = FEATURES,
+                 label: str = LABEL, expand: Expand | None = None, p: int | None = None) -> LinearScorer:
+    """M7: ridge classifier with alpha from 13 log-spaced values, chosen by the
+    exact leave-one-out squared error of the +-1 label.
+
+    Two passes for any number of alphas.  The first gives the Gram matrix and
+    its eigenvectors V with values l.  A row's leverage under alpha is
+    h = 1 / n + sum_j (v_j . x)^2 / (l_j + alpha) with centred x, its fitted
+    value uses the same products, and its error without itself is
+    (y - fit) / (1 - h): the second pass sums the squares for all alphas.
+    """
     alphas = alphas or [float(v) for v in np.logspace(-6, 6, 13)]
-    d = stratified_folds(train, cv).withColumn("_pm", F.col(label).cast("double") * 2.0 - 1.0)
-    gs = gram_by_group(d, features, "_pm", group="fold")
-    keys = sorted(gs)
-    total = {k: sum(gs[f][k] for f in keys) for k in ("n", "sw", "sy", "syy", "sx", "sxy", "xtx")}
-    errs = []
-    for a in alphas:
-        sse = 0.0
-        for f in keys:
-            tr = {k: total[k] - gs[f][k] for k in total}
-            w, b = _ridge_solve(tr, a)
-            v = gs[f]
-            # sum over held-out rows of (y - x.w - b)^2 from the fold's sums
-            sse += (v["syy"] - 2 * (w @ v["sxy"] + b * v["sy"]) + w @ v["xtx"] @ w
-                    + 2 * b * (w @ v["sx"]) + b * b * v["sw"])
-        errs.append(sse / total["sw"])
-    best = int(np.argmin(errs))
-    w, b = _ridge_solve(total, alphas[best])
-    return LinearScorer("RidgeClassifierCV", w, b, info={"alphas": alphas, "cv_mse": errs,
-                                                         "best_alpha": alphas[best]})
+    d = _pm(train, label).select(features, "_pm")
+    g = gram_by_group(d, features, "_pm", expand=expand, p=p)[None]
+    mx, cxx, cxy, _, my = centered(g)
+    values, vectors = np.linalg.eigh(cxx)
+    values, n = np.maximum(values, 0.0), g["sw"]
+    inverse = 1.0 / (values[:, None] + np.array(alphas)[None, :])
+    target = (vectors.T @ cxy)[:, None] * inverse
+
+    def errors(b) -> np.ndarray:
+        x = b.matrix(features)
+        z = ((expand(x) if expand else x) - mx) @ vectors
+        h = 1.0 / n + (z * z) @ inverse
+        left = b["_pm"].to_numpy(dtype=float)[:, None] - my - z @ target
+        # a row whose leverage is 1 is fitted whatever its label: its error without itself can't be told, and is 0 / 0
+        return np.sum((left / np.maximum(1.0 - h, 1e-12)) ** 2, axis=0)
+
+    mse = (partition_sums(d, errors, len(alphas)) / n).tolist()
+    best = int(np.argmin(mse))
+    w, b = _ridge_solve(g, alphas[best])
+    return LinearScorer("RidgeClassifierCV", w, b, info={"alphas": alphas, "cv_mse": mse, "best_alpha": alphas[best]})
 
 
 # ----------------------------------------------------------------- M12
 
-def fit_lda(train: DataFrame, features: str = FEATURES, label: str = LABEL) -> LinearScorer:
+def fit_lda(train: DataFrame, features: str = FEATURES, label: str = LABEL,
+            expand: Interactions | None = None) -> LinearScorer:
     """Linear discriminant analysis from per-class Grams: class means,
     pooled within-class covariance, weights by pseudo-inverse; probabilities
     by the logistic link of the discriminant."""
-    gs = gram_by_group(train.withColumn("_c", F.col(label).cast("string")), features, group="_c")
+    gs = gram_by_group(train.withColumn("_c", F.col(label).cast("string")), features, group="_c", expand=expand,
+                       p=expand.width() if expand else None)
     g0, g1 = gs["0"], gs["1"]
     n0, n1 = g0["sw"], g1["sw"]
     m0, m1 = g0["sx"] / n0, g1["sx"] / n1

@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,19 +170,25 @@ class PolynomialFeatures(StatelessTransformer):
 
     def apply(self, df):
         cols = self.input_cols()
-        exprs = []
-        for name, idx in self.terms():
-            e = F.col(f"`{cols[idx[0]]}`").cast("double")
-            for k in idx[1:]:
-                e = e * F.col(f"`{cols[k]}`").cast("double")
-            exprs.append((name, e))
         out = self.opts().get("output_col")
         keep = [F.col(f"`{c}`") for c in df.columns if c not in set(cols)]
+        x = [F.col(f"`{c}`").cast("double") for c in cols]
         if out:
-            return df.select(*keep, F.array(*[e for _, e in exprs]).alias(out))
+            return df.select(*keep, F.array(*x).alias(out)).withColumn(
+                out, products(F.col(out), len(cols), bool(self.opts().get("interaction_only"))))
+        exprs = [(name, x[idx[0]] if len(idx) == 1 else x[idx[0]] * x[idx[1]]) for name, idx in self.terms()]
         return df.select(*keep, *[e.alias(n) for n, e in exprs])
 
 
+def products(z: Column, width: int, interaction_only: bool) -> Column:
+    """An array and the products of its elements in term order: one expression of any width."""
+    if not width:
+        return z
+    start = 2 if interaction_only else 1
+    rows = F.transform(z, lambda x, i: F.transform(F.slice(z, i + start, width), lambda y: x * y))
+    return F.concat(z, F.flatten(rows))
+
+
 class Assemble(StatelessTransformer):
     """Glue (L6): the named feature columns, in order, into one array column."""
 
@@ -210,23 +218,76 @@ def yeo_johnson(x: Column, lam) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("double")).when(x >= 0, p).otherwise(n)
 
 
-def yj_loglik_table(df: DataFrame, cols: list[str], grids: dict[str, list[float]]) -> DataFrame:
-    """Log-likelihood of every (column, candidate lambda) in one pass.
+def _psi(x: np.ndarray, log: np.ndarray, lam: float) -> np.ndarray:
+    """Yeo-Johnson of ``x``; ``log`` is sign(x) log(1 + |x|)."""
+    out = np.empty_like(x)
+    up = x >= 0
+    out[up] = log[up] if abs(lam) < 1e-12 else np.expm1(lam * log[up]) / lam
+    down = ~up
+    out[down] = log[down] if abs(lam - 2.0) < 1e-12 else -np.expm1((2.0 - lam) * -log[down]) / (2.0 - lam)
+    return out
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (n, mean, sum of squares about it, sum of logs) of two parts taken together."""
+    n = np.maximum(a[:, 0] + b[:, 0], 1.0)
+    gap = b[:, 1] - a[:, 1]
+    return np.stack([a[:, 0] + b[:, 0], a[:, 1] + gap * b[:, 0] / n, a[:, 2] + b[:, 2] + gap * gap * a[:, 0] * b[:, 0] / n,
+                     a[:, 3] + b[:, 3]], axis=1)
 
-    Each row is expanded to (column, lambda, x) triples by a generator and
-    grouped by (column, lambda): a fixed-size plan whatever the grid, map-side
-    partial aggregation, and a shuffle of p x steps rows.
+
+#: Tasks that join the moments of all others.
+_MERGERS = 16
+
+
+def yj_loglik(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, list[tuple[float, float]]]:
+    """(candidate, log-likelihood) of every candidate lambda of every column, in one pass; without those that overflow.
+
+    A task reads its rows as they are and holds four moments a candidate; tasks are joined
+    by a few, these by the driver.
     """
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(lam)).alias("lam"),
-                               F.col(f"`{c}`").cast("double").alias("x"))
-                      for c in cols for lam in grids[c]])
-    t = df.select(F.inline(items)).filter(F.col("x").isNotNull())
-    g = t.groupBy("column", "lam").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("sl"),
-        F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"))
-    ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") > 0) & (F.col("v") < F.lit(float("inf")))
-    return g.withColumn("loglik", F.when(ok, -F.col("n") / 2.0 * F.log("v") + (F.col("lam") - 1.0) * F.col("sl")))
+    cols = list(grids)
+    jobs = [(c, lam) for c in range(len(cols)) for lam in grids[cols[c]]]
+    form = "merger int, v binary"
+
+    def blob(v: np.ndarray, merger: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([merger], pa.int32()), pa.array([v.astype("<f8").tobytes()], pa.binary())],
+                                          names=["merger", "v"])
+
+    def task(batches):
+        acc = np.zeros((len(jobs), 4))
+        for b in batches:
+            here = np.zeros((len(jobs), 4))
+            x = [col.to_numpy(zero_copy_only=False) for col in b.columns]
+            x = [v[~np.isnan(v)] for v in x]
+            logs = [np.sign(v) * np.log1p(np.abs(v)) for v in x]
+            with np.errstate(all="ignore"):
+                for m, (c, lam) in enumerate(jobs):
+                    if len(x[c]):
+                        psi = _psi(x[c], logs[c], lam)
+                        mean = psi.mean()
+                        here[m] = len(psi), mean, np.sum((psi - mean) ** 2), logs[c].sum()
+                acc = _joint(acc, here)
+        yield blob(acc, TaskContext.get().partitionId() % _MERGERS)
+
+    def join(blobs) -> np.ndarray:
+        acc = np.zeros((len(jobs), 4))
+        with np.errstate(all="ignore"):
+            for v in blobs:
+                acc = _joint(acc, np.frombuffer(v, "<f8").reshape(-1, 4))
+        return acc
+
+    def merger(batches):
+        yield blob(join(v for b in batches for v in b.column(1).to_pylist()), 0)
+
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    found = join(src.mapInArrow(task, form).repartition(_MERGERS, "merger").mapInArrow(merger, form).toArrow()["v"].to_pylist())
+    out: dict[str, list[tuple[float, float]]] = {c: [] for c in cols}
+    for (c, lam), (n, _, squares, logs) in zip(jobs, found.tolist(), strict=True):
+        v = squares / n if n else 0.0
+        if 0 < v < math.inf:
+            out[cols[c]].append((lam, -n / 2.0 * math.log(v) + (lam - 1.0) * logs))
+    return out
 
 
 class YeoJohnsonModel(FittedModel):
@@ -239,7 +300,7 @@ class YeoJohnson(FitEstimator):
     """Yeo-Johnson power transform, lambda by maximum likelihood.
 
     Log-likelihood -n/2 ln var(psi) + (lambda-1) sum sign(x) log1p|x| for
-    21 candidate lambdas of all columns in one aggregate.  The bracket moves on
+    21 candidate lambdas of all columns in one pass.  The bracket moves on
     while the best is at its edge, and is then cut to its best twentieth
     ``refine`` times; the parabola through the last three points gives the
     maximum.  No standardising.  A candidate whose variance overflows loses.
@@ -258,9 +319,9 @@ class YeoJohnson(FitEstimator):
         left = {c: 1 + int(opts.get("refine", 3)) for c in cols}
         while any(left.values()):
             open_ = [c for c in cols if left[c]]
-            rows = yj_loglik_table(df, open_, grids).collect()  # at most p x steps rows
+            found = yj_loglik(df, {c: grids[c] for c in open_})
             for c in open_:
-                cand = sorted((r["lam"], r["loglik"]) for r in rows if r["column"] == c and r["loglik"] is not None)
+                cand = sorted(found[c])
                 lams = grids[c]
                 step = lams[1] - lams[0]
                 if not cand:

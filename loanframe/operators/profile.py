@@ -62,12 +62,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return replicate_rows(g, "_n").drop("_n")
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
-    """D2 compact form: each duplicated row once with its number of copies."""
-    return (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n_copies"))
-            .filter(F.col("n_copies") > 1))
-
-
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """D3: keep one of each set of equal rows."""
     return df.dropDuplicates()
@@ -159,6 +153,25 @@ def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("row_count")))
 
 
+def patterns_with_margins(df: DataFrame, cols: list[str]) -> DataFrame:
+    """N8 with its margins: the rows of ``missing_patterns`` (``variable`` NULL), and for every column one row with
+    that column 0, the others NULL and the number of rows that miss it, from the same shuffle (grouping sets)."""
+    flags = df.select(*[F.when(F.col(c).isNull(), 0).otherwise(1).cast("int").alias(c) for c in cols],
+                      *[F.col(c).isNull().cast("int").alias(f"_m{i}") for i, c in enumerate(cols)])
+    g = flags.groupingSets([cols, []], *cols).agg(
+        F.grouping_id().alias("_all"), F.count(F.lit(1)).alias("row_count"), *[F.sum(f"_m{i}").alias(f"_s{i}") for i in range(len(cols))])
+    kinds = {"variable": "string", **{c: "int" for c in cols}, "n_missing": "int", "row_count": "bigint"}
+
+    def row(*values):
+        return F.struct(*[v.cast(kind).alias(name) for v, (name, kind) in zip(values, kinds.items(), strict=True)])
+    none = F.lit(None)
+    n_missing = sum((1 - F.col(c) for c in cols), F.lit(0))
+    pattern = row(none, *[F.col(c) for c in cols], n_missing, F.col("row_count"))
+    margins = [row(F.lit(c), *[F.lit(0) if x == c else none for x in cols], none, F.coalesce(F.col(f"_s{i}"), F.lit(0)))
+               for i, c in enumerate(cols)]
+    return g.select(F.inline(F.when(F.col("_all") == 0, F.array(pattern)).otherwise(F.array(*margins))))
+
+
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """Frequency of each value, most frequent first (ties by value)."""
     src = df.filter(F.col(col).isNotNull()) if dropna else df

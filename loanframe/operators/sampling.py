@@ -4,59 +4,23 @@ R1 (hash split) lives in ``sources/loans.py``, R3 / R4 in ``models.py``.
 
 R2 SMOTE (Chawla et al. 2002): every synthetic row is x + u * (nn - x) for
 a minority row x, one of its k nearest minority neighbours nn and u in
-[0, 1).  Neighbours come from an exact blocked join: minority rows are
-hashed into blocks, each (block, block) pair is one task that computes
-distances with numpy and keeps the k smallest per row (``applyInPandas``
-over the pair key), then a partial top-k merge per row.  No task ever holds
-all minority rows, and no pair list is materialised beyond a block pair.
-Choices (which neighbour, u) come from a hash of (row key, copy number), so
-the output does not depend on partitioning or retries.
+[0, 1).  Neighbours are exact and come from a metric index
+(``functions/metric_index.py``), which compares a row with the blocks its
+neighbours may be in and with no others.  Choices (which neighbour, u) come
+from a hash of (row key, copy number), so the output does not depend on
+partitioning or retries.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.gram import matrix
-
-
-def _knn_pairs(minority: DataFrame, features: str, key: str, k: int, n_blocks: int) -> DataFrame:
-    """(key, nbr, dist) for the k nearest other minority rows of each row."""
-    blocked = minority.select(key, features, F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).alias("_b"))
-    left = blocked.select(F.col("_b").alias("_lb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-                          .alias("_rb"), key, features).withColumn("_side", F.lit(0))
-    right = blocked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_lb"),
-                           F.col("_b").alias("_rb"), key, features).withColumn("_side", F.lit(1))
-    both = left.unionByName(right)
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "nbr": [], "dist": []})
-        xa, xb = matrix(a, features), matrix(b, features)
-        d = (np.sum(xa * xa, 1)[:, None] + np.sum(xb * xb, 1)[None, :] - 2.0 * xa @ xb.T)
-        ka, kb = a[key].to_numpy(), b[key].to_numpy()
-        d[ka[:, None] == kb[None, :]] = np.inf  # not itself
-        kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(
-            np.arange(d.shape[1]), (len(ka), 1))
-        rows = np.repeat(np.arange(len(ka)), idx.shape[1])
-        cols = idx.ravel()
-        dist = d[rows, cols]
-        ok = np.isfinite(dist)
-        return pd.DataFrame({"key": ka[rows][ok], "nbr": kb[cols][ok], "dist": np.maximum(dist[ok], 0.0)})
-
-    cand = both.groupBy("_lb", "_rb").applyInPandas(pair, "key bigint, nbr bigint, dist double")
-    from pyspark.sql import Window as W
-    w = W.partitionBy("key").orderBy("dist", "nbr")
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+from loanframe.functions.metric_index import nearest
 
 
 def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "key",
-          k: int = 5, minority: int | None = None, seed: int = 42, n_blocks: int | None = None) -> DataFrame:
+          k: int = 5, minority: int | None = None, seed: int = 42) -> DataFrame:
     """R2: oversample the minority class to the majority size.
 
     Returns the input rows (``copy`` 0) plus synthetic rows (``synthetic`` =
@@ -73,9 +37,7 @@ def smote(df: DataFrame, features: str = "features", label: str = "label", key:
     if need <= 0 or n_min < 2:
         return base.select(key, F.lit(0).alias("copy"), label, features, "synthetic")
     mdf = df.filter(F.col(label) == mino).select(key, features)
-    # blocks of ~5,000 rows: a block pair is a 5,000 x 5,000 distance tile
-    nb = n_blocks or max(1, int(np.ceil(n_min / 5000)))
-    nn = _knn_pairs(mdf, features, key, k, nb)
+    nn, _ = nearest(mdf, features, key, k)
     # copies per minority row: floor(need / n_min), plus one for the rows
     # whose hash rank falls in the remainder
     per, rem = divmod(need, n_min)

@@ -8,6 +8,7 @@ No test collects rows; the only driver-side values are per-test constants.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,36 +131,50 @@ def pattern_stats(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
 
 
-def little_mcar(df: DataFrame, cols: list[str], max_columns: int = 30) -> dict:
-    """Little's chi-square test that data are missing completely at random.
+def little_mcar(df: DataFrame, cols: list[str]) -> dict:
+    """Little's chi-square test that data are missing completely at random, for any number of columns.
 
-    Means and covariances are pairwise complete (NULLs skipped per pair);
-    one aggregate gives them, one grouped aggregate gives the pattern means;
-    the driver sums m_j (ybar_j - mu)' S_jj^-1 (ybar_j - mu) over patterns.
+    Means and covariances are pairwise complete (NULLs skipped per pair): one
+    pass adds the cross products of the columns about a first guess of
+    their means, with the number of rows that have both.  Rows are then grouped by the
+    text of their pattern; m_j (ybar_j - mu)' S_jj^-1 (ybar_j - mu) is
+    computed where a pattern's means are, and summed by an aggregate, so that no list of patterns is collected.
     """
     import numpy as np
 
     from loanframe.functions.dist import chi2_sf
+    from loanframe.functions.gram import ArrowBatch, partition_sums
     p = len(cols)
-    if p > max_columns:
-        raise ValueError(f"Little's test is limited to {max_columns} columns (got {p})")
-    x = [F.col(c).cast("double") for c in cols]
-    g = df.agg(*[F.avg(xi).alias(f"m{i}") for i, xi in enumerate(x)],
-               *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
-    mu = np.array([g[f"m{i}"] for i in range(p)], dtype=float)
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = g[f"c{i}_{j}"]
-    d2, pj = 0.0, 0
-    for r in pattern_stats(df, cols).collect():  # at most min(2^p, rows) patterns
-        obs = [i for i in range(p) if not (r["pattern"] >> i) & 1]
-        pj += len(obs)
-        if not obs:
-            continue
-        diff = np.array([r[cols[i]] for i in obs]) - mu[obs]
-        d2 += r["n"] * float(diff @ np.linalg.solve(cov[np.ix_(obs, obs)], diff))
-    dof = pj - p
+    x = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    first = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mu = np.array([np.nan if v is None else v for v in first], dtype=float)
+
+    def products(b: ArrowBatch) -> np.ndarray:
+        z = b.matrix("x") - mu
+        has = (~np.isnan(z)).astype(float)
+        z = np.where(has > 0, z, 0.0)
+        return np.concatenate([v.ravel() for v in (has.T @ has, z.T @ z, z.T @ has)])
+
+    n, zz, zh = partition_sums(x, products, 3 * p * p).reshape(3, p, p)      # zh[i, j]: sum of column i where j is there
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = (zz - zh * zh.T / n) / (n - 1)
+
+    def term(batches):
+        for b in batches:
+            d2, seen = [], []
+            means = ArrowBatch(b).matrix("means")
+            for pattern, size, mean in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), means):
+                obs = [i for i in range(p) if pattern[i] == "1"]
+                seen.append(len(obs))
+                diff = mean[obs] - mu[obs]
+                d2.append(size * float(diff @ np.linalg.solve(cov[np.ix_(obs, obs)], diff)) if obs else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(d2, pa.float64()), pa.array(seen, pa.int64())], names=["d2", "seen"])
+
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    means = df.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)])
+    means = means.select("pattern", "n", F.array(*[f"a{i}" for i in range(p)]).alias("means"))
+    r = means.mapInArrow(term, "d2 double, seen long").agg(F.sum("d2").alias("d2"), F.sum("seen").alias("seen")).first()
+    d2, dof = r["d2"] or 0.0, (r["seen"] or 0) - p
     return {"statistic": d2, "dof": dof, "p_value": chi2_sf(d2, dof) if dof > 0 else float("nan")}
 
 
@@ -176,18 +191,22 @@ def logit_summary(df: DataFrame, label: str, predictors: list[str], max_iter: in
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
     va = VectorAssembler(inputCols=predictors, outputCol="_x", handleInvalid="skip")
-    data = va.transform(df.select(F.col(label).cast("double").alias("_y"),
-                                  *[F.col(c).cast("double").alias(c) for c in predictors]))
+    rows = df.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in predictors])
+    data = va.transform(shared_table(rows, "logit-rows")).select("_x", "_y").persist()      # a step is a pass over these, not the sources
     glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
                                       maxIter=max_iter, regParam=0.0)
-    m = glm.fit(data)
-    s = m.summary
-    terms = predictors + ["Intercept"]
-    coefs = list(m.coefficients) + [m.intercept]
-    se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-    r2 = 1.0 - s.deviance / s.nullDeviance if s.nullDeviance else None
-    rows = [(label, t, float(c), float(a), float(b), float(d), float(s.deviance), float(s.nullDeviance),
-             float(s.aic), r2) for t, c, a, b, d in zip(terms, coefs, se, tv, pv)]
+    try:
+        m = glm.fit(data)
+        s = m.summary
+        terms = predictors + ["Intercept"]
+        coefs = list(m.coefficients) + [m.intercept]
+        se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
+        deviance, null_deviance, aic = float(s.deviance), float(s.nullDeviance), float(s.aic)
+    finally:
+        data.unpersist()
+    r2 = 1.0 - deviance / null_deviance if null_deviance else None
+    rows = [(label, t, float(c), float(a), float(b), float(d), deviance, null_deviance, aic, r2)
+            for t, c, a, b, d in zip(terms, coefs, se, tv, pv)]
     return df.sparkSession.createDataFrame(
         rows, "flag string, term string, coef double, std_err double, z double, p_value double,"
               " deviance double, null_deviance double, aic double, pseudo_r2 double")
@@ -213,60 +232,131 @@ SW_C6 = [-0.4803, -0.082676, 0.0030302]
 SW_G = [-2.273, 0.459]
 
 
-#: Ranks of one value that one row stands for before they are written out.
-RUN = 4096
+class ScoreSums:
+    """Prefix sums S(k) = m_1 + ... + m_k of the normal scores m_i = ppf((i - 3/8) / (n + 1/4)), for any n.
+
+    The first ``TAIL`` are added up; beyond them the scores are so smooth in i that
+    the integral and one Euler-Maclaurin term are exact to rounding.  S(k) = S(n - k), as
+    scores come in pairs of opposite sign.
+    """
+    TAIL = 8192
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        from loanframe.functions.dist import norm_ppf
+        self.n, self.ppf = n, norm_ppf
+        self.t = min(n // 2, self.TAIL)
+        head = self.score(np.arange(1, self.t + 1))
+        self.head = np.concatenate([[0.0], np.cumsum(head)])
+        half = float(np.sum(head * head))
+        if n // 2 > self.t:
+            lo, hi = (self._squares(np.array([k + 0.5]))[0] for k in (self.t, n // 2))
+            half += float(hi - lo)
+        self.squares = 2.0 * half                              # the middle score of an odd n is 0
+
+    def score(self, i):
+        return self.ppf((i - 0.375) / (self.n + 0.25))
+
+    def _density(self, z):
+        import numpy as np
+        return np.exp(-z * z / 2.0) / np.sqrt(2.0 * np.pi)
+
+    def _plain(self, i):
+        """Integral of the scores up to i less the correction: differences of these are sums."""
+        z, scale = self.score(i), self.n + 0.25
+        d = self._density(z)
+        return -scale * d - 1.0 / (24.0 * scale * d)
+
+    def _squares(self, i):
+        z, scale = self.score(i), self.n + 0.25
+        d = self._density(z)
+        return scale * ((i - 0.375) / scale - z * d) - 2.0 * z / (24.0 * scale * d)
+
+    def upto(self, k):
+        """S(k) of an array of ranks, 0 to n."""
+        import numpy as np
+        k = np.minimum(k, self.n - k)
+        out = self.head[np.minimum(k, self.t)]
+        far = k > self.t
+        if far.any():
+            out[far] += self._plain(k[far] + 0.5) - self._plain(np.array([self.t + 0.5]))
+        return out
 
 
 def shapiro_wilk(df: DataFrame, col: str, p_limit: int = 5000) -> dict:
-    """Shapiro-Wilk W and p (Royston 1995) of one column, NULLs left out.
+    """T8 of one column (see ``shapiro_wilk_all``)."""
+    return shapiro_wilk_all(df, [col], p_limit)[0]
+
+
+def shapiro_wilk_all(df: DataFrame, cols: list[str], p_limit: int = 5000) -> list[dict]:
+    """Shapiro-Wilk W and p (Royston 1995) of each column, NULLs left out; all columns in the same jobs.
 
-    The order statistics come from the distributed rank (X1), the
-    coefficients a_i are an AS241 column expression of the rank, and W is
-    one aggregate: nothing is sorted in one task or collected.
+    Distinct values get their rank ranges from distributed running sums (X1).
+    What a value with the ranks (a, b] adds to W is its distance from the mean times
+    the sum of the normal scores of these ranks, two look-ups in their prefix sums:
+    no rank is written out, whatever the number of equal values.
     """
+    import numpy as np
+
+    from loanframe.functions.ordering import running_sums
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x"))
+                                        for i, c in enumerate(cols)]))).where("x IS NOT NULL")
+    counts = shared_table(rows.groupBy("c", "x").agg(F.count("*").alias("n")), "shapiro-value")
+    total = {r["c"]: (r["n"], r["mean"]) for r in counts.groupBy("c").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    sums = {c: ScoreSums(n) for c, (n, _) in total.items()}
+    ranked = running_sums(counts, "c", "x", ["n"]).select("c", "x", "n", "cum_n")
+
+    def parts(batches):
+        for b in batches:
+            c, x, n, upto = (b.column(i).to_numpy() for i in range(4))
+            mean, score, ends = np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), 4), dtype=bool)
+            for k, (size, m) in total.items():
+                at = c == k
+                mean[at] = m
+                score[at] = sums[k].upto(upto[at]) - sums[k].upto(upto[at] - n[at])
+                for j, rank in enumerate((1, 2, size - 1, size)):
+                    ends[at, j] = (upto[at] - n[at] < rank) & (rank <= upto[at])
+            gap = x - mean
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(gap * score), pa.array(n * gap * gap),
+                 *(pa.array(gap, mask=~ends[:, j]) for j in range(4))], names=["c", "num", "ss", "e0", "e1", "e2", "e3"])
+
+    found = ranked.mapInArrow(parts, "c int, num double, ss double, e0 double, e1 double, e2 double, e3 double")
+    found = {r["c"]: r for r in found.groupBy("c").agg(
+        F.sum("num").alias("num"), F.sum("ss").alias("ss"), *[F.max(f"e{j}").alias(f"e{j}") for j in range(4)]).collect()}
+    out = []
+    for i, name in enumerate(cols):
+        n = total.get(i, (0, 0.0))[0]
+        r = found.get(i)
+        out.append(_royston(name, n, sums.get(i), r["num"], r["ss"], [r[f"e{j}"] for j in range(4)], p_limit) if n >= 3 else
+                   {"column": name, "n": n, "W": None, "p_value": None, "p_valid": False})
+    return out
+
+
+def _royston(col: str, n: int, sums: ScoreSums, num: float, ss: float, ends: list[float], p_limit: int) -> dict:
+    """W and p from the sums of scores times distances from the mean; ``ends``: distances of the ranks 1, 2, n - 1, n."""
     import math
 
     import numpy as np
 
-    from loanframe.functions.dist import norm_ppf, norm_ppf_col, norm_sf
-    from loanframe.functions.ordering import running_sums
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    # distinct values are ranked; a value's ranks are then dealt out in runs,
-    # so a value that a third of the rows have is no task's burden
-    values = running_sums(x.groupBy("x").agg(F.count("*").alias("n")), None, "x", ["n"])
-    runs = values.select("x", (F.col("cum_n") - F.col("n")).alias("_at"), "cum_n", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))).alias("_run"))
-    runs = runs.select("x", (F.col("_at") + F.col("_run") * RUN + 1).alias("_lo"), F.least(
-        F.col("cum_n"), F.col("_at") + (F.col("_run") + 1) * RUN).alias("_hi"))
-    ranked = shared_table(runs, "ranks").repartition("_lo").select("x", F.explode(F.sequence("_lo", "_hi")).alias("rank"))
-    n = x.count()
-    if n < 3:
+    from loanframe.functions.dist import norm_sf
+    if not ss:
         return {"column": col, "n": n, "W": None, "p_value": None, "p_valid": False}
-    mcol = norm_ppf_col((F.col("rank") - 0.375) / (n + 0.25))
-    ag = ranked.agg(F.sum(mcol * mcol).alias("m2"), F.avg("x").alias("mean")).first()
-    m2, mean = ag["m2"], ag["mean"]
-    mn = float(norm_ppf(np.array([(n - 0.375) / (n + 0.25)]))[0])
-    mn1 = float(norm_ppf(np.array([(n - 1 - 0.375) / (n + 0.25)]))[0])
-    u = 1.0 / math.sqrt(n)
+    mn, mn1 = (float(v) for v in sums.score(np.array([n, n - 1], dtype=float)))
+    m2, u = sums.squares, 1.0 / math.sqrt(n)
     an = _poly(SW_C1, u) + mn / math.sqrt(m2)
-    if n > 5:
+    if n == 3:
+        top = math.sqrt(0.5) * (ends[3] - ends[0])
+    elif n > 5:
         an1 = _poly(SW_C2, u) + mn1 / math.sqrt(m2)
-        phi = (m2 - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)
+        root = math.sqrt((m2 - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1))
+        top = num / root + (an - mn / root) * (ends[3] - ends[0]) + (an1 - mn1 / root) * (ends[2] - ends[1])
     else:
-        an1 = None
-        phi = (m2 - 2 * mn * mn) / (1 - 2 * an * an)
-    r = F.col("rank")
-    a = mcol / F.lit(math.sqrt(phi))
-    a = F.when(r == n, F.lit(an)).when(r == 1, F.lit(-an)).otherwise(a)
-    if an1 is not None:
-        a = F.when(r == n - 1, F.lit(an1)).when(r == 2, F.lit(-an1)).otherwise(a)
-    if n == 3:
-        a = F.when(r == 3, F.lit(math.sqrt(0.5))).when(r == 1, F.lit(-math.sqrt(0.5))).otherwise(F.lit(0.0))
-    w = ranked.agg(F.sum(a * F.col("x")).alias("num"),
-                   F.sum((F.col("x") - mean) * (F.col("x") - mean)).alias("ss")).first()
-    W = (w["num"] ** 2) / w["ss"] if w["ss"] else None
-    if W is None:
-        return {"column": col, "n": n, "W": None, "p_value": None, "p_valid": False}
+        root = math.sqrt((m2 - 2 * mn * mn) / (1 - 2 * an * an))
+        top = num / root + (an - mn / root) * (ends[3] - ends[0])
+    W = top * top / ss
     W = min(W, 1.0)
     if n == 3:
         pw = max(0.0, 6 / math.pi * (math.asin(math.sqrt(W)) - math.asin(math.sqrt(0.75))))

@@ -13,11 +13,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.gram import Interactions
 from loanframe.operators.encode import MostFrequentImputer, OneHotEncoder
 from loanframe.operators.impute import IterativeImputer
 from loanframe.operators.numeric import (Assemble, KBinsDiscretizer, PolynomialFeatures,
@@ -111,6 +113,19 @@ def fit_pipeline(spec: PipelineSpec | str, train: DataFrame, numeric: list[str]
         data.unpersist()
 
 
+def interactions(model: PipelineModel) -> Interactions:
+    """The scaled products that a pipeline with an interaction tail ends in, as a function of its base columns."""
+    scaler = model.stages[-1].fitted()
+    return Interactions(np.array(scaler["mean"]), np.array(scaler["scale"]))
+
+
+def base_columns(model: PipelineModel, df: DataFrame, keep: list[str] = (L.KEY, L.LABEL), output_col: str = "base") -> DataFrame:
+    """(keep, base): what the interaction tail of a fitted pipeline starts from, as one array column."""
+    tail = model.stages[-2]
+    before = PipelineModel(stages=model.stages[:-2]).transform(prepare(df))
+    return Assemble(tail.input_cols(), output_col=output_col, keep=list(keep)).transform(before)
+
+
 def feature_names(model: PipelineModel) -> list[str]:
     """The ordered names of the output features."""
     for st in reversed(model.stages):

@@ -177,6 +177,19 @@ def n8_missing_patterns(spark, sf_dir):
     return D.missing_patterns(L.deduped(spark, sf_dir), _PAT)
 
 
+_FLAGS_AS_INT = ", ".join(f"CAST(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS INT) AS {c}" for c in _PAT)
+
+
+@register("n8_pattern_margins", sql=L.with_loans(
+    f", f AS (SELECT {_FLAGS_AS_INT} FROM dedup)"
+    " SELECT NULL AS variable, " + ", ".join(_PAT) + ", CAST(" + " + ".join(f"1 - {c}" for c in _PAT) + " AS INT) AS n_missing,"
+    " count(*) AS row_count FROM f GROUP BY ALL"
+    + "".join(f" UNION ALL SELECT '{c}', " + ", ".join("0" if x == c else "NULL" for x in _PAT)
+              + f", NULL, count_if({c} = 0) FROM f" for c in _PAT)))
+def n8_pattern_margins(spark, sf_dir):
+    return D.patterns_with_margins(L.deduped(spark, sf_dir), _PAT)
+
+
 @register("n9_value_counts", sql=L.with_loans(
     "SELECT person_age, count(*) AS count FROM dedup WHERE person_age IS NOT NULL GROUP BY person_age"))
 def n9_value_counts(spark, sf_dir):
@@ -468,7 +481,7 @@ def t5_logit_category(spark, sf_dir):
 @register("t8_shapiro")
 def t8_shapiro(spark, sf_dir):
     train, _ = L.train_test(spark, sf_dir)
-    rows = [T.shapiro_wilk(train, c) for c in L.NUMERIC]
+    rows = T.shapiro_wilk_all(train, L.NUMERIC)
     return spark.createDataFrame(
         [(r["column"], int(r["n"]), r["W"], r["p_value"], bool(r["p_valid"]),
           bool(r["p_value"] is not None and r["p_value"] < 0.05)) for r in rows],

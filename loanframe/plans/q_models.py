@@ -4,36 +4,58 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.gram import Interactions
 from loanframe.operators import models as M
 from loanframe.operators import tune as TU
+from loanframe.operators.numeric import products
 from loanframe.operators.online import fit_online
 from loanframe.operators.svm import fit_linear_svc
 from loanframe.plans import pipelines as PL
 from loanframe.plans.catalog import register
+from loanframe.session import shared_table
 from loanframe.sources import loans as L
 
 _MEMO: dict = {}
 _LOCK = threading.Lock()
 
 
-def model_data(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The linear pipeline's train and test features (X_*_linear + labels),
-    as (key, label, features).  The fitted pipeline (constants only) is
-    memoised per session and folder; the rows are never held."""
+def _base(spark, sf_dir) -> tuple[DataFrame, PipelineModel]:
+    """X_linear before its interactions, as (key, label, base, is_test), stored once a session and folder with the
+    fitted pipeline: models read this table, not the sources."""
     k = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if k not in _MEMO:
-            train, _ = L.train_test(spark, sf_dir)
-            _MEMO[k] = PL.fit_pipeline("linear", train)
-    pm = _MEMO[k]
-    train, test = L.train_test(spark, sf_dir)
+            loans = L.deduped(spark, sf_dir).withColumn("is_test", L.is_test()).persist()
+            try:
+                pm = PL.fit_pipeline("linear", loans.where("NOT is_test"))
+                rows = PL.base_columns(pm, loans, keep=[L.KEY, L.LABEL, "is_test"])
+                rows = shared_table(rows.select(F.col(L.KEY).alias("key"), F.col(L.LABEL).cast("int").alias("label"),
+                                                "is_test", "base"), "x-linear")
+            finally:
+                loans.unpersist()
+            _MEMO[k] = rows, pm
+    return _MEMO[k]
+
+
+def base_data(spark, sf_dir) -> tuple[DataFrame, DataFrame, Interactions]:
+    """Train and test rows (key, label, base) and the features that their base columns stand for."""
+    rows, pm = _base(spark, sf_dir)
+    return (rows.where("NOT is_test").drop("is_test"), rows.where("is_test").drop("is_test"), PL.interactions(pm))
+
+
+def model_data(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The linear pipeline's train and test features (X_*_linear + labels), as (key, label, features)."""
+    _, pm = _base(spark, sf_dir)
+    train, test, made = base_data(spark, sf_dir)
+    p = len(pm.stages[-2].input_cols())
 
     def feats(d):
-        return PL.transform(pm, d).select(F.col(L.KEY).alias("key"),
-                                          F.col(L.LABEL).cast("int").alias("label"), "features")
+        d = d.select("key", "label", products(F.col("base"), p, True).alias("features"))
+        return pm.stages[-1].transform(d)
     return feats(train), feats(test), PL.feature_names(pm)
 
 
@@ -45,23 +67,36 @@ def _scores(fit):
             model = fit(tr)
         finally:
             tr.unpersist()
-        return model.score(te)
+        _, base, made = base_data(spark, sf_dir)
+        return model.score(base, features="base", expand=made)
     return run
 
 
+def _scores_of_sums(fit):
+    """Models of one or two passes of sums: features are made where they are added up."""
+    def run(spark, sf_dir):
+        tr, te, made = base_data(spark, sf_dir)
+        return fit(tr, made).score(te, features="base", expand=made)
+    return run
+
+
+for _key, _sums in {
+    "m6_ridge": lambda d, made: M.fit_ridge(d, features="base", expand=made),
+    "m7_ridge_cv": lambda d, made: M.fit_ridge_cv(d, features="base", expand=made, p=made.width()),
+    "m12_lda": lambda d, made: M.fit_lda(d, features="base", expand=made),
+}.items():
+    register(_key)(_scores_of_sums(_sums))
+
 for _key, _fit in {
     "m1_dummy": M.fit_dummy,
     "m2_logreg_cv_l1": lambda d: M.fit_logistic_cv(d, "l1"),
     "m3_logreg_cv_l2": lambda d: M.fit_logistic_cv(d, "l2"),
     "m4_logreg_cv_elasticnet": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5),
     "m5_logreg": M.fit_logistic,
-    "m6_ridge": M.fit_ridge,
-    "m7_ridge_cv": M.fit_ridge_cv,
     "m8_sgd_log": lambda d: fit_online(d, "log"),
     "m9_sgd_hinge": lambda d: fit_online(d, "hinge"),
     "m10_perceptron": lambda d: fit_online(d, "perceptron"),
     "m11_passive_aggressive": lambda d: fit_online(d, "pa"),
-    "m12_lda": M.fit_lda,
     "m13_linear_svc": fit_linear_svc,
     "m14_linear_svc_l1_balanced": lambda d: fit_linear_svc(d, C=1.0, penalty="l1",
                                                            weights=M.class_weights(d), max_iter=50),
@@ -122,7 +157,8 @@ def m22_score(spark, sf_dir):
     tr, te, _ = model_data(spark, sf_dir)
     m = M.fit_logistic(tr.persist())
     tr.unpersist()
-    return m.score(te).select("key", "prediction", "score", "prob")
+    _, base, made = base_data(spark, sf_dir)
+    return m.score(base, features="base", expand=made).select("key", "prediction", "score", "prob")
 
 
 # ------------------------------------------------------------ R1, R3, R4

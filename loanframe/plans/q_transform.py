@@ -206,7 +206,7 @@ def i8_binarize(spark, sf_dir):
 
 # ------------------------------------------------------------------- I9 / I10
 
-_POLY = ["person_age", "loan_amnt", "loan_int_rate"]
+_POLY = L.NUMERIC
 
 
 def _poly_sql(interaction_only: bool) -> str:
@@ -275,7 +275,7 @@ def e4_onehot(spark, sf_dir):
     return m.transform(PL.prepare(test).select("loan_id", *_CATS))
 
 
-_BIN_COLS = ["person_age", "loan_amnt"]
+_BIN_COLS = L.NUMERIC
 
 
 @register("e5_onehot_bins", sql=L.with_loans(
@@ -372,6 +372,22 @@ def s1_read(spark, sf_dir):
     return io.read_table(spark, f"{sf_dir}/orders.parquet", schema=schema)
 
 
+#: Rows of the CSV that don't parse: too few fields, or too many.
+_BROKEN = ["7,12", "8,13,44.5,1-URGENT,extra,fields", "9,14,45.5"]
+
+
+@register("s1_read_csv", sql="SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(NULL AS VARCHAR) AS malformed FROM orders"
+          + "".join(f" UNION ALL SELECT NULL, NULL, NULL, NULL, '{r}'" for r in _BROKEN))
+def s1_read_csv(spark, sf_dir):
+    """A written CSV with three broken rows, read back with inferred types."""
+    cols = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    path = _scratch(spark)
+    io.write_table(io.read_table(spark, f"{sf_dir}/orders.parquet").select(*cols), path, fmt="csv")
+    broken = spark.createDataFrame([(r,) for r in [",".join(cols), *_BROKEN]], "value string")
+    broken.coalesce(1).write.mode("append").text(path)
+    return io.read_csv(spark, path)
+
+
 def _scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/loanframe-io-{uuid.uuid4().hex}"
 
@@ -430,42 +446,32 @@ def x1_global_rank(spark, sf_dir):
     """Distributed rank by (income, key) without a single-partition window."""
     from loanframe.functions.ordering import global_rank
     d = L.deduped(spark, sf_dir).select("loan_id", "person_income")
-    # a unique order key: income, then loan id as the tie-breaker
-    d = d.withColumn("_o", F.struct("person_income", "loan_id"))
-    r = global_rank(d.withColumn("_ord", F.col("person_income") + F.lit(0.0)), "_ord")
-    # equal incomes share a bucket; rank inside the bucket follows loan_id
-    from pyspark.sql import Window as W
-    w = W.partitionBy("_ord").orderBy("loan_id")
-    r = r.withColumn("_first", F.min("rank").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return r.select("loan_id", (F.col("_first") + F.row_number().over(w) - 1).cast("bigint").alias("rank"))
+    r = global_rank(d.withColumn("_order", F.struct("person_income", "loan_id")), "_order")
+    return r.select("loan_id", "rank")
 
 
-_GRAM_COLS = ["person_age", "loan_amnt", "loan_int_rate"]
-# amounts in thousands keep the sums at a magnitude where 2 decimals compare
-_GX = {"person_age": "CAST(person_age AS DOUBLE)", "loan_amnt": "(loan_amnt / 1000.0)",
-       "loan_int_rate": "loan_int_rate"}
+_GRAM_COLS = L.NUMERIC
+# amounts in thousands keep the sums at a magnitude where 2 decimals compare; NULL counts as 0
+_GX = {c: f"(coalesce(CAST({c} AS DOUBLE), 0.0) / {1000.0 if c in ('person_income', 'loan_amnt') else 1.0})" for c in _GRAM_COLS}
+_GRAM_PAIRS = [(a, b) for i, a in enumerate(_GRAM_COLS) for b in _GRAM_COLS[i:]]
 
 
 @register("x2_gram", sql=L.with_loans(
     "SELECT CAST(loan_status AS INT) AS label, count(*) AS n, "
-    + ", ".join(f"sum({_GX[a]} * {_GX[b]}) AS \"{a}*{b}\"" for i, a in enumerate(_GRAM_COLS)
-                for b in _GRAM_COLS[i:])
-    + " FROM train WHERE loan_int_rate IS NOT NULL GROUP BY 1"),
-    rounding={f"{a}*{b}": 2 for i, a in enumerate(_GRAM_COLS) for b in _GRAM_COLS[i:]})
+    + ", ".join(f"sum({_GX[a]} * {_GX[b]}) AS \"{a}*{b}\"" for a, b in _GRAM_PAIRS) + " FROM train GROUP BY 1"),
+    rounding={f"{a}*{b}": 2 for a, b in _GRAM_PAIRS})
 def x2_gram(spark, sf_dir):
-    """Gram matrix X'X per class by the mapInPandas + Summarizer primitive."""
+    """Gram matrix X'X of all numeric columns per class."""
     from loanframe.functions.gram import gram_by_group
     train, _ = _split(spark, sf_dir)
-    d = train.filter(F.col("loan_int_rate").isNotNull()).select(
-        F.col("loan_status").cast("int").cast("string").alias("g"),
-        F.array(F.col("person_age").cast("double"), F.col("loan_amnt") / F.lit(1000.0),
-                F.col("loan_int_rate")).alias("x"))
+    d = train.select(F.col("loan_status").cast("int").cast("string").alias("g"),
+                     F.array(*[F.expr(_GX[c]) for c in _GRAM_COLS]).alias("x"))
     gs = gram_by_group(d, "x", group="g", p=len(_GRAM_COLS))
     rows = []
     for g, v in gs.items():
-        vals = [float(v["xtx"][i, j]) for i in range(len(_GRAM_COLS)) for j in range(i, len(_GRAM_COLS))]
+        vals = [float(v["xtx"][_GRAM_COLS.index(a), _GRAM_COLS.index(b)]) for a, b in _GRAM_PAIRS]
         rows.append((int(g), int(v["n"]), *vals))
-    names = [f"`{a}*{b}` double" for i, a in enumerate(_GRAM_COLS) for b in _GRAM_COLS[i:]]
+    names = [f"`{a}*{b}` double" for a, b in _GRAM_PAIRS]
     return spark.createDataFrame(rows, "label int, n bigint, " + ", ".join(names))
 
 

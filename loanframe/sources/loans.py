@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanframe.sources import io
+
 NUMERIC = ["person_age", "person_income", "person_emp_length", "loan_amnt", "loan_int_rate"]
 CATEGORICAL = ["person_home_ownership", "loan_intent", "loan_grade"]
 FLAG_SOURCES = {"pel_missing": "person_emp_length", "lir_missing": "loan_int_rate"}
@@ -21,7 +23,7 @@ SPLIT_SEED = 42
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def loan_base(spark: SparkSession, sf_dir: str) -> DataFrame:

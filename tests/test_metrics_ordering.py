@@ -61,7 +61,7 @@ def test_running_sums_over_groups_ties_and_nulls(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_quantiles_are_exact_at_any_size(spark, monkeypatch):
+def test_quantiles_are_exact_at_any_size(spark):
     from loanframe.functions import quantile as Q
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=20_000), rng.choice([1.0, 2.0, 5.5], size=20_000, p=[0.4, 0.35, 0.25])
@@ -70,13 +70,38 @@ def test_quantiles_are_exact_at_any_size(spark, monkeypatch):
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9999, 1.0]
     keep = np.array([i % 7 > 0 for i in range(20_000)])
     want = {"a": np.quantile(a, probs), "b": np.quantile(b[keep], probs)}
-    for limit, parts in ((10**6, 1), (300, 1), (300, 13)):
-        monkeypatch.setattr(Q, "COLLECT_ROWS", limit)
-        got = Q.quantiles(df.repartition(parts), ["a", "b", "c"], probs)
+    for points, buffer, parts in ((10**6, 10**6, 1), (20, 100, 1), (20, 100, 13), (300, 50, 5)):
+        got = Q.quantiles(df.repartition(parts), ["a", "b", "c"], probs, points, buffer)
         assert np.allclose(got["a"], want["a"], rtol=0, atol=1e-12) and np.allclose(got["b"], want["b"], rtol=0, atol=1e-12)
         assert got["c"] == [None] * len(probs)
 
 
+def test_quantile_summaries_keep_their_bounds():
+    from loanframe.functions.quantile import Summary
+    rng = np.random.default_rng(9)
+    whole, values = None, []
+    for _ in range(40):
+        v = np.round(rng.normal(size=rng.integers(1, 400)), rng.integers(0, 4))
+        values.append(v)
+        s = Summary.of(v).thinned(30)
+        whole = s if whole is None else whole.merged(s).thinned(30)
+    v = np.sort(np.concatenate(values))
+    cum = np.cumsum(whole.w)
+    true = np.searchsorted(v, whole.x, side="right")
+    assert cum[-1] == len(v) and whole.err > 0 and (cum <= true).all() and (true <= cum + whole.err).all()
+    for k in range(0, len(v), 7):
+        lo, hi = whole.bracket(k)
+        assert (lo is None or lo < v[k]) and v[k] <= hi
+
+
+def test_quantiles_of_infinite_and_many_equal_values(spark):
+    from loanframe.functions import quantile as Q
+    v = [-np.inf] * 30 + [0.0] * 500 + [-0.0] * 100 + [float(i) for i in range(400)] + [np.inf] * 20
+    df = spark.createDataFrame([(x,) for x in v], "a double").repartition(4)
+    got = Q.quantiles(df, ["a"], [0.0, 0.02, 0.5, 0.9, 1.0], 16, 40)["a"]
+    assert got == [-np.inf, -np.inf, 0.0, float(np.quantile(np.array(v[30:-20]), (0.9 * (len(v) - 1) - 30) / (len(v) - 51))), np.inf]
+
+
 def test_roc_auc_of_huge_counts(spark):
     """Counts near 4e9 positives and negatives don't overflow."""
     base = spark.createDataFrame([("m", 0.2, 10, 4 * 10**9), ("m", 0.7, 4 * 10**9, 20)], "model string, score double, pos long, neg long")

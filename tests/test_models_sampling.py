@@ -123,3 +123,35 @@ def test_cv_path_converges_at_weak_penalties(spark):
     one = M.fit_logistic_cv(df, "l1", Cs=[10_000.0], cv=3)
     g, gb = _log_loss_grad(x, y, one.w, one.b, np.ones(len(y)))
     assert np.abs(1e4 * g + np.sign(one.w)).max() < 1e4 * 1e-3
+
+
+def test_neighbours_are_exact_and_few_pairs_are_compared(spark, monkeypatch):
+    """Clusters, equal points and ties; every neighbour as by comparing all."""
+    from loanframe.functions import metric_index as MI
+    rng = np.random.default_rng(4)
+    centres = rng.uniform(-100, 100, size=(20, 6))
+    x = np.concatenate([centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 6)),
+                        np.round(rng.uniform(0, 3, size=(200, 6))), np.repeat(centres[:1], 300, axis=0)])
+    keys = rng.permutation(len(x)) + 5
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(keys, x)], "key bigint, features array<double>")
+    monkeypatch.setattr(MI, "BLOCK", 32)
+    out, work = MI.nearest(df.repartition(5), "features", "key", 5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["key"], []).append((r["dist"], r["nbr"]))
+    d = MI.squared_distances(x, x)
+    for i in range(len(x)):
+        others = sorted((float(d[i, j]), int(keys[j])) for j in np.argpartition(d[i], 330)[:331] if j != i)
+        last = others[4][0]
+        tied = sorted((float(v), int(keys[j])) for j, v in enumerate(d[i]) if j != i and v <= last)
+        assert sorted(got[int(keys[i])]) == tied[:5], i
+    w = work.first()
+    assert w["points"] <= 1701 and w["compared"] < 0.25 * w["points"] ** 2
+
+
+def test_neighbours_of_few_rows(spark):
+    from loanframe.functions.metric_index import nearest
+    df = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [5.0])], "key bigint, features array<double>")
+    got = sorted(tuple(r) for r in nearest(df, "features", "key", 5)[0].collect())
+    assert got == [(1, 2, 0.0), (1, 3, 25.0), (2, 1, 0.0), (2, 3, 25.0), (3, 1, 25.0), (3, 2, 25.0)]
+    assert nearest(df.limit(0), "features", "key", 5)[0].count() == 0
