@@ -1,19 +1,25 @@
 """Encodings and group features (E1-E10) and most-frequent imputation.
 
 Levels of all category columns come from one job: the (column, level)
-pairs are counted with partial aggregation and at most ``max_levels`` per
-column (plus one, to detect overflow) reach the driver.  A column with more
-levels raises a clear error instead of pulling an unbounded list.
-Transforms are column expressions over the fitted level lists.
+pairs are counted with partial aggregation.  Up to ``max_levels`` of a column are a
+list in the fitted model, and its transforms are column expressions.  More are
+a table of levels and codes (``code_table``), written once and joined: no
+list of them reaches the driver.  Dummies of such a column can't be a column each:
+``SparseOneHotEncoder`` puts the dummies of all columns into one sparse vector, for any number of levels.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.feature import OneHotEncoder as MLOneHot
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanframe.functions.ordering import global_rank
 from loanframe.operators.base import FitEstimator, FittedModel
+from loanframe.session import ensure_checkpoint_dir
 
 MAX_LEVELS = 10_000
 # size bound under which a group-count table is broadcast
@@ -59,6 +65,21 @@ def level_counts(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS,
     return out
 
 
+def _pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, level) of every value that isn't NULL."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level"))
+        for c in cols])).alias("p")).select("p.*").filter(F.col("level").isNotNull())
+
+
+def level_sizes(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Number of levels of each column (one row a column reaches the driver)."""
+    if not cols:
+        return {}
+    found = {r["column"]: r["k"] for r in _pairs(df, cols).distinct().groupBy("column").agg(F.count("*").alias("k")).collect()}
+    return {c: found.get(c, 0) for c in cols}
+
+
 def sorted_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
     """The sorted level list of each category column (NULL left out)."""
     return {c: [lv for lv, _ in v] for c, v in level_counts(df, cols, max_levels).items()}
@@ -66,9 +87,7 @@ def sorted_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS)
 
 def levels_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """E9 as a DataFrame: column, level_index, level (distributed, no collect)."""
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
-        for c in cols])).alias("p")).select("p.*").filter(F.col("level").isNotNull()).distinct()
+    pairs = _pairs(df, cols).distinct()
     # levels are distinct per column; rank them with the bucketed primitive
     # (a window by column alone would put a whole column in one task)
     return _rank_strings(pairs)
@@ -89,17 +108,50 @@ def _code_expr(c: str, levels: list[str], unknown: str = "error") -> Column:
 
 # --------------------------------------------------------------- E1 / E6
 
+def code_table(df: DataFrame, cols: list[str]) -> str:
+    """Folder of the table (column, level_index, level) of all levels, written to the shared folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/levels-{uuid.uuid4().hex}"
+    levels_table(df, cols).write.parquet(path)
+    return path
+
+
+def join_codes(df: DataFrame, table: DataFrame, col: str, out: str, unknown: str = "error") -> DataFrame:
+    """``df`` with the code of ``col`` as ``out`` (double).  NULL has none; an unknown level is an error, or has none.
+
+    Spark broadcasts the table where it is small; else rows are joined by level, and of a level that
+    a large share of the rows has, the rows are split (skew join).
+    """
+    codes = table.where(F.col("column") == col).select(F.col("level").alias("_level"), F.col("level_index").cast("double").alias("_code"))
+    x = F.col(f"`{col}`").cast("string")
+    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    joined = df.withColumn("_value", x).join(codes, F.col("_value") == F.col("_level"), "left")
+    code = F.col("_code")
+    if unknown == "error":
+        code = F.when(F.col("_value").isNotNull() & code.isNull(),
+                      F.raise_error(F.concat(F.lit(f"unknown level in {col}: "), "_value")).cast("double")).otherwise(code)
+    return joined.select(*rest, code.alias(out)).select(*df.columns, *([out] if out not in df.columns else []))
+
+
 class OrdinalEncoderModel(FittedModel):
     def apply(self, df, state):
-        return df.withColumns({c: _code_expr(c, state["levels"][c], "error")
-                               for c in self.input_cols()})
+        out = df.withColumns({c: _code_expr(c, state["levels"][c], "error")
+                              for c in self.input_cols() if c in state["levels"]})
+        many = [c for c in self.input_cols() if c not in state["levels"]]
+        if many:
+            table = df.sparkSession.read.parquet(state["table"])
+            for c in many:
+                out = join_codes(out, table, c, c)
+        return out
 
 
 class OrdinalEncoder(FitEstimator):
     """E1 (label encoding) and E6 (ordinal by a given order).
 
     ``categories`` fixes the order per column; otherwise levels are sorted.
-    Unknown levels raise an error, NULL stays NULL.
+    Unknown levels raise an error, NULL stays NULL.  Columns of more than
+    ``max_levels`` levels are encoded by a join with their code table, which is in the
+    shared folder and has to stay there as long as the model is used.
     """
     model_class = OrdinalEncoderModel
 
@@ -109,9 +161,13 @@ class OrdinalEncoder(FitEstimator):
     def fit_state(self, df, cols, opts):
         given = opts.get("categories") or {}
         need = [c for c in cols if c not in given]
-        lv = sorted_levels(df, need, opts.get("max_levels", MAX_LEVELS)) if need else {}
+        most = opts.get("max_levels", MAX_LEVELS)
+        sizes = level_sizes(df, need)
+        few = [c for c in need if sizes[c] <= most]
+        many = [c for c in need if sizes[c] > most]
+        lv = sorted_levels(df, few, most) if few else {}
         lv.update({c: list(map(str, v)) for c, v in given.items()})
-        return {"levels": lv}
+        return {"levels": lv, **({"table": code_table(df, many)} if many else {})}
 
 
 # ------------------------------------------------------------ E2-E5
@@ -157,6 +213,43 @@ class OneHotEncoder(FitEstimator):
         return {"levels": lv, "names": {c: _onehot_names(c, lv[c], opts.get("drop")) for c in cols}}
 
 
+class SparseOneHotEncoderModel(FittedModel):
+    def apply(self, df, state):
+        out, drop = df, self.opts().get("drop")
+        table = df.sparkSession.read.parquet(state["table"])
+        parts = []
+        for i, (c, n) in enumerate(state["sizes"].items()):
+            out = join_codes(out, table, c, f"_code{i}", "none")
+            code = F.col(f"_code{i}")
+            first = 1 if n and (drop == "first" or (drop == "if_binary" and n == 2)) else 0
+            # NULL, unknown and dropped levels share the last category, which has no dummy
+            code = F.when(code.isNull() | (code < first), F.lit(float(n - first))).otherwise(code - first)
+            if n - first:
+                meta = {"ml_attr": {"type": "nominal", "name": c, "num_vals": n - first + 1}}
+                out = out.withColumn(f"_code{i}", F.col(f"_code{i}")).withColumn(f"_code{i}", code.alias(f"_code{i}", metadata=meta))
+                parts.append(f"_code{i}")
+        if parts:
+            hot = MLOneHot(inputCols=parts, outputCols=[f"{p}_hot" for p in parts], dropLast=True)
+            out = VectorAssembler(inputCols=[f"{p}_hot" for p in parts], outputCol=self.opts()["output_col"]).transform(hot.fit(out).transform(out))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], *([self.opts()["output_col"]] if parts else []))
+
+
+class SparseOneHotEncoder(FitEstimator):
+    """E3 / E4 / E5 for any number of levels: the dummies of all columns, in the order of ``inputCols`` and of their
+    sorted levels, as one sparse vector ``output_col``.
+
+    ``drop`` as in ``OneHotEncoder``; NULL and unknown levels have no 1.  The
+    code table stays in the shared folder, which the fitted model reads from.
+    """
+    model_class = SparseOneHotEncoderModel
+
+    def __init__(self, inputCols=None, drop: str | None = None, output_col: str = "onehot"):
+        super().__init__(inputCols, drop=drop, output_col=output_col)
+
+    def fit_state(self, df, cols, opts):
+        return {"sizes": level_sizes(df, cols), "table": code_table(df, cols)}
+
+
 def get_dummies(df: DataFrame, cols: list[str], drop_first: bool = True) -> DataFrame:
     """``pd.get_dummies(df, drop_first=True)`` on the given category
     columns: integer 0/1 dummies, first sorted level dropped."""

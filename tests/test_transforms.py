@@ -92,3 +92,27 @@ def test_most_frequent_of_many_levels_and_nulls(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     out = MostFrequentImputer(["a", "b"]).fit(df).transform(df)
     assert out.where("a = 'level7'").count() == 3 and out.where("b = 'x'").count() == 20_000
+
+
+def test_columns_of_many_levels_encode(spark):
+    """200,000 levels: codes by join, dummies as one sparse vector, as by the lists of a column of few."""
+    from loanframe.operators import encode as E
+    n = 200_000
+    df = spark.range(0, 3 * n, 1, 8).selectExpr(
+        "id", f"CASE WHEN id % 1000 = 7 THEN NULL WHEN id < {n} THEN 'hot' ELSE concat('v', lpad(id % {n}, 6, '0')) END AS c",
+        "CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END AS few")
+    assert E.level_sizes(df, ["c", "few"])["few"] == 2
+    out = E.OrdinalEncoder(["c", "few"]).fit(df).transform(df)
+    r = {x["id"]: x for x in out.where("id IN (1, 7, 200001, 400001, 599999)").collect()}
+    levels = n - n // 1000 + 1                                  # every 1000th is NULL wherever it occurs
+    assert r[7]["c"] is None and r[1]["c"] == 0.0 and r[200001]["c"] == r[400001]["c"] == 2.0 and r[599999]["c"] == levels - 1
+    assert r[1]["few"] == 1.0 and out.count() == 3 * n
+    m = E.SparseOneHotEncoder(["c", "few"], drop="if_binary").fit(df)
+    v = {x["id"]: x["onehot"] for x in m.transform(df).where("id IN (1, 7, 200001, 599999)").collect()}
+    assert {x.size for x in v.values()} == {levels + 1}
+    assert v[1].indices.tolist() == [0, levels] and v[7].indices.tolist() == [levels] and v[200001].indices.tolist() == [2]
+    assert v[599999].indices.tolist() == [levels - 1, levels]
+    unseen = spark.createDataFrame([(1, "never", "y"), (2, None, None)], "id long, c string, few string")
+    assert [x["onehot"].indices.tolist() for x in m.transform(unseen).orderBy("id").collect()] == [[levels], []]
+    few = E.OrdinalEncoder(["few"], max_levels=1).fit(df).transform(df).where("id < 2").orderBy("id").collect()
+    assert [x["few"] for x in few] == [0.0, 1.0]
