@@ -88,7 +88,6 @@ for _key, _sums in {
     register(_key)(_scores_of_sums(_sums))
 
 for _key, _fit in {
-    "m1_dummy": M.fit_dummy,
     "m2_logreg_cv_l1": lambda d: M.fit_logistic_cv(d, "l1"),
     "m3_logreg_cv_l2": lambda d: M.fit_logistic_cv(d, "l2"),
     "m4_logreg_cv_elasticnet": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5),
@@ -103,6 +102,12 @@ for _key, _fit in {
 }.items():
     register(_key)(_scores(_fit))
 
+register("m1_dummy", sql=L.with_loans(
+    ", top AS (SELECT CAST(loan_status AS INT) AS c FROM train GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    " SELECT 'DummyClassifier' AS model, loan_id AS key, CAST(loan_status AS INT) AS label,"
+    " CAST(CASE WHEN c = 1 THEN 1 ELSE -1 END AS DOUBLE) AS score, CAST(c AS DOUBLE) AS prob, c AS prediction FROM test, top"))(
+    _scores(M.fit_dummy))
+
 
 @register("m15_select_from_model")
 def m15_select_from_model(spark, sf_dir):
@@ -215,7 +220,9 @@ def r2_smote(spark, sf_dir):
     return smote(_smote_input(spark, sf_dir))
 
 
-@register("r5_class_balance_after_smote")
+@register("r5_class_balance_after_smote", sql=L.with_loans(
+    ", c AS (SELECT CAST(loan_status AS INT) AS label, count(*) AS n FROM train GROUP BY 1)"
+    " SELECT label, (SELECT max(n) FROM c) AS count FROM c"))
 def r5_class_balance_after_smote(spark, sf_dir):
     from loanframe.operators.sampling import class_balance, smote
     return class_balance(smote(_smote_input(spark, sf_dir)))

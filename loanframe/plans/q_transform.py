@@ -326,7 +326,14 @@ def e9_levels(spark, sf_dir):
     return E.levels_table(train, CAT)
 
 
-@register("e10_feature_names")
+_NAMES_SQL = " UNION ALL ".join(
+    [f"SELECT {i} AS block, '' AS level, '{c}' AS name" for i, c in enumerate(NUM)]
+    + [f"SELECT {len(NUM) + i}, level, '{c}_' || level FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS level FROM train WHERE {c} IS NOT NULL)"
+       " QUALIFY NOT (count(*) OVER () = 2 AND row_number() OVER (ORDER BY level) = 1)" for i, c in enumerate(_CATS)])
+
+
+@register("e10_feature_names", sql=L.with_loans(
+    f"SELECT CAST(row_number() OVER (ORDER BY block, level) - 1 AS BIGINT) AS position, name FROM ({_NAMES_SQL}) AS f"))
 def e10_feature_names(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     m = E.OneHotEncoder(_CATS, drop="if_binary").fit(PL.prepare(train))
