@@ -95,7 +95,7 @@ def fit(df: DataFrame, features: str, label: str, p: int, loss: str = "logistic"
 
     val, g, h = _pass(df, features, label, weight, beta, loss)
     obj = objective(val, beta)
-    it, passes = 0, 1
+    it, passes, converged = 0, 1, False
     for it in range(1, max_iter + 1):
         gs, hs = C * g, C * h
         if l1 == 0.0:
@@ -113,10 +113,12 @@ def fit(df: DataFrame, features: str, label: str, p: int, loss: str = "logistic"
                 break
             step *= 0.5
         if not accepted:
+            converged = True                                # no step lowers the objective any more
             break
         change = float(np.max(np.abs(cand - beta)))
         rel = abs(obj - nobj) / max(1.0, abs(obj))
         beta, val, g, h, obj = cand, nval, ng, nh, nobj
         if change < tol or rel < 1e-10:
+            converged = True
             break
-    return beta[:p], float(beta[p]), {"iterations": it, "passes": passes, "objective": obj}
+    return beta[:p], float(beta[p]), {"iterations": it, "passes": passes, "objective": obj, "converged": converged}

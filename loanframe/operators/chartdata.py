@@ -1,17 +1,19 @@
-"""The table behind each cited plot (C1, C3, C4); no drawing.
+"""The table behind each cited plot (C1, C3, C4, C8); no drawing.
 
-C2, C5, C6 are profile tables (``profile.py``), C7 is the class count and
-C8 the curves of ``metrics.py``.
+C2, C5, C6 are profile tables (``profile.py``), C7 is the class count, the
+ROC display of C8 is the curve of ``metrics.py``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanframe.functions.dist import norm_ppf_col
 from loanframe.functions.ordering import running_sums
 from loanframe.functions.quantile import quantiles
+from loanframe.operators import metrics as K
 
 VIOLIN_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -76,3 +78,30 @@ def qq_points(df: DataFrame, cols: list[str]) -> DataFrame:
     r = running_sums(t, "variable", "sample", ["n"]).join(F.broadcast(total), "variable")    # one row a column
     r = r.withColumn("prob", (F.col("cum_n") - F.col("n") / 2.0) / F.col("_all"))
     return r.select("variable", "sample", "n", "prob", norm_ppf_col(F.col("prob")).alias("theoretical"))
+
+
+# ------------------------------------------------------------------- C8
+
+def pr_display(scores: DataFrame) -> DataFrame:
+    """The precision-recall curve with what its display is labelled with: average precision, and the share of
+    positives, at which a model without skill runs."""
+    ap = K.average_precision(scores)
+    share = scores.groupBy("model").agg(F.avg(F.col("label").cast("double")).alias("chance"))
+    return K.precision_recall_curve(scores).join(F.broadcast(ap.join(share, "model")), "model")      # a row a model
+
+
+def det_display(scores: DataFrame) -> DataFrame:
+    """The DET curve in normal deviates, the scale its display has; rates of 0 or 1 have no place there (NULL)."""
+    def deviate(c: str):
+        return F.when((F.col(c) > 0) & (F.col(c) < 1), norm_ppf_col(F.col(c)))
+    return K.det_curve(scores).select("model", "threshold", deviate("fpr").alias("x"), deviate("fnr").alias("y"))
+
+
+def confusion_display(scores: DataFrame) -> DataFrame:
+    """The cells of the confusion matrix with their shares of the true class, of the predicted class and of all rows."""
+    cells = K.confusion_matrix(scores)
+    by = {"share_of_label": ["model", "label"], "share_of_prediction": ["model", "prediction"], "share_of_all": ["model"]}
+    for name, keys in by.items():                               # windows over four cells a model
+        total = F.sum("count").over(W.partitionBy(*keys))
+        cells = cells.withColumn(name, F.when(total > 0, F.col("count") / total))
+    return cells

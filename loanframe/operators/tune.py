@@ -70,7 +70,7 @@ def compare_models(train: DataFrame, test: DataFrame,
         errors = [(n, err) for n, m, err in fitted if m is None]
         parts = []
         if ok:
-            scores = M.score_many(test, ok)
+            scores = shared_table(M.score_many(test, ok), "panel-scores")     # four metric jobs read it
             parts.append(K.model_panel_metrics(scores).withColumn("error", F.lit(None).cast("string")))
         if errors:
             parts.append(spark.createDataFrame(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.dist import norm_ppf_sql
+from loanframe.operators import chartdata as C
 from loanframe.operators import metrics as K
 from loanframe.plans.catalog import register
 from loanframe.sources import loans as L
@@ -196,6 +198,41 @@ def c8_roc_display(spark, sf_dir):
     return K.roc_curve(score_table(spark, sf_dir))
 
 
+@register("c8_pr_display", sql=_sql(
+    ", ap AS (SELECT model, sum(pos / P * tps / (tps + fps)) AS average_precision, max(P) / (max(P) + max(N)) AS chance FROM d GROUP BY model),"
+    " curve AS (SELECT model, tps / (tps + fps) AS precision, tps / P AS recall, score AS threshold FROM d"
+    " WHERE tps - pos < P UNION ALL SELECT DISTINCT model, 1.0, 0.0, CAST(NULL AS DOUBLE) FROM scores)"
+    " SELECT model, precision, recall, threshold, average_precision, chance FROM curve JOIN ap USING (model)"),
+    rounding={"precision": 12, "recall": 12, "average_precision": 9, "chance": 12})
+def c8_pr_display(spark, sf_dir):
+    return C.pr_display(score_table(spark, sf_dir))
+
+
+def _deviate_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 AND {x} < 1 THEN {norm_ppf_sql(f'(CASE WHEN {x} > 0 AND {x} < 1 THEN {x} ELSE 0.5 END)')} END"
+
+
+@register("c8_det_display", sql=_sql(
+    ", e AS (SELECT *, lag(fps) OVER (PARTITION BY model ORDER BY score) AS nx_fps,"
+    " max_by(fps, rank) OVER (PARTITION BY model) AS fps0 FROM d),"
+    " curve AS (SELECT model, score AS threshold, fps / N AS fpr, (P - tps) / P AS fnr FROM e"
+    " WHERE (nx_fps IS NULL OR nx_fps <> fps0) AND tps - pos < P)"
+    f" SELECT model, threshold, {_deviate_sql('fpr')} AS x, {_deviate_sql('fnr')} AS y FROM curve"), rounding={"x": 9, "y": 9})
+def c8_det_display(spark, sf_dir):
+    return C.det_display(score_table(spark, sf_dir))
+
+
+@register("c8_confusion_display", sql=_sql(
+    ", cells AS (SELECT model, 1 AS label, 1 AS prediction, tp AS count FROM cm UNION ALL"
+    " SELECT model, 0, 1, fp FROM cm UNION ALL SELECT model, 0, 0, tn FROM cm UNION ALL SELECT model, 1, 0, fn FROM cm)"
+    " SELECT *, count / sum(count) OVER (PARTITION BY model, label) AS share_of_label,"
+    " count / sum(count) OVER (PARTITION BY model, prediction) AS share_of_prediction,"
+    " count / sum(count) OVER (PARTITION BY model) AS share_of_all FROM cells"),
+    rounding={"share_of_label": 12, "share_of_prediction": 12, "share_of_all": 12})
+def c8_confusion_display(spark, sf_dir):
+    return C.confusion_display(score_table(spark, sf_dir))
+
+
 @register("c7_class_counts", sql=L.with_loans(
     "SELECT CAST(loan_status AS INT) AS label, count(*) AS count FROM train GROUP BY 1"))
 def c7_class_counts(spark, sf_dir):

@@ -229,8 +229,8 @@ def i10_interactions(spark, sf_dir):
 
 # ------------------------------------------------------------------- E1-E10
 
-def _rank_sql(c: str) -> str:
-    return (f"CAST((SELECT count(DISTINCT t.{c}) FROM train t WHERE t.{c} < x.{c}) AS DOUBLE)")
+def _rank_sql(c: str, before: str = "<") -> str:
+    return (f"CAST((SELECT count(DISTINCT t.{c}) FROM train t WHERE t.{c} {before} x.{c}) AS DOUBLE)")
 
 
 @register("e1_label_encode", sql=L.with_loans(
@@ -292,10 +292,11 @@ def e5_onehot_bins(spark, sf_dir):
 
 
 @register("e6_ordinal", sql=L.with_loans(
-    f"SELECT loan_id, {_rank_sql('loan_intent')} AS loan_intent FROM test x"))
+    f"SELECT loan_id, {_rank_sql('loan_intent', '>')} AS loan_intent FROM test x"))
 def e6_ordinal(spark, sf_dir):
+    """Priorities coded from the lowest up: an order of its own, not that of the names."""
     train, test = _split(spark, sf_dir)
-    levels = E.sorted_levels(train, ["loan_intent"])
+    levels = {c: v[::-1] for c, v in E.sorted_levels(train, ["loan_intent"]).items()}
     m = E.OrdinalEncoder(["loan_intent"], categories=levels).fit(train)
     return m.transform(test).select("loan_id", "loan_intent")
 
@@ -358,10 +359,10 @@ for _i, _name in enumerate(["linear", "tree", "distance", "probability", "neural
 
 @register("l6_column_transformer")
 def l6_column_transformer(spark, sf_dir):
-    """Numeric and category branches glued in declared order (names + values)."""
+    """Numeric and category branches glued in declared order (names + values), train and test rows."""
     train, test = _split(spark, sf_dir)
     model = PL.fit_pipeline("tree", train)
-    return PL.expand(PL.transform(model, test), PL.feature_names(model))
+    return PL.expand(PL.transform(model, train.unionByName(test)), PL.feature_names(model))
 
 
 @register("l8_fit_transform_train")
