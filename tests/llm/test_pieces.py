@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,32 @@ def test_nbest_matches_all_segmentations():
             assert known[path] == pytest.approx(s)
 
 
+def test_equal_signs_do_not_multiply():
+    """N best of runs of one sign as by recursion, and in bounded time for a rule line of any length."""
+    v = _toy()
+    for text in ("bbbbbbbb", "cccccccccc", "....", "ababababab"):
+        want = sorted({s for s, _ in _all(v, text)}, reverse=True)
+        every = sorted((s for s, _ in _all(v, text)), reverse=True)
+        got = v.nbest(text, 5)
+        assert [s for s, _ in got] == pytest.approx(every[:len(got)]) and len({x for _, x in got}) == len(got) == min(5, len(every)), want
+    real = P.vocabulary()
+    for sign in "#-=":
+        began = time.time()
+        got = P.Encoder(real, 3).encode(sign * 100_000)               # linear: 1 to 3 s, a few times that on a busy machine
+        assert len(got[2]) == 2 and time.time() - began < 30
+
+
+def test_words_are_remembered_over_generations(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 40)
+    v, rnd = _toy(), random.Random(7)
+    enc, fresh = P.Encoder(v, 3), [P.Encoder(v, 3) for _ in range(60)]
+    for one in fresh:
+        texts = ["".join(rnd.choice(["ab ", "a", "b. ", "c", "\n"]) for _ in range(30)) for _ in range(3)] + [""]
+        a, b = enc.encode_all(texts), one.encode_all(texts)
+        assert np.array_equal(a.ids, b.ids) and np.array_equal(a.starts, b.starts) and a.alternatives == b.alternatives
+    assert len(enc.before.code) and len(enc.now.code) < 200
+
+
 NASTY = ["", "a", " a", "  two  spaces ", "tab\tcr\r\nnl\n\n", "▁mark▁ ▁▁", "emoji 😀 ñandú 中文 \x00\x01", " nbsp", " ", "\n", "word" * 2000]
 
 
