@@ -51,6 +51,12 @@ class Automaton:
             last = 0
             for word in seq:
                 last = self._extend(last, word)
+        # for each state: the ancestor (or itself) whose strings include the last ``window`` words
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        self.window_state = list(range(len(self.length)))
+        for s in by_length:
+            if self.length[self.link[s]] >= window:
+                self.window_state[s] = self.window_state[self.link[s]]
         self.windows: dict[int, set[str]] = {}
         self.short: dict[int, list[tuple[int, str]]] = {}
         for key, seq in coded:
@@ -62,7 +68,11 @@ class Automaton:
             else:
                 for _, state, length in self.stream(seq):
                     if length >= window:
-                        self.windows.setdefault(self.at_window(state), set()).add(key)
+                        self.windows.setdefault(self.window_state[state], set()).add(key)
+        # for each state: the nearest ancestor (or itself) that ends a short item
+        self.near_short = [0] * len(self.length)
+        for s in by_length:
+            self.near_short[s] = s if s in self.short else self.near_short[self.link[s]]
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.length.append(length)
@@ -94,12 +104,6 @@ class Automaton:
             self.link[new] = self._split(p, word, self.next[p][word])
         return new
 
-    def at_window(self, state: int) -> int:
-        """Ancestor whose strings include the last ``window`` words."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def stream(self, seq: Iterable[int | None]) -> Iterator[tuple[int, int, int]]:
         """(position, state, longest match that ends here) after every word that occurs in an item."""
         step, link, length = self.next, self.link, self.length
@@ -128,15 +132,14 @@ class Automaton:
             begin = at + 1
             if run >= window:
                 begin = at + 1 - window
-                items |= self.windows[self.at_window(state)]
-            if self.short:
-                up = state
-                while up > 0:
-                    for size, key in self.short.get(up, ()):
-                        if size <= run:
-                            begin = min(begin, at + 1 - size)
-                            items.add(key)
-                    up = self.link[up]
+                items |= self.windows[self.window_state[state]]
+            up = self.near_short[state]
+            while up > 0:                                      # at most window - 1 lengths
+                for size, key in self.short[up]:
+                    if size <= run:
+                        begin = min(begin, at + 1 - size)
+                        items.add(key)
+                up = self.near_short[self.link[up]]
             if begin <= at:
                 while spans and spans[-1][1] >= begin - 1:
                     begin = min(begin, spans.pop()[0])

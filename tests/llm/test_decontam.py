@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from loanframe.llm import decontam as D
 
@@ -33,6 +34,15 @@ def test_automaton_matches_brute_force():
                                if tuple(words[i:j]) in every], default=0)
 
 
+def test_repeated_words_are_linear():
+    """Items and texts of one word over and over: no climbing from state to state at every word."""
+    items = [("long", [b"a"] * 4000), ("short", [b"a"] * 3), ("other", [b"a", b"b"])]
+    began = time.time()
+    auto = D.Automaton(items, 10)
+    longest, spans, found = auto.search([b"a"] * 60_000 + [b"b"])
+    assert longest == 4000 and spans == [(0, 60_000)] and found == {"long", "short", "other"} and time.time() - began < 3
+
+
 ITEM = "Alpha beta gamma, delta epsilon zeta eta theta iota kappa lambda mu"
 
 
