@@ -40,13 +40,13 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """A role ends at its line's end, so line ends and backslashes are written as two characters."""
-    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    """A role ends at its line's end, so a backslash is written as ``\\s`` and a line end as ``\\n``."""
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(role, F.lit("\\\\"), F.lit("\u0000"))
-    return unescape(F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\")))
+    """Undo ``escape_role``: behind every backslash stands s or n, so the two can't be mistaken."""
+    return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\")))
 
 
 def fold(events: DataFrame) -> DataFrame:

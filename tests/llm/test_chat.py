@@ -58,3 +58,11 @@ def test_round_trip_of_control_strings(spark):
     assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [("a\\n\nb<|im_end|>", "x"), ("", "y")]
     assert back[2]["loss"] == [] and back[3]["loss"] == ["z", "z"] and back[3]["n_turns"] == 2
     assert back[1]["formatted"].count(chat.END) == len(texts)
+
+
+def test_roles_of_any_characters_come_back(spark):
+    roles = ["a\0b", "\0", "\\", "\\\\n", "\\s\n\\", "x\n\\sn<\\|im_end|>", "\\n\0\\s"]
+    rows = [(1, i, r, "t") for i, r in enumerate(roles)]
+    df = chat.events_from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = chat.render(chat.fold(df)).select(chat.parse(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [t["role"] for t in back] == roles
