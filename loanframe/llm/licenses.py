@@ -14,6 +14,9 @@ dropped where they are read (nothing is lost), and only windows around
 anchors are hashed.  Retrieved windows are verified: the share of the
 template's shingles in the window and half a window on both sides must reach
 ``containment``.  Only matches are shuffled.
+
+A template below five words is one shingle, its whole sequence of words, and
+is found where it stands word for word.
 """
 
 from __future__ import annotations
@@ -51,6 +54,25 @@ TEMPLATES = [
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
                 "to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("all-rights-reserved", "All rights reserved."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+            "of the Software."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+             "General Public License as published by the Free Software Foundation"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+                "and accompanying documentation covered by this license"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+             "held liable for any damages arising from the use of this software."),
 ]
 
 
@@ -64,12 +86,31 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the five-word shingles in order; none below five words, NULL for a NULL text."""
-    words = F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    return _bind(words, lambda w: F.when(F.size(w) >= WIDTH, F.transform(
-        F.sequence(F.lit(0), F.size(w) - WIDTH),
-        lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))).otherwise(F.array().cast("array<bigint>")))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
+def shingles(text: Column, width: int = WIDTH) -> Column:
+    """Hashes of the shingles of ``width`` words in order; none below so many words, NULL for a NULL text."""
+    return _bind(_words(text), lambda w: F.when(F.size(w) >= width, F.transform(
+        F.sequence(F.lit(0), F.size(w) - width),
+        lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>")))
+
+
+def _short_hits(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Places of templates below ``WIDTH`` words, as rows like those of the others."""
+    t = templates.where("text IS NOT NULL").select("template_id", "license_id", "text", F.size(_words(F.col("text"))).alias("width"))
+    t = t.where((F.col("width") > 0) & (F.col("width") < WIDTH))
+    out = None
+    for width in sorted(r["width"] for r in t.select("width").distinct().collect()):
+        table = t.where(F.col("width") == width).select("template_id", "license_id", F.get(shingles(F.col("text"), width), F.lit(0)).alias("gram"))
+        keys = [r["gram"] for r in table.select("gram").distinct().collect()]       # one a template, of bounded size
+        at = _bind(shingles(F.col(text_col), width), lambda h: F.filter(F.transform(h, lambda g, i: F.when(
+            g.isin(keys), F.struct(g.alias("gram"), i.alias("start")))), lambda x: x.isNotNull()))
+        d = docs.select(F.col(id_col).alias("_id"), F.explode(at).alias("p")).select("_id", "p.*")
+        d = d.join(F.broadcast(table), "gram").select("_id", "license_id", "template_id", "start", F.lit(1.0).alias("containment"))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def anchors(templates: DataFrame) -> DataFrame:
@@ -91,9 +132,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     place; ``first_word``: where the first such window begins (words from 0);
     ``n_windows``: retrieved and verified windows.
 
-    NULL and empty texts, and those below five words, hold nothing; repeated
-    rows with one id are one document; templates below five words are never
-    found; an empty document or template table gives an empty result.  Other
+    NULL and empty texts hold nothing; repeated rows with one id are one
+    document; templates below five words are found word for word, those without
+    words never; an empty document or template table gives an empty result.  Other
     columns are ignored.  Templates above ``TEMPLATE_BYTES`` are refused.
     """
     size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -125,6 +166,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     around = F.slice(F.col("near"), lo - F.col("base") + 1, F.col("start") - lo + F.col("size") + half)
     found = F.size(F.array_intersect("grams", around)) / F.size("grams")
     c = c.withColumn("containment", found).where(F.col("containment") >= containment)
+    c = c.select("_id", "license_id", "template_id", "start", "containment")
+    short = _short_hits(docs, templates, id_col, text_col)
+    c = c if short is None else c.unionByName(short)
     hits = c.groupBy("_id", "license_id").agg(
         F.max("containment").alias("containment"),
         F.min_by("start", F.struct(-F.col("containment"), F.col("start"))).cast("long").alias("first_word"),

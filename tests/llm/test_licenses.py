@@ -6,15 +6,23 @@ from loanframe.llm import queries as Q
 from tests.conftest import SF_SMALL
 
 
-def _grams(text):
-    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
-    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+def _words(text):
+    return [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
+
+
+def _grams(text, width=5):
+    w = _words(text)
+    return [tuple(w[i:i + width]) for i in range(len(w) - width + 1)]
 
 
 def _brute(text, templates):
     """License -> best containment over every place of the text."""
     h, out = _grams(text), {}
     for lic, t in templates:
+        if 0 < len(_words(t)) < 5:
+            if tuple(_words(t)) in _grams(text, len(_words(t))):
+                out[lic] = 1.0
+            continue
         g = _grams(t)
         s, half = len(g), (len(g) + 1) // 2
         if not s:
@@ -67,5 +75,17 @@ def test_edges(spark):
     assert got[3, "mit"]["n_windows"] == 1 and got[4, "mit"]["first_word"] == 50_000 and got[6, "mit"]["n_windows"] == 300
     none = L.default_templates(spark).where("template_id < 0")
     assert L.scan(df, none).count() == 0 and L.scan(df.limit(0), L.default_templates(spark)).count() == 0
-    short = spark.createDataFrame([(0, "s", "all rights reserved"), (1, "n", None)], "template_id int, license_id string, text string")
-    assert L.scan(df, short).count() == 0
+    short = spark.createDataFrame([(0, "s", "a B"), (1, "n", None), (2, "e", "..."), (3, "one", "c"), (4, "two", "b c d")],
+                                  "template_id int, license_id string, text string")
+    got = _rows(L.scan(df, short))
+    assert set(got) == {(5, "s"), (5, "one")} and got[5, "one"]["first_word"] == 2 and got[5, "s"]["n_windows"] == 1
+
+
+def test_reserved_rights_are_found(spark):
+    """The three-word notice, by a search of its own."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    want = {r["doc_id"] for r in rows if re.search(r"(?<![a-z0-9\x80-\U0010ffff])all[\x00-\x2F\x3A-\x60\x7B-\x7F]+rights"
+                                                   r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+reserved(?![a-z0-9\x80-\U0010ffff])", (r["text"] or "").lower())}
+    got = {r["doc_id"] for r in Q.op6_license_scan(spark, folder).where("license_id = 'all-rights-reserved'").collect()}
+    assert got == want and len(want) >= 7
