@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.gram import ArrowBatch
+from loanframe.functions.gram import ArrowBatch, Interactions
 from loanframe.operators.models import FEATURES, KEY, LABEL, LinearScorer, _width
 from loanframe.session import shared_table
 
@@ -149,13 +149,16 @@ def _sharded(train: DataFrame, features: str, label: str, key: str, shards: int,
 
 def fit_online(train: DataFrame, kind: str = "log", max_iter: int = 1000, alpha: float = 1e-4,
                C: float = 1.0, tol: float = 1e-3, no_change: int = 5, features: str = FEATURES, label: str = LABEL,
-               key: str = KEY, shards: int = SHARDS, seed: int = 42) -> LinearScorer:
+               key: str = KEY, shards: int = SHARDS, seed: int = 42, expand: Interactions | None = None) -> LinearScorer:
     """kind: ``log`` (SGD logistic, M8), ``hinge`` (SGD SVM, M9), ``perceptron`` (M10), ``pa`` (passive-aggressive I,
     M11).  ``info``: epochs, whether the tolerance stopped them, mean loss of each epoch.
 
     Rows without a label are left out; equal keys are ordered by their rows.  Without rows the weights are zero.
+    With ``expand`` the array column holds what the features are made of, block by block.
     """
-    p = _width(train, features)
+    if kind in ("log", "hinge") and not 0 < alpha < 1:
+        raise ValueError("the 'optimal' schedule needs an alpha between 0 and 1")
+    p = expand.width() if expand else _width(train, features)
     rows = _sharded(train, features, label, key, shards, seed)
     order = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "key", "y", "x")
     order = order.select("shard", "y", "x").persist()
@@ -164,7 +167,7 @@ def fit_online(train: DataFrame, kind: str = "log", max_iter: int = 1000, alpha:
         best, waited, losses = math.inf, 0, []
         while len(losses) < max_iter and waited < no_change:
             def epoch(batches: Iterator[pa.RecordBatch], w=w, b=b, t=1 + int(seen)) -> Iterator[pa.RecordBatch]:
-                yield from _epoch(batches, lambda: Learner(kind, w, b, t, alpha, C))
+                yield from _epoch(batches, lambda: Learner(kind, w, b, t, alpha, C), expand)
 
             got = order.mapInArrow(epoch, "n long, loss double, v array<double>").collect()       # one row a shard
             n = sum(r["n"] for r in got)
@@ -182,7 +185,7 @@ def fit_online(train: DataFrame, kind: str = "log", max_iter: int = 1000, alpha:
         order.unpersist()
 
 
-def _epoch(batches: Iterator[pa.RecordBatch], fresh) -> Iterator[pa.RecordBatch]:
+def _epoch(batches: Iterator[pa.RecordBatch], fresh, expand: Interactions | None = None) -> Iterator[pa.RecordBatch]:
     """Run a learner over every shard of sorted rows, in blocks of ``BLOCK`` rows whatever the batches."""
     shard, learner = None, None
     x_held, y_held = [], []
@@ -207,6 +210,7 @@ def _epoch(batches: Iterator[pa.RecordBatch], fresh) -> Iterator[pa.RecordBatch]
             continue
         of, b = batch.column(0).to_numpy(), ArrowBatch(batch)
         x, y = b.matrix("x"), b["y"].to_numpy()
+        x = expand(x) if expand else x
         cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
         for lo, hi in zip(cuts, cuts[1:]):
             if of[lo] != shard:

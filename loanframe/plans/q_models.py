@@ -73,7 +73,7 @@ def _scores(fit):
 
 
 def _scores_of_sums(fit):
-    """Models of one or two passes of sums: features are made where they are added up."""
+    """Models fitted from base columns: features are made where they are used."""
     def run(spark, sf_dir):
         tr, te, made = base_data(spark, sf_dir)
         return fit(tr, made).score(te, features="base", expand=made)
@@ -84,6 +84,10 @@ for _key, _sums in {
     "m6_ridge": lambda d, made: M.fit_ridge(d, features="base", expand=made),
     "m7_ridge_cv": lambda d, made: M.fit_ridge_cv(d, features="base", expand=made, p=made.width()),
     "m12_lda": lambda d, made: M.fit_lda(d, features="base", expand=made),
+    "m8_sgd_log": lambda d, made: fit_online(d, "log", features="base", expand=made),
+    "m9_sgd_hinge": lambda d, made: fit_online(d, "hinge", features="base", expand=made),
+    "m10_perceptron": lambda d, made: fit_online(d, "perceptron", features="base", expand=made),
+    "m11_passive_aggressive": lambda d, made: fit_online(d, "pa", features="base", expand=made),
 }.items():
     register(_key)(_scores_of_sums(_sums))
 
@@ -92,10 +96,6 @@ for _key, _fit in {
     "m3_logreg_cv_l2": lambda d: M.fit_logistic_cv(d, "l2"),
     "m4_logreg_cv_elasticnet": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5),
     "m5_logreg": M.fit_logistic,
-    "m8_sgd_log": lambda d: fit_online(d, "log"),
-    "m9_sgd_hinge": lambda d: fit_online(d, "hinge"),
-    "m10_perceptron": lambda d: fit_online(d, "perceptron"),
-    "m11_passive_aggressive": lambda d: fit_online(d, "pa"),
     "m13_linear_svc": fit_linear_svc,
     "m14_linear_svc_l1_balanced": lambda d: fit_linear_svc(d, C=1.0, penalty="l1",
                                                            weights=M.class_weights(d), max_iter=50),

@@ -118,6 +118,8 @@ def test_interactions_are_made_where_they_are_used(spark):
         s1 = {r["key"]: r["score"] for r in one.score(wide).collect()}
         s2 = {r["key"]: r["score"] for r in two.score(df, expand=made).collect()}
         assert max(abs(s1[k] - s2[k]) for k in s1) < 1e-9
+    a, b = O.fit_online(wide, "hinge", max_iter=5), O.fit_online(df, "hinge", max_iter=5, expand=made)
+    assert np.allclose(a.w, b.w, atol=1e-8)
     got = df.select(products(F.col("features"), 5, False).alias("f")).first()["f"]
     z = x[0]
     assert np.allclose(got, [*z, *(z[i] * z[j] for i in range(5) for j in range(i, 5))])
