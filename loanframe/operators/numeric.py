@@ -347,26 +347,30 @@ class YeoJohnson(FitEstimator):
 
 # ------------------------------------------------------------------ I4
 
-def interp_col(x: Column, xp: list[float], fp: list[float]) -> Column:
-    """np.interp as a column: binary search by nested CASE (depth log2 n),
-    index j with xp[j] <= x < xp[j+1]; clamps outside the knots."""
-    n = len(xp)
+def _numbers(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
-    def seg(j: int) -> Column:
-        if xp[j + 1] == xp[j]:
-            return F.lit(float(fp[j + 1]))
-        slope = (fp[j + 1] - fp[j]) / (xp[j + 1] - xp[j])
-        return F.lit(float(fp[j])) + (x - F.lit(float(xp[j]))) * F.lit(float(slope))
 
-    def search(lo: int, hi: int) -> Column:  # j in [lo, hi)
-        if hi - lo == 1:
-            return seg(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(float(xp[mid])), search(lo, mid)).otherwise(search(mid, hi))
+def _ranks(x: Column, knots: list[float]) -> tuple[Column, Column]:
+    """How many knots are below ``x``, and how many are not above it."""
+    return F.size(F.filter(_numbers(knots), lambda k: k < x)), F.size(F.filter(_numbers(knots), lambda k: k <= x))
 
-    return (F.when(x < F.lit(float(xp[0])), F.lit(float(fp[0])))
-            .when(x >= F.lit(float(xp[-1])), F.lit(float(fp[-1])))
-            .otherwise(search(0, n - 1)))
+
+def interp_cols(x: Column, below: Column, upto: Column, xp: list[float], fp: list[float]) -> tuple[Column, Column]:
+    """np.interp of ``x`` between knots as a column, from the left (of equal knots the last counts) and from the right
+    (the first counts), given how many knots are below ``x`` and how many are not above it.
+
+    Three look-ups in arrays a value, whatever the number of knots.
+    """
+    slope = _numbers([(g - f) / (r - q) if r > q else 0.0 for q, r, f, g in zip(xp, xp[1:], fp, fp[1:])])
+    knots, refs, n = _numbers(xp), _numbers(fp), len(xp)
+
+    def at(knot: Column, piece: Column) -> Column:
+        return F.get(refs, knot) + (x - F.get(knots, knot)) * F.get(slope, piece)
+
+    def ends(count: Column, inner: Column) -> Column:
+        return F.when(count == 0, F.lit(float(fp[0]))).when(count == n, F.lit(float(fp[-1]))).otherwise(inner)
+    return ends(upto, at(upto - 1, upto - 1)), ends(below, at(below, below - 1))
 
 
 BOUNDS = 1e-7
@@ -374,16 +378,19 @@ BOUNDS = 1e-7
 
 class QuantileTransformerModel(FittedModel):
     def apply(self, df, state):
-        out = {}
+        out, counts = {}, {}
         refs = state["references"]
         normal = self.opts().get("output_distribution", "normal") == "normal"
-        for c in self.input_cols():
+        fitted = [c for c in self.input_cols() if state["quantiles"][c] is not None]
+        for i, c in enumerate(fitted):
+            x = F.col(f"`{c}`").cast("double")
+            counts[f"_below{i}"], counts[f"_upto{i}"] = _ranks(x, state["quantiles"][c])
+        names = df.columns
+        df = df.withColumns(counts)                             # a projection of its own: each count is used many times
+        for i, c in enumerate(fitted):
             q = state["quantiles"][c]
-            if q is None:
-                continue
-            x = F.col(c).cast("double")
-            fwd = interp_col(x, q, refs)
-            bwd = -interp_col(-x, [-v for v in q[::-1]], [-v for v in refs[::-1]])
+            x = F.col(f"`{c}`").cast("double")
+            fwd, bwd = interp_cols(x, F.col(f"_below{i}"), F.col(f"_upto{i}"), q, refs)
             u = F.lit(0.5) * (fwd + bwd)
             if normal:
                 lo_hit, hi_hit = x - BOUNDS < F.lit(q[0]), x + BOUNDS > F.lit(q[-1])
@@ -391,7 +398,7 @@ class QuantileTransformerModel(FittedModel):
                 lo_hit, hi_hit = x == F.lit(q[0]), x == F.lit(q[-1])
             out[c] = F.when(x.isNull(), F.lit(None).cast("double")).otherwise(
                 F.when(hi_hit, 1.0).when(lo_hit, 0.0).otherwise(u))
-        d = df.withColumns(out)
+        d = df.withColumns(out).select(*[F.col(f"`{c}`") for c in names])
         if not normal:
             return d
         # the uniform value is its own projection: the inverse normal uses it
@@ -401,7 +408,8 @@ class QuantileTransformerModel(FittedModel):
         for c in out:
             u = F.col(c)
             z = F.when(u <= 0.0, F.lit(clip)).when(u >= 1.0, F.lit(-clip)).otherwise(norm_ppf_col(u))
-            fin[c] = F.least(F.greatest(z, F.lit(clip)), F.lit(-clip))
+            # greatest and least skip NULLs: a NULL stays NULL
+            fin[c] = F.when(u.isNotNull(), F.least(F.greatest(z, F.lit(clip)), F.lit(-clip)))
         return d.withColumns(fin)
 
 

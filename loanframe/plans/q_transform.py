@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from loanframe.functions.dist import norm_ppf, norm_ppf_sql
 from loanframe.operators import encode as E
 from loanframe.operators import numeric as N
 from loanframe.operators.impute import IterativeImputer
@@ -148,7 +150,27 @@ def i3_yeo_johnson(spark, sf_dir):
 
 # ------------------------------------------------------------------- I4
 
-@register("i4_quantile_normal")
+def _quantile_normal_sql(cols: list[str]) -> str:
+    """Interpolation between 100 knots from the left and from the right, their mean, and the inverse normal of it."""
+    refs = "[" + ", ".join(f"{i} / 99.0::DOUBLE" for i in range(100)) + "]"
+    clip = repr(float(norm_ppf(np.array([N.BOUNDS - np.spacing(1)]))[0]))
+    knots = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {refs}) AS k{i}" for i, c in enumerate(cols))
+    places, values, normals = [], [], []
+    for i, c in enumerate(cols):
+        x = f"CAST({c} AS DOUBLE)"
+        places.append(f"{x} AS x{i}, k{i}, len(list_filter(k{i}, lambda k: k <= {x})) AS a{i}, 100 - len(list_filter(k{i}, lambda k: k >= {x})) + 1 AS b{i}")
+        fwd = f"CASE WHEN a{i} = 0 THEN 0.0 WHEN a{i} = 100 THEN 1.0 ELSE (a{i} - 1) / 99.0 + (x{i} - k{i}[a{i}]) / (k{i}[a{i} + 1] - k{i}[a{i}]) / 99.0 END"
+        bwd = f"CASE WHEN b{i} = 101 THEN 1.0 WHEN b{i} = 1 THEN 0.0 ELSE (b{i} - 1) / 99.0 + (x{i} - k{i}[b{i}]) / (k{i}[b{i}] - k{i}[b{i} - 1]) / 99.0 END"
+        values.append(f"CASE WHEN x{i} IS NULL THEN NULL WHEN x{i} + {N.BOUNDS} > k{i}[100] THEN 1.0 WHEN x{i} - {N.BOUNDS} < k{i}[1] THEN 0.0"
+                      f" ELSE 0.5 * ({fwd} + {bwd}) END AS u{i}")
+        inside = f"CASE WHEN u{i} > 0 AND u{i} < 1 THEN u{i} ELSE 0.5 END"
+        normals.append(f"CASE WHEN u{i} IS NULL THEN NULL WHEN u{i} <= 0 THEN {clip} WHEN u{i} >= 1 THEN -({clip})"
+                       f" ELSE least(greatest({norm_ppf_sql(f'({inside})')}, {clip}), -({clip})) END AS {c}")
+    return L.with_loans(f", k AS (SELECT {knots} FROM train), p AS (SELECT loan_id, {', '.join(places)} FROM test, k),"
+                        f" u AS (SELECT loan_id, {', '.join(values)} FROM p) SELECT loan_id, {', '.join(normals)} FROM u")
+
+
+@register("i4_quantile_normal", sql=_quantile_normal_sql(NUM), rounding={c: 6 for c in NUM})
 def i4_quantile_normal(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     m = N.QuantileTransformer(NUM, n_quantiles=100).fit(train)
