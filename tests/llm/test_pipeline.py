@@ -57,7 +57,7 @@ def test_empty_tables_nulls_and_clashing_columns(spark):
             if name != "sentencepiece":
                 assert docs.columns == ["doc_id", "text", "score", "label", "odd name"]
         out = docs.collect()
-        assert docs.columns == ["doc_id", "text", "ids", "n_pieces", "score"]
+        assert docs.columns == ["doc_id", "text", "ids", "n_pieces", "score", "alternatives"]
         assert not rows and not out or {r["doc_id"] for r in out} <= {1, 2, 3, None}
 
 
