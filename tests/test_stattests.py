@@ -54,3 +54,24 @@ def test_contingency_skips_nulls_per_pair(spark):
     ct = T.contingency_long(df, ["r"], ["c", "d"])
     got = {(x["col_var"], x["row_level"]) for x in ct.collect()}
     assert got == {("c", "b"), ("d", "a"), ("d", "b")}
+
+
+def test_sums_of_normal_scores_beyond_the_tail():
+    """Prefix sums by integral agree with the scores added up, for even and odd n."""
+    from loanframe.functions.dist import norm_ppf
+    for n in (5, 6, 40_000, 60_001):
+        m = norm_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+        s = T.ScoreSums(n)
+        upto = np.concatenate([[0.0], np.cumsum(m)])
+        assert np.abs(s.upto(np.arange(n + 1)) - upto).max() < 1e-8
+        assert abs(s.squares - float(np.sum(m * m))) < 1e-9 * n
+
+
+def test_little_mcar_of_many_columns(spark):
+    """More columns than a bitmask of an int holds; without NULLs there is one pattern and nothing to test."""
+    cols = [f"c{i}" for i in range(40)]
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 40))
+    rows = [tuple(None if (i + j) % 97 == 0 else float(v) for j, v in enumerate(r)) for i, r in enumerate(x)]
+    r = T.little_mcar(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)), cols)
+    assert r["dof"] > 100 and r["statistic"] > 0 and 0 <= r["p_value"] <= 1
