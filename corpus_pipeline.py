@@ -56,17 +56,12 @@ def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "ids", "n_pieces", "score", "alternatives")
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``segment`` without its alternatives, which ``run`` returns too."""
-    return segment(spark, docs, sf_dir).drop("alternatives")
-
-
 STAGES = [
     ("toxicity", toxicity),
     ("quality", quality_filter),
     ("near_dedup", near_dedup),
     ("decontamination", decontaminate),
-    ("sentencepiece", encode),
+    ("sentencepiece", segment),
 ]
 
 #: SQL can't express the trained stages; tests compare them with brute force.
@@ -77,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; one row per kept document, with the alternatives of its segmentation."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored((segment if stage is encode else stage)(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
