@@ -67,6 +67,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
+def rows_at_once(blocks: int) -> int:
+    """Rows whose distances to all blocks are held together: ``CHUNK`` distances, whatever the number of blocks."""
+    return max(1, CHUNK // max(1, blocks))
+
+
 def _best(dist: np.ndarray, keys: list[list[int]], k: int) -> list[tuple[float, int]]:
     """The k nearest keys (ties: smallest) of points at squared distances ``dist``."""
     some = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1]) if len(dist) > k else range(len(dist))
@@ -167,20 +172,26 @@ def nearest(df: DataFrame, features: str, key: str, k: int) -> tuple[DataFrame,
     b_id, b_cell, lo, hi = (blocks[c].to_numpy() for c in ("block", "cell", "lo", "hi"))
     size = dict(zip(b_id.tolist(), blocks["n"].to_pylist()))
 
+    def asked(b: pa.RecordBatch, far: np.ndarray) -> pa.RecordBatch:
+        x, mine, own_block = _matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
+        d = np.sqrt(squared_distances(x, pivots))
+        to = d[:, b_cell]
+        least = np.maximum(np.maximum(lo - to, to - hi), (to - d[np.arange(len(x)), mine][:, None]) / 2)
+        limit = np.sqrt(far) * (1 + 1e-9) + 1e-12
+        row, at = np.nonzero((least <= limit[:, None]) & (b_id[None, :] != own_block[:, None]))
+        pick = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(b_id[at]), b.column(0).take(pick), b.column(1).take(pick), pa.array(far[row])],
+                                          names=["block", "id", "x", "r"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, mine, own_block, far = _matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
-            d = np.sqrt(squared_distances(x, pivots))
-            to = d[:, b_cell]
-            least = np.maximum(np.maximum(lo - to, to - hi), (to - d[np.arange(len(x)), mine][:, None]) / 2)
-            limit = np.sqrt(np.where(np.isnan(far), np.inf, far)) * (1 + 1e-9) + 1e-12
-            row, at = np.nonzero((least <= limit[:, None]) & (b_id[None, :] != own_block[:, None]))
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b_id[at]), b.column(0).take(pick), b.column(1).take(pick), pa.array(np.where(np.isnan(far), np.inf, far)[row])],
-                names=["block", "id", "x", "r"])
+            far = b.column(4).to_numpy(zero_copy_only=False)
+            far = np.where(np.isnan(far), np.inf, far)
+            step = rows_at_once(len(b_id))
+            for at in range(0, b.num_rows, step):
+                yield asked(b.slice(at, step), far[at:at + step])
     bounds = first.groupBy("id").agg(F.max("far").alias("far"))
     asking = placed.join(bounds, "id", "left").select("id", "x", "cell", "block", "far").mapInArrow(
         ask, f"block long, id long, x {points.schema['x'].dataType.simpleString()}, r double")
