@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.functions.cells import CellRows, cell_rows, stored
+from loanframe.functions.gram import Interactions
 from loanframe.functions.lockstep import Fit, fit_together, held_out_scores
 from loanframe.operators import metrics as K
 from loanframe.operators import models as M
@@ -30,32 +32,34 @@ PANEL_SCHEMA = ("model string, roc_auc double, pr_auc double, log_loss double, b
                 " matthews_corrcoef double, error string")
 
 
-def default_panel() -> dict[str, Callable[[DataFrame], M.LinearScorer]]:
-    """The cited 11 estimators (names keep the class and the variant)."""
+def default_panel(expand: Interactions | None = None, features: str = M.FEATURES) -> dict[str, Callable[[DataFrame], M.LinearScorer]]:
+    """The cited 11 estimators (names keep the class and the variant); ``expand``: the features are made of the array column."""
+    of = {"features": features, "expand": expand}
     return {
         "DummyClassifier": M.fit_dummy,
-        "LogisticRegressionCV(l1)": lambda d: M.fit_logistic_cv(d, "l1"),
-        "LogisticRegressionCV(l2)": lambda d: M.fit_logistic_cv(d, "l2"),
-        "LogisticRegressionCV(elasticnet)": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5),
-        "RidgeClassifierCV": M.fit_ridge_cv,
-        "SGDClassifier(log_loss)": lambda d: fit_online(d, "log"),
-        "SGDClassifier(hinge)": lambda d: fit_online(d, "hinge"),
-        "Perceptron": lambda d: fit_online(d, "perceptron"),
-        "PassiveAggressiveClassifier": lambda d: fit_online(d, "pa"),
-        "LinearDiscriminantAnalysis": M.fit_lda,
-        "LinearSVC": fit_linear_svc,
+        "LogisticRegressionCV(l1)": lambda d: M.fit_logistic_cv(d, "l1", **of),
+        "LogisticRegressionCV(l2)": lambda d: M.fit_logistic_cv(d, "l2", **of),
+        "LogisticRegressionCV(elasticnet)": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5, **of),
+        "RidgeClassifierCV": lambda d: M.fit_ridge_cv(d, p=expand.width() if expand else None, **of),
+        "SGDClassifier(log_loss)": lambda d: fit_online(d, "log", **of),
+        "SGDClassifier(hinge)": lambda d: fit_online(d, "hinge", **of),
+        "Perceptron": lambda d: fit_online(d, "perceptron", **of),
+        "PassiveAggressiveClassifier": lambda d: fit_online(d, "pa", **of),
+        "LinearDiscriminantAnalysis": lambda d: M.fit_lda(d, **of),
+        "LinearSVC": lambda d: fit_linear_svc(d, **of),
     }
 
 
 def compare_models(train: DataFrame, test: DataFrame,
                    estimators: dict[str, Callable[[DataFrame], M.LinearScorer]] | None = None,
-                   parallelism: int = 2) -> DataFrame:
+                   parallelism: int = 2, features: str = M.FEATURES, expand: Interactions | None = None) -> DataFrame:
     """One row per model with roc_auc, pr_auc (average precision),
     log_loss and brier_score (probability models only) and Matthews
     correlation; a failing model gives NULLs and its error text."""
-    estimators = estimators or default_panel()
+    estimators = estimators or default_panel(expand, features)
     spark = train.sparkSession
-    train, test = train.persist(), test.persist()
+    if expand is None:
+        train, test = train.persist(), test.persist()
     try:
         def run(item):
             name, fit = item
@@ -70,7 +74,7 @@ def compare_models(train: DataFrame, test: DataFrame,
         errors = [(n, err) for n, m, err in fitted if m is None]
         parts = []
         if ok:
-            scores = shared_table(M.score_many(test, ok), "panel-scores")     # four metric jobs read it
+            scores = shared_table(M.score_many(test, ok, features, expand=expand), "panel-scores")     # four metric jobs read it
             parts.append(K.model_panel_metrics(scores).withColumn("error", F.lit(None).cast("string")))
         if errors:
             parts.append(spark.createDataFrame(
@@ -80,8 +84,9 @@ def compare_models(train: DataFrame, test: DataFrame,
             out = out.unionByName(p)
         return out.select("model", "roc_auc", "pr_auc", "log_loss", "brier_score", "matthews_corrcoef", "error")
     finally:
-        train.unpersist()
-        test.unpersist()
+        if expand is None:
+            train.unpersist()
+            test.unpersist()
 
 
 def top_models(panel: DataFrame, k: int = 5, by: str = "roc_auc") -> DataFrame:
@@ -92,11 +97,12 @@ def top_models(panel: DataFrame, k: int = 5, by: str = "roc_auc") -> DataFrame:
 # ------------------------------------------------------------ M15 / M16
 
 def select_from_l1(train: DataFrame, Cs=(0.01, 0.1, 1.0, 10.0), cv: int = 5, scoring: str = "roc_auc",
-                   threshold: float = 1e-5, balanced: bool = True) -> tuple[list[int], M.LinearScorer]:
+                   threshold: float = 1e-5, balanced: bool = True, features: str = M.FEATURES,
+                   expand: Interactions | None = None) -> tuple[list[int], M.LinearScorer]:
     """Indices of features with |coef| > threshold in an L1 logistic
     regression with C chosen by CV (class-balanced weights)."""
     w = M.class_weights(train) if balanced else None
-    m = M.fit_logistic_cv(train, "l1", Cs=list(Cs), cv=cv, weights=w, scoring=scoring)
+    m = M.fit_logistic_cv(train, "l1", Cs=list(Cs), cv=cv, weights=w, scoring=scoring, features=features, expand=expand)
     keep = [i for i, v in enumerate(m.w) if abs(v) > threshold]
     return keep, m
 
@@ -115,15 +121,12 @@ class SelectThenClassify:
     Cs: tuple = (0.01, 0.1, 1.0, 10.0)
     scoring: str = "roc_auc"
 
-    def fit(self, train: DataFrame) -> M.LinearScorer:
-        keep = select_from_l1(train, self.Cs, self.select_cv, self.scoring)[0]
-        sliced = slice_features(train, keep)
-        m = M.fit_logistic_cv(sliced, "l2", Cs=list(self.Cs), cv=self.final_cv,
-                              weights=M.class_weights(sliced), scoring=self.scoring)
-        full = np.zeros(M._width(train))
-        for j, i in enumerate(keep):
-            full[i] = m.w[j]
-        return M.LinearScorer("SelectFromModel+LogisticRegressionCV", full, m.b, link="logit",
+    def fit(self, train: DataFrame, features: str = M.FEATURES, expand: Interactions | None = None) -> M.LinearScorer:
+        keep, first = select_from_l1(train, self.Cs, self.select_cv, self.scoring, features=features, expand=expand)
+        m = M.fit_logistic_cv(train, "l2", Cs=list(self.Cs), cv=self.final_cv, weights=M.class_weights(train),
+                              scoring=self.scoring, features=features, expand=expand,
+                              keep=np.isin(np.arange(len(first.w)), keep))
+        return M.LinearScorer("SelectFromModel+LogisticRegressionCV", m.w, m.b, link="logit",
                               info={"selected": keep, "best_C": m.info.get("best_C")})
 
 
@@ -132,28 +135,30 @@ class SelectThenClassify:
 CS = (0.01, 0.1, 1.0, 10.0)
 
 
-def _prepared(train: DataFrame, cv: int, inner: list[int], seed: int = 42) -> tuple[DataFrame, dict, int]:
-    """Rows with their outer and inner folds, fixed in a table and read by every pass; class weights of every
+def _prepared(train: DataFrame, cv: int, inner: list[int], seed: int = 42, features: str = M.FEATURES,
+              expand: Interactions | None = None) -> tuple[CellRows, dict, int]:
+    """Rows with their outer and inner folds, fixed in a table of cells and read by every pass; class weights of every
     outer training part (None: all rows); number of features."""
-    d = M.stratified_folds(train, cv, seed=seed, out="outer")
+    rows = cell_rows(train.where(F.col(M.LABEL).isNotNull()), features, [M.LABEL, M.KEY], expand)
+    d = M.stratified_folds(rows.df, cv, seed=seed, out="outer")
     for k in inner:
         d = M.stratified_folds(d, k, seed=seed + k, out=f"f{k}")
-    d = shared_table(d.where(F.col(M.LABEL).isNotNull()), "grid")
-    counts = {(r["outer"], r[M.LABEL]): r["count"] for r in d.groupBy("outer", M.LABEL).count().collect()}
+    d = stored(CellRows(d, rows.cells))
+    counts = {(r["outer"], r[M.LABEL]): r["count"] for r in d.df.groupBy("outer", M.LABEL).count().collect()}
     weights = {}
     for o in [*range(cv), None]:
         n = [sum(v for (fold, y), v in counts.items() if fold != o and int(y) == c) for c in (0, 1)]
         weights[o] = tuple(sum(n) / (2.0 * x) if x else 0.0 for x in n)
-    return d, weights, M._width(d)
+    return d, weights, d.cells.width() - 1
 
 
-def _aucs(d: DataFrame, fits: list[Fit]) -> list[float]:
+def _aucs(d: CellRows, fits: list[Fit]) -> list[float]:
     """Exact AUC (K1) of every model on the rows that judge it, in one job."""
     got = {int(r["model"]): r["roc_auc"] for r in K.roc_auc(held_out_scores(d, fits)).collect()}
     return [got[m] if got.get(m) is not None else float("nan") for m in range(len(fits))]
 
 
-def _cross_validated(d: DataFrame, p: int, weights: dict, jobs: list[tuple], l1: float, l2: float,
+def _cross_validated(d: CellRows, p: int, weights: dict, jobs: list[tuple], l1: float, l2: float,
                      keeps: dict | None = None) -> dict[tuple, Fit]:
     """Logistic regression with C by inner cross-validation for every job (outer, inner cv, ...): all inner
     models of all jobs in lockstep along the path of C, then all refits in lockstep."""
@@ -178,7 +183,7 @@ def _cross_validated(d: DataFrame, p: int, weights: dict, jobs: list[tuple], l1:
     return dict(zip(jobs, final, strict=True))
 
 
-def _judged(d: DataFrame, candidates: dict[str, dict], cv: int, link: str) -> tuple[DataFrame, M.LinearScorer]:
+def _judged(d: CellRows, candidates: dict[str, dict], cv: int, link: str) -> tuple[DataFrame, M.LinearScorer]:
     """Mean and spread of the held-out AUC of ``{candidate: {outer fold or None: model}}``; the best one, fitted on all rows."""
     names = [(c, o) for c in candidates for o in range(cv)]
     auc = dict(zip(names, _aucs(d, [candidates[c][o] for c, o in names]), strict=True))
@@ -190,15 +195,16 @@ def _judged(d: DataFrame, candidates: dict[str, dict], cv: int, link: str) -> tu
     f = candidates[best][None]
     scorer = M.LinearScorer(best, f.beta[:-1], float(f.beta[-1]), link=link,
                             info={"best_candidate": best, "C": f.C, "converged": f.converged})
-    table = d.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], (
+    table = d.df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], (
         "candidate string, mean_roc_auc double, std_roc_auc double, folds bigint, converged boolean, best boolean"))
     return table, scorer
 
 
-def grid_l2(train: DataFrame, cv: int = 5, selects=(3, 5), finals=(3, 5), threshold: float = 1e-5):
+def grid_l2(train: DataFrame, cv: int = 5, selects=(3, 5), finals=(3, 5), threshold: float = 1e-5, **of):
     """Select cv x final cv, C 0.01..10, roc_auc.  The selection depends on the select cv alone, so it is
-    done once for both final cvs; every step moves all candidates and outer folds together."""
-    d, weights, p = _prepared(train, cv, sorted({*selects, *finals}))
+    done once for both final cvs; every step moves all candidates and outer folds together.  ``of``: the array column
+    (``features``) and what makes the features of it (``expand``), for this and the other searches."""
+    d, weights, p = _prepared(train, cv, sorted({*selects, *finals}), **of)
     outers = [*range(cv), None]
     chosen = _cross_validated(d, p, weights, [(o, a) for o in outers for a in selects], 1.0, 0.0)
     keeps = {(o, b, a): np.abs(chosen[o, a].beta[:-1]) > threshold for o in outers for a in selects for b in finals}
@@ -207,17 +213,17 @@ def grid_l2(train: DataFrame, cv: int = 5, selects=(3, 5), finals=(3, 5), thresh
                        for a in selects for b in finals}, cv, "logit")
 
 
-def grid_l1(train: DataFrame, cv: int = 5, inner=(3, 5, 10)):
+def grid_l1(train: DataFrame, cv: int = 5, inner=(3, 5, 10), **of):
     """L1 logistic regression with balanced classes, C 0.01..10 by inner cv of 3, 5 or 10, roc_auc."""
-    d, weights, p = _prepared(train, cv, list(inner))
+    d, weights, p = _prepared(train, cv, list(inner), **of)
     outers = [*range(cv), None]
     fitted = _cross_validated(d, p, weights, [(o, k) for o in outers for k in inner], 1.0, 0.0)
     return _judged(d, {f"cv={k}": {o: fitted[o, k] for o in outers} for k in inner}, cv, "logit")
 
 
-def grid_svc(train: DataFrame, cv: int = 5, Cs=CS):
+def grid_svc(train: DataFrame, cv: int = 5, Cs=CS, **of):
     """L1 linear SVM (squared hinge, balanced), C in 0.01, 0.1, 1, 10."""
-    d, weights, p = _prepared(train, cv, [])
+    d, weights, p = _prepared(train, cv, [], **of)
     outers = [*range(cv), None]
     last = {o: None for o in outers}
     out: dict[str, dict] = {}
