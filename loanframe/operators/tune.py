@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.functions.cells import CellRows, cell_rows, stored
-from loanframe.functions.gram import Interactions
+from loanframe.functions.cells import CellRows, blocks, cell_rows, stored
+from loanframe.functions.gram import Interactions, tree_sums
 from loanframe.functions.lockstep import Fit, fit_together, held_out_scores
 from loanframe.operators import metrics as K
 from loanframe.operators import models as M
@@ -143,11 +143,20 @@ def _prepared(train: DataFrame, cv: int, inner: list[int], seed: int = 42, featu
     d = M.stratified_folds(rows.df, cv, seed=seed, out="outer")
     for k in inner:
         d = M.stratified_folds(d, k, seed=seed + k, out=f"f{k}")
-    d = stored(CellRows(d, rows.cells))
-    counts = {(r["outer"], r[M.LABEL]): r["count"] for r in d.df.groupBy("outer", M.LABEL).count().collect()}
+    d = stored(rows.of(d.drop(M.KEY)))
+
+    def tally(batches):
+        acc = np.zeros((cv, 2))
+        for _, _, b in blocks(batches, ["outer", M.LABEL]):
+            outer, y = (b.column(i).to_numpy(zero_copy_only=False).astype(int) for i in (2, 3))
+            for c in (0, 1):
+                acc[:, c] += np.bincount(outer[y == c], minlength=cv)
+        return {"": acc.ravel()}
+
+    counts = tree_sums(d.table(["outer", M.LABEL]), tally).get("", np.zeros(2 * cv)).reshape(cv, 2)
     weights = {}
     for o in [*range(cv), None]:
-        n = [sum(v for (fold, y), v in counts.items() if fold != o and int(y) == c) for c in (0, 1)]
+        n = [int(v) for v in (counts.sum(axis=0) - (counts[o] if o is not None else 0))]
         weights[o] = tuple(sum(n) / (2.0 * x) if x else 0.0 for x in n)
     return d, weights, d.cells.width() - 1
 

@@ -49,6 +49,18 @@ def test_fits_from_base_columns_reach_the_optimum(spark):
         assert abs(share - np.mean((s[~r] > 0) == (y[~r] == 1))) < 1e-12
 
 
+def test_stored_rows_are_blocks_of_one_cell(spark):
+    """A cell is in few partitions and a stored row holds many rows, which come back as they were."""
+    df, _, _, made = _rows(spark)
+    rows = C.cell_rows(df.withColumn("extra", F.when(F.col("key") % 2 == 0, F.col("key"))), "base", ["label", "extra"], made)
+    kept = C.stored(rows)
+    assert rows.count == 600 and kept.df.count() < 200
+    got = [(bits, *n[i].tolist(), *(b.column(c)[i].as_py() for c in (2, 3)))
+           for bits, n, b in C.blocks(kept.table(["extra", "label"]).toArrow().to_batches(), ["extra", "label"]) for i in range(len(n))]
+    want = [(bytes(r["bits"]), *r["n"], r["extra"], r["label"]) for r in rows.df.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_blocks_of_a_shard_come_back_as_they_were(spark):
     df, _, _, _ = _rows(spark, 50)
     rows = O._sharded(df, "base", "label", "key", 2, 42)
