@@ -73,6 +73,22 @@ def test_blocks_of_a_shard_come_back_as_they_were(spark):
     assert np.array_equal(got, np.array([r["x"] for r in rows.orderBy("shard", "place").collect()]))
 
 
+def test_shards_are_read_as_blocks_in_order(spark):
+    """The shuffle that brings a shard to its task moves blocks, not rows, and their rows are in order."""
+    df, _, _, _ = _rows(spark, 300)
+    rows = O._sharded(df, "base", "label", "key", 2, 42)
+    flags = O._flags(rows)
+    order = O._in_order(rows, flags, 2)
+    assert order.rdd.getNumPartitions() == 2 and order.count() < 100
+    parts = order.withColumn("p", F.spark_partition_id()).orderBy("p").drop("p").toArrow().combine_chunks().to_batches()
+    got = {}
+    for shard, x, _ in O._unpacked(parts, flags):
+        got[shard] = np.vstack([got[shard], x]) if shard in got else x
+    for shard, x in got.items():
+        want = rows.where(F.col("shard") == shard).orderBy("place", "key").collect()
+        assert np.array_equal(x, np.array([r["x"] for r in want]))
+
+
 def test_points_ask_blocks_a_few_rows_at_a_time(spark, monkeypatch):
     """However many blocks there are, a task holds ``CHUNK`` distances; the neighbours stay exact."""
     rng = np.random.default_rng(3)
