@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loanframe.functions.cells import CellRows, blocks, cell_rows, stored
 from loanframe.functions.gram import Interactions, tree_sums
-from loanframe.functions.lockstep import Fit, fit_together, held_out_scores
+from loanframe.functions.lockstep import Fit, fit_together, held_out_runs
 from loanframe.operators import metrics as K
 from loanframe.operators import models as M
 from loanframe.operators.online import fit_online
@@ -163,8 +163,8 @@ def _prepared(train: DataFrame, cv: int, inner: list[int], seed: int = 42, featu
 
 def _aucs(d: CellRows, fits: list[Fit]) -> list[float]:
     """Exact AUC (K1) of every model on the rows that judge it, in one job."""
-    got = {int(r["model"]): r["roc_auc"] for r in K.roc_auc(held_out_scores(d, fits)).collect()}
-    return [got[m] if got.get(m) is not None else float("nan") for m in range(len(fits))]
+    got = K.roc_auc_of_runs(held_out_runs(d, fits))
+    return [got.get(m, float("nan")) for m in range(len(fits))]
 
 
 def _cross_validated(d: CellRows, p: int, weights: dict, jobs: list[tuple], l1: float, l2: float,

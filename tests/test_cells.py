@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from loanframe.functions import cells as C
 from loanframe.functions import metric_index as MI
 from loanframe.functions.gram import Interactions
+from loanframe.functions import lockstep as LS
 from loanframe.functions.lockstep import Fit, fit_together, held_out_hits
+from loanframe.operators import metrics as K
 from loanframe.operators import models as M
 from loanframe.operators import online as O
 
@@ -61,6 +63,29 @@ def test_stored_rows_are_blocks_of_one_cell(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_aucs_of_many_models_move_runs_of_scores(spark, monkeypatch):
+    """A stored row holds many scores of a model; the AUC is exact with ties, however the scores are cut into parts."""
+    df, x, y, made = _rows(spark)
+    rows = C.stored(C.cell_rows(df.withColumn("outer", (F.col("key") % 3).cast("int")), "base", ["label", "outer"], made))
+    rng = np.random.default_rng(1)
+    flags = np.where(np.isin(np.arange(16), (1, 2, 4)), 1.0, 0.0)          # few distinct scores
+    fits = [Fit(o, beta=b) for o in (0, 1, 2) for b in (rng.normal(size=16), flags, np.zeros(16))] + [Fit(7, beta=flags)]
+    outer, want = np.arange(len(y)) % 3, []
+    for f in fits[:-1]:
+        s, c = (x @ f.beta[:-1] + f.beta[-1])[outer == f.outer].round(9), y[outer == f.outer]
+        a, b = s[c == 1][:, None], s[c == 0][None, :]
+        want.append(((a > b).mean() + (a == b).mean() / 2))
+    for held, run, most in ((1 << 22, 1 << 21, 100), (500, 40, 100_000)):
+        monkeypatch.setattr(LS, "HELD", held)
+        monkeypatch.setattr(LS, "RUN", run)
+        monkeypatch.setattr(LS, "SAMPLE", 8)
+        runs = LS.held_out_runs(rows, fits)
+        assert runs.count() <= most                                        # 1,800 scores
+        got = K.roc_auc_of_runs(runs)
+        assert sorted(got) == list(range(9)) and np.allclose([got[m] for m in range(9)], want, atol=1e-12, rtol=0)
+    assert runs.select("part").distinct().count() > 1
+
+
 def test_blocks_of_a_shard_come_back_as_they_were(spark):
     df, _, _, _ = _rows(spark, 50)
     rows = O._sharded(df, "base", "label", "key", 2, 42)
