@@ -149,3 +149,38 @@ def test_yeo_johnson_candidates_in_one_pass(spark):
     assert [lam for lam, _ in got["b"]] == [0.0, 1.0, 2.0]              # the last one overflows
     for c, x in (("a", a), ("b", b[np.arange(400) % 5 > 0])):
         assert all(abs(v - want(x, lam)) < 1e-8 * abs(v) for lam, v in got[c])
+
+
+def test_every_shard_is_a_partition_of_its_own(spark):
+    """By a hash of the shard's number three of the eight were in one task, and two tasks had none."""
+    df, _, _ = _toy(spark, 600)
+    rows = O._sharded(df, "features", "label", "key", 8, 42)
+    got = O._in_order(rows, O._flags(rows), 8).select("shard", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(got) == len({r["shard"] for r in got}) == len({r["part"] for r in got}) == 8
+
+
+@pytest.mark.parametrize("kind", ["hinge", "perceptron"])
+def test_a_block_is_answered_together(kind, monkeypatch):
+    """Late in a fit nearly all blocks are settled by rounds over the whole block, with the updates of going row by row."""
+    rng = np.random.default_rng(3)
+    x, alone = rng.normal(size=(4096, 6)), []
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=4096) > 0, 1.0, -1.0)
+    one = O._in_turn
+
+    def counted(m, effect, every, each, together):
+        def seen(i, v):
+            alone.append(i)
+            return each(i, v)
+        return one(m, effect, every, seen, together)
+
+    def fitted(n):
+        learner = O.Learner(kind, np.zeros(6), 0.0, 100_000, 1e-4, 1.0)
+        for lo in range(0, len(y), n):
+            learner.block(x[lo:lo + n], y[lo:lo + n])
+        return learner
+    row_by_row = fitted(1)
+    monkeypatch.setattr(O, "_in_turn", counted)
+    blocks = fitted(O.BLOCK)
+    assert len(alone) < 0.1 * len(y)
+    assert np.allclose(blocks.weights(), row_by_row.weights(), rtol=1e-9, atol=1e-12)
+    assert abs(blocks.b - row_by_row.b) < 1e-9 and abs(blocks.loss - row_by_row.loss) < 1e-6
