@@ -1,23 +1,23 @@
-"""Exact nearest neighbours by a metric index (R2).
+"""Exact nearest neighbours by a k-d tree of blocks (R2).
 
-Points are dealt to the cells of a few pivots and, inside a cell, to rings by
-their distance to its pivot; a block is a ring of a cell.  A point is first
-compared with its own block, which bounds how far its neighbours can be.  Any
-other block lies, by the triangle inequality, at least as far as the gap
-between its ring and the point's distance to that pivot, and half the
-difference between that distance and the one to the point's own pivot.  Blocks beyond the bound are
-never looked at; the others are searched in full, so the neighbours are exact.
+A sample gives a tree of median splits, each along the widest column; a block
+is a leaf of it, and its box what its points span.  A point is first
+compared with its own block, which bounds how far its neighbours can be.  A
+block whose box is farther is never looked at; the others are searched in
+full, so the neighbours are exact.  Boxes are sought for the points of a block
+together, by their own box and the largest of their bounds, and then for each.
 
+Blocks have about ``BLOCK`` points up to ``LEAVES`` blocks, so work grows with
+the points (and beyond that with their square over ``LEAVES``).
 Equal points are one point with the smallest of their keys, so a crowd of
-copies is no work.  Pivots come from a bounded sample (``SAMPLE`` points) and
-decide only how much is compared.  Tables of blocks have at most
-``PIVOTS * RINGS`` rows.  Blocks are sorted before the points that ask them,
-and a task holds one block while those stream by.
+copies is no work.  The tree comes from a bounded sample (``SAMPLE`` points) and
+decides only how much is compared.  The table of boxes has at most ``LEAVES``
+rows.  Blocks are sorted before the points that ask them, and a task holds one
+block while those stream by.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from loanframe.session import shared_table
 
-#: Most pivots, most rings of a cell, points a block should have, points that pivots are chosen from.
-PIVOTS, RINGS, BLOCK, SAMPLE = 64, 64, 256, 2048
-#: Distances held at a time.
-CHUNK = 1 << 20
+#: Points a block should have, most blocks, points that the tree is made of.
+BLOCK, LEAVES, SAMPLE = 256, 1 << 15, 1 << 17
+#: Distances held at a time; points of a partition.
+CHUNK, PART = 1 << 20, 1 << 16
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,16 +43,42 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def spread_points(x: np.ndarray, count: int) -> np.ndarray:
-    """``count`` points far from one another: each next one is the farthest from those before."""
-    if not len(x):
-        return x
-    chosen = [0]
-    near = squared_distances(x[:1], x)[0]
-    while len(chosen) < min(count, len(x)) and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, squared_distances(x[chosen[-1:]], x)[0])
-    return x[chosen]
+class Tree:
+    """Median splits: node i sends x[column[i]] <= at[i] to node left[i], others to the next one; leaves have ``leaf`` >= 0."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.column, self.at, self.left, self.leaf = [], [], [], []
+        self.leaves = 0
+        nodes = [(x, leaves)]
+        self._node()
+        for i, (some, most) in enumerate(nodes):                  # grows by two nodes a split
+            spread = some.max(axis=0) - some.min(axis=0) if most > 1 and len(some) > 1 else np.zeros(0)
+            if not len(spread) or not spread.max() > 0:
+                self.leaf[i], self.leaves = self.leaves, self.leaves + 1
+                continue
+            j = int(spread.argmax())
+            v = some[:, j]
+            at = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+            if at == v.max():
+                at = v[v < at].max()
+            self.column[i], self.at[i], self.left[i] = j, float(at), len(nodes)
+            low = v <= at
+            nodes += [(some[low], most // 2), (some[~low], most - most // 2)]
+            nodes[i] = None
+            self._node()
+            self._node()
+        self.column, self.at, self.left, self.leaf = (np.array(v) for v in (self.column, self.at, self.left, self.leaf))
+
+    def _node(self) -> None:
+        for values, v in ((self.column, 0), (self.at, 0.0), (self.left, 0), (self.leaf, -1)):
+            values.append(v)
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while len(rows := rows[self.leaf[node[rows]] < 0]):
+            at = node[rows]
+            node[rows] = self.left[at] + ~(x[rows, self.column[at]] <= self.at[at])
+        return self.leaf[node]
 
 
 def _points(df: DataFrame, features: str, key: str, k: int) -> DataFrame:
@@ -67,68 +93,123 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def rows_at_once(blocks: int) -> int:
     """Rows whose distances to all blocks are held together: ``CHUNK`` distances, whatever the number of blocks."""
     return max(1, CHUNK // max(1, blocks))
 
 
-def _best(dist: np.ndarray, keys: list[list[int]], k: int) -> list[tuple[float, int]]:
-    """The k nearest keys (ties: smallest) of points at squared distances ``dist``."""
-    some = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1]) if len(dist) > k else range(len(dist))
-    return sorted((float(dist[j]), key) for j in some for key in keys[j])[:k]
+def _search(x: np.ndarray, y: np.ndarray, keys: pa.ListArray, k: int, limit: np.ndarray | None) -> tuple[pa.ListArray, np.ndarray]:
+    """The k nearest keys (ties: smallest) of points ``y`` for every row of ``x``, no farther than its limit; and how far the
+    k-th is (infinite where there are fewer)."""
+    held, ends = keys.flatten().to_numpy(), np.cumsum(keys.value_lengths().to_numpy())
+    dists, found, counts, far = [], [], [], np.full(len(x), np.inf)
+    step = rows_at_once(len(y))
+    for lo in range(0, len(x), step):
+        d = squared_distances(x[lo:lo + step], y)
+        most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(d), np.inf)
+        if limit is not None:
+            most = np.minimum(most, limit[lo:lo + step])
+        row, at = np.nonzero(d <= most[:, None])
+        each = np.diff(ends, prepend=0)[at]                        # a point's keys
+        of = np.repeat(np.arange(len(at)), each)
+        key = held[np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + (ends[at] - each)[of]]
+        row, dist = row[of], d[row, at][of]
+        order = np.lexsort((key, dist, row))
+        row, dist, key = row[order], dist[order], key[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == k - 1
+        far[lo + row[last]] = dist[last]
+        first = rank < k
+        dists.append(dist[first])
+        found.append(key[first])
+        counts.append(np.bincount(row[first], minlength=len(d)))
+    near = pa.StructArray.from_arrays([pa.array(np.concatenate(dists)), pa.array(np.concatenate(found), pa.int64())], names=["dist", "nbr"])
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near), far
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of the rows with equal values one after another."""
+    n = len(columns[0])
+    new = np.zeros(max(n - 1, 0), dtype=bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+    return ((lo, hi) for lo, hi in zip(cuts, cuts[1:]) if hi > lo)
+
+
+_NEAR = "near array<struct<dist:double,nbr:long>>"
+
+
+def _in_own(k: int):
+    """Rows (block, id, x, keys) sorted by block: each with the k nearest keys in its block, and how far the last one is
+    (infinite where the block has fewer)."""
+    def answered(block, ids, xs, keys):
+        x, keys, ids = np.concatenate(xs), pa.concat_arrays(keys), pa.concat_arrays(ids)
+        for lo in range(0, len(x), 4096):
+            some = x[lo:lo + 4096]
+            near, far = _search(some, x, keys, k, None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), ids.slice(lo, len(some)), _lists(some), pa.array(far), near],
+                                             names=["block", "id", "x", "far", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, xs, keys = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, x = batch.column(0).to_numpy(), _matrix(batch.column(2))
+            for lo, hi in _runs(of):
+                if of[lo] != block:
+                    if ids:
+                        yield from answered(block, ids, xs, keys)
+                    block, ids, xs, keys = int(of[lo]), [], [], []
+                ids.append(batch.column(1).slice(lo, hi - lo))
+                xs.append(x[lo:hi])
+                keys.append(batch.column(3).slice(lo, hi - lo))
+        if ids:
+            yield from answered(block, ids, xs, keys)
+    return run
 
 
-def _streamed(k: int):
-    """Rows (block, asks, id, x, keys, r) sorted by block, the block's own points first: the k nearest keys in the
-    block of every point, no farther than its r where that is known."""
+def _in_others(k: int):
+    """Rows (block, asks, id, x, keys, r) sorted by block, the block's own points first: the k nearest keys in the block of
+    every point that asks, no farther than its r."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, xs, keys = None, [], []
-
-        def found(ids, x, limit):
-            """Search ``x`` in the block."""
-            y = np.concatenate(xs)
-            out_id, out_d, out_key, far = [], [], [], []
-            step = max(1, CHUNK // len(y))
-            for lo in range(0, len(x), step):
-                for at, dist in enumerate(squared_distances(x[lo:lo + step], y), lo):
-                    best = [b for b in _best(dist, keys, k) if limit is None or b[0] <= limit[at]]
-                    out_id += [ids[at]] * len(best)
-                    out_d += [d for d, _ in best]
-                    out_key += [key for _, key in best]
-                    far += [best[-1][0] if len(best) == k else np.inf] * len(best)
-            return pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_key, pa.int64()),
-                                               pa.array(out_d, pa.float64()), pa.array(far, pa.float64())],
-                                              names=["id", "nbr", "dist", "far"])
-
-        own: list[tuple[list[int], np.ndarray]] = []
-        for batch in itertools.chain(batches, [None]):
-            if batch is None:
-                if own:
-                    for ids, x in own:
-                        yield found(ids, x, None)
-                break
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            ids, x = batch.column(2).to_pylist(), _matrix(batch.column(3)) if batch.num_rows else None
-            held, r = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(of)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
+            x, r = _matrix(batch.column(3)), batch.column(5).to_numpy(zero_copy_only=False)
+            for lo, hi in _runs(of, asks):
                 if of[lo] != block:
-                    for i, z in own:
-                        yield found(i, z, None)
-                    block, xs, keys, own = of[lo], [], [], []
+                    block, xs, keys = of[lo], [], []
                 if not asks[lo]:
                     xs.append(x[lo:hi])
-                    keys += held[lo:hi]
-                    if np.isnan(r[lo]):                        # first round: the block's points ask their own block
-                        own.append((ids[lo:hi], x[lo:hi]))
+                    keys.append(batch.column(4).slice(lo, hi - lo))
                 elif xs:
-                    yield found(ids[lo:hi], x[lo:hi], r[lo:hi])
+                    if len(xs) > 1:
+                        xs, keys = [np.concatenate(xs)], [pa.concat_arrays(keys)]
+                    for at in range(lo, hi, 4096):
+                        end = min(at + 4096, hi)
+                        near, _ = _search(x[at:end], xs[0], keys[0], k, r[at:end])
+                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, end - at), near], names=["id", "near"])
     return run
 
 
-_FOUND = "id long, nbr long, dist double, far double"
+def _gaps(lo: np.ndarray, hi: np.ndarray, lows: np.ndarray, highs: np.ndarray, limit: float) -> np.ndarray:
+    """Which boxes (lows, highs) are within squared distance ``limit`` of the box (lo, hi): most are out after a column or two."""
+    at, total = np.arange(len(lows)), np.zeros(len(lows))
+    for j in np.argsort(lo - hi, kind="stable"):                  # first the column along which the box is widest
+        gap = np.maximum(np.maximum(lows[at, j] - hi[j], lo[j] - highs[at, j]), 0.0)
+        total = total + gap * gap
+        near = total <= limit
+        at, total = at[near], total[near]
+    return at
 
 
 def nearest(df: DataFrame, features: str, key: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -139,75 +220,84 @@ def nearest(df: DataFrame, features: str, key: str, k: int) -> tuple[DataFrame,
     """
     points = _points(df, features, key, k + 1)
     n = points.count()
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["x"].combine_chunks()
-    pivots = spread_points(_matrix(sample), min(PIVOTS, -(-n // BLOCK))) if n else np.empty((0, 0))
+    kind = points.schema["x"].dataType.simpleString()
+    some = points if n <= SAMPLE else points.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(n)) < SAMPLE)
+    sample = some.select("id", "x").toArrow().combine_chunks().sort_by("id")["x"].combine_chunks()      # about SAMPLE points
+    tree = Tree(_matrix(sample), min(LEAVES, -(-n // BLOCK))) if n else None
 
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                d = squared_distances(_matrix(b.column(1)), pivots)
-                at = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(np.sqrt(d[np.arange(len(at)), at]))],
-                                                 names=["id", "x", "keys", "cell", "d"])
-    form = f"id long, x {points.schema['x'].dataType.simpleString()}, keys array<long>"
-    placed = shared_table(points.select("id", "x", "keys").mapInArrow(cell, f"{form}, cell long, d double"), "nearest-cell")
-    cuts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx(
-        "d", [i / RINGS for i in range(1, RINGS)], 10 * RINGS).alias("q")).collect()        # a row a pivot
-    edges = {}
-    for r in cuts:
-        rings = max(1, min(RINGS, r["n"] // BLOCK))
-        edges[r["cell"]] = [float(r["q"][i * RINGS // rings - 1]) for i in range(1, rings)]
-    ring = F.lit(0)
-    if edges:
-        table = F.create_map(*[v for c, e in edges.items() for v in (F.lit(c), F.array(*[F.lit(x) for x in e]).cast("array<double>"))])
-        ring = F.coalesce(F.size(F.filter(table[F.col("cell")], lambda e: e < F.col("d"))), F.lit(0))
-    placed = placed.withColumn("block", F.col("cell") * RINGS + ring)
-    none = F.lit(float("nan"))
-    data = placed.select("block", F.lit(False).alias("asks"), "id", "x", "keys")
-    own = data.withColumn("r", none).repartition("block").sortWithinPartitions("block", "asks", "id")
-    first = shared_table(own.mapInArrow(_streamed(k + 1), _FOUND), "nearest-own")
-
-    blocks = placed.groupBy("block").agg(F.min("cell").alias("cell"), F.min("d").alias("lo"), F.max("d").alias("hi"),
-                                         F.count("*").alias("n")).toArrow()               # at most PIVOTS * RINGS rows
-    b_id, b_cell, lo, hi = (blocks[c].to_numpy() for c in ("block", "cell", "lo", "hi"))
-    size = dict(zip(b_id.tolist(), blocks["n"].to_pylist()))
-
-    def asked(b: pa.RecordBatch, far: np.ndarray) -> pa.RecordBatch:
-        x, mine, own_block = _matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
-        d = np.sqrt(squared_distances(x, pivots))
-        to = d[:, b_cell]
-        least = np.maximum(np.maximum(lo - to, to - hi), (to - d[np.arange(len(x)), mine][:, None]) / 2)
-        limit = np.sqrt(far) * (1 + 1e-9) + 1e-12
-        row, at = np.nonzero((least <= limit[:, None]) & (b_id[None, :] != own_block[:, None]))
-        pick = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(b_id[at]), b.column(0).take(pick), b.column(1).take(pick), pa.array(far[row])],
-                                          names=["block", "id", "x", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree.leaf_of(_matrix(b.column(1)))), *b.columns],
+                                                 names=["block", "id", "x", "keys"])
+    placed = points.select("id", "x", "keys").mapInArrow(place, f"block long, id long, x {kind}, keys array<long>")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // PART))
+    placed = shared_table(placed, "nearest-placed")
+    first = placed.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(
+        _in_own(k + 1), f"block long, id long, x {kind}, far double, {_NEAR}")
+    first = shared_table(first, "nearest-own")
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Boxes of the blocks of a task, a row each run of rows."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, x = b.column(0).to_numpy(), _matrix(b.column(1))
+            runs = [*_runs(of)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([of[lo] for lo, _ in runs], pa.int64()), pa.array([hi - lo for lo, hi in runs], pa.int64()),
+                 *[pa.array([v(x[lo:hi], axis=0).tolist() for lo, hi in runs], pa.list_(pa.float64())) for v in (np.min, np.max)]],
+                names=["block", "n", "lo", "hi"])
+    boxes = first.select("block", "x").mapInArrow(span, "block long, n long, lo array<double>, hi array<double>").toArrow()
+    size: dict[int, int] = {}
+    low: dict[int, np.ndarray] = {}
+    high: dict[int, np.ndarray] = {}
+    for block, count, lo, hi in zip(*(boxes[c].to_pylist() for c in ("block", "n", "lo", "hi")), strict=True):
+        size[block] = size.get(block, 0) + count
+        low[block] = np.minimum(low.get(block, lo), lo)
+        high[block] = np.maximum(high.get(block, hi), hi)
+    numbers = np.array(sorted(size), dtype=np.int64)                                           # at most LEAVES
+    lows, highs = (np.array([of[b] for b in numbers.tolist()]) for of in (low, high))
+
+    def asked(of: int, ids: pa.Array, x: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
+        limit = far * (1 + 1e-9) + 1e-12
+        boxes_at = _gaps(x.min(axis=0), x.max(axis=0), lows, highs, float(limit.max()))
+        boxes_at = boxes_at[numbers[boxes_at] != of]
+        step = rows_at_once(len(boxes_at))
+        for lo in range(0, len(x), step):
+            some = x[lo:lo + step]
+            total = np.zeros((len(some), len(boxes_at)))
+            for j in range(x.shape[1]):
+                v = some[:, j][:, None]
+                gap = np.maximum(np.maximum(lows[boxes_at, j] - v, v - highs[boxes_at, j]), 0.0)
+                total += gap * gap
+            row, at = np.nonzero(total <= limit[lo:lo + step, None])
+            for a in range(0, len(row), 8192):
+                pick = row[a:a + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[boxes_at[at[a:a + 8192]]]), ids.take(pa.array(lo + pick)), _lists(some[pick]),
+                     pa.array(far[lo + pick])], names=["block", "id", "x", "r"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            far = b.column(4).to_numpy(zero_copy_only=False)
-            far = np.where(np.isnan(far), np.inf, far)
-            step = rows_at_once(len(b_id))
-            for at in range(0, b.num_rows, step):
-                yield asked(b.slice(at, step), far[at:at + step])
-    bounds = first.groupBy("id").agg(F.max("far").alias("far"))
-    asking = placed.join(bounds, "id", "left").select("id", "x", "cell", "block", "far").mapInArrow(
-        ask, f"block long, id long, x {points.schema['x'].dataType.simpleString()}, r double")
-    asking = shared_table(asking, "nearest-ask")
-    rows = data.withColumn("r", F.lit(0.0)).unionByName(
+            of, x, far = b.column(0).to_numpy(), _matrix(b.column(2)), b.column(3).to_numpy()
+            for lo, hi in _runs(of):
+                yield from asked(int(of[lo]), b.column(1).slice(lo, hi - lo), x[lo:hi], far[lo:hi])
+    asking = shared_table(first.select("block", "id", "x", "far").mapInArrow(ask, f"block long, id long, x {kind}, r double"),
+                          "nearest-ask")
+    rows = placed.select("block", F.lit(False).alias("asks"), "id", "x", "keys", F.lit(0.0).alias("r")).unionByName(
         asking.select("block", F.lit(True).alias("asks"), "id", "x", F.array().cast("array<long>").alias("keys"), "r"))
-    more = rows.repartition("block").sortWithinPartitions("block", "asks", "id").mapInArrow(_streamed(k + 1), _FOUND)
-    order = W.partitionBy("id").orderBy("dist", "nbr")
-    best = first.union(more).select("id", "nbr", "dist").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    near = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dist", "nbr"))).alias("near"))     # k + 1 at most
+    more = rows.repartition(parts, "block").sortWithinPartitions("block", "asks", "id").mapInArrow(_in_others(k + 1), f"id long, {_NEAR}")
+    near = first.select("id", "near").union(more).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    near = near.select("id", F.slice(F.sort_array("near"), 1, k + 1).alias("near"))
 
     of_point = points.select("x", "id").join(near, "id").select("x", "near")
     mine = df.select(F.col(key).cast("long").alias("key"), F.col(features).alias("x")).join(of_point, "x")
     others = F.slice(F.filter("near", lambda v: v["nbr"] != F.col("key")), 1, k)
     out = mine.select("key", F.explode(others).alias("v")).select("key", F.col("v.nbr").alias("nbr"), F.col("v.dist").alias("dist"))
-    compared = sum(v * v for v in size.values())
-    counts = F.create_map(*[F.lit(v) for item in size.items() for v in item]) if size else F.create_map(F.lit(0), F.lit(0))
-    work = asking.agg((F.coalesce(F.sum(counts[F.col("block")]), F.lit(0)) + F.lit(compared)).cast("long").alias("compared"))
+    sizes = df.sparkSession.createDataFrame([*size.items()], "block long, n long")
+    work = asking.join(F.broadcast(sizes), "block").agg(
+        (F.coalesce(F.sum("n"), F.lit(0)) + F.lit(sum(v * v for v in size.values()))).cast("long").alias("compared"))
     return out, work.withColumn("points", F.lit(n).cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanframe.functions.metric_index import nearest
+from loanframe.session import shared_table
 
 
 def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "key",
@@ -36,7 +37,7 @@ def smote(df: DataFrame, features: str = "features", label: str = "label", key:
     base = df.withColumn("synthetic", F.lit(False))
     if need <= 0 or n_min < 2:
         return base.select(key, F.lit(0).alias("copy"), label, features, "synthetic")
-    mdf = df.filter(F.col(label) == mino).select(key, features)
+    mdf = shared_table(df.filter(F.col(label) == mino).select(key, features), "smote-minority")     # read by five steps
     nn, _ = nearest(mdf, features, key, k)
     # copies per minority row: floor(need / n_min), plus one for the rows
     # whose hash rank falls in the remainder

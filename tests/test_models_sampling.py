@@ -155,3 +155,25 @@ def test_neighbours_of_few_rows(spark):
     got = sorted(tuple(r) for r in nearest(df, "features", "key", 5)[0].collect())
     assert got == [(1, 2, 0.0), (1, 3, 25.0), (2, 1, 0.0), (2, 3, 25.0), (3, 1, 25.0), (3, 2, 25.0)]
     assert nearest(df.limit(0), "features", "key", 5)[0].count() == 0
+
+
+def test_what_is_compared_grows_with_the_points(spark, monkeypatch):
+    """Rows far from the crowd don't leave it to a few blocks: a point is compared with as many others in a larger table."""
+    from loanframe.functions import metric_index as MI
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(MI, "BLOCK", 16)
+    each = []
+    for n in (1500, 6000):
+        x = np.concatenate([rng.uniform(0, 1, size=(n, 2)), rng.uniform(1e3, 1e6, size=(70, 2))])
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, features array<double>")
+        w = MI.nearest(df, "features", "key", 5)[1].first()
+        each.append(w["compared"] / w["points"])
+    assert each[1] < 1.25 * each[0] and each[1] < 150, each
+
+
+def test_a_tree_of_equal_columns_ends(spark):
+    from loanframe.functions import metric_index as MI
+    x = np.array([[1.0, 0.0]] * 900 + [[1.0, 1.0]] * 100)
+    tree = MI.Tree(x, 64)
+    assert tree.leaves == 2 and set(tree.leaf_of(x).tolist()) == {0, 1}
+    assert MI.Tree(x[:1], 64).leaf_of(x).tolist() == [0] * 1000
