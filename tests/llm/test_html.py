@@ -85,3 +85,15 @@ def test_pages_table(spark):
         blocks = re.split("</?(?:h1|p)>", article)
         want = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in blocks]
         assert got[r["page_id"]] == "\n\n".join(b for b in want if b)
+
+
+def test_differencing_judges_the_articles_of_a_page(spark):
+    """A teaser that every page has in an article element is template; an article with lines of its own is whole."""
+    page = ("<article><h1>Title {0}</h1><p>Quoted by all</p><p>Own {0}</p></article><p>between</p>"
+            "<article><h2>Read next</h2><p>Ten ways</p></article><article class=comment><p>Troll {0}</p></article>")
+    df = spark.createDataFrame([(i, f"http://h/p/{i}", page.format(i)) for i in range(9)] + [
+        (20, "http://alone/p", page.format(20))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.main_text(df.repartition(3)).collect()}
+    assert got == {i: f"Title {i}\n\nQuoted by all\n\nOwn {i}" for i in range(9)} | {
+        20: "Title 20\n\nQuoted by all\n\nOwn 20\n\nRead next\n\nTen ways"}
+    assert H._template([1, 1, 2, 2], [0, 1, 2, 3]) == [] and H._template([1, 1, 2, -1, 0], [0, 2, 4]) == [2, 4]
