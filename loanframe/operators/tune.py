@@ -10,6 +10,7 @@ exact AUC job (K1) judges them all.
 
 from __future__ import annotations
 
+import threading
 import traceback
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -24,7 +25,7 @@ from loanframe.functions.gram import Interactions, tree_sums
 from loanframe.functions.lockstep import Fit, fit_together, held_out_runs
 from loanframe.operators import metrics as K
 from loanframe.operators import models as M
-from loanframe.operators.online import fit_online
+from loanframe.operators.online import Dealt, fit_online
 from loanframe.operators.svm import fit_linear_svc
 from loanframe.session import shared_table
 
@@ -32,19 +33,36 @@ PANEL_SCHEMA = ("model string, roc_auc double, pr_auc double, log_loss double, b
                 " matthews_corrcoef double, error string")
 
 
-def default_panel(expand: Interactions | None = None, features: str = M.FEATURES) -> dict[str, Callable[[DataFrame], M.LinearScorer]]:
-    """The cited 11 estimators (names keep the class and the variant); ``expand``: the features are made of the array column."""
+class Once:
+    """What ``make`` gives for the first caller's rows, for all of a panel's estimators that read them so."""
+
+    def __init__(self, make: Callable[[DataFrame], object]):
+        self.make, self.lock, self.made = make, threading.Lock(), None
+
+    def __call__(self, d: DataFrame):
+        with self.lock:
+            if self.made is None:
+                self.made = self.make(d)
+            return self.made
+
+
+def default_panel(expand: Interactions | None = None, features: str = M.FEATURES,
+                  shards: Once | None = None) -> dict[str, Callable[[DataFrame], M.LinearScorer]]:
+    """The cited 11 estimators (names keep the class and the variant); ``expand``: the features are made of the array column.
+    The estimators of a panel are for one table: those with folds share its cells, the learners share ``shards``."""
     of = {"features": features, "expand": expand}
+    cells = Once(lambda d: M.cv_rows(d, **of))
+    shards = shards or (lambda _: None)
     return {
         "DummyClassifier": M.fit_dummy,
-        "LogisticRegressionCV(l1)": lambda d: M.fit_logistic_cv(d, "l1", **of),
-        "LogisticRegressionCV(l2)": lambda d: M.fit_logistic_cv(d, "l2", **of),
-        "LogisticRegressionCV(elasticnet)": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5, **of),
+        "LogisticRegressionCV(l1)": lambda d: M.fit_logistic_cv(d, "l1", rows=cells(d), **of),
+        "LogisticRegressionCV(l2)": lambda d: M.fit_logistic_cv(d, "l2", rows=cells(d), **of),
+        "LogisticRegressionCV(elasticnet)": lambda d: M.fit_logistic_cv(d, "elasticnet", l1_ratio=0.5, rows=cells(d), **of),
         "RidgeClassifierCV": lambda d: M.fit_ridge_cv(d, p=expand.width() if expand else None, **of),
-        "SGDClassifier(log_loss)": lambda d: fit_online(d, "log", **of),
-        "SGDClassifier(hinge)": lambda d: fit_online(d, "hinge", **of),
-        "Perceptron": lambda d: fit_online(d, "perceptron", **of),
-        "PassiveAggressiveClassifier": lambda d: fit_online(d, "pa", **of),
+        "SGDClassifier(log_loss)": lambda d: fit_online(d, "log", dealt=shards(d), **of),
+        "SGDClassifier(hinge)": lambda d: fit_online(d, "hinge", dealt=shards(d), **of),
+        "Perceptron": lambda d: fit_online(d, "perceptron", dealt=shards(d), **of),
+        "PassiveAggressiveClassifier": lambda d: fit_online(d, "pa", dealt=shards(d), **of),
         "LinearDiscriminantAnalysis": lambda d: M.fit_lda(d, **of),
         "LinearSVC": lambda d: fit_linear_svc(d, **of),
     }
@@ -56,7 +74,8 @@ def compare_models(train: DataFrame, test: DataFrame,
     """One row per model with roc_auc, pr_auc (average precision),
     log_loss and brier_score (probability models only) and Matthews
     correlation; a failing model gives NULLs and its error text."""
-    estimators = estimators or default_panel(expand, features)
+    shards = Once(lambda d: Dealt(d, features))
+    estimators = estimators or default_panel(expand, features, shards)
     spark = train.sparkSession
     if expand is None:
         train, test = train.persist(), test.persist()
@@ -84,6 +103,8 @@ def compare_models(train: DataFrame, test: DataFrame,
             out = out.unionByName(p)
         return out.select("model", "roc_auc", "pr_auc", "log_loss", "brier_score", "matthews_corrcoef", "error")
     finally:
+        if shards.made:
+            shards.made.close()
         if expand is None:
             train.unpersist()
             test.unpersist()
