@@ -184,3 +184,16 @@ def test_a_block_is_answered_together(kind, monkeypatch):
     assert len(alone) < 0.1 * len(y)
     assert np.allclose(blocks.weights(), row_by_row.weights(), rtol=1e-9, atol=1e-12)
     assert abs(blocks.b - row_by_row.b) < 1e-9 and abs(blocks.loss - row_by_row.loss) < 1e-6
+
+
+def test_a_panel_deals_its_rows_once(spark):
+    from loanframe.operators import tune as TU
+    df, _, _ = _toy(spark, 200)
+    made = []
+    shards = TU.Once(lambda d: made.append(d) or O.Dealt(d))
+    panel = TU.default_panel(shards=shards)
+    for name, kind in (("Perceptron", "perceptron"), ("PassiveAggressiveClassifier", "pa")):
+        a, b = panel[name](df), O.fit_online(df, kind)
+        assert np.array_equal(a.w, b.w) and a.b == b.b and a.info == b.info
+    assert len(made) == 1
+    shards.made.close()
